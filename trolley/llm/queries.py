@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import packing, quality
+from trolley.llm import idstore, languages, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,17 @@ def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op6_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.write(_table(spark, sf_dir, "documents")).read().drop("ids")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_tokeniser_fertility, op8_best_fit_packing)}
+def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identified(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid)}
 SQL: dict[str, str] = {}
