@@ -16,7 +16,7 @@ def create(folder: str, suffix: str) -> tuple[str, object]:
     fs, path = _at(folder)
     fs.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex[:16]}{suffix}"
-    return name, fs.open_output_stream(f"{path}/{name}")
+    return name, fs.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def reader(uri: str):
