@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import idstore, languages, packing, quality, warc
+from trolley.llm import idstore, languages, packing, ppm, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_normaliser, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid)}
 SQL: dict[str, str] = {
     "op2_warc_normaliser": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
