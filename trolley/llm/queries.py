@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import idstore, languages, packing, ppm, quality, warc
+from trolley.llm import decontaminate, idstore, languages, packing, ppm, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -38,8 +42,19 @@ def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid)}
+#: Five-word shingles of a table's texts, as lists of words.
+_SHINGLES = r"""SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+    SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (
+        SELECT {id} AS id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table}))"""
+
 SQL: dict[str, str] = {
+    "op1_minhash_containment": f"""
+        WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+        n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id),
+        f AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_found FROM d JOIN b USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+        FROM f JOIN n ON n.id = f.item_id WHERE 10 * n_found >= 8 * n_shingles""",
     "op2_warc_normaliser": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
