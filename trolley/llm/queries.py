@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import decontaminate, idstore, languages, packing, ppm, quality, warc
+from trolley.llm import decontaminate, idstore, jaccard, languages, packing, ppm, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,11 @@ def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard)}
 #: Five-word shingles of a table's texts, as lists of words.
 _SHINGLES = r"""SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (
     SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (
