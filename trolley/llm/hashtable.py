@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trolley.llm.textblock import mixed
 
@@ -35,3 +37,30 @@ class Table:
             out[todo] = self.row[s]
             todo = todo[(self.row[s] >= 0) & (self.keys[s] != keys[todo])]
         return out
+
+
+class BitSet:
+    """Which hashes are wanted: a set of at most 2^MOST_BITS bits, so of a bounded size whatever it was built from.
+
+    The fuller it is the more other hashes it lets through; whoever uses it decides exactly afterwards.
+    """
+
+    LEAST_BITS, MOST_BITS = 20, 28
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.shift = words, np.uint64(64 - 6 - (len(words) - 1).bit_length())
+
+    @classmethod
+    def of(cls, table: DataFrame, column: str) -> "BitSet":
+        """Built by Spark from a column of evenly spread 64-bit hashes."""
+        bits = int(np.clip((16 * max(table.count(), 1) - 1).bit_length(), cls.LEAST_BITS, cls.MOST_BITS))
+        word = F.expr(f"shiftrightunsigned({column}, {64 - bits + 6})")
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
+        rows = table.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        return cls(out)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> self.shift
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import decontaminate, idstore, jaccard, languages, packing, ppm, quality, warc
+from trolley.llm import decontaminate, idstore, jaccard, languages, lines, packing, ppm, quality, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.by_document(_table(spark, sf_dir, "documents"))
+
+
 def op6_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.write(_table(spark, sf_dir, "documents")).read().drop("ids")
 
 
+def op7_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cleaned(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op6_content_addressed_store, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op5_line_similarity, op6_content_addressed_store, op7_two_stage_suffixes, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard)}
 #: Five-word shingles of a table's texts, as lists of words.
 _SHINGLES = r"""SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (
     SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (
