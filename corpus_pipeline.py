@@ -3,23 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trolley.llm import packing, quality
+from trolley.llm import decontaminate, jaccard, lines, packing, quality
 from trolley.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counts or the tokeniser's measures reject go."""
     return quality.kept(docs).select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line equals or resembles go, and documents that lose all their lines; n_chars follows the text."""
+    return lines.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of similar documents stays."""
+    return jaccard.deduplicated(docs).select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest as pieces in sequences of a fixed number of tokens."""
     return packing.packed(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("packing", pack)]
-#: Several stages run tokenisers and iterative joins, which SQL can't express.
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("benchmark_decontamination", benchmark_decontamination), ("packing", pack)]
+#: Tokenisers, similarity joins and bin packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
