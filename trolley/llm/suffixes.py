@@ -58,26 +58,26 @@ def anchors(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one behind it; the last is."""
-    step = np.sign(np.diff(text, append=np.int16(32767)))
+    step = np.sign(np.diff(text.astype(np.int16), append=np.int16(32767)))
     nearest = np.where(step != 0, np.arange(len(text)), len(text) - 1)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     return step[nearest] > 0
 
 
 def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Starts of all suffixes of an int16 text in the order of their first `depth` values (or more); two stages.
+    """Starts of all suffixes of a text of bytes in the order of their first `depth` bytes (or more); two stages.
 
     Suffixes smaller than their successors are sorted directly. A larger one, c followed by a suffix that has
     its place already, goes to the front part of the bucket of c in the order of these places; scanning the
     buckets upwards reaches every larger suffix after its successor.
     """
     small = _smaller_than_next(text)
-    wide = text.astype(">i2").tobytes()
-    direct = sorted(np.flatnonzero(small).tolist(), key=lambda i: wide[2 * i : 2 * i + 2 * depth])
+    whole = text.tobytes()
+    direct = sorted(np.flatnonzero(small).tolist(), key=lambda i: whole[i : i + depth])
     direct = np.array(direct, np.int64)
     first = text[direct]
     values = np.unique(text)
-    edge = np.searchsorted(first, np.append(values, 32767))
+    edge = np.searchsorted(first, np.append(values.astype(np.int16), 256))
     front: dict[int, list[np.ndarray]] = {int(v): [] for v in values}
     order = []
 
@@ -130,10 +130,7 @@ def repeated_windows(segments: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
-    text = np.zeros(ends[-1], np.int16)
-    inside = np.ones(ends[-1], bool)
-    inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16) + 1  # 0 ends a segment
+    text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)  # no byte of UTF-8
     room = np.repeat(ends - 1, sizes + 1) - np.arange(len(text))
     order = suffix_order(text)
     order = order[room[order] >= LENGTH]
@@ -155,45 +152,35 @@ _FOUND = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("starts",
 
 
 def _sort_segments(batches):
-    """Of segments in the order of their anchors: the runs of repeated windows of each that has any."""
-    held: list[tuple[int, int, bytes, int]] = []
-    size = 0
-
-    def flush(rows):
-        by: dict[tuple[int, int], list] = {}
-        for anchor, content, text, times in rows:
-            one = by.setdefault((anchor, content), [None, 0])
-            one[0] = text or one[0]
-            one[1] += times
-        texts, keys = [], []
-        for key, (text, times) in by.items():
-            texts += [text] * min(times, 2)  # a third copy would change nothing
-            keys += [key] * min(times, 2)
-        out: dict[tuple[int, int], np.ndarray] = dict(zip(keys, repeated_windows(texts), strict=True))
-        rows = [(*key, *_runs(flags)) for key, flags in out.items() if flags.any()]
+    """Of segments (once each) in the order of their anchors: the runs of repeated windows of each that has any."""
+    held: dict[tuple[int, int], bytes] = {}
+    size, last = 0, None
+
+    def flush():
+        rows = [(*key, *_runs(flags)) for key, flags in zip(held, repeated_windows(list(held.values())), strict=True) if flags.any()]
         if rows:
             yield as_batch(_FOUND, **{f.name: list(c) for f, c in zip(_FOUND, zip(*rows, strict=True), strict=True)})
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "segment", "times")), strict=True):
-            if size >= SORTED and row[0] != held[-1][0]:
-                yield from flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2] or b"")
+        for anchor, content, segment in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "segment")), strict=True):
+            if size >= SORTED and anchor != last:
+                yield from flush()
+                held, size = {}, 0
+            held[anchor, content] = segment
+            size, last = size + len(segment), anchor
     if held:
-        yield from flush(held)
+        yield from flush()
 
 
 def _hash_windows(batches):
-    """Of segments: each window's digest, with its place in the segment and the segment's number of copies."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("place", pa.int32()), ("window", pa.int64()), ("times", pa.int32())])
+    """Of segments: each window's digest, with its place in the segment."""
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("place", pa.int32()), ("window", pa.int64())])
     for batch in batches:
-        rows = [[], [], [], [], []]
-        for anchor, content, text, times in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "segment", "times")), strict=True):
+        rows = [[], [], [], []]
+        for anchor, content, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "segment")), strict=True):
             start = np.arange(len(text) - LENGTH + 1)
             window = PrefixHash(np.frombuffer(text, np.uint8)).of(start, start + LENGTH)
-            for column, x in zip(rows, (np.full(len(start), anchor), np.full(len(start), content), start, window.view(np.int64), np.full(len(start), times)), strict=True):
+            for column, x in zip(rows, (np.full(len(start), anchor), np.full(len(start), content), start, window.view(np.int64)), strict=True):
                 column.append(x)
         if rows[0]:
             yield as_batch(schema, **{f.name: np.concatenate(c) for f, c in zip(schema, rows, strict=True)})
@@ -216,51 +203,75 @@ def spans(docs: DataFrame, work: Workspace) -> DataFrame:
     counted = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     many = work.table(counted.where("n > 1").select("anchor"), "many")
     sent = spark.sparkContext.broadcast(BitSet.of(many, "anchor"))
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_key", pa.int64()), ("place", pa.int64()), ("segment", pa.binary()), ("times", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_key", pa.int64()), ("place", pa.int64()), ("n", pa.int32())])
+
+    def locate(batches):
+        for batch, text in blocks(batches):
+            o, data = raw(text)
+            doc, first, n, anchor, content = _segments(o, data)
+            keep = sent.value.has(anchor)
+            doc, first = doc[keep], first[keep]
+            yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), doc_key=batch.column("doc_key").to_numpy()[doc], place=first - o[doc], n=n[keep])
+
+    places = work.table(keyed.mapInArrow(locate, "anchor long, content long, doc_key long, place long, n int"), "places")
+    contents = work.table(places.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min("doc_key").alias("owner"), F.first("n").alias("n")), "contents")
+    # equal segments are repeats of each other in all their windows; an anchor needs sorting if one of its several segments stands alone
+    groups = contents.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("times").alias("least")).where("segments > 1 and least = 1").select("anchor", (F.col("segments") > CROWD).alias("crowd"))
+    open_ = work.table(contents.join(groups, "anchor").select("anchor", "content", "owner", "crowd"), "open")
+    return _found(places, contents, _texts(keyed, open_), open_, work)
+
+
+def _segments(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs of `anchors`, and the digest of each one's bytes."""
+    doc, first, n, anchor = anchors(o, data)
+    content = mixed(PrefixHash(data).of(first, first + n + LENGTH - 1) + n.astype(np.uint64)) if len(first) else anchor
+    return doc, first, n, anchor, content
+
 
-    def cut(batches):
-        have = sent.value
-        seen: dict[tuple[int, int], int] = {}
+def _owner_mark(content: np.ndarray, doc_key: np.ndarray) -> np.ndarray:
+    return mixed(content ^ mixed(doc_key))
+
+
+def _texts(keyed: DataFrame, open_: DataFrame) -> DataFrame:
+    """anchor, content, segment: the bytes of the open segments, sent by the document that owns them (rarely by another too)."""
+    marks = pa.schema([("mark", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary())])
+
+    def mark(batches):
+        for batch in batches:
+            content, owner = (batch.column(c).to_numpy().view(np.uint64) for c in ("content", "owner"))
+            yield as_batch(marks, mark=_owner_mark(content, owner).view(np.int64))
+
+    wanted = keyed.sparkSession.sparkContext.broadcast(BitSet.of(open_.select("content", "owner").mapInArrow(mark, "mark long"), "mark"))
+
+    def send(batches):
         for batch, text in blocks(batches):
             o, data = raw(text)
             whole = data.tobytes()
-            doc, first, n, anchor = anchors(o, data)
-            keep = have.has(anchor)
-            doc, first, n, anchor = doc[keep], first[keep], n[keep], anchor[keep]
+            doc, first, n, anchor, content = _segments(o, data)
+            keep = np.flatnonzero(wanted.value.has(_owner_mark(content, batch.column("doc_key").to_numpy().view(np.uint64)[doc])))
             end = first + n + LENGTH - 1
-            content = mixed(PrefixHash(data).of(first, end) + n.astype(np.uint64)).view(np.int64) if len(first) else first
-            anchor, keys = anchor.view(np.int64), batch.column("doc_key").to_numpy()
-            segment, times = [], []
-            for a, c, x, y in zip(anchor.tolist(), content.tolist(), first.tolist(), end.tolist(), strict=True):
-                k = seen.get((a, c), 0)  # a task sends a segment's text twice at most: enough to see that it is repeated
-                if k < 2:
-                    seen[a, c] = k + 1
-                segment.append(whole[x:y] if k == 0 else None)
-                times.append(1 if k < 2 else 0)
-            if len(seen) > 2_000_000:
-                seen.clear()
-            yield as_batch(schema, anchor=anchor, content=content, doc_key=keys[doc], place=first - o[doc], segment=segment, times=times)
-
-    places = work.table(keyed.mapInArrow(cut, "anchor long, content long, doc_key long, place long, segment binary, times int"), "places")
-    return _found(places, work)
-
-
-def _found(places: DataFrame, work: Workspace) -> DataFrame:
+            if len(keep):
+                yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), segment=[whole[a:b] for a, b in zip(first[keep].tolist(), end[keep].tolist(), strict=True)])
+
+    return keyed.mapInArrow(send, "anchor long, content long, segment binary")
+
+
+def _found(places: DataFrame, contents: DataFrame, texts: DataFrame, open_: DataFrame, work: Workspace) -> DataFrame:
     spark = work.spark
-    copies = places.groupBy("anchor", "content").agg(F.sum("times").cast("int").alias("times"))
-    crowds = work.table(copies.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor"), "crowds")
+    crowds = work.table(open_.where("crowd").select("anchor").distinct(), "crowds")
     if few := crowds.limit(100_001).count() <= 100_000:  # 8 bytes each
         crowds = F.broadcast(crowds)
-    segments = places.where("segment is not null").select("anchor", "content", "segment", "times")
-    second = places.where("segment is null and times > 0").select("anchor", "content", F.lit(None).cast("binary").alias("segment"), "times")
-    calm = segments.unionByName(second).join(crowds, "anchor", "left_anti").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    texts = work.table(texts, "texts")
+    calm = texts.join(crowds, "anchor", "left_anti").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     found = work.table(calm.mapInArrow(_sort_segments, FOUND), "found")
 
-    windows = work.table(segments.join(crowds, "anchor", "left_semi").dropDuplicates(["anchor", "content"]).drop("times").join(copies, ["anchor", "content"]).mapInArrow(_hash_windows, "anchor long, content long, place int, window long, times int"), "windows")
-    again = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    crowded = texts.join(crowds, "anchor", "left_semi").dropDuplicates(["anchor", "content"])
+    windows = work.table(crowded.mapInArrow(_hash_windows, "anchor long, content long, place int, window long"), "windows")
+    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     crowded = windows.join(again, "window").select("anchor", "content", F.array("place").alias("starts"), F.array(F.col("place") + 1).alias("ends"))
-    found = found.union(crowded)
-    hit = places.select("anchor", "content", "doc_key", "place").join(found, ["anchor", "content"])
+    equal = contents.where("times > 1").select("anchor", "content", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
+    hit = places.select("anchor", "content", "doc_key", "place").join(equal.union(found).union(crowded), ["anchor", "content"])
     moved = hit.select("doc_key", F.explode(F.arrays_zip(F.expr("transform(starts, x -> x + place)").alias("a"), F.expr("transform(ends, x -> x + place)").alias("b"))).alias("r"))
     return moved.groupBy("doc_key").agg(F.collect_list("r.a").alias("starts"), F.collect_list("r.b").alias("ends"))
 
