@@ -281,7 +281,7 @@ def review_queue(s, d):
 
 # ---- gates and operations
 
-_FILES = """files AS (SELECT store, CAST(date_trunc('month', valid_from) AS DATE) AS file_date, count(*) AS items, count_if(price <= 0) AS zero, count_if(price > 3 * before) AS jumps FROM (
+_FILES = """files AS (SELECT store, CAST(date_trunc('month', valid_from) AS DATE) AS file_date, count(*) AS items, count_if(price <= 0) AS zero, count_if(before IS NOT NULL AND price > 3 * before) AS jumps FROM (
     SELECT *, lag(price) OVER (PARTITION BY item, store ORDER BY valid_from, order_id, line, price, qty) AS before FROM obs) GROUP BY ALL)"""
 
 
