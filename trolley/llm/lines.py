@@ -73,7 +73,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
         slots = np.zeros(1 << SLOT_BITS, np.int64)
         for batch, text in blocks(batches):
             x = Lines(text)
-            slots += np.bincount((x.word >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+            np.add.at(slots, (x.word >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
             yield as_batch(schema, doc_id=_order(batch)[x.doc], line=x.number, key=x.key.view(np.int64), n=np.ones(len(x.key), np.int64))
         used = np.flatnonzero(slots)
         for a in range(0, len(used), 1 << 16):
