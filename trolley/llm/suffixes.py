@@ -8,7 +8,9 @@ only suffixes smaller than their successors are compared; the others are induced
 of first bytes. Neighbours in that order with a common prefix of LENGTH bytes or more are repeats.
 
 An anchor with very many different segments (the edge of a passage that a large share of all documents holds)
-is not brought into one task: its windows are counted by their own digests, in a grouped sum.
+is not brought into one task: its windows are parted by the anchor's offset in them, and each part goes by all
+bytes that its windows have in common. Parts that are alone in this drop out, parts of few segments are sorted,
+and the rest is parted again, until a part is one window and equal parts are equal windows.
 """
 
 from __future__ import annotations
@@ -29,15 +31,17 @@ LENGTH, KEY = 200, 50
 CROWD = 400
 #: Bytes of segments sorted at a time; whole anchors, so more if one anchor has more.
 SORTED = 1 << 18
+#: Parts that the windows of a crowded anchor are dealt to at a time.
+FAN = 6
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def anchors(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: text index, first window's start in the block, number of windows, anchor's hash."""
+def anchors(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: text index, first window's start in the block, number of windows, anchor's hash and place."""
     span, n = LENGTH - KEY + 1, len(data)
     if n < LENGTH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     start = np.arange(n - KEY + 1)
     key = PrefixHash(data).of(start, start + KEY)
     least = key & ~_PLACE | start.astype(np.uint64)
@@ -53,7 +57,7 @@ def anchors(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     new[1:] = (place[1:] != place[:-1]) | ~valid[:-1] | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new & valid)
     count = np.diff(np.append(np.concatenate([[0], np.cumsum(valid)])[first], valid.sum()))
-    return doc[first], first, count, key[place[first]]
+    return doc[first], first, count, key[place[first]], place[first]
 
 
 def _smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -172,18 +176,55 @@ def _sort_segments(batches):
         yield from flush()
 
 
-def _hash_windows(batches):
-    """Of segments: each window's digest, with its place in the segment."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("place", pa.int32()), ("window", pa.int64())])
+PART = "part long, sub long, n int, anchor long, content long, shift int, place int, low int, high int, segment binary"
+_PART = pa.schema([("part", pa.int64()), ("sub", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("shift", pa.int32()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("segment", pa.binary())])
+
+
+def _digest(data: bytes, *numbers: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data + repr(numbers).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _parts(batches):
+    """Of segments whose anchor lies `place` bytes in: the windows with the anchor low..high bytes in, in FAN parts.
+
+    part: digest of the bytes that all windows with these offsets hold in common; sub: of this segment's bytes;
+    anchor, content, shift: the segment it comes from and its first window there.
+    """
     for batch in batches:
-        rows = [[], [], [], []]
-        for anchor, content, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "segment")), strict=True):
-            start = np.arange(len(text) - LENGTH + 1)
-            window = PrefixHash(np.frombuffer(text, np.uint8)).of(start, start + LENGTH)
-            for column, x in zip(rows, (np.full(len(start), anchor), np.full(len(start), content), start, window.view(np.int64)), strict=True):
-                column.append(x)
-        if rows[0]:
-            yield as_batch(schema, **{f.name: np.concatenate(c) for f, c in zip(schema, rows, strict=True)})
+        rows = []
+        for anchor, content, shift, place, low, high, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "shift", "place", "low", "high", "segment")), strict=True):
+            n = len(text) - LENGTH + 1
+            step = -(-(high - low + 1) // FAN)
+            for a in range(low, high + 1, step):
+                b = min(a + step - 1, high)
+                least, most = max(a, place - n + 1), min(b, place)
+                if least <= most:
+                    own = text[place - most : place - least + LENGTH]
+                    rows.append((_digest(text[place - a : place - b + LENGTH], anchor, a, b), _digest(own, anchor, a, b, most), most - least + 1, anchor, content, shift + place - most, most, a, b, own))
+        if rows:
+            yield as_batch(_PART, **{f.name: list(c) for f, c in zip(_PART, zip(*rows, strict=True), strict=True)})
+
+
+def _crowded(texts: DataFrame, work: Workspace) -> DataFrame | None:
+    """anchor, content, starts, ends: the repeated windows of segments whose anchors have too many to sort in one task."""
+    source = texts.select("anchor", "content", F.lit(0).alias("shift"), "place", F.lit(0).alias("low"), F.lit(LENGTH - KEY).alias("high"), "segment")
+    out, level = None, 0
+    while source is not None:
+        parts = work.table(source.mapInArrow(_parts, PART), f"parts-{level}")
+        contents = work.table(parts.groupBy("part", "sub").agg(F.count("*").alias("times"), F.first("n").alias("n")), f"part-contents-{level}")
+        groups = contents.groupBy("part").agg(F.count("*").alias("segments"), F.min("times").alias("least")).where("segments > 1 and least = 1")
+        open_ = work.table(groups.select("part", (F.col("segments") > CROWD).alias("crowd")), f"part-open-{level}")
+        once = parts.join(open_, "part").dropDuplicates(["part", "sub"])
+        calm = once.where("not crowd").select(F.col("part").alias("anchor"), F.col("sub").alias("content"), "segment")
+        calm = calm.repartition(partitions(work.spark), "anchor").sortWithinPartitions("anchor")
+        found = work.table(calm.mapInArrow(_sort_segments, FOUND), f"part-found-{level}")
+        equal = contents.where("times > 1").select(F.col("part").alias("anchor"), F.col("sub").alias("content"), F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
+        hit = parts.drop("segment").join(equal.union(found).withColumnsRenamed({"anchor": "part", "content": "sub"}), ["part", "sub"])
+        moved = hit.select("anchor", "content", *[F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("starts", "ends")])
+        out = moved if out is None else out.union(moved)
+        source = once.where("crowd").drop("crowd", "part", "sub", "n") if open_.where("crowd").limit(1).count() else None
+        level += 1
+    return out.groupBy("anchor", "content").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")])
 
 
 def spans(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -208,7 +249,7 @@ def spans(docs: DataFrame, work: Workspace) -> DataFrame:
     def locate(batches):
         for batch, text in blocks(batches):
             o, data = raw(text)
-            doc, first, n, anchor, content = _segments(o, data)
+            doc, first, n, anchor, _, content = _segments(o, data)
             keep = sent.value.has(anchor)
             doc, first = doc[keep], first[keep]
             yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), doc_key=batch.column("doc_key").to_numpy()[doc], place=first - o[doc], n=n[keep])
@@ -223,9 +264,9 @@ def spans(docs: DataFrame, work: Workspace) -> DataFrame:
 
 def _segments(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """The runs of `anchors`, and the digest of each one's bytes."""
-    doc, first, n, anchor = anchors(o, data)
+    doc, first, n, anchor, place = anchors(o, data)
     content = mixed(PrefixHash(data).of(first, first + n + LENGTH - 1) + n.astype(np.uint64)) if len(first) else anchor
-    return doc, first, n, anchor, content
+    return doc, first, n, anchor, place, content
 
 
 def _owner_mark(content: np.ndarray, doc_key: np.ndarray) -> np.ndarray:
@@ -233,9 +274,9 @@ def _owner_mark(content: np.ndarray, doc_key: np.ndarray) -> np.ndarray:
 
 
 def _texts(keyed: DataFrame, open_: DataFrame) -> DataFrame:
-    """anchor, content, segment: the bytes of the open segments, sent by the document that owns them (rarely by another too)."""
+    """anchor, content, segment, place (the anchor's, in the segment): the bytes of the open segments, sent by the document that owns them (rarely by another too)."""
     marks = pa.schema([("mark", pa.int64())])
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary()), ("place", pa.int32())])
 
     def mark(batches):
         for batch in batches:
@@ -248,30 +289,29 @@ def _texts(keyed: DataFrame, open_: DataFrame) -> DataFrame:
         for batch, text in blocks(batches):
             o, data = raw(text)
             whole = data.tobytes()
-            doc, first, n, anchor, content = _segments(o, data)
+            doc, first, n, anchor, place, content = _segments(o, data)
             keep = np.flatnonzero(wanted.value.has(_owner_mark(content, batch.column("doc_key").to_numpy().view(np.uint64)[doc])))
             end = first + n + LENGTH - 1
             if len(keep):
-                yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), segment=[whole[a:b] for a, b in zip(first[keep].tolist(), end[keep].tolist(), strict=True)])
+                yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), segment=[whole[a:b] for a, b in zip(first[keep].tolist(), end[keep].tolist(), strict=True)], place=(place - first)[keep])
 
-    return keyed.mapInArrow(send, "anchor long, content long, segment binary")
+    return keyed.mapInArrow(send, "anchor long, content long, segment binary, place int")
 
 
 def _found(places: DataFrame, contents: DataFrame, texts: DataFrame, open_: DataFrame, work: Workspace) -> DataFrame:
     spark = work.spark
     crowds = work.table(open_.where("crowd").select("anchor").distinct(), "crowds")
-    if few := crowds.limit(100_001).count() <= 100_000:  # 8 bytes each
+    if crowds.limit(100_001).count() <= 100_000:  # 8 bytes each
         crowds = F.broadcast(crowds)
     texts = work.table(texts, "texts")
     calm = texts.join(crowds, "anchor", "left_anti").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     found = work.table(calm.mapInArrow(_sort_segments, FOUND), "found")
 
-    crowded = texts.join(crowds, "anchor", "left_semi").dropDuplicates(["anchor", "content"])
-    windows = work.table(crowded.mapInArrow(_hash_windows, "anchor long, content long, place int, window long"), "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    crowded = windows.join(again, "window").select("anchor", "content", F.array("place").alias("starts"), F.array(F.col("place") + 1).alias("ends"))
     equal = contents.where("times > 1").select("anchor", "content", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
-    hit = places.select("anchor", "content", "doc_key", "place").join(equal.union(found).union(crowded), ["anchor", "content"])
+    runs = equal.union(found)
+    if crowds.limit(1).count():
+        runs = runs.union(_crowded(texts.join(crowds, "anchor", "left_semi").dropDuplicates(["anchor", "content"]), work))
+    hit = places.select("anchor", "content", "doc_key", "place").join(runs, ["anchor", "content"])
     moved = hit.select("doc_key", F.explode(F.arrays_zip(F.expr("transform(starts, x -> x + place)").alias("a"), F.expr("transform(ends, x -> x + place)").alias("b"))).alias("r"))
     return moved.groupBy("doc_key").agg(F.collect_list("r.a").alias("starts"), F.collect_list("r.b").alias("ends"))
 
