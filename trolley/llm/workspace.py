@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows and bytes of a batch between Spark and a Python worker: Spark's default, and what stands in for it here.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let the Python workers import this package from the driver's source folder."""
+    """Let the Python workers import this package from the driver's source folder, and bound what a batch of long texts holds."""
+    for name, (default, ours) in BATCH.items():
+        if spark.conf.get(name, ours) == default:
+            spark.conf.set(name, ours)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
