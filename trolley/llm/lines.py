@@ -29,6 +29,8 @@ SLOT_BITS = 20
 CROWD = 8192
 #: Earliest candidates of a line that are verified first; lines with more that none of these removes are joined in full.
 EARLIEST = 6
+#: Bytes of a word's hash by which verification tells words apart: two words of one pair of lines are confused once in 10^8 pairs or more.
+BYTES = 5
 _PAIRS = 1 << 21
 
 
@@ -198,7 +200,7 @@ def _candidates(batches):
 
 
 def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
-    """key, words: the word sets of the lines whose key is wanted; each once a task."""
+    """key, words: the word sets of the lines whose key is wanted, as BYTES of each word's hash; each once a task."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = pa.schema([("key", pa.int64()), ("words", pa.binary())])
 
@@ -211,7 +213,8 @@ def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
                 if (k := int(x.key[i].view(np.int64))) not in seen:
                     seen.add(k)
                     keys.append(k)
-                    words.append(x.word[x.first[i] : x.first[i + 1]].tobytes())
+                    own = np.unique(x.word[x.first[i] : x.first[i + 1]] >> np.uint64(64 - 8 * BYTES))
+                    words.append(own.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes())
             if len(seen) > 2_000_000:
                 seen.clear()
             if keys:
@@ -220,18 +223,27 @@ def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, words binary").dropDuplicates(["key"])
 
 
+def _tagged(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all sets, each with its set's place in the bits above, and the sets' sizes."""
+    size = pc.binary_length(sets).to_numpy().astype(np.int64) // BYTES
+    packed = np.frombuffer(b"".join(sets.to_pylist()), np.uint8).reshape(-1, BYTES)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, :BYTES] = packed
+    return wide.view(np.uint64).ravel() | np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(8 * BYTES), size
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (key, earlier) whose sets reach the threshold."""
     schema = pa.schema([("key", pa.int64()), ("earlier", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-            yield as_batch(schema, key=batch.column("key"), earlier=batch.column("earlier")).filter(pa.array(keep, pa.bool_()))
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            (x, n), (y, m) = _tagged(batch.column("a")), _tagged(batch.column("b"))
+            every = np.sort(np.concatenate([x, y]))
+            twice = every[1:][every[1:] == every[:-1]] >> np.uint64(8 * BYTES)
+            both = np.bincount(twice.astype(np.int64), minlength=len(n))
+            keep = DENOMINATOR * both >= NUMERATOR * (n + m - both)
+            yield as_batch(schema, key=batch.column("key"), earlier=batch.column("earlier")).filter(pa.array(keep))
 
     with_sets = pairs.join(sets.withColumnRenamed("words", "a"), "key").join(sets.select(F.col("key").alias("earlier"), F.col("words").alias("b")), "earlier")
     return with_sets.select("key", "earlier", "a", "b").mapInArrow(run, "key long, earlier long")
@@ -253,19 +265,26 @@ def removed(docs: DataFrame, work: Workspace) -> DataFrame:
 
     dealt = prefixes(docs, counts).repartition(partitions(spark), "word", "low", "high").sortWithinPartitions("word", "low", "high", "size")
     candidates = work.table(dealt.mapInArrow(_candidates, "key long, earlier long, more boolean"), "candidates")
-    pairs = candidates.select("key", "earlier").distinct()
-    keys = work.table(pairs.select("key").union(pairs.select("earlier")).distinct(), "keys")
-    sets = work.table(_sets(docs, BitSet.of(keys, "key")).join(keys, "key", "left_semi"), "sets")
     firsts = work.table(classes, "classes")
 
-    def later(similar: DataFrame) -> DataFrame:
-        both = similar.join(firsts.withColumnRenamed("first", "f"), "key").join(firsts.select(F.col("key").alias("earlier"), F.col("first").alias("g")), "earlier")
-        return both.where("f <> g").select(F.when(F.col("f") > F.col("g"), F.col("key")).otherwise(F.col("earlier")).alias("key")).distinct()
+    def oriented(pairs: DataFrame) -> DataFrame:
+        """The pairs with the line that comes later, in the whole corpus, as key."""
+        both = pairs.join(firsts.withColumnRenamed("first", "f"), "key").join(firsts.select(F.col("key").alias("earlier"), F.col("first").alias("g")), "earlier").where("f <> g")
+        ahead = F.col("f") < F.col("g")
+        return both.select(F.when(ahead, F.col("earlier")).otherwise(F.col("key")).alias("key"), F.when(ahead, F.col("key")).otherwise(F.col("earlier")).alias("earlier"), "votes")
 
-    gone = work.table(later(_similar(pairs, sets)), "gone")
+    # a line's likeliest pair is verified first: most lines that go are settled by it, and their other pairs need no sets
+    pairs = work.table(oriented(candidates.groupBy("key", "earlier").agg(F.count("*").alias("votes"))), "pairs")
+    keys = work.table(pairs.select("key").union(pairs.select("earlier")).distinct(), "keys")
+    sets = work.table(_sets(docs, BitSet.of(keys, "key")).join(keys, "key", "left_semi"), "sets")
+    likeliest = pairs.groupBy("key").agg(F.max(F.struct("votes", "earlier")).alias("best")).select("key", "best.earlier")
+    settled = work.table(_similar(likeliest, sets).select("key").distinct(), "settled")
+    rest = _similar(pairs.select("key", "earlier").join(settled, "key", "left_anti"), sets).select("key")
+    gone = work.table(rest.distinct().union(settled), "gone")
     open_ = work.table(candidates.where("more").select("key").distinct().join(gone, "key", "left_anti"), "open")
     if open_.limit(1).count():
-        gone = work.table(gone.union(later(_in_full(docs, counts, open_, work))).distinct(), "all-gone")
+        full = oriented(_in_full(docs, counts, open_, work).withColumn("votes", F.lit(1)))
+        gone = work.table(gone.union(full.select("key")).distinct(), "all-gone")
     gone = gone.withColumn("near", F.lit(True))
     fate = firsts.join(gone, "key", "left")
     return lines.join(fate, "key").select("doc_id", "line", (F.col("first") < F.struct("doc_id", "line")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))

@@ -58,9 +58,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back: its lineage ends here, and a lost executor costs a reread only."""
+        """Write df once and read it back: its lineage ends here, and a lost executor costs a reread only.
+
+        Its shuffles have served then; Spark deletes their files once the driver's JVM collects its garbage.
+        """
         at = self.path(name)
         df.write.option("compression", "zstd").parquet(at)
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
