@@ -59,7 +59,9 @@ class Lines:
         self.doc = doc[at]
         self.number = breaks[start[at]] - breaks[o[self.doc]]
         self.key = mixed(np.add.reduceat(mixed(word + np.uint64(7)), at) + self.size.astype(np.uint64)) if len(at) else word
-        self.bits = np.stack([np.bitwise_or.reduceat(np.uint64(1) << (word >> np.uint64(s) & np.uint64(63)), at) for s in (6, 12)], 1) if len(at) else np.zeros((0, 2), np.uint64)
+        # a bit map of 128 bits that each word flips one of: bits that differ are words that differ, however long the lines
+        bit, upper = np.uint64(1) << (word >> np.uint64(6) & np.uint64(63)), (word >> np.uint64(12) & np.uint64(1)).astype(bool)
+        self.bits = np.stack([np.bitwise_xor.reduceat(np.where(upper == k, bit, np.uint64(0)), at) for k in (False, True)], 1) if len(at) else np.zeros((0, 2), np.uint64)
 
 
 def _order(batch) -> np.ndarray:
@@ -168,7 +170,7 @@ def _candidates(batches):
             need = _needed(size[i], size[j])
             ok = np.minimum(size[i] - c["place"][i], size[j] - c["place"][j]) >= need
             i, j, need = i[ok], j[ok], need[ok]
-            differ = np.maximum(*[np.bitwise_count(x[i] ^ x[j]) for x in bits]).astype(np.int64)
+            differ = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits)
             ok = differ <= size[i] + size[j] - 2 * need
             i, j = i[ok], j[ok]
             first = rank[i] < rank[j]
