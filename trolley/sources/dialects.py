@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 from dataclasses import dataclass, field
@@ -31,7 +32,7 @@ def adapt(rows: DataFrame, dialect: Dialect) -> DataFrame:
 
 def read(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
     schema = T.StructType([T.StructField({v: k for k, v in dialect.renamed.items()}.get(tag, tag), T.StringType()) for tag in COLUMNS])
-    if dialect.container == "zip":
+    if dialect.container == "zip" or dialect.charset.upper() != "UTF-8":  # the XML reader opens neither zips nor, without a declaration, other character sets
         texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda parts: _unzipped(parts, dialect.charset), "xml string")
         rows = texts.select(F.explode(F.regexp_extract_all("xml", F.lit(f"(?s)<{dialect.row_tag}>.*?</{dialect.row_tag}>"), F.lit(0))).alias("x"))
         return adapt(rows.select(F.from_xml("x", schema).alias("r")).select("r.*"), dialect)
@@ -42,8 +43,12 @@ def read(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
 def _unzipped(parts, charset: str):
     for part in parts:
         for content in part["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as box:
-                yield pd.DataFrame({"xml": [box.read(name).decode(charset) for name in box.namelist()]})
+            if content[:2] == b"PK":
+                with zipfile.ZipFile(io.BytesIO(content)) as box:
+                    found = [box.read(name) for name in box.namelist()]
+            else:
+                found = [gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content]
+            yield pd.DataFrame({"xml": [x.decode(charset) for x in found]})
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
