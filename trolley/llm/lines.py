@@ -31,7 +31,9 @@ CROWD = 8192
 EARLIEST = 6
 #: Bytes of a word's hash by which verification tells words apart: two words of one pair of lines are confused once in 10^8 pairs or more.
 BYTES = 5
-_PAIRS = 1 << 21
+#: Slots of a chunk of word counts, prefix rows that a task packs at a time, rows of a bucket (about), and bytes of a batch of packed rows.
+CHUNK, HELD, BUCKET, _SENT = 1 << 14, 1 << 19, 400_000, 1 << 22
+_PAIRS = 1 << 20
 
 
 class Lines:
@@ -70,21 +72,39 @@ def _order(batch) -> np.ndarray:
 
 
 def surveyed(docs: DataFrame) -> DataFrame:
-    """Lines (doc_id, line, key) and, with a null key, word counts by slot (line: the slot, n: the count)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+    """Lines (doc_id, line, key) and, with a null key, word counts by slot (line: the chunk of CHUNK slots, counts: its 32-bit counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("key", pa.int64()), ("counts", pa.binary())])
 
     def run(batches):
-        slots = np.zeros(1 << SLOT_BITS, np.int64)
+        slots = np.zeros(1 << SLOT_BITS, np.int32)
         for batch, text in blocks(batches):
             x = Lines(text)
             np.add.at(slots, (x.word >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-            yield as_batch(schema, doc_id=_order(batch)[x.doc], line=x.number, key=x.key.view(np.int64), n=np.ones(len(x.key), np.int64))
-        used = np.flatnonzero(slots)
-        for a in range(0, len(used), 1 << 16):
-            part = used[a : a + (1 << 16)]
-            yield as_batch(schema, doc_id=pa.nulls(len(part), pa.int64()), line=part, key=pa.nulls(len(part), pa.int64()), n=slots[part])
+            yield as_batch(schema, doc_id=_order(batch)[x.doc], line=x.number, key=x.key.view(np.int64), counts=pa.nulls(len(x.key), pa.binary()))
+        for chunk, part in enumerate(slots.reshape(-1, CHUNK)):
+            if part.any():
+                yield as_batch(schema, doc_id=[None], line=[chunk], key=[None], counts=[part.tobytes()])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, key long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, key long, counts binary")
+
+
+def counted(survey: DataFrame) -> np.ndarray:
+    """Word counts by slot over all tasks; each chunk is summed where its rows meet, a row at a time."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column("line").to_pylist(), batch.column("counts"), strict=True):
+                sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
+                sums[chunk] += np.frombuffer(part.as_buffer(), np.int32)
+        for chunk, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["line", "counts"])
+
+    parts = survey.where("key is null").select("line", "counts").repartition(partitions(survey.sparkSession), "line")
+    counts = np.zeros((1 << SLOT_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
+    for row in parts.mapInArrow(run, "line long, counts binary").toArrow().to_pylist():
+        counts[row["line"]] = np.frombuffer(row["counts"], np.int64)
+    return counts.ravel()
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:
@@ -96,17 +116,45 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-PREFIX = "word long, low int, high int, sub int, key long, doc_id long, line long, size int, place int, bits_a long, bits_b long"
-_PREFIX = pa.schema([("word", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("sub", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("bits_a", pa.int64()), ("bits_b", pa.int64())])
+#: A prefix row: the group it is dealt to (a word, or a pair of blocks of a frequent word's lines), its side in such a pair (0: no
+#: pair), its line class and the class's first place in the task, the set's size, the word's place in it, and the bit map.
+ROW = [("group", "u8"), ("key", "i8"), ("doc_id", "i8"), ("bits_a", "u8"), ("bits_b", "u8"), ("line", "i4"), ("size", "i4"), ("place", "i4"), ("side", "i1")]
+_WIDTH = sum(np.dtype(t).itemsize for _, t in ROW)
+
+
+def _packed(rows: dict[str, np.ndarray], buckets: int):
+    """Prefix rows as one binary value a bucket, column by column."""
+    bucket = (rows["group"] % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    rows, bucket = {n: rows[n][by].astype(t, copy=False) for n, t in ROW}, bucket[by]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+    ends = np.append(edge[1:], len(bucket))
+    step = max(1, int(len(edge) * _SENT // max(1, _WIDTH * len(bucket))))
+    for k in range(0, len(edge), step):
+        values = [b"".join(rows[n][a:b].tobytes() for n, _ in ROW) for a, b in zip(edge[k : k + step], ends[k : k + step], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[k : k + step]], pa.int64()), pa.array(values, pa.binary())], ["bucket", "rows"])
+
+
+def _unpacked(values: list[bytes]) -> dict[str, np.ndarray]:
+    found: dict[str, list[np.ndarray]] = {n: [] for n, _ in ROW}
+    for value in values:
+        n, at = len(value) // _WIDTH, 0
+        for name, kind in ROW:
+            found[name].append(np.frombuffer(value, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {n: np.concatenate(x) for n, x in found.items()}
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row per line class, task and prefix word (or pair of blocks of a frequent one). Sets of up to three words
-    are similar to equal sets only and have no rows."""
+def prefixes(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
+    """bucket, rows: a prefix row (ROW) per line class, task and prefix word (or pair of blocks of a frequent one), packed by bucket of groups.
+
+    Sets of up to three words are similar to equal sets only and have no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         count, seen = sent.value, set()
+        held, n = [], 0
         for batch, text in blocks(batches):
             x = Lines(text)
             slot = (x.word >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -123,55 +171,66 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 seen.clear()
             use = (place < prefix_length(x.size)[line]) & (x.size[line] > 3) & fresh[line]
             at, own, place = by[use], line[use], place[use]
-            subs = -(-count[slot[at]] // CROWD)
-            sub = (mixed(x.key[own]) % np.maximum(subs, 1).astype(np.uint64)).astype(np.int64)
+            subs = np.maximum(-(-count[slot[at]] // CROWD), 1)
+            sub = (mixed(x.key[own]) % subs.astype(np.uint64)).astype(np.int64)
             copy = np.repeat(np.arange(len(at)), subs)
             other = np.arange(len(copy)) - np.repeat(np.cumsum(subs) - subs, subs)
             own, at, place, sub = own[copy], at[copy], place[copy], sub[copy]
             for a in range(0, len(own), 1 << 17):
                 p = slice(a, a + (1 << 17))
-                i = own[p]
-                yield as_batch(
-                    _PREFIX, word=x.word[at[p]].view(np.int64), low=np.minimum(sub[p], other[p]), high=np.maximum(sub[p], other[p]), sub=sub[p], key=x.key[i].view(np.int64), doc_id=order[i], line=x.number[i], size=x.size[i], place=place[p],
-                    bits_a=x.bits[i, 0].view(np.int64), bits_b=x.bits[i, 1].view(np.int64),
-                )
+                i, low, high = own[p], np.minimum(sub[p], other[p]), np.maximum(sub[p], other[p])
+                group = mixed(x.word[at[p]] + mixed((low << 32 | high).astype(np.uint64)))
+                side = np.where(low == high, 0, np.where(sub[p] == low, 1, 2))
+                held.append({"group": group, "key": x.key[i].view(np.int64), "doc_id": order[i], "bits_a": x.bits[i, 0], "bits_b": x.bits[i, 1], "line": x.number[i], "size": x.size[i], "place": place[p], "side": side})
+                n += len(i)
+                if n >= HELD:
+                    yield from _packed({c: np.concatenate([h[c] for h in held]) for c, _ in ROW}, buckets)
+                    held, n = [], 0
+        if held:
+            yield from _packed({c: np.concatenate([h[c] for h in held]) for c, _ in ROW}, buckets)
 
     # a task's first line of a class is then the class's first line, if it lies in this task's documents
-    return docs.select("doc_id", "text").sortWithinPartitions(F.asc_nulls_last("doc_id")).mapInArrow(run, PREFIX)
+    return docs.select("doc_id", "text").sortWithinPartitions(F.asc_nulls_last("doc_id")).mapInArrow(run, "bucket long, rows binary")
 
 
 def _candidates(batches):
-    """Of prefix rows in the order of word, blocks and size: each line's earliest candidates, and whether it has more."""
+    """Of packed prefix rows in the order of buckets: each line's earliest candidates, and whether it has more."""
     schema = pa.schema([("key", pa.int64()), ("earlier", pa.int64()), ("more", pa.bool_())])
 
-    def pairs(t: pa.Table):
-        c = {n: t[n].to_numpy() for n in t.column_names}
-        bits = [c[n].view(np.uint64) for n in ("bits_a", "bits_b")]
-        edge = np.ones(len(t), bool)
-        edge[1:] = (c["word"][1:] != c["word"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])
-        group = np.cumsum(edge) - 1
-        size = c["size"].astype(np.int64)
+    def pairs(values: list[bytes]):
+        c = _unpacked(values)
+        rank = np.lexsort((c["line"], c["doc_id"]))
+        c = {n: x[rank] for n, x in c.items() if n not in ("line", "doc_id")}
+        rank = np.lexsort((c["key"], c["size"], c["group"]))  # a stable order: of a class's rows the first comes first
+        group, key = c["group"][rank], c["key"][rank]
+        new = np.ones(len(rank), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        rank, group = rank[new], group[new]
+        edge = np.ones(len(rank), bool)
+        edge[1:] = group[1:] != group[:-1]
+        shared = ~edge
+        shared[:-1] |= ~edge[1:]
+        rank, edge = rank[shared], edge[shared]
+        c = {n: x[rank] for n, x in c.items()}
+        group, size, rows = np.cumsum(edge) - 1, c["size"].astype(np.int64), len(rank)
         ranked = group * (1 << 32) + size
         end = np.searchsorted(ranked, group * (1 << 32) + size * DENOMINATOR // NUMERATOR, "right")
-        n = end - np.arange(len(t)) - 1
+        n = end - np.arange(rows) - 1
         total = np.concatenate([[0], np.cumsum(n)])
-        rank = np.empty(len(t), np.int64)
-        rank[np.lexsort((c["line"], c["doc_id"]))] = np.arange(len(t))
         later, sooner = [], []
         low = 0
-        while low < len(t):
+        while low < rows:
             high = max(low + 1, int(np.searchsorted(total, total[low] + _PAIRS, "right")) - 1)
             m = n[low:high]
             i = np.repeat(np.arange(low, high), m)
             j = i + 1 + np.arange(len(i)) - np.repeat(total[low:high] - total[low], m)
             low = high
-            ok = (c["key"][i] != c["key"][j]) & ((c["low"][i] == c["high"][i]) | (c["sub"][i] != c["sub"][j]))
-            i, j = i[ok], j[ok]
+            differ = np.bitwise_count(c["bits_a"][i] ^ c["bits_a"][j]).astype(np.int64) + np.bitwise_count(c["bits_b"][i] ^ c["bits_b"][j])
+            ok = differ <= (DENOMINATOR - NUMERATOR) * (size[i] + size[j]) // (NUMERATOR + DENOMINATOR)
+            i, j, differ = i[ok], j[ok], differ[ok]
             need = _needed(size[i], size[j])
-            ok = np.minimum(size[i] - c["place"][i], size[j] - c["place"][j]) >= need
-            i, j, need = i[ok], j[ok], need[ok]
-            differ = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits)
-            ok = differ <= size[i] + size[j] - 2 * need
+            ok = (differ <= size[i] + size[j] - 2 * need) & ((c["side"][i] == 0) | (c["side"][i] != c["side"][j]))
+            ok &= np.minimum(size[i] - c["place"][i], size[j] - c["place"][j]) >= need
             i, j = i[ok], j[ok]
             first = rank[i] < rank[j]
             later.append(np.where(first, j, i))
@@ -187,20 +246,31 @@ def _candidates(batches):
         keep = nth < EARLIEST
         yield as_batch(schema, key=c["key"][later[keep]], earlier=c["key"][sooner[keep]], more=np.repeat(count > EARLIEST, count)[keep])
 
-    held = None
+    held, at = [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        word = table["word"].to_numpy()
-        cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
-        if cut:
-            yield from pairs(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None:
+        for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            if held and bucket != at:
+                yield from pairs(held)
+                held = []
+            at = bucket
+            held.append(rows)
+    if held:
         yield from pairs(held)
 
 
+def _unfolded(dealt: DataFrame) -> DataFrame:
+    """group, key, size of packed prefix rows."""
+    schema = pa.schema([("group", pa.int64()), ("key", pa.int64()), ("size", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for value in batch.column("rows").to_pylist():
+                c = _unpacked([value])
+                yield as_batch(schema, group=c["group"].view(np.int64), key=c["key"], size=c["size"])
+
+    return dealt.mapInArrow(run, "group long, key long, size int")
+
+
 def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
     """key, words: the word sets of the lines whose key is wanted, as BYTES of each word's hash; each once a task."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -259,13 +329,12 @@ def removed(docs: DataFrame, work: Workspace) -> DataFrame:
     """
     spark = work.spark
     survey = work.table(surveyed(docs), "survey")
-    slots = survey.where("key is null").groupBy("line").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[slots["line"].to_numpy()] = slots["n"].to_numpy()
-    lines = survey.where("key is not null").drop("n")
+    counts = counted(survey)
+    buckets = max(partitions(spark), int(counts.sum()) // (4 * BUCKET))
+    lines = survey.where("key is not null").drop("counts")
     classes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
 
-    dealt = prefixes(docs, counts).repartition(partitions(spark), "word", "low", "high").sortWithinPartitions("word", "low", "high", "size")
+    dealt = prefixes(docs, counts, buckets).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     candidates = work.table(dealt.mapInArrow(_candidates, "key long, earlier long, more boolean"), "candidates")
     firsts = work.table(classes, "classes")
 
@@ -285,19 +354,19 @@ def removed(docs: DataFrame, work: Workspace) -> DataFrame:
     gone = work.table(rest.distinct().union(settled), "gone")
     open_ = work.table(candidates.where("more").select("key").distinct().join(gone, "key", "left_anti"), "open")
     if open_.limit(1).count():
-        full = oriented(_in_full(docs, counts, open_, work).withColumn("votes", F.lit(1)))
+        full = oriented(_in_full(docs, counts, buckets, open_, work).withColumn("votes", F.lit(1)))
         gone = work.table(gone.union(full.select("key")).distinct(), "all-gone")
     gone = gone.withColumn("near", F.lit(True))
     fate = firsts.join(gone, "key", "left")
     return lines.join(fate, "key").select("doc_id", "line", (F.col("first") < F.struct("doc_id", "line")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def _in_full(docs: DataFrame, counts: np.ndarray, open_: DataFrame, work: Workspace) -> DataFrame:
+def _in_full(docs: DataFrame, counts: np.ndarray, buckets: int, open_: DataFrame, work: Workspace) -> DataFrame:
     """Similar pairs of the open lines with any line, whatever the number of candidates."""
-    rows = prefixes(docs, counts).select("word", "key", "size").distinct()
+    rows = _unfolded(prefixes(docs, counts, buckets)).distinct()
     ours = work.table(rows.join(open_, "key", "left_semi"), "ours")
     fits = (F.col("key") != F.col("earlier")) & (DENOMINATOR * F.col("size") >= NUMERATOR * F.col("other")) & (DENOMINATOR * F.col("other") >= NUMERATOR * F.col("size"))
-    pairs = work.table(ours.join(rows.select("word", F.col("key").alias("earlier"), F.col("size").alias("other")), "word").where(fits).select("key", "earlier").distinct(), "full")
+    pairs = work.table(ours.join(rows.select("group", F.col("key").alias("earlier"), F.col("size").alias("other")), "group").where(fits).select("key", "earlier").distinct(), "full")
     keys = work.table(pairs.select("key").union(pairs.select("earlier")).distinct(), "full-keys")
     sets = work.table(_sets(docs, BitSet.of(keys, "key")).join(keys, "key", "left_semi"), "full-sets")
     return _similar(pairs, sets)
