@@ -145,6 +145,26 @@ def _unpacked(values: list[bytes]) -> dict[str, np.ndarray]:
     return {n: np.concatenate(x) for n, x in found.items()}
 
 
+def _dealt(word: np.ndarray, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The groups that prefix words go to: each group's position in `word`, its hash and the line's side in it."""
+    subs = np.maximum(-(-count[(word >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] // CROWD), 1)
+    sub = (mixed(key) % subs.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(word)), subs)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(subs) - subs, subs)
+    own = sub[at]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    return at, mixed(word[at] + mixed((low << 32 | high).astype(np.uint64))), np.where(low == high, 0, np.where(own == low, 1, 2))
+
+
+def _prefix(x: Lines, count: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix words of the fresh lines of over three words: position in x.word, line, place in the line's order."""
+    line = np.repeat(np.arange(len(x.key)), x.size)
+    by = np.lexsort((x.word, count[(x.word >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], line))
+    place = np.arange(len(by)) - x.first[line]
+    use = (place < prefix_length(x.size)[line]) & (x.size[line] > 3) & fresh[line]
+    return by[use], line[use], place[use]
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     """bucket, rows: a prefix row (ROW) per line class, task and prefix word (or pair of blocks of a frequent one), packed by bucket of groups.
 
@@ -157,10 +177,6 @@ def prefixes(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
         held, n = [], 0
         for batch, text in blocks(batches):
             x = Lines(text)
-            slot = (x.word >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            line = np.repeat(np.arange(len(x.key)), x.size)
-            by = np.lexsort((x.word, count[slot], line))
-            place = np.arange(len(by)) - x.first[line]
             fresh = np.zeros(len(x.key), bool)
             order = _order(batch)[x.doc]
             for i in np.lexsort((x.number, order)).tolist():
@@ -169,19 +185,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
                     fresh[i] = True
             if len(seen) > 2_000_000:
                 seen.clear()
-            use = (place < prefix_length(x.size)[line]) & (x.size[line] > 3) & fresh[line]
-            at, own, place = by[use], line[use], place[use]
-            subs = np.maximum(-(-count[slot[at]] // CROWD), 1)
-            sub = (mixed(x.key[own]) % subs.astype(np.uint64)).astype(np.int64)
-            copy = np.repeat(np.arange(len(at)), subs)
-            other = np.arange(len(copy)) - np.repeat(np.cumsum(subs) - subs, subs)
-            own, at, place, sub = own[copy], at[copy], place[copy], sub[copy]
-            for a in range(0, len(own), 1 << 17):
-                p = slice(a, a + (1 << 17))
-                i, low, high = own[p], np.minimum(sub[p], other[p]), np.maximum(sub[p], other[p])
-                group = mixed(x.word[at[p]] + mixed((low << 32 | high).astype(np.uint64)))
-                side = np.where(low == high, 0, np.where(sub[p] == low, 1, 2))
-                held.append({"group": group, "key": x.key[i].view(np.int64), "doc_id": order[i], "bits_a": x.bits[i, 0], "bits_b": x.bits[i, 1], "line": x.number[i], "size": x.size[i], "place": place[p], "side": side})
+            word, own, place = _prefix(x, count, fresh)
+            for a in range(0, len(own), 1 << 15):
+                p = slice(a, a + (1 << 15))
+                at, group, side = _dealt(x.word[word[p]], x.key[own[p]], count)
+                i = own[p][at]
+                held.append({"group": group, "key": x.key[i].view(np.int64), "doc_id": order[i], "bits_a": x.bits[i, 0], "bits_b": x.bits[i, 1], "line": x.number[i], "size": x.size[i], "place": place[p][at], "side": side})
                 n += len(i)
                 if n >= HELD:
                     yield from _packed({c: np.concatenate([h[c] for h in held]) for c, _ in ROW}, buckets)
@@ -258,21 +267,8 @@ def _candidates(batches):
         yield from pairs(held)
 
 
-def _unfolded(dealt: DataFrame) -> DataFrame:
-    """group, key, size of packed prefix rows."""
-    schema = pa.schema([("group", pa.int64()), ("key", pa.int64()), ("size", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            for value in batch.column("rows").to_pylist():
-                c = _unpacked([value])
-                yield as_batch(schema, group=c["group"].view(np.int64), key=c["key"], size=c["size"])
-
-    return dealt.mapInArrow(run, "group long, key long, size int")
-
-
 def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
-    """key, words: the word sets of the lines whose key is wanted, as BYTES of each word's hash; each once a task."""
+    """key, words: the word sets of the lines whose key is wanted, as words' hashes; each once a task."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = pa.schema([("key", pa.int64()), ("words", pa.binary())])
 
@@ -285,8 +281,7 @@ def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
                 if (k := int(x.key[i].view(np.int64))) not in seen:
                     seen.add(k)
                     keys.append(k)
-                    own = np.unique(x.word[x.first[i] : x.first[i + 1]] >> np.uint64(64 - 8 * BYTES))
-                    words.append(own.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes())
+                    words.append(x.word[x.first[i] : x.first[i + 1]].tobytes())
             if len(seen) > 2_000_000:
                 seen.clear()
             if keys:
@@ -297,11 +292,9 @@ def _sets(docs: DataFrame, wanted: BitSet) -> DataFrame:
 
 def _tagged(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all sets, each with its set's place in the bits above, and the sets' sizes."""
-    size = pc.binary_length(sets).to_numpy().astype(np.int64) // BYTES
-    packed = np.frombuffer(b"".join(sets.to_pylist()), np.uint8).reshape(-1, BYTES)
-    wide = np.zeros((len(packed), 8), np.uint8)
-    wide[:, :BYTES] = packed
-    return wide.view(np.uint64).ravel() | np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(8 * BYTES), size
+    size = pc.binary_length(sets).to_numpy().astype(np.int64) // 8
+    words = np.frombuffer(b"".join(sets.to_pylist()), np.uint64) >> np.uint64(64 - 8 * BYTES)
+    return words | np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(8 * BYTES), size
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -346,7 +339,7 @@ def removed(docs: DataFrame, work: Workspace) -> DataFrame:
 
     # a line's likeliest pair is verified first: most lines that go are settled by it, and their other pairs need no sets
     pairs = work.table(oriented(candidates.groupBy("key", "earlier").agg(F.count("*").alias("votes"))), "pairs")
-    keys = work.table(pairs.select("key").union(pairs.select("earlier")).distinct(), "keys")
+    keys = work.table(pairs.select("key").union(pairs.select("earlier")).union(candidates.where("more").select("key")).distinct(), "keys")
     sets = work.table(_sets(docs, BitSet.of(keys, "key")).join(keys, "key", "left_semi"), "sets")
     likeliest = pairs.groupBy("key").agg(F.max(F.struct("votes", "earlier")).alias("best")).select("key", "best.earlier")
     settled = work.table(_similar(likeliest, sets).select("key").distinct(), "settled")
@@ -354,22 +347,64 @@ def removed(docs: DataFrame, work: Workspace) -> DataFrame:
     gone = work.table(rest.distinct().union(settled), "gone")
     open_ = work.table(candidates.where("more").select("key").distinct().join(gone, "key", "left_anti"), "open")
     if open_.limit(1).count():
-        full = oriented(_in_full(docs, counts, buckets, open_, work).withColumn("votes", F.lit(1)))
+        full = oriented(_in_full(docs, counts, sets.join(open_, "key", "left_semi"), work).withColumn("votes", F.lit(1)))
         gone = work.table(gone.union(full.select("key")).distinct(), "all-gone")
     gone = gone.withColumn("near", F.lit(True))
     fate = firsts.join(gone, "key", "left")
     return lines.join(fate, "key").select("doc_id", "line", (F.col("first") < F.struct("doc_id", "line")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def _in_full(docs: DataFrame, counts: np.ndarray, buckets: int, open_: DataFrame, work: Workspace) -> DataFrame:
-    """Similar pairs of the open lines with any line, whatever the number of candidates."""
-    rows = _unfolded(prefixes(docs, counts, buckets)).distinct()
-    ours = work.table(rows.join(open_, "key", "left_semi"), "ours")
+GROUPS = "group long, key long, size int, words binary"
+_GROUPS = pa.schema([("group", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("words", pa.binary())])
+
+
+def _groups_of(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The groups that the lines of a table of sets (key, words) are dealt to."""
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        count = sent.value
+        for batch in batches:
+            for key, words in zip(batch.column("key").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                x = np.frombuffer(words, np.uint64)
+                by = np.lexsort((x, count[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[: int(prefix_length(np.array([len(x)]))[0])]
+                _, group, _ = _dealt(x[by], np.full(len(by), key, np.int64).view(np.uint64), count)
+                n = len(group)
+                yield as_batch(_GROUPS, group=group.view(np.int64), key=np.full(n, key, np.int64), size=np.full(n, len(x), np.int32), words=[words] * n)
+
+    return sets.select("key", "words").mapInArrow(run, GROUPS)
+
+
+def _members(docs: DataFrame, counts: np.ndarray, wanted: BitSet) -> DataFrame:
+    """The lines of the wanted groups, with their sets."""
+    context = docs.sparkSession.sparkContext
+    sent, groups = context.broadcast(counts), context.broadcast(wanted)
+
+    def run(batches):
+        count = sent.value
+        for _, text in blocks(batches):
+            x = Lines(text)
+            word, own, _ = _prefix(x, count, np.ones(len(x.key), bool))
+            for a in range(0, len(own), 1 << 15):
+                i = own[a : a + (1 << 15)]
+                at, group, _ = _dealt(x.word[word[a : a + (1 << 15)]], x.key[i], count)
+                near = groups.value.has(group)
+                i, group = i[at[near]], group[near]
+                for k in range(0, len(i), 4096):
+                    j = i[k : k + 4096]
+                    yield as_batch(_GROUPS, group=group[k : k + 4096].view(np.int64), key=x.key[j].view(np.int64), size=x.size[j], words=[x.word[x.first[m] : x.first[m + 1]].tobytes() for m in j])
+
+    return docs.select("text").mapInArrow(run, GROUPS)
+
+
+def _in_full(docs: DataFrame, counts: np.ndarray, ours: DataFrame, work: Workspace) -> DataFrame:
+    """Similar pairs of the open lines, given by their sets, with any line, whatever the number of candidates."""
+    ours = work.table(_groups_of(ours, counts).select("group", "key", "size"), "ours")
+    groups = ours.select("group").distinct()
+    members = work.table(_members(docs, counts, BitSet.of(groups, "group")).join(groups, "group", "left_semi").dropDuplicates(["group", "key"]), "members")
     fits = (F.col("key") != F.col("earlier")) & (DENOMINATOR * F.col("size") >= NUMERATOR * F.col("other")) & (DENOMINATOR * F.col("other") >= NUMERATOR * F.col("size"))
-    pairs = work.table(ours.join(rows.select("group", F.col("key").alias("earlier"), F.col("size").alias("other")), "group").where(fits).select("key", "earlier").distinct(), "full")
-    keys = work.table(pairs.select("key").union(pairs.select("earlier")).distinct(), "full-keys")
-    sets = work.table(_sets(docs, BitSet.of(keys, "key")).join(keys, "key", "left_semi"), "full-sets")
-    return _similar(pairs, sets)
+    pairs = ours.join(members.select("group", F.col("key").alias("earlier"), F.col("size").alias("other")), "group").where(fits).select("key", "earlier").distinct()
+    return _similar(work.table(pairs, "full"), work.table(members.select("key", "words").dropDuplicates(["key"]), "full-sets"))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
