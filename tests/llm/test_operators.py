@@ -1,5 +1,6 @@
 """The text operators against plain versions, on a table with copies, near copies, nulls, empty and long texts."""
 
+import functools
 import hashlib
 import math
 import re
@@ -100,6 +101,41 @@ def test_base_score_and_ppm(spark, docs, rows, empty):
     assert all(r.score < 0 for r in got) and not ppm.scored(empty).count()
 
 
+@pytest.mark.parametrize("most", [1 << 18, 300, 0.5])
+def test_ppm_scores_by_every_context(docs, rows, monkeypatch, most):
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", most)
+    monkeypatch.setattr(ppm, "CHUNK", 100_000, raising=False)
+    monkeypatch.setattr(ppm, "ASKED", 500, raising=False)
+    seen = defaultdict(Counter)
+    for i, t, *_ in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            x = b"\xff" * 6 + (t or "").encode() + b"\xff"
+            for at in range(6, len(x)):
+                for k in range(7):
+                    seen[x[at - k : at]][x[at]] += 1
+
+    @functools.cache
+    def log10(context, symbol):
+        excluded, out = set(), 0.0
+        for k in range(6, -1, -1):
+            live = {s: n for s, n in seen.get(context[6 - k :], {}).items() if s not in excluded}
+            if live:
+                mass = sum(live.values()) + len(live)
+                if symbol in live:
+                    return out + math.log10(live[symbol] / mass)
+                out += math.log10(len(live) / mass)
+                excluded |= live.keys()
+        return out - math.log10(256 - len(excluded))
+
+    want = []
+    for i, t, *_ in rows:
+        x = b"\xff" * 6 + (t or "").encode() + b"\xff"
+        want.append((i, sum(log10(x[at - 6 : at], x[at]) for at in range(6, len(x)))))
+    got = [tuple(r) for r in by_row(ppm.scored(docs), "score")]
+    want.sort(key=lambda r: (r[0] is None, r))
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9)
+
+
 def test_trie_is_a_distribution():
     data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
     codes, counts = [], []

@@ -6,14 +6,15 @@ there are distinct followers) to the context one byte shorter, where the symbols
 excluded, and at last to all byte values alike. 0xFF, which UTF-8 never uses, stands before a text and ends it,
 so the scores are log probabilities of whole texts.
 
-Pretrained: followers are counted over all training texts, summed by a shuffle. A context stays in the trie if
-it holds at least 1 / MAX_CONTEXTS of all training bytes, so each order keeps at most MAX_CONTEXTS contexts
-whatever the corpus, and the trie that tasks receive has a bounded size. Adaptive: each text by itself.
+Pretrained: followers are counted over all training texts, summed by a shuffle, and every context counts. Those
+that hold at least 1 / MAX_CONTEXTS of all training bytes go to the tasks as a trie of a bounded size; bytes after
+other contexts are looked up in the counts by a join. Adaptive: each text by itself.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,13 @@ from trolley.llm.workspace import Workspace
 
 ORDER = 6
 MAX_CONTEXTS = 1 << 18
+#: Text bytes whose rare grams are asked for together, and asked grams after which a group of contexts is salted.
+CHUNK, ASKED = 8 << 20, 1 << 18
 #: Words of at least this share of all tokens are looked up in the tasks (so at most 2^21 of them); the others are joined.
 COMMON = 1 << 21
 FOLDS, HELD = 10, 0
 GRAM, WORD_KIND = 0, 1
+SCORED = ["row", "doc_id", "n_tokens", "n_common", "common_score", "score"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -65,8 +69,8 @@ def _low(order: int) -> np.uint64:
 class Trie:
     """Counts by order: entries (context and symbol) and contexts with their totals."""
 
-    def __init__(self, codes: list[np.ndarray], counts: list[np.ndarray]):
-        """From the entries of each order and their counts, shortest first; every entry's shorter one must be there."""
+    def __init__(self, codes: list[np.ndarray], counts: list[np.ndarray], base: "Trie | None" = None):
+        """From the entries of each order and their counts, shortest first; every entry's shorter one must be there or in the searchable base."""
         self.order, self.levels, above = len(codes) - 1, [], None
         for k, (code, n) in enumerate(zip(codes, counts, strict=True)):
             by = np.argsort(code)
@@ -75,22 +79,60 @@ class Trie:
             size = len(context)
             level = {"code": code, "n": n, "own": own, "context": context, "total": np.bincount(own, n, size).astype(np.int64), "distinct": np.bincount(own, minlength=size)}
             # what a context's symbols count in the next shorter context: they are excluded there after an escape
-            shorter = above["n"][np.searchsorted(above["code"], code & _low(k - 1))] if k and size else np.zeros(len(code))
+            shorter = np.zeros(len(code), np.int64)
+            if k and size:
+                low = code & _low(k - 1)
+                left = np.ones(len(code), bool)
+                if base is not None:
+                    entry = base.levels[k - 1]["entries"].find(low)
+                    left = entry < 0
+                    shorter[~left] = base.levels[k - 1]["n"][entry[~left]]
+                if left.any():
+                    shorter[left] = above["n"][np.searchsorted(above["code"], low[left])]
             level["shadow"] = np.bincount(own, shorter, size).astype(np.int64)
             self.levels.append(level)
             above = level
 
+    @classmethod
+    def rare(cls, code: np.ndarray, n: np.ndarray, base: "Trie") -> "Trie":
+        """The contexts that base leaves out, from all grams of the longest order that have one of them."""
+        codes, counts = [], []
+        for k in range(base.order + 1):
+            entry, own = np.unique(code & _low(k), return_inverse=True)
+            sums = np.bincount(own, n, len(entry)).astype(np.int64)
+            out = base.levels[k]["contexts"].find(entry >> np.uint64(8)) < 0
+            codes.append(entry[out])
+            counts.append(sums[out])
+        return cls(codes, counts, base)
+
+    def group(self, code: np.ndarray) -> np.ndarray:
+        """The shortest context of each code that is not in the trie, as one number with its order; -1 if all are."""
+        out = np.full(len(code), -1, np.int64)
+        left = np.arange(len(code))
+        for k, level in enumerate(self.levels):
+            context = (code[left] & _low(k)) >> np.uint64(8)
+            new = level["contexts"].find(context) < 0
+            out[left[new]] = context[new].astype(np.int64) | k << 56
+            left = left[~new]
+        return out
+
     def searchable(self) -> "Trie":
         for level in self.levels:
             level["entries"], level["contexts"] = Table(level["code"]), Table(level["context"])
             level["log"] = np.log10(level["n"] / (level["total"] + level["distinct"])[level["own"]])
         return self
 
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's symbol after its context."""
-        out = np.zeros(len(code))
-        left = np.arange(len(code))
-        seen_n, seen_d = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    def log10(self, code: np.ndarray, base: "Trie | None" = None) -> np.ndarray:
+        """log10 probability of each code's symbol after its context; with a base, which has the contexts that are left out here."""
+        state = np.zeros(len(code)), np.arange(len(code)), np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        for trie in (self,) if base is None else (self, base):
+            state = trie._walk(code, *state)
+        out, left, _, seen_d = state
+        out[left] -= np.log10(256 - seen_d)
+        return out
+
+    def _walk(self, code: np.ndarray, out: np.ndarray, left: np.ndarray, seen_n: np.ndarray, seen_d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Add the logs to out; which codes are still left, and what their longer contexts have excluded."""
         for k in range(self.order, -1, -1):
             level = self.levels[k]
             own = code[left] & _low(k)
@@ -109,8 +151,7 @@ class Trie:
             n, d = level["total"][c] - seen_n[known], level["distinct"][c] - seen_d[known]
             out[left[known]] += np.log10(np.where(d > 0, d / np.maximum(n + d, 1), 1.0))
             seen_n[known], seen_d[known] = level["shadow"][c], level["distinct"][c]
-        out[left] -= np.log10(256 - seen_d)
-        return out
+        return out, left, seen_n, seen_d
 
 
 def adaptive_log10(text: bytes, order: int = ORDER) -> float:
@@ -186,8 +227,8 @@ def corpus_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
     return training.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def load(counts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """The bounded trie of corpus_counts: contexts below 1 / max_contexts of all bytes are left out, the longest first.
+def load(counts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> tuple[Trie, bool]:
+    """The bounded trie of corpus_counts, and whether it has all contexts: those below 1 / max_contexts of all bytes are left out.
 
     A context's followers number at most 256, so no order has more than 256 * max_contexts entries.
     """
@@ -204,7 +245,63 @@ def load(counts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS
         sums.append(arrow["n"].to_numpy())
         if k:
             rest = grams_.groupBy(F.col("key").bitwiseAND(int(_low(k - 1))).alias("key")).agg(F.sum("n").alias("n"))
-    return Trie(codes[::-1], sums[::-1])
+    return Trie(codes[::-1], sums[::-1]), least == 1
+
+
+def _answers(counts: DataFrame, asked: DataFrame, sent, work: Workspace) -> DataFrame:
+    """chunk, code, log: the score of each asked gram (chunk, code, group), whose longest context the trie that was sent leaves out.
+
+    Grams of the training texts and asked ones meet by their shortest context that was left out. It holds a bounded
+    share of the training bytes; a group that is asked for much is salted, its training rows going to each salt.
+    """
+    sizes = work.table(asked.groupBy("group").agg(F.count("*").alias("n")), "groups")
+    limit = max(ASKED, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    salts = F.broadcast(sizes.where(F.col("n") > limit).select("group", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+
+    def place(batches):
+        trie = sent.value["trie"].searchable()
+        for batch in batches:
+            group = trie.group(batch.column("key").to_numpy().astype(np.int64).view(np.uint64))
+            rare = pa.array(group >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(group).filter(rare), *(batch.column(c).filter(rare) for c in ("key", "n"))], ["group", "code", "n"])
+
+    known = counts.where(F.col("kind") == GRAM).select("key", "n").mapInArrow(place, "group long, code long, n long").join(salts, "group", "left")
+    known = known.select("group", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "code", "n", F.lit(None).cast("long").alias("chunk"))
+    asked = asked.join(salts, "group", "left").select("group", F.coalesce(F.pmod(F.xxhash64("chunk", "code"), "salts"), F.lit(0)).cast("int").alias("salt"), "code", F.lit(None).cast("long").alias("n"), "chunk")
+    made = pa.schema([("chunk", pa.int64()), ("code", pa.int64()), ("log", pa.float64())])
+
+    def score(base: Trie, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        wanted = rows["chunk"].is_valid()
+        ask, train = rows.filter(wanted), rows.filter(rows["chunk"].is_null())
+        if ask.num_rows:
+            code, at = np.unique(train["code"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)  # once, whatever its salts
+            trie = Trie.rare(code, train["n"].to_numpy()[at], base).searchable()
+            code = ask["code"].to_numpy()
+            log = trie.log10(code.view(np.uint64), base)
+            chunk = ask["chunk"].to_numpy()
+            for a in range(0, len(code), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield as_batch(made, chunk=chunk[part], code=code[part], log=log[part])
+
+    def run(batches):
+        base = sent.value["trie"].searchable()
+        held, size, least = [], 0, 1 << 18
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= least:
+                rows = pa.Table.from_batches(held)
+                group, salt = rows["group"].to_numpy(), rows["salt"].to_numpy()
+                cut = int(np.flatnonzero((group != group[-1]) | (salt != salt[-1]))[-1:].sum() + 1) if group[0] != group[-1] or salt[0] != salt[-1] else 0
+                if cut:
+                    yield from score(base, rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                size -= cut
+                least = max(1 << 18, 2 * size)
+        if held:
+            yield from score(base, pa.Table.from_batches(held))
+
+    return known.unionByName(asked).repartition("group", "salt").sortWithinPartitions("group", "salt").mapInArrow(run, "chunk long, code long, log double")
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -226,19 +323,33 @@ def scored(docs: DataFrame) -> DataFrame:
     floor = math.log10(n + 0.1 * (v + 1))
     least = max(1, -(-n // COMMON))
     common = words.where(F.col("c") >= least).toArrow()
-    model = {"trie": load(counts), "word": common["word"].to_numpy().astype(np.int64).view(np.uint64), "log": np.log10(common["c"].to_numpy() + 0.1) - floor}
+    trie, whole = load(counts, max_contexts=MAX_CONTEXTS)
+    model = {"trie": trie, "word": common["word"].to_numpy().astype(np.int64).view(np.uint64), "log": np.log10(common["c"].to_numpy() + 0.1) - floor}
     sent = spark.sparkContext.broadcast(model)
     end_log = math.log10(ends + 0.1) - floor
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("chunk", pa.int64()), ("text", pa.string()), ("asks", pa.list_(pa.int64())), ("groups", pa.list_(pa.int64()))])
+
+    def asking(trie: Trie, chunk: int, codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        code = np.unique(np.concatenate(codes))
+        group = trie.group(code)
+        for a in range(0, len(code), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            own = {"chunk": [chunk], "asks": [code[part].view(np.int64)], "groups": [group[part]]}
+            yield as_batch(schema, **{f.name: own.get(f.name, [None]) for f in schema})
 
     def run(batches):
         m = sent.value
         trie, common, log = m["trie"].searchable(), Table(m["word"]), m["log"]
-        row = TaskContext.get().partitionId() << 36
+        chunk = row = TaskContext.get().partitionId() << 36
+        asks, length = [], 0
         for batch, text in blocks(batches):
             o, data = raw(text)
             size = len(text)
             code, owner = grams(o, data)
+            if not whole:
+                known = trie.levels[-1]["contexts"].find(code >> np.uint64(8)) >= 0
+                asks.append(np.unique(code[~known]))
+                code, owner = code[known], owner[known]
             score = np.bincount(owner, trie.log10(code), size)
             word, doc = _tokens(o, data)
             at = common.find(word)
@@ -253,15 +364,40 @@ def scored(docs: DataFrame) -> DataFrame:
             yield as_batch(
                 schema, row=row + np.arange(size), doc_id=batch.column("doc_id"), n_tokens=np.bincount(doc, minlength=size) + 1, n_common=np.bincount(doc[hit], minlength=size), common_score=np.bincount(doc[hit], log[at[hit]], size), score=score,
                 rare=pa.ListArray.from_arrays(offsets, pa.array(rare[first].view(np.int64))), times=pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(first, len(rare))), pa.int32())),
+                chunk=np.full(size, chunk), text=pa.nulls(size, pa.string()) if whole else text, asks=pa.nulls(size, pa.list_(pa.int64())), groups=pa.nulls(size, pa.list_(pa.int64())),
             )
             row += size
+            length += len(data)
+            if asks and length >= CHUNK:
+                yield from asking(trie, chunk, asks)
+                chunk, asks, length = row, [], 0
+        if asks:
+            yield from asking(trie, chunk, asks)
+
+    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        logs = found["log"].to_numpy()
+        codes = Table(found["code"].to_numpy().astype(np.int64).view(np.uint64))
+        extra = [np.zeros(0)]
+        for _, text in blocks(rows.to_batches()):
+            code, owner = grams(*raw(text))
+            at = codes.find(code)
+            hit = at >= 0
+            extra.append(np.bincount(owner[hit], logs[at[hit]], len(text)))
+        score = pa.array(rows["score"].to_numpy() + np.concatenate(extra))
+        return rows.select(SCORED[:-1]).append_column("score", score)
 
-    each = work.table(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_score double, score double, rare array<long>, times array<int>"), "scored")
+    each = work.table(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_score double, score double, rare array<long>, times array<int>, chunk long, text string, asks array<long>, groups array<long>"), "scored")
+    asked = each.where("row is null").select("chunk", F.explode(F.arrays_zip("asks", "groups")).alias("a")).select("chunk", F.col("a.asks").alias("code"), F.col("a.groups").alias("group"))
+    each = each.where("row is not null")
     tail = each.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     tail = tail.join(words.where(F.col("c") < least), "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * (F.log10(c + 0.1) - floor)).alias("rare_score"))
     zero = F.lit(0)
-    joined = each.drop("rare", "times").join(tail, "row", "left")
+    full = each.select(*SCORED)
+    if not whole:
+        found = _answers(counts, asked, sent, work)
+        full = each.select(*SCORED, "chunk", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, full.schema)
+    joined = full.join(tail, "row", "left")
     return joined.select(
         "doc_id", held_out(FOLDS, HELD).alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("n_rare", zero) + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0)) + end_log).alias("base_score"), "score",
