@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from trolley.llm import decontaminate, idstore, jaccard, languages, lines, packing, ppm, quality, suffixes, vocab, warc
 
@@ -101,6 +102,21 @@ def test_base_score_and_ppm(spark, docs, rows, empty):
     assert all(r.score < 0 for r in got) and not ppm.scored(empty).count()
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_many_repeated_payloads(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "FEW", 0, raising=False)
+    monkeypatch.setattr(warc, "HOT", hot, raising=False)
+    a, b, c = ("<p>" + x * 1200 for x in "abc")
+    pages = [(1, a), (5, a), (5, a), (5, "alone" + b), (1, b), (5, b), (None, a), (None, a), (None, b), (None, c), (None, c), (5, "small"), (None, None), (7, None)]
+    df = spark.createDataFrame([(p, "u", h) for p, h in pages], "page_id long, url string, html string")
+    last = {a: 5, b: 5}
+    want = Counter((p, hashlib.sha1((h or "").encode()).hexdigest(), last[h] if h in last and p != last[h] else None) for p, h in pages)
+    assert Counter((r.page_id, r.payload_digest, r.refers_to) for r in warc.archived(df).collect()) == want
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    joined = warc._joined(df, warc._revisits(df), payload).collect()
+    assert Counter((r.page_id, hashlib.sha1(r.payload).hexdigest(), None if r.page_id == r.first else r.first) for r in joined) == want
+
+
 @pytest.mark.parametrize("most", [1 << 18, 300, 0.5])
 def test_ppm_scores_by_every_context(docs, rows, monkeypatch, most):
     monkeypatch.setattr(ppm, "MAX_CONTEXTS", most)

@@ -27,6 +27,8 @@ LEAST = 1000
 #: Payload bytes after which a task starts its next archive.
 ARCHIVE = 64 << 20
 LEVEL = 3
+#: Repeated payloads up to which all are broadcast, and copies of one payload from which it is at any number of them.
+FEW, HOT = 100_000, 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, at long, size long, record_type string, page_id long, uri string, payload_digest string"
@@ -98,10 +100,10 @@ def _id(value: str | None) -> int | None:
 
 
 def _revisits(pages: DataFrame) -> DataFrame:
-    """Of pages that share a payload of LEAST bytes or more: digest and size, and the largest page_id among them."""
+    """Of pages that share a payload of LEAST bytes or more: its digest, their number, and the largest page_id among them (null if all are)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     seen = pages.select("page_id", F.octet_length(payload).alias("size"), F.sha1(payload).alias("digest")).where(F.col("size") >= LEAST)
-    return seen.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    return seen.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").select("digest", "first", "n")
 
 
 def write_archives(pages: DataFrame, work: Workspace) -> DataFrame:
@@ -113,9 +115,10 @@ def write_archives(pages: DataFrame, work: Workspace) -> DataFrame:
     folder = work.path("monolithic")
     first = work.table(_revisits(pages), "revisits")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    if few := first.limit(100_001).count() <= 100_000:  # repeated payloads, 100 bytes each at most
-        first = F.broadcast(first)
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest")).join(first, "digest", "left") if few else _joined(pages, first, payload)
+    if first.limit(FEW + 1).count() <= FEW:  # repeated payloads, 100 bytes each at most
+        rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest")).join(F.broadcast(first), "digest", "left")
+    else:
+        rows = _joined(pages, first, payload)
     rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     made = pa.schema([("archive", pa.string()), ("n_records", pa.int64())])
 
@@ -142,9 +145,14 @@ def write_archives(pages: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _joined(pages: DataFrame, first: DataFrame, payload) -> DataFrame:
-    """With many repeated payloads: the narrow rows are joined by digest, and only pages that revisit meet their html again."""
-    narrow = pages.select("page_id", F.sha1(payload).alias("digest")).join(first, "digest").select("page_id", "first").distinct()
-    return pages.select("page_id", "url", payload.alias("payload")).join(narrow, "page_id", "left")
+    """With many repeated payloads: the frequent ones are broadcast, the others joined by digest; rows that need no join are spread."""
+    limit = max(HOT, (first.agg(F.sum("n")).first()[0] or 0) // FEW) if FEW else HOT
+    hot = F.broadcast(first.where(F.col("n") >= limit).select("digest", F.col("first").alias("often"), F.lit(True).alias("hot")))
+    cold = first.where(F.col("n") < limit).select(F.col("digest").alias("key"), "first")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest")).join(hot, "digest", "left")
+    spread = F.col("hot").isNotNull() | (F.octet_length("payload") < LEAST)
+    rows = rows.withColumn("key", F.when(spread, F.monotonically_increasing_id().cast("string")).otherwise(F.col("digest")))
+    return rows.join(cold, "key", "left").select("page_id", "url", "payload", F.coalesce("often", "first").alias("first"))
 
 
 def normalise(archives: DataFrame, work: Workspace) -> DataFrame:
