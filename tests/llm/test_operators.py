@@ -280,3 +280,19 @@ def test_jaccard(docs, rows, empty):
     assert [g for g in got if g[0] != 3] == [w for w in want if w[0] != 3]
     assert jaccard.joined(docs).where("doc_id is null").first()["n_links"] == 0
     assert jaccard.deduplicated(docs).columns == docs.columns and not jaccard.joined(empty).count()
+
+
+def test_rows_of_one_id_are_told_apart(spark, rows):
+    texts = [t for _, t, *_ in rows[:8]]
+    bench = spark.createDataFrame([(1, " ".join(texts[4].split()[:40]))], "item_id long, text string")
+    held = [(3, texts[0]), (3, "one"), (3, texts[1]), (None, texts[2]), (None, "bad"), (None, texts[2]), (7, texts[0]), (None, texts[4]), (3, texts[4]), (3, texts[5]), (None, texts[6]), (3, texts[0])]
+    order = sorted(range(len(held)), key=lambda k: (held[k][0] is None, held[k][0] or 0, k))
+    place = {k: n for n, k in enumerate(order)}
+    table = lambda ids: spark.createDataFrame([(i, t, "en", "s", len(t), k) for k, (i, (_, t)) in enumerate(zip(ids, held, strict=True))], "doc_id long, text string, lang string, source string, n_chars long, k int")
+    ours, unique = table([i for i, _ in held]), table([place[k] for k in range(len(held))])
+    for f in (quality.kept, lines.deduplicated, jaccard.deduplicated, lambda d: decontaminate.decontaminated(d, bench)):
+        got, want = (sorted((r.k, r.text) for r in f(d).collect()) for d in (ours, unique))
+        assert got == want and 0 < len(got) < len(held)
+    ids = {place[k]: i for k, (i, _) in enumerate(held)}
+    want = Counter((ids[r.doc_id], ids[r.class_id], r.n_links) for r in jaccard.joined(unique).collect())
+    assert Counter(map(tuple, jaccard.joined(ours).collect())) == want

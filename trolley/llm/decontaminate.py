@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.textblock import SHINGLE, Words, as_batch, blocks, minhashes, plain
-from trolley.llm.workspace import prepare
+from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, prepare
 
 THRESHOLD = 0.8
 #: Upper sizes (shingles) of the size classes, and the sketch of each; beyond the last, that one.
@@ -134,6 +134,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is in no pair of `contained`."""
-    bad = contained(docs, items, threshold).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of docs, with all their columns, that are in no pair of `contained`, whatever their doc_id."""
+    rows = keyed(docs, Workspace(docs.sparkSession, "decontaminated"))
+    bad = contained(by_key(rows), items, threshold).select(F.col("doc_id").alias(ROW_KEY)).distinct()
+    return rows.join(bad, ROW_KEY, "left_anti").select(docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.textblock import Words, as_batch, blocks, fixed_binary, minhashes, mixed
-from trolley.llm.workspace import Workspace, partitions
+from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, partitions
 
 THRESHOLD = 0.8
 #: Bands of ROWS values each: a pair at 0.8 is missed with probability (1 - 0.8^6)^48 < 10^-6.
@@ -203,12 +203,25 @@ def joined(docs: DataFrame) -> DataFrame:
 
     Links count documents, exact copies included; a component joins documents that links connect, directly or not.
     A text without a word (null, empty) is similar to nothing, and is its own class. A text of one to four
-    words has one shingle, all its words. Rows of equal doc_id are told apart only by their texts; a null doc_id
-    has a null class and no links.
+    words has one shingle, all its words. Rows of equal or null doc_id are documents of their own; the class_id is
+    null where all ids of the component are.
     """
+    work = Workspace(docs.sparkSession, "jaccard")
+    found = _classes(keyed(docs, work), work)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return found.join(least, "root").select("doc_id", "class_id", "n_links")
+
+
+def _classes(rows: DataFrame, work: Workspace) -> DataFrame:
+    """ROW_KEY, doc_id, root (the smallest key of its component), n_links of each row of `keyed`."""
+    found = work.table(_linked(by_key(rows).select("doc_id", "text"), work), "linked")
+    return work.table(rows.select(ROW_KEY, "doc_id").join(found.select(F.col("doc_id").alias(ROW_KEY), F.col("class_id").alias("root"), "n_links"), ROW_KEY), "classes")
+
+
+def _linked(docs: DataFrame, work: Workspace) -> DataFrame:
+    """`joined` for rows whose doc_ids are unique and not null."""
     spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
-    marks = work.table(fingerprints(docs.where(F.col("doc_id").isNotNull())), "marks")
+    marks = work.table(fingerprints(docs), "marks")
     members = marks.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     members = work.table(members, "members")
     reps = marks.join(members.select("rep", "size", F.col("key_a").alias("ka"), F.col("key_b").alias("kb")), (F.col("doc_id") == F.col("rep")) & (F.col("key_a") == F.col("ka")) & (F.col("key_b") == F.col("kb")))
@@ -306,7 +319,9 @@ def grouped(batches, keys: list[str]):
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of its class; null ids stay."""
-    classes = joined(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The row with the smallest doc_id of each class, the first of them, with all its columns; null ids come last."""
+    work = Workspace(docs.sparkSession, "jaccard")
+    rows = keyed(docs, work)
+    classes = _classes(rows, work)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY))[ROW_KEY]
+    return rows.join(classes.groupBy("root").agg(first.alias(ROW_KEY)).select(ROW_KEY), ROW_KEY, "left_semi").select(docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm.hashtable import BitSet
 from trolley.llm.textblock import WORD, PrefixHash, as_batch, blocks, mixed, raw, spans
-from trolley.llm.workspace import Workspace, partitions
+from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, partitions
 
 #: Jaccard threshold as a fraction, so that all bounds are whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -424,9 +424,10 @@ def by_document(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, without the removed lines; a document that loses all its lines goes.
 
-    Documents without a line to lose, empty ones too, stay as they are.
+    Documents without a line to lose, empty ones too, stay as they are. Rows of equal doc_id precede each other as they come.
     """
-    found = by_document(docs).select(F.col("doc_id").alias("own_id"), "removed", (F.col("n_lines") == F.col("n_exact") + F.col("n_near")).alias("emptied")).where(F.size("removed") > 0).dropDuplicates(["own_id"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["own_id"]), "left").where(~F.coalesce("emptied", F.lit(False)))
+    rows = keyed(docs, Workspace(docs.sparkSession, "deduplicated"), ordered=True)
+    found = by_document(by_key(rows)).select(F.col("doc_id").alias(ROW_KEY), "removed", (F.col("n_lines") == F.col("n_exact") + F.col("n_near")).alias("emptied")).where(F.size("removed") > 0)
+    joined = rows.join(found, ROW_KEY, "left").where(~F.coalesce("emptied", F.lit(False)))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

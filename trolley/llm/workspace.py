@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -72,6 +73,23 @@ class Workspace:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Tells rows apart where doc_id does not.
+ROW_KEY = "_row_key"
+
+
+def keyed(docs: DataFrame, work: Workspace, ordered: bool = False) -> DataFrame:
+    """docs with a number of its own for each row, written once; in the order of doc_id if asked for, null last."""
+    rows = docs.withColumn(ROW_KEY, F.monotonically_increasing_id())
+    if ordered:
+        rows = rows.orderBy(F.asc_nulls_last("doc_id"), ROW_KEY).withColumn(ROW_KEY, F.monotonically_increasing_id())
+    return work.table(rows, "keyed")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """Rows of `keyed` with their number in place of the doc_id."""
+    return rows.withColumn("doc_id", F.col(ROW_KEY))
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a wide step: the session's shuffle partitions, and at least two rounds of its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
