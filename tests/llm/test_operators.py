@@ -175,28 +175,55 @@ def test_quality_counts(docs, rows, empty):
     assert quality.kept(docs).columns == docs.columns and not quality.judged(empty).count()
 
 
-def similar_lines(rows):
-    order = sorted((2**63 - 1 if i is None else i, k, w) for i, t, *_ in rows for k, x in enumerate((t or "").lower().split("\n")) if (w := tuple(sorted(set(WORDS.findall(x))))))
-    first = {}
-    for i, k, w in order:
-        first.setdefault(w, (i, k))
+def lines_of(t):
+    return [(k, w) for k, x in enumerate((t or "").lower().split("\n")) if (w := tuple(sorted(set(WORDS.findall(x)))))]
+
+
+def similar_lines(texts):
+    """By text, in order: lines with a word, and numbers of those that an equal or else a similar line precedes, in this or an earlier text."""
+    first, out = {}, []
+    for n, t in enumerate(texts):
+        for k, w in lines_of(t):
+            first.setdefault(w, (n, k))
     sets = {w: set(w) for w in first}
     gone = {w for w in first for x in first if first[x] < first[w] and 5 * len(sets[w] & sets[x]) >= 4 * len(sets[w] | sets[x])}
-    out = defaultdict(lambda: [0, 0, 0])
-    for i, k, w in order:
-        exact = first[w] < (i, k)
-        out[i] = [a + b for a, b in zip(out[i], (1, exact, w in gone and not exact), strict=True)]
+    for n, t in enumerate(texts):
+        own = lines_of(t)
+        exact = [k for k, w in own if first[w] < (n, k)]
+        out.append((len(own), exact, [k for k, w in own if w in gone and k not in exact]))
     return out
 
 
-@pytest.mark.parametrize("earliest", [6, 1])
-def test_lines(docs, rows, empty, monkeypatch, earliest):
-    monkeypatch.setattr(lines, "EARLIEST", earliest)
-    want = similar_lines(rows)
-    got = by_row(lines.by_document(docs), "n_lines", "n_exact", "n_near", "removed")
-    assert [list(r)[1:4] for r in got] == [want[2**63 - 1 if i is None else i] for i in sorted((r[0] for r in rows), key=lambda i: (i is None, i))]
-    assert all(r.n_exact + r.n_near == len(r.removed) or r.doc_id == 3 for r in got)
-    assert lines.deduplicated(docs).columns == docs.columns and not lines.by_document(empty).count()
+def in_order(docs):
+    """Rows (doc_id, text) by doc_id, null last, and as they come."""
+    found = [(r.doc_id, r.text) for r in docs.withColumn("m", F.monotonically_increasing_id()).orderBy("m").collect()]
+    return sorted(found, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+@pytest.mark.parametrize(("likeliest", "crowd"), [(6, 8192), (1, 3), (0, 40)])
+def test_lines(spark, docs, empty, monkeypatch, likeliest, crowd):
+    monkeypatch.setattr(lines, "LIKELIEST", likeliest)
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "SEEN", 5)
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    crowded = [" ".join(rng.choice(vocabulary, 12, False)) for _ in range(30)]
+    base = vocabulary[:20]
+    crowded += [" ".join([*base[:k], f"odd{k}", *base[k + 1 :]]) for k in range(20)]
+    extra = spark.createDataFrame([(int(rng.integers(50, 900)), "\n".join(crowded[a : a + 4]), "en", "s", 0, "x", 1, 1, 1, "x") for a in range(0, 50, 2)], docs.schema)
+    both = docs.union(extra).repartition(4).cache()
+    order = in_order(both)
+    want = similar_lines([t for _, t in order])
+    got = Counter((r.doc_id, r.n_lines, r.n_exact, r.n_near, tuple(r.removed)) for r in lines.by_document(both).collect())
+    assert got == Counter((i, n, len(e), len(s), tuple(sorted(e + s))) for (i, _), (n, e, s) in zip(order, want, strict=True))
+    clash = both.withColumn("removed", F.lit(1)).withColumn("row", F.lit(2)).withColumn("emptied", F.lit(3))
+    kept = lines.deduplicated(clash)
+    left = Counter()
+    for (i, t), (n, e, s) in zip(order, want, strict=True):
+        if not n or n > len(e) + len(s):
+            left[i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {*e, *s}) if e or s else t] += 1
+    assert kept.columns == clash.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == left
+    assert not lines.by_document(empty).count() and not lines.deduplicated(empty).count()
 
 
 def test_id_store(docs, rows, empty):
