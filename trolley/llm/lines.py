@@ -33,7 +33,7 @@ SLOT_BITS = 20
 #: Lines (classes) of a group that are paired in one task; those of a larger group are dealt to pairs of blocks.
 CROWD = 8192
 #: Likeliest candidates of a line and group that are verified first; lines with more that none of these removes are joined in full.
-LIKELIEST = 6
+LIKELIEST = 24
 #: Slots of a chunk of word counts, prefix rows that a task packs at a time, rows of a bucket (about), and bytes of a batch of packed rows.
 CHUNK, HELD, BUCKET, _SENT = 1 << 14, 1 << 19, 400_000, 1 << 22
 #: Line classes that a task remembers, and pairs looked at together.
@@ -44,15 +44,20 @@ _U = np.uint64
 class Lines:
     """The lines with a word of a block of texts: `doc`, `number` (from 0), `key` of the word set, and its words.
 
-    Words lie sorted by line and hash without repeats: `word[first[i]:first[i + 1]]` are those of line i.
+    Words lie sorted by line and hash without repeats: `word[first[i]:first[i + 1]]` are those of line i. Where words are
+    wanted, lines without any of them are left out.
     """
 
-    def __init__(self, text: pa.Array):
+    def __init__(self, text: pa.Array, wanted: BitSet | None = None):
         o, data = raw(pc.utf8_lower(text))
         start, end, doc = spans(WORD[data], o)
         word = PrefixHash(data).of(start, end)
         feeds = np.flatnonzero(data == 10)
         line = np.cumsum(np.bincount(np.searchsorted(start, feeds), minlength=len(start) + 1)[:-1]) + doc
+        if wanted is not None:
+            hit = np.zeros(int(line[-1]) + 1 if len(line) else 1, bool)
+            hit[line[wanted.has(word)]] = True
+            word, line, doc = (a[hit[line]] for a in (word, line, doc))
         edge = np.ones(len(line), bool)
         edge[1:] = line[1:] != line[:-1]
         head = np.flatnonzero(edge)
@@ -85,13 +90,13 @@ class Lines:
 class Fresh:
     """The lines whose class a task has not met at an earlier place; a bounded number of classes is remembered."""
 
-    def __init__(self):
-        self.seen: dict[int, tuple] = {}
+    def __init__(self, most: int):
+        self.most, self.seen = most, {}
 
     def __call__(self, x: Lines, places: tuple[np.ndarray, ...]) -> np.ndarray:
         by = np.lexsort(places[::-1])
         own = by[np.unique(x.key[by], return_index=True)[1]]
-        if len(self.seen) > SEEN:
+        if len(self.seen) > self.most:
             self.seen.clear()
         fresh = np.zeros(len(x.key), bool)
         for i, k, place in zip(own.tolist(), x.key[own].tolist(), zip(*(p[own].tolist() for p in places), strict=True), strict=True):
@@ -217,7 +222,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
-        level, fresh, held, n = sent.value, Fresh(), [], 0
+        level, fresh, held, n = sent.value, Fresh(SEEN), [], 0
 
         def send():
             rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
@@ -272,7 +277,7 @@ CANDIDATES = "key long, earlier long, differ int, more boolean, bucket long, row
 _CANDIDATES = pa.schema([("key", pa.int64()), ("earlier", pa.int64()), ("differ", pa.int32()), ("more", pa.bool_()), ("bucket", pa.int64()), ("rows", pa.binary())])
 
 
-def _pairs(c: dict[str, np.ndarray]):
+def _pairs(c: dict[str, np.ndarray], likeliest: int):
     """Of rows by group and size: each line's likeliest earlier candidates in a group, and whether it has more there."""
     group = c["group"]
     edge = np.ones(len(group), bool)
@@ -312,9 +317,9 @@ def _pairs(c: dict[str, np.ndarray]):
     later, sooner, apart = later[by], sooner[by], apart[by]
     start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else later
     count = np.diff(np.append(start, len(later)))
-    keep = np.arange(len(later)) - np.repeat(start, count) < LIKELIEST
+    keep = np.arange(len(later)) - np.repeat(start, count) < likeliest
     k = int(keep.sum())
-    yield as_batch(_CANDIDATES, key=c["key"][later[keep]], earlier=c["key"][sooner[keep]], differ=apart[keep], more=np.repeat(count > LIKELIEST, count)[keep], bucket=pa.nulls(k, pa.int64()), rows=pa.nulls(k, pa.binary()))
+    yield as_batch(_CANDIDATES, key=c["key"][later[keep]], earlier=c["key"][sooner[keep]], differ=apart[keep], more=np.repeat(count > likeliest, count)[keep], bucket=pa.nulls(k, pa.int64()), rows=pa.nulls(k, pa.binary()))
 
 
 def _sizes(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -323,7 +328,7 @@ def _sizes(c: dict[str, np.ndarray]) -> np.ndarray:
     return np.bincount(edge)[edge] if len(edge) else edge
 
 
-def _candidates(crowd: int):
+def _candidates(crowd: int, likeliest: int):
     """For packed prefix rows in the order of buckets: their pairs, and the rows of groups of over `crowd` classes as they are (bucket: the group)."""
 
     def crowded(bucket: int, c: dict[str, np.ndarray]):
@@ -342,7 +347,7 @@ def _candidates(crowd: int):
             yield from crowded(bucket, {k: x[out] for k, x in c.items()})
             c = {k: x[~out] for k, x in c.items()}
         if last:
-            yield from _pairs(c)
+            yield from _pairs(c, likeliest)
         else:
             held[:] = [b"".join(c[k].tobytes() for k, _ in ROW)]
 
@@ -432,7 +437,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, crowd: int) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(crowd), CANDIDATES)
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(crowd, LIKELIEST), CANDIDATES)
 
 
 def removed(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -467,11 +472,13 @@ def removed(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     if open_.limit(1).count():
         places = lines.join(open_, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "row", "line")).alias("place")).select("key", "place.*")
         gone = work.table(gone.union(_in_full(docs, level, sets.join(places, "key"), hot, buckets, work)), "all-gone")
-    several = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
-    fate = several.join(gone.withColumn("near", F.lit(True)), "key", "left").where("n > 1 or near").select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    judged = lines.join(work.table(fate, "fate"), "key", "left")
-    exact = F.coalesce(F.col("first") < F.struct("doc_id", "row", "line"), F.lit(False))
-    return survey.where("line is null").select("row", "doc_id"), judged.select("row", "line", exact.alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
+    several = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(False).alias("near"))
+    fate = several.union(gone.withColumn("near", F.lit(True))).groupBy("key").agg(F.bool_or("near").alias("near"))
+    judged = work.table(lines.join(fate, "key", "left"), "judged")
+    firsts = judged.where("near is not null").groupBy("key").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
+    touched = judged.where("near is not null").join(firsts, "key").select("row", "line", (F.col("first") < F.struct("doc_id", "row", "line")).alias("exact"), "near")
+    untouched = judged.where("near is null").select("row", "line", F.lit(False).alias("exact"), F.lit(False).alias("near"))
+    return survey.where("line is null").select("row", "doc_id"), touched.union(untouched)
 
 
 _PLACE = ["doc_id", "row", "line"]
@@ -507,9 +514,9 @@ def _members(docs: DataFrame, level: np.ndarray, wanted: BitSet, buckets: int) -
     sent, groups = context.broadcast(level), context.broadcast(wanted)
 
     def run(batches):
-        fresh = Fresh()
+        fresh = Fresh(SEEN)
         for batch, text in blocks(batches):
-            x = Lines(text)
+            x = Lines(text, groups.value)
             places = x.places(batch)
             word, i, _ = _prefix(x, sent.value, fresh(x, places))
             near = groups.value.has(word)

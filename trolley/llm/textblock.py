@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 SHINGLE = 5
 #: Bytes of text worked on at a time; arrays of eight times that size stay in a core's cache.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 
