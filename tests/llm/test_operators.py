@@ -117,24 +117,27 @@ def test_many_repeated_payloads(spark, monkeypatch, hot):
     assert Counter((r.page_id, hashlib.sha1(r.payload).hexdigest(), None if r.page_id == r.first else r.first) for r in joined) == want
 
 
-@pytest.mark.parametrize("most", [1 << 18, 300, 0.5])
-def test_ppm_scores_by_every_context(docs, rows, monkeypatch, most):
-    monkeypatch.setattr(ppm, "MAX_CONTEXTS", most)
-    monkeypatch.setattr(ppm, "CHUNK", 100_000, raising=False)
-    monkeypatch.setattr(ppm, "ASKED", 500, raising=False)
+@pytest.mark.parametrize(("chunk", "part"), [(32 << 20, 1 << 23), (20_000, 900)])
+def test_ppm_scores_by_every_context(docs, rows, monkeypatch, chunk, part):
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    monkeypatch.setattr(ppm, "PART", part)
+    monkeypatch.setattr(ppm, "SORTED", 5000)
+    order = ppm.ORDER
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    padded = lambda t: b"\xff" * order + (t or "").encode().translate(lower) + b"\xff"
     seen = defaultdict(Counter)
     for i, t, *_ in rows:
         if i is None or zlib.crc32(str(i).encode()) % 10:
-            x = b"\xff" * 6 + (t or "").encode() + b"\xff"
-            for at in range(6, len(x)):
-                for k in range(7):
+            x = padded(t)
+            for at in range(order, len(x)):
+                for k in range(order + 1):
                     seen[x[at - k : at]][x[at]] += 1
 
     @functools.cache
     def log10(context, symbol):
         excluded, out = set(), 0.0
-        for k in range(6, -1, -1):
-            live = {s: n for s, n in seen.get(context[6 - k :], {}).items() if s not in excluded}
+        for k in range(order, -1, -1):
+            live = {s: n for s, n in seen.get(context[order - k :], {}).items() if s not in excluded}
             if live:
                 mass = sum(live.values()) + len(live)
                 if symbol in live:
@@ -145,8 +148,8 @@ def test_ppm_scores_by_every_context(docs, rows, monkeypatch, most):
 
     want = []
     for i, t, *_ in rows:
-        x = b"\xff" * 6 + (t or "").encode() + b"\xff"
-        want.append((i, sum(log10(x[at - 6 : at], x[at]) for at in range(6, len(x)))))
+        x = padded(t)
+        want.append((i, sum(log10(x[at - order : at], x[at]) for at in range(order, len(x)))))
     got = [tuple(r) for r in by_row(ppm.scored(docs), "score")]
     want.sort(key=lambda r: (r[0] is None, r))
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9)
@@ -167,6 +170,33 @@ def test_trie_is_a_distribution():
     assert ppm.adaptive_log10(b"ab" * 50) > ppm.adaptive_log10(bytes(range(100)))
 
 
+def test_adaptive_scores(spark, empty):
+    texts = [(1, "Abracadabra abracadabra"), (2, None), (None, ""), (2, "é")]
+    got = Counter((r.doc_id, r.n_bytes, r.score) for r in ppm.adaptive(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect())
+
+    def plain(text, order=2):
+        x, total, seen = b"\xff" * order + text + b"\xff", 0.0, []
+        for i in range(order, len(x)):
+            excluded = set()
+            for k in range(order, -1, -1):
+                followers = [x[j] for j in range(order, i) if x[j - k : j] == x[i - k : i]]
+                live = [b for b in followers if b not in excluded]
+                if live:
+                    mass = len(live) + len(set(live))
+                    if x[i] in live:
+                        total += math.log10(live.count(x[i]) / mass)
+                        break
+                    total += math.log10(len(set(live)) / mass)
+                excluded |= set(followers)
+            else:
+                total -= math.log10(256 - len(excluded))
+        return total
+
+    want = [(i, len((t or "").encode()), plain((t or "").lower().encode())) for i, t in texts]
+    assert [k[:2] for k in sorted(got, key=str)] == [w[:2] for w in sorted(want, key=str)]
+    assert np.allclose(sorted(k[2] for k in got.elements()), sorted(w[2] for w in want))
+    assert not ppm.adaptive(empty).count()
+
 def test_quality_counts(docs, rows, empty):
     got = by_row(quality.judged(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     want = sorted(((i, *quality.base_of(t)) for i, t, *_ in rows), key=lambda r: (r[0] is None, r))

@@ -3,12 +3,14 @@
 The model is a trie of byte contexts up to ORDER bytes with the counts of the bytes that followed them. A
 byte seen in the longest known context has its share there; else the model escapes (method C: as likely as
 there are distinct followers) to the context one byte shorter, where the symbols of the longer context are
-excluded, and at last to all byte values alike. 0xFF, which UTF-8 never uses, stands before a text and ends it,
-so the scores are log probabilities of whole texts.
-
-Pretrained: followers are counted over all training texts, summed by a shuffle, and every context counts. Those
-that hold at least 1 / MAX_CONTEXTS of all training bytes go to the tasks as a trie of a bounded size; bytes after
-other contexts are looked up in the counts by a join. Adaptive: each text by itself.
+excluded, and at last to all byte values alike. A-Z are lower-cased. 0xFF, which UTF-8 never uses, stands before
+a text and ends it, so the scores are log probabilities of whole texts.
+
+Pretrained (`scored`): every context of all training texts counts. The texts are read in chunks; a chunk tells its
+distinct grams (a byte and its context) and how often its training texts have each. Grams meet by their nearest
+three context bytes: there the chunks' counts are summed, the trie of that part is built, and every distinct gram
+is scored once; the answers go back to the chunks that asked. Contexts of up to two bytes, of which there is a
+bounded number, go to all. Adaptive (`adaptive`): each text by itself.
 """
 
 from __future__ import annotations
@@ -22,20 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.llm.files import create, reader
 from trolley.llm.hashtable import Table
+from trolley.llm.jaccard import grouped
 from trolley.llm.languages import held_out
-from trolley.llm.textblock import SPACE, PrefixHash, as_batch, blocks, raw, spans
-from trolley.llm.workspace import Workspace
-
-ORDER = 6
-MAX_CONTEXTS = 1 << 18
-#: Text bytes whose rare grams are asked for together, and asked grams after which a group of contexts is salted.
-CHUNK, ASKED = 8 << 20, 1 << 18
-#: Words of at least this share of all tokens are looked up in the tasks (so at most 2^21 of them); the others are joined.
-COMMON = 1 << 21
+from trolley.llm.textblock import SPACE, PrefixHash, as_batch, blocks, mixed, raw, spans
+from trolley.llm.workspace import Workspace, partitions
+
+ORDER = 5
+#: Longest contexts that go to all tasks.
+LOW = 2
+#: Text bytes of a chunk, rows of a part (grams with their counts, by chunk) that one task sums and scores, and bytes of text whose grams are sorted together.
+CHUNK, PART, SORTED = 32 << 20, 1 << 23, 1 << 20
 FOLDS, HELD = 10, 0
-GRAM, WORD_KIND = 0, 1
-SCORED = ["row", "doc_id", "n_tokens", "n_common", "common_score", "score"]
+GRAM, WORD_KIND, LOW_KIND = 0, 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -93,29 +95,6 @@ class Trie:
             self.levels.append(level)
             above = level
 
-    @classmethod
-    def rare(cls, code: np.ndarray, n: np.ndarray, base: "Trie") -> "Trie":
-        """The contexts that base leaves out, from all grams of the longest order that have one of them."""
-        codes, counts = [], []
-        for k in range(base.order + 1):
-            entry, own = np.unique(code & _low(k), return_inverse=True)
-            sums = np.bincount(own, n, len(entry)).astype(np.int64)
-            out = base.levels[k]["contexts"].find(entry >> np.uint64(8)) < 0
-            codes.append(entry[out])
-            counts.append(sums[out])
-        return cls(codes, counts, base)
-
-    def group(self, code: np.ndarray) -> np.ndarray:
-        """The shortest context of each code that is not in the trie, as one number with its order; -1 if all are."""
-        out = np.full(len(code), -1, np.int64)
-        left = np.arange(len(code))
-        for k, level in enumerate(self.levels):
-            context = (code[left] & _low(k)) >> np.uint64(8)
-            new = level["contexts"].find(context) < 0
-            out[left[new]] = context[new].astype(np.int64) | k << 56
-            left = left[~new]
-        return out
-
     def searchable(self) -> "Trie":
         for level in self.levels:
             level["entries"], level["contexts"] = Table(level["code"]), Table(level["context"])
@@ -179,129 +158,194 @@ def adaptive_log10(text: bytes, order: int = ORDER) -> float:
 
 
 def _tokens(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text index of each lower-cased token."""
+    """Hash and text index of each token of lower-cased bytes."""
     start, end, doc = spans(~SPACE[data], o)
-    return PrefixHash(_LOWER[data]).of(start, end), doc
+    return PrefixHash(data).of(start, end), doc
 
 
 class _Sums:
-    """Counts by key over a task, in sorted arrays that are merged as they grow."""
+    """The distinct keys of a chunk and how often its training texts have each, in sorted arrays that are merged as they grow."""
 
     def __init__(self):
         self.keys, self.counts, self.size, self.base = [], [], 0, 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.size += len(k)
+    def add(self, keys: np.ndarray, train: np.ndarray) -> None:
+        for part, times in ((keys[train], 1), (keys[~train], 0)):
+            part = np.sort(part)
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            self.keys.append(part[edge])
+            self.counts.append(times * np.diff(np.append(edge, len(part))))
+            self.size += len(edge)
         if self.size > 2 * self.base + (1 << 20):
-            self.merge()
-            self.base = self.size
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)
+            self.base = len(self.merged()[0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.keys, self.counts))
+        keys, counts = _summed(keys.astype(np.uint64), counts)
         self.keys, self.counts, self.size = [keys], [counts], len(keys)
         return keys, counts
 
 
-def corpus_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind, key, n: how often each byte gram and each token occurs in the training texts (text), over all of them."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(keys)
+    keys = keys[by]
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edge], np.add.reduceat(counts[by], edge) if len(edge) else np.zeros(0, np.int64)
+
+
+def _part(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where keys meet: grams by their nearest LOW + 1 context bytes, words by themselves."""
+    near = keys >> np.uint64(8) & np.uint64((1 << 8 * (LOW + 1)) - 1) if kind == GRAM else keys
+    return (mixed(near + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+
+
+#: Rows of a chunk: keys of a kind that meet in one part and their training counts, or (kind null) the file that keeps the chunk's texts and its training tokens and texts.
+_GATHERED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("file", pa.string()), ("n_words", pa.int64()), ("n_texts", pa.int64())])
+GATHERED = "kind int, part long, chunk long, keys binary, counts binary, file string, n_words long, n_texts long"
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("held", pa.bool_()), ("text", pa.large_string())])
+
+
+def gathered(docs: DataFrame, folder: str, parts: int, order: int = ORDER) -> DataFrame:
+    """What each chunk of docs (doc_id, held, text) has (GATHERED); its texts are kept in a file of their own."""
+
+    def flush(sums: dict[int, _Sums], chunk: int, file: str, words: int, texts: int):
+        none = {f.name: [None] for f in _GATHERED}
+        yield as_batch(_GATHERED, **none | {"chunk": [chunk], "file": [file], "n_words": [words], "n_texts": [texts]})
+        keys, counts = sums[GRAM].merged()
+        low = _summed(keys & _low(LOW), counts)
+        for kind, (keys, counts) in ((GRAM, (keys, counts)), (WORD_KIND, sums[WORD_KIND].merged()), (LOW_KIND, low)):
+            part = _part(kind, keys, parts)
+            by = np.argsort(part, kind="stable")
+            keys, counts, part = keys[by], counts[by].astype("<u4"), part[by]
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+            ends = np.append(edge[1:], len(part))
+            for a in range(0, len(edge), 256):
+                pairs = list(zip(edge[a : a + 256], ends[a : a + 256], strict=True))
+                n = len(pairs)
+                none = {f.name: [None] * n for f in _GATHERED}
+                yield as_batch(_GATHERED, **none | {"kind": [kind] * n, "part": part[edge[a : a + 256]], "chunk": [chunk] * n, "keys": [keys[i:j].tobytes() for i, j in pairs], "counts": [counts[i:j].tobytes() for i, j in pairs]})
 
     def run(batches):
-        sums = {GRAM: _Sums(), WORD_KIND: _Sums()}
-        for _, text in blocks(batches):
+        chunk, out = TaskContext.get().partitionId() << 24, None
+        for batch, text in blocks(batches, limit=SORTED):
+            if out is None:
+                sums, size, words, texts = {GRAM: _Sums(), WORD_KIND: _Sums()}, 0, 0, 0
+                file, stream = create(folder, ".arrow")
+                out = pa.ipc.new_stream(stream, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            out.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), text], schema=_TEXTS))
             o, data = raw(text)
-            sums[GRAM].add(grams(o, data, order)[0])
-            sums[WORD_KIND].add(_tokens(o, data)[0])
-        for kind, s in sums.items():
-            keys, counts = s.merge()
-            for a in range(0, len(keys), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield as_batch(schema, kind=np.full(len(keys[part]), kind, np.int32), key=keys[part].view(np.int64), n=counts[part])
+            data = _LOWER[data]
+            train = ~batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            code, owner = grams(o, data, order)
+            sums[GRAM].add(code, train[owner])
+            word, doc = _tokens(o, data)
+            sums[WORD_KIND].add(word, train[doc])
+            size, words, texts = size + len(data), words + int(train[doc].sum()), texts + int(train.sum())
+            if size >= CHUNK:
+                out.close()
+                stream.close()
+                yield from flush(sums, chunk, file, words, texts)
+                chunk, out = chunk + 1, None
+        if out is not None:
+            out.close()
+            stream.close()
+            yield from flush(sums, chunk, file, words, texts)
 
-    return training.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "held", "text").mapInArrow(run, GATHERED)
 
 
-def load(counts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> tuple[Trie, bool]:
-    """The bounded trie of corpus_counts, and whether it has all contexts: those below 1 / max_contexts of all bytes are left out.
+def low_trie(rows: DataFrame, order: int = ORDER) -> Trie:
+    """The trie of contexts of up to LOW bytes from all chunks' counts; its longer levels are empty."""
 
-    A context's followers number at most 256, so no order has more than 256 * max_contexts entries.
-    """
-    grams_ = counts.where(F.col("kind") == GRAM).select("key", "n")
-    total = grams_.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // max_contexts))
-    codes, sums = [], []
-    rest = grams_
-    for k in range(order, -1, -1):
-        context = F.shiftrightunsigned("key", 8)
-        kept = rest.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") >= least)
-        arrow = rest.withColumn("context", context).join(kept, "context").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        codes.append(arrow["key"].to_numpy().astype(np.int64).view(np.uint64))
-        sums.append(arrow["n"].to_numpy())
-        if k:
-            rest = grams_.groupBy(F.col("key").bitwiseAND(int(_low(k - 1))).alias("key")).agg(F.sum("n").alias("n"))
-    return Trie(codes[::-1], sums[::-1]), least == 1
-
-
-def _answers(counts: DataFrame, asked: DataFrame, sent, work: Workspace) -> DataFrame:
-    """chunk, code, log: the score of each asked gram (chunk, code, group), whose longest context the trie that was sent leaves out.
-
-    Grams of the training texts and asked ones meet by their shortest context that was left out. It holds a bounded
-    share of the training bytes; a group that is asked for much is salted, its training rows going to each salt.
+    def run(batches):
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            more = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", "<u4")))
+            keys, counts = _summed(*(np.concatenate(x) for x in zip((keys, counts), more, strict=True)))
+        for a in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)].view(np.int64)), pa.array(counts[a : a + (1 << 16)])], ["key", "n"])
+
+    low = rows.where(F.col("kind") == LOW_KIND).select("part", "keys", "counts").repartition(partitions(rows.sparkSession), "part")
+    found = low.mapInArrow(run, "key long, n long").where("n > 0").toArrow()  # at most 256^(LOW + 1) rows, whatever the corpus
+    keys, n = found["key"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
+    levels = [_summed(keys & _low(k), n) for k in range(LOW + 1)] + [(keys[:0], n[:0])] * (order - LOW)
+    return Trie([k for k, _ in levels], [m for _, m in levels])
+
+
+ANSWERS = "kind int, chunk long, keys binary, values binary, distinct long"
+_ANSWERS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("distinct", pa.int64())])
+
+
+def answered(rows: DataFrame, low: Trie, order: int = ORDER) -> DataFrame:
+    """For the keys of each chunk and part their values: a gram's log10 probability, a word's training count. Per part one row (chunk null) with the distinct words.
+
+    A part of over PART rows is summed by Spark, key by key, and its sums go to as many tasks as share its chunks.
     """
-    sizes = work.table(asked.groupBy("group").agg(F.count("*").alias("n")), "groups")
-    limit = max(ASKED, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
-    salts = F.broadcast(sizes.where(F.col("n") > limit).select("group", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+    sent = rows.sparkSession.sparkContext.broadcast(low)
+    rows = rows.where(F.col("kind").isin(GRAM, WORD_KIND)).select("kind", "part", "chunk", "keys", "counts")
+    sizes = rows.groupBy("kind", "part").agg(F.sum(F.length("keys") / 8).alias("n")).where(F.col("n") > PART)
+    hot = sizes.select("kind", "part", F.ceil(F.col("n") / PART).cast("int").alias("salts"))
 
-    def place(batches):
-        trie = sent.value["trie"].searchable()
+    def unpack(batches):
         for batch in batches:
-            group = trie.group(batch.column("key").to_numpy().astype(np.int64).view(np.uint64))
-            rare = pa.array(group >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(group).filter(rare), *(batch.column(c).filter(rare) for c in ("key", "n"))], ["group", "code", "n"])
-
-    known = counts.where(F.col("kind") == GRAM).select("key", "n").mapInArrow(place, "group long, code long, n long").join(salts, "group", "left")
-    known = known.select("group", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "code", "n", F.lit(None).cast("long").alias("chunk"))
-    asked = asked.join(salts, "group", "left").select("group", F.coalesce(F.pmod(F.xxhash64("chunk", "code"), "salts"), F.lit(0)).cast("int").alias("salt"), "code", F.lit(None).cast("long").alias("n"), "chunk")
-    made = pa.schema([("chunk", pa.int64()), ("code", pa.int64()), ("log", pa.float64())])
-
-    def score(base: Trie, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        wanted = rows["chunk"].is_valid()
-        ask, train = rows.filter(wanted), rows.filter(rows["chunk"].is_null())
-        if ask.num_rows:
-            code, at = np.unique(train["code"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)  # once, whatever its salts
-            trie = Trie.rare(code, train["n"].to_numpy()[at], base).searchable()
-            code = ask["code"].to_numpy()
-            log = trie.log10(code.view(np.uint64), base)
-            chunk = ask["chunk"].to_numpy()
-            for a in range(0, len(code), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield as_batch(made, chunk=chunk[part], code=code[part], log=log[part])
+            for kind, part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "keys", "counts")), strict=True):
+                keys, counts = np.frombuffer(keys, np.int64), np.frombuffer(counts, "<u4").astype(np.int64)
+                for a in range(0, len(keys), 1 << 16):
+                    some = slice(a, a + (1 << 16))
+                    n = len(keys[some])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.array(keys[some]), pa.array(counts[some])], ["kind", "part", "key", "n"])
+
+    def pack(batches):
+        for some in grouped(batches, ["kind", "part"]):
+            yield pa.RecordBatch.from_arrays([pa.array([some["kind"][0].as_py()], pa.int32()), pa.array([some["part"][0].as_py()], pa.int64()), pa.array([some["key"].to_numpy().tobytes()], pa.binary()), pa.array([some["n"].to_numpy().astype("<u8").tobytes()], pa.binary())], ["kind", "part", "keys", "sums"])
+
+    crowded = rows.join(hot, ["kind", "part"])
+    keyed = crowded.select("kind", "part", "keys", "counts").mapInArrow(unpack, "kind int, part long, key long, n long").where("n > 0").groupBy("kind", "part", "key").agg(F.sum("n").alias("n"))
+    sums = keyed.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(pack, "kind int, part long, keys binary, sums binary")
+    spread = sums.join(hot, ["kind", "part"]).select("kind", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("chunk"), "keys", F.lit(None).cast("binary").alias("counts"), "sums")
+    asks = rows.join(hot, ["kind", "part"], "left").select("kind", "part", F.coalesce(F.pmod(F.xxhash64("chunk"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), "chunk", "keys", F.when(F.col("salts").isNull(), F.col("counts")).alias("counts"), F.lit(None).cast("binary").alias("sums"))
 
     def run(batches):
-        base = sent.value["trie"].searchable()
-        held, size, least = [], 0, 1 << 18
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= least:
-                rows = pa.Table.from_batches(held)
-                group, salt = rows["group"].to_numpy(), rows["salt"].to_numpy()
-                cut = int(np.flatnonzero((group != group[-1]) | (salt != salt[-1]))[-1:].sum() + 1) if group[0] != group[-1] or salt[0] != salt[-1] else 0
-                if cut:
-                    yield from score(base, rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-                size -= cut
-                least = max(1 << 18, 2 * size)
-        if held:
-            yield from score(base, pa.Table.from_batches(held))
-
-    return known.unionByName(asked).repartition("group", "salt").sortWithinPartitions("group", "salt").mapInArrow(run, "chunk long, code long, log double")
+        base = sent.value.searchable()
+        for some in grouped(batches, ["kind", "part", "salt"]):
+            kind, salt = some["kind"][0].as_py(), some["salt"][0].as_py()
+            chunk, whole = some["chunk"].to_pylist(), some["keys"].to_pylist()
+            n = [len(x) // 8 for x in whole]
+            keys = np.frombuffer(b"".join(whole), np.uint64)
+            counts = np.zeros(len(keys), np.int64)
+            at = 0
+            for size, one, sums_ in zip(n, some["counts"].to_pylist(), some["sums"].to_pylist(), strict=True):
+                if one is not None or sums_ is not None:
+                    counts[at : at + size] = np.frombuffer(one, "<u4") if sums_ is None else np.frombuffer(sums_, "<u8")
+                at += size
+            by = np.argsort(keys)
+            new = np.concatenate([[True], keys[by][1:] != keys[by][:-1]])
+            which = np.empty(len(keys), np.int64)
+            which[by] = np.cumsum(new) - 1
+            distinct, counts = keys[by][new], np.bincount(which, counts).astype(np.int64)
+            known = counts > 0
+            values = counts.astype(np.float64) if kind == WORD_KIND else _part_trie(distinct[known], counts[known], base).log10(distinct, base)
+            at = 0
+            for c, size, key in zip(chunk, n, whole, strict=True):
+                if c is not None:
+                    yield as_batch(_ANSWERS, kind=[kind], chunk=[c], keys=[key], values=[values[which[at : at + size]].tobytes()], distinct=[None])
+                at += size
+            if kind == WORD_KIND and salt == 0:
+                yield as_batch(_ANSWERS, kind=[kind], chunk=[None], keys=[None], values=[None], distinct=[int(known.sum())])
+
+    dealt = asks.unionByName(spread).repartition(partitions(rows.sparkSession), "kind", "part", "salt").sortWithinPartitions("kind", "part", "salt")
+    return dealt.mapInArrow(run, ANSWERS)
+
+
+def _part_trie(keys: np.ndarray, counts: np.ndarray, base: Trie) -> Trie:
+    """The longer contexts of a part, searchable; base has the shorter ones."""
+    empty = (keys[:0], counts[:0])
+    levels = [empty] * (LOW + 1) + [_summed(keys & _low(k), counts) for k in range(LOW + 1, base.order + 1)]
+    return Trie([k for k, _ in levels], [n for _, n in levels], base).searchable()
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -310,95 +354,58 @@ def scored(docs: DataFrame) -> DataFrame:
     doc_id, held_out, n_tokens (words and one end), n_known (with a training count), train_tokens, base_score
     (log10 under smoothed token counts), score (log10 under the byte model). A null text is empty: its end alone.
     Rows of the same doc_id are scored each; a null doc_id is never held out. Without training rows every byte
-    is as likely as any other. Tokens are told apart by 64-bit hashes.
+    is as likely as any other. Tokens are told apart by 64-bit hashes. A long text is a block and at most a chunk of its own.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ppm")
-    training = docs.where(~held_out(FOLDS, HELD))
-    counts = work.table(corpus_counts(training), "counts")
-    ends = training.count()
-    words = counts.where(F.col("kind") == WORD_KIND).select(F.col("key").alias("word"), F.col("n").alias("c"))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = total + ends, distinct + (ends > 0)
-    floor = math.log10(n + 0.1 * (v + 1))
-    least = max(1, -(-n // COMMON))
-    common = words.where(F.col("c") >= least).toArrow()
-    trie, whole = load(counts, max_contexts=MAX_CONTEXTS)
-    model = {"trie": trie, "word": common["word"].to_numpy().astype(np.int64).view(np.uint64), "log": np.log10(common["c"].to_numpy() + 0.1) - floor}
-    sent = spark.sparkContext.broadcast(model)
-    end_log = math.log10(ends + 0.1) - floor
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("chunk", pa.int64()), ("text", pa.string()), ("asks", pa.list_(pa.int64())), ("groups", pa.list_(pa.int64()))])
-
-    def asking(trie: Trie, chunk: int, codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        code = np.unique(np.concatenate(codes))
-        group = trie.group(code)
-        for a in range(0, len(code), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            own = {"chunk": [chunk], "asks": [code[part].view(np.int64)], "groups": [group[part]]}
-            yield as_batch(schema, **{f.name: own.get(f.name, [None]) for f in schema})
+    folder = work.path("texts")
+    parts = partitions(spark)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = max(parts, min(size >> 24, 1 << 16))
+    flagged = docs.select("doc_id", F.coalesce(held_out(FOLDS, HELD), F.lit(False)).alias("held"), "text")
+    rows = work.table(gathered(flagged, folder, parts), "gathered")
+    files = rows.where("file is not null").select("chunk", "file", "n_words", "n_texts")
+    words, ends = files.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_texts"), F.lit(0))).first()
+    answers = work.table(answered(rows, low_trie(rows)), "answers")
+    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    n, v = words + ends, distinct + (ends > 0)
+    floor, end = math.log10(n + 0.1 * (v + 1)), math.log10(ends + 0.1)
+
+    def finish(batches):
+        for some in grouped(batches, ["chunk"]):
+            kinds = some["kind"].to_pylist()
+            look = {}
+            for kind, dtype in ((GRAM, np.float64), (WORD_KIND, np.float64)):
+                mine = some.filter(pa.array([k == kind for k in kinds]))
+                keys = np.frombuffer(b"".join(mine["keys"].to_pylist()), np.uint64)
+                look[kind] = Table(keys), np.frombuffer(b"".join(mine["values"].to_pylist()), dtype)
+            file = next(f for f in some["file"].to_pylist() if f is not None)
+            for batch, text in blocks(pa.ipc.open_stream(reader(f"{folder}/{file}"))):
+                o, data = raw(text)
+                data, m = _LOWER[data], len(text)
+                code, owner = grams(o, data)
+                table, logs = look[GRAM]
+                score = np.bincount(owner, logs[table.find(code)], m)
+                word, doc = _tokens(o, data)
+                table, counts = look[WORD_KIND]
+                c = counts[table.find(word)] if len(word) else np.zeros(0)
+                base = np.bincount(doc, np.log10(c + 0.1) - floor, m) + end - floor
+                yield as_batch(_SCORED, doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.bincount(doc, minlength=m) + 1, n_known=np.bincount(doc, c > 0, m).astype(np.int64) + (1 if ends else 0), train_tokens=np.full(m, n), base_score=base, score=score)
+
+    asked = answers.where("chunk is not null").select("chunk", "kind", "keys", "values", F.lit(None).cast("string").alias("file"))
+    named = files.select("chunk", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "file")
+    return asked.unionByName(named).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(finish, SCORED)
+
+
+def adaptive(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, n_bytes, score of every row: its text's log10 probability under a model that learns as it reads, from nothing."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        m = sent.value
-        trie, common, log = m["trie"].searchable(), Table(m["word"]), m["log"]
-        chunk = row = TaskContext.get().partitionId() << 36
-        asks, length = [], 0
         for batch, text in blocks(batches):
             o, data = raw(text)
-            size = len(text)
-            code, owner = grams(o, data)
-            if not whole:
-                known = trie.levels[-1]["contexts"].find(code >> np.uint64(8)) >= 0
-                asks.append(np.unique(code[~known]))
-                code, owner = code[known], owner[known]
-            score = np.bincount(owner, trie.log10(code), size)
-            word, doc = _tokens(o, data)
-            at = common.find(word)
-            hit = at >= 0
-            rare, rare_doc = word[~hit], doc[~hit]
-            by = np.lexsort((rare, rare_doc))
-            rare, rare_doc = rare[by], rare_doc[by]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-            first = np.flatnonzero(new)
-            offsets = pa.array(np.searchsorted(rare_doc[first], np.arange(size + 1)), pa.int32())
-            yield as_batch(
-                schema, row=row + np.arange(size), doc_id=batch.column("doc_id"), n_tokens=np.bincount(doc, minlength=size) + 1, n_common=np.bincount(doc[hit], minlength=size), common_score=np.bincount(doc[hit], log[at[hit]], size), score=score,
-                rare=pa.ListArray.from_arrays(offsets, pa.array(rare[first].view(np.int64))), times=pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(first, len(rare))), pa.int32())),
-                chunk=np.full(size, chunk), text=pa.nulls(size, pa.string()) if whole else text, asks=pa.nulls(size, pa.list_(pa.int64())), groups=pa.nulls(size, pa.list_(pa.int64())),
-            )
-            row += size
-            length += len(data)
-            if asks and length >= CHUNK:
-                yield from asking(trie, chunk, asks)
-                chunk, asks, length = row, [], 0
-        if asks:
-            yield from asking(trie, chunk, asks)
-
-    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
-        logs = found["log"].to_numpy()
-        codes = Table(found["code"].to_numpy().astype(np.int64).view(np.uint64))
-        extra = [np.zeros(0)]
-        for _, text in blocks(rows.to_batches()):
-            code, owner = grams(*raw(text))
-            at = codes.find(code)
-            hit = at >= 0
-            extra.append(np.bincount(owner[hit], logs[at[hit]], len(text)))
-        score = pa.array(rows["score"].to_numpy() + np.concatenate(extra))
-        return rows.select(SCORED[:-1]).append_column("score", score)
-
-    each = work.table(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, common_score double, score double, rare array<long>, times array<int>, chunk long, text string, asks array<long>, groups array<long>"), "scored")
-    asked = each.where("row is null").select("chunk", F.explode(F.arrays_zip("asks", "groups")).alias("a")).select("chunk", F.col("a.asks").alias("code"), F.col("a.groups").alias("group"))
-    each = each.where("row is not null")
-    tail = each.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    tail = tail.join(words.where(F.col("c") < least), "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * (F.log10(c + 0.1) - floor)).alias("rare_score"))
-    zero = F.lit(0)
-    full = each.select(*SCORED)
-    if not whole:
-        found = _answers(counts, asked, sent, work)
-        full = each.select(*SCORED, "chunk", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, full.schema)
-    joined = full.join(tail, "row", "left")
-    return joined.select(
-        "doc_id", held_out(FOLDS, HELD).alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("n_rare", zero) + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0)) + end_log).alias("base_score"), "score",
-    )
+            whole = _LOWER[data].tobytes()
+            texts = [whole[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
+            yield as_batch(schema, doc_id=batch.column("doc_id"), n_bytes=np.diff(o), score=[adaptive_log10(t, order) for t in texts])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, score double")
