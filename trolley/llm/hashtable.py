@@ -39,6 +39,50 @@ class Table:
         return out
 
 
+class Growing:
+    """A map from 128-bit keys (two arrays of 64 bits) to their numbers in the order of their coming."""
+
+    def __init__(self):
+        self.n, self.keys = 0, [np.zeros(1 << 15, np.uint64) for _ in range(2)]
+        self._room(16)
+
+    def _room(self, bits: int) -> None:
+        self.shift, self.mask, self.row = np.uint64(64 - bits), (1 << bits) - 1, np.full(1 << bits, -1, np.int32)
+
+    def _place(self, numbers: np.ndarray) -> None:
+        slot = (self.keys[0][numbers] >> self.shift).astype(np.int64)
+        left = numbers.astype(np.int32)
+        while len(left):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = left[free]  # the last writer of a slot has it
+            lost = self.row[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Distinct keys that are not there."""
+        old, self.n = self.n, self.n + len(a)
+        for k, new in enumerate((a, b)):
+            if self.n > len(self.keys[k]):
+                self.keys[k] = np.concatenate([self.keys[k], np.zeros(max(self.n, len(self.keys[k])), np.uint64)])
+            self.keys[k][old : self.n] = new
+        if 2 * self.n > len(self.row):
+            self._room(int(4 * self.n - 1).bit_length())
+            old = 0
+        self._place(np.arange(old, self.n))
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Each key's number, or -1."""
+        slot = (a >> self.shift).astype(np.int64)
+        out = self.row[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.keys[0][out] != a) | (self.keys[1][out] != b)))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            r = self.row[slot[todo]]
+            out[todo] = r
+            todo = todo[(r >= 0) & ((self.keys[0][r] != a[todo]) | (self.keys[1][r] != b[todo]))]
+        return out
+
+
 class BitSet:
     """Which hashes are wanted: a set of at most 2^MOST_BITS bits, so of a bounded size whatever it was built from.
 

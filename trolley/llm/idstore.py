@@ -27,7 +27,7 @@ from trolley.llm.textblock import as_batch, blocks, mixed, raw
 from trolley.llm.vocab import word_bpe
 from trolley.llm.workspace import Workspace, partitions
 
-END = np.array([1], "<u4").tobytes()
+END = 1
 SPAN, LEAST, MEAN, MOST = 16, 64, 512, 4096
 DIGEST = 16
 
@@ -142,16 +142,13 @@ def write(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> IdStore:
     def encode(batches):
         memo, press, have, at, pack, out = word_bpe(vocabulary), zstandard.ZstdCompressor(level=1), set(), 0, None, None
         for batch, text in blocks(batches):
-            o, data = raw(text)
-            whole = data.tobytes()
-            streams = [x + END for x in memo.ids([whole[a:b] for a, b in zip(o[:-1], o[1:], strict=True)])]
-            ids = np.frombuffer(b"".join(streams), "<u4")
-            first = np.concatenate([[0], np.cumsum([len(x) // 4 for x in streams])])
+            ids, first = memo.stream(*reversed(raw(text)), END)
+            whole, begins = ids.astype("<u4", copy=False).tobytes(), (4 * first).tolist()
             recipes, new = [], []
-            for doc, stream, ends in zip(batch.column("doc_id").to_pylist(), streams, cuts(ids, first), strict=True):
+            for doc, begin, stop, ends in zip(batch.column("doc_id").to_pylist(), begins[:-1], begins[1:], cuts(ids, first), strict=True):
                 names = []
                 for a, b in zip([0, *ends], ends, strict=False):
-                    chunk = stream[4 * a : 4 * b]
+                    chunk = whole[begin + 4 * a : begin + 4 * b]
                     names.append(name := digest(chunk))
                     if name not in have:
                         have.add(name)
@@ -161,7 +158,7 @@ def write(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> IdStore:
                         out.write(packed)
                         new.append((name, pack, at, len(packed)))
                         at += len(packed)
-                recipes.append((doc, len(stream) // 4, merkle(names), b"".join(names)))
+                recipes.append((doc, (stop - begin) // 4, merkle(names), b"".join(names)))
             r, c = list(zip(*recipes, strict=True)), list(zip(*new, strict=True)) or [[]] * 4
             n, m = len(recipes), len(new)
             yield as_batch(rows, doc_id=[*r[0], *[None] * m], n_tokens=[*r[1], *[None] * m], root=[*r[2], *[None] * m], chunks=[*r[3], *[None] * m], digest=[*[None] * n, *c[0]], pack=[*[None] * n, *c[1]], at=[*[None] * n, *c[2]], size=[*[None] * n, *c[3]])

@@ -23,7 +23,7 @@ from trolley.llm.vocab import word_bpe
 from trolley.llm.workspace import Workspace
 
 WINDOW = 2048
-END = np.array([1], "<u4").tobytes()
+END = 1
 GROUP = 20_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -85,14 +85,16 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int =
         memo = word_bpe(vocabulary)
         for batch, text in blocks(batches):
             o, data = raw(text)
-            whole = data.tobytes()
-            rows = []
-            ids = memo.ids([whole[a:b] for a, b in zip(o[:-1], o[1:], strict=True)])
-            for doc, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                own += END
-                n = len(own) // 4
-                rows += [(doc, at, min(window, n - at), zlib.crc32(own[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
-            yield as_batch(schema, **{f.name: list(c) for f, c in zip(schema, zip(*rows, strict=True), strict=True)})
+            ids, first = memo.stream(data, o, END)
+            n = np.diff(first)
+            cuts = -(-n // window)
+            doc = np.repeat(np.arange(len(n)), cuts)
+            start = window * (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            length = np.minimum(window, n[doc] - start)
+            whole = ids.astype("<u4", copy=False).tobytes()
+            at = 4 * (first[doc] + start)
+            crc = [zlib.crc32(whole[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            yield as_batch(schema, doc_id=batch.column("doc_id").take(pa.array(doc)), start=start, length=length, ids_crc32=crc, doc_tokens=n[doc])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE)
 
@@ -103,7 +105,7 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int =
     doc_id may be null or repeated: every row is packed on its own. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "packing")
-    cut = work.table(pieces(docs, vocabulary, window).withColumn("salt", F.xxhash64("doc_id", "start", "ids_crc32")), "pieces")
+    cut = work.table(pieces(docs, vocabulary, window).withColumn("salt", F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     n = max(1, cut.count() // group)
 
     def pack(one: pd.DataFrame) -> pd.DataFrame:

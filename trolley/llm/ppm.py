@@ -360,7 +360,7 @@ def scored(docs: DataFrame) -> DataFrame:
     work = Workspace(spark, "ppm")
     folder = work.path("texts")
     parts = partitions(spark)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate: it sets how many parts there are, no result
     parts = max(parts, min(size >> 24, 1 << 16))
     flagged = docs.select("doc_id", F.coalesce(held_out(FOLDS, HELD), F.lit(False)).alias("held"), "text")
     rows = work.table(gathered(flagged, folder, parts), "gathered")

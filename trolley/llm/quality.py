@@ -99,7 +99,6 @@ def measures(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFr
 
     def run(batches):
         memo, fallback = piece_bpe(vocabulary)
-        kind = np.uint16 if len(fallback) <= 1 << 16 else np.uint32
         for batch, text in blocks(batches):
             o, data = raw(text)
             space = SPACE[data]
@@ -114,7 +113,8 @@ def measures(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFr
             for t in texts:
                 lines = [x for x in t.split(b"\n") if x.strip()]
                 dup.append(len(lines) - len(set(lines)))
-            ids = [np.frombuffer(x, kind) for x in memo.ids(texts)]
+            flat, first = memo.stream(data, o)
+            ids = [flat[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
             n = np.array([len(x) for x in ids])
             cut = np.maximum(n - _per_doc(_DIGIT[data], o), 0)
             scripts = np.stack([np.bincount(_SCRIPT[data[a:b]], minlength=len(_NAMES)) for a, b in zip(o[:-1], o[1:], strict=True)])

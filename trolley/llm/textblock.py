@@ -24,7 +24,7 @@ def _table(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**64 - 1, n, dtype=np.uint64)
 
 
-BYTE_VALUE = _table(11, 256)
+BYTE_VALUE, OTHER_VALUE = _table(11, 256), _table(12, 256)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = np.zeros(256, bool)
@@ -61,11 +61,11 @@ _powers = _Powers()
 class PrefixHash:
     """Hashes of any substrings of a byte array from one running sum; equal bytes give equal hashes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUE):
         n = len(data)
         up, self.down = _powers.get(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * up[:n], out=self.sums[1:])
+        np.cumsum(values[data] * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
