@@ -364,9 +364,10 @@ def scored(docs: DataFrame) -> DataFrame:
     parts = max(parts, min(size >> 24, 1 << 16))
     flagged = docs.select("doc_id", F.coalesce(held_out(FOLDS, HELD), F.lit(False)).alias("held"), "text")
     rows = work.table(gathered(flagged, folder, parts), "gathered")
-    files = rows.where("file is not null").select("chunk", "file", "n_words", "n_texts")
+    files = work.table(rows.where("file is not null").select("chunk", "file", "n_words", "n_texts"), "files")
     words, ends = files.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_texts"), F.lit(0))).first()
     answers = work.table(answered(rows, low_trie(rows)), "answers")
+    work.drop("gathered")
     distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     n, v = words + ends, distinct + (ends > 0)
     floor, end = math.log10(n + 0.1 * (v + 1)), math.log10(ends + 0.1)
