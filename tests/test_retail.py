@@ -1,13 +1,16 @@
 import gzip
+import math
 import zipfile
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
-from trolley.operators import gates
+from trolley.functions import names as N
+from trolley.operators import gates, places
 from trolley.plans import queries
 from trolley.sources.dialects import Dialect, read
 from trolley.streaming import feeds
@@ -49,8 +52,44 @@ def test_gates_and_pending(spark):
     got = {r["at"]: r["reasons"] for r in gates.verdicts(stats, ["store"], "at").collect()}
     assert got == {"2024-01-01": [], "2024-01-02": ["drop", "stale"], "2024-01-03": ["zero", "jump"]}
     files = spark.createDataFrame([("a", "c", "s", "full", 1), ("a", "c", "s", "full", 1), ("b", "c", "s", "delta", 2), ("d", "c", "t", "delta", 1), ("e", "c", "s", "full", 3)], "sha256 string, chain_id string, store_code string, file_type string, file_ts int")
-    log = spark.createDataFrame([("e",)], "sha256 string")
+    log = spark.createDataFrame([("e", "c", "s", "full", 3)], files.schema)
     assert {r["sha256"]: r["loadable"] for r in gates.pending(files, log).collect()} == {"a": True, "b": True, "d": False}
+    loaded = spark.createDataFrame([("x", "c", "t", "full", 0)], files.schema)  # a full file of an earlier day
+    assert {r["sha256"]: r["loadable"] for r in gates.pending(files, loaded).collect()} == {"a": True, "b": True, "d": True, "e": True}
+
+
+@pytest.mark.parametrize("lat", [0.0, 31.5, 60.0, -75.0, 89.99])
+def test_stores_are_found_at_any_latitude(spark, lat):
+    rng = np.random.default_rng(7)
+    at = [(float(lat + rng.normal() * 0.1), float((179.9 + rng.normal() * 0.4 / max(math.cos(math.radians(lat)), 0.01) + 180) % 360 - 180)) for _ in range(60)]
+    at = [(min(a, 90.0), b) for a, b in at]
+    points = spark.createDataFrame(at[:30], "lat double, lon double")
+    stores = spark.createDataFrame([(k, *x) for k, x in enumerate(at[30:])], "store long, s_lat double, s_lon double")
+
+    def km(a, b):
+        (p, q), (r, t) = a, b
+        x = math.sin(math.radians(r - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(r)) * math.sin(math.radians(t - q) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(x))
+
+    want = {(a, k) for a in at[:30] for k, b in enumerate(at[30:]) if round(km(a, b) * 1000) <= 15_000}
+    got = [((r.lat, r.lon), r.store) for r in places.within(points, stores, 15.0).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_promotions_with_limits(spark):
+    cost = lambda q, kind, n, t, least, most: one(spark, C.limited_promo_cost(F.lit(q), F.lit(1000), F.lit(kind), F.lit(n), F.lit(t), F.lit(least), F.lit(most).cast("int")))
+    assert cost(2, "n_for_t", 3, 2000, 3, None) == 2000 and cost(7, "n_for_t", 3, 2000, 3, None) == 5000 and cost(7, "n_for_t", 3, 2000, 1, 4) == 6000
+    assert cost(3, "fixed_price", 0, 900, 1, 2) == 2800 and cost(2, "percent_off", 10, 0, 1, None) == 1800 and cost(5, "x_plus_y", 1, 1, 1, None) == 3000
+
+
+def test_names_and_explanations(spark):
+    assert one(spark, N.clean_name(F.lit(" # MILK   ק\"ג 3% "))) == "milk קילוגרם 3%"
+    size = lambda name, q, u: one(spark, N.size_of(F.lit(name), F.lit(q).cast("double"), F.lit(u).cast("string")))
+    assert size("milk 6*1.5 L", None, None)["total"] == 9000 and size("milk 6*1.5 L", 0.5, "kg")["total"] == 500 and size("milk", 2.0, "odd") is None
+    x = one(spark, N.explain(F.expr("map('a', '1', 'b', '2', 'c', null)"), F.expr("map('a', '1', 'b', '3', 'd', '4')")))
+    assert (x["same"], x["different"], x["unverified"]) == (["a"], ["b"], ["c", "d"])
+    assert [r["need"] for r in one(spark, C.list_needs(F.lit("1.5 kg rice, 2 milk, eggs")))] == ["kg rice", "milk", "eggs"]
+    assert [float(r["qty"]) for r in one(spark, C.list_needs(F.lit("1.5 kg rice, 2 milk, eggs")))] == [1.5, 2.0, 1.0]
 
 
 ITEM = "<{0}><ChainId>1</ChainId><StoreId>2</StoreId><ItemCode>{1}</ItemCode><ItemName>חלב</ItemName><ItemPrice>{2}</ItemPrice></{0}>"
@@ -58,7 +97,7 @@ ITEM = "<{0}><ChainId>1</ChainId><StoreId>2</StoreId><ItemCode>{1}</ItemCode><It
 
 @pytest.mark.parametrize(("tag", "charset", "container"), [("Item", "UTF-8", "gzip"), ("Item", "windows-1255", "gzip"), ("Product", "UTF-16", "gzip"), ("Product", "UTF-8", "zip")])
 def test_dialects(spark, tmp_path, tag, charset, container):
-    data = ("<root>" + ITEM.format(tag, 7, "5.90") + ITEM.format(tag, 8, "x") + "</root>").encode(charset)
+    data = ("<root>" + ITEM.format(tag, 7, "5.90") + ITEM.format(tag, 8, "x").replace(f"<{tag}>", f"<{tag} n='1'>") + "</root>").encode(charset)
     path = tmp_path / ("f.xml.gz" if container == "gzip" else "f.zip")
     if container == "gzip":
         path.write_bytes(gzip.compress(data))

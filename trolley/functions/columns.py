@@ -19,7 +19,7 @@ def agorot(amount: Column) -> Column:
 def div(a: Column, b: Column | int) -> Column:
     """Whole-number division of non-negative values; null if b is 0."""
     b = F.lit(b) if isinstance(b, int) else b
-    return F.when(b != 0, F.floor((a - F.pmod(a, F.nullif(b, F.lit(0)))) / b)).cast("long")
+    return F.when(b != 0, F.call_function("div", a, b))
 
 
 def unit_price(price: Column, total: Column, base_unit: Column) -> Column:
@@ -47,6 +47,23 @@ def promo_cost(q: Column, p: Column, kind: Column, n: Column, t: Column) -> Colu
     return F.least(cost, q * p)
 
 
+def limited_promo_cost(q: Column, p: Column, kind: Column, n: Column, t: Column, least: Column, most: Column) -> Column:
+    """`promo_cost` that needs `least` units and reaches no further than `most` (null: all); the rest costs the shelf price."""
+    part = F.least(q, F.coalesce(most, q))
+    return F.when(q >= least, promo_cost(part, p, kind, n, t) + (q - part) * p).otherwise(q * p)
+
+
+#: The same in SQL, for a quantity {q} and a price {p}.
+PROMO_SQL = """CASE WHEN {q} < min_qty THEN {q} * {p} ELSE ({q} - least({q}, coalesce(max_qty, {q}))) * {p} + least(least({q}, coalesce(max_qty, {q})) * {p},
+    CASE kind WHEN 'n_for_t' THEN least({q}, coalesce(max_qty, {q})) // n * t + least({q}, coalesce(max_qty, {q})) % n * {p} WHEN 'x_plus_y' THEN (least({q}, coalesce(max_qty, {q})) - least({q}, coalesce(max_qty, {q})) // (n + t) * t) * {p}
+    WHEN 'fixed_price' THEN least({q}, coalesce(max_qty, {q})) * t ELSE least({q}, coalesce(max_qty, {q})) * {p} * (100 - n) // 100 END) END"""
+
+
+def travel(mode: Column, metres: Column) -> Column:
+    """Hundredths for one store and back: a car by distance and time, transit two fares and time, delivery a fee."""
+    return F.when(mode == "car", div(2 * metres * 100, 1000) + div(metres, 500) * 10).when(mode == "transit", 1200 + div(metres, 250) * 10).otherwise(2500).cast("long")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.sqrt(a))
@@ -67,9 +84,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def list_needs(text: Column) -> Column:
-    """array of struct(qty, need): comma-separated needs, each with an optional leading quantity."""
+    """array of struct(qty, need): comma-separated needs, each with an optional leading quantity, whole or not."""
+    number = r"^([0-9]+(?:\.[0-9]+)?)\s+"
     parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(parts, lambda x: F.struct(F.coalesce(F.regexp_extract(x, r"^([0-9]+)\s+", 1).try_cast("int"), F.lit(1)).alias("qty"), F.regexp_replace(x, r"^[0-9]+\s+", "").alias("need")))
+    return F.transform(parts, lambda x: F.struct(F.coalesce(F.regexp_extract(x, number, 1).try_cast("decimal(12,3)"), F.lit(1)).alias("qty"), F.regexp_replace(x, number, "").alias("need")))
 
 
 def band(confidence: Column, accept: int = 900, reject: int = 600) -> Column:

@@ -8,20 +8,79 @@ from pyspark.sql import functions as F
 from trolley.functions.columns import dot, jaccard_permille, trigrams
 
 
-def vector_topk(items: DataFrame, key: str, block: str, vector: str, k: int) -> DataFrame:
-    """Each item's k best others of its block by dot product (in millionths, so that ties are exact)."""
-    a = items.select(F.col(key).alias("a"), block, F.col(vector).alias("va"))
-    b = items.select(F.col(key).alias("b"), block, F.col(vector).alias("vb"))
-    pairs = a.join(b, block).where("a <> b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")) * 1e6).cast("long").alias("score"))
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("place") <= k)
+def vector_topk(items: DataFrame, key: str, block: str, vector: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Each query's k best others of its block by dot product (in millionths, so that ties are exact); all items are queries by default.
+
+    A block of the search is one key and salt: queries meet every salted part of their block, a part keeps its best k
+    for each query by a heap-like window limit, and only k rows a query and part go on.
+    """
+    parts = max(1, items.sparkSession.sparkContext.defaultParallelism)
+    salt = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    a = (items if queries is None else queries).select(F.col(key).alias("a"), block, F.col(vector).alias("va"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    b = items.select(F.col(key).alias("b"), block, F.col(vector).alias("vb"), salt.alias("part"))
+    pairs = a.join(b, [block, "part"]).where("a <> b").select("a", "part", "b", F.round(dot(F.col("va"), F.col("vb")) * 1e6).cast("long").alias("score"))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "b"))
+    near = pairs.withColumn("place", best("a", "part")).where(F.col("place") <= k)
+    return near.withColumn("place", best("a")).where(F.col("place") <= k).select("a", "b", "score", "place")
 
 
 def trigram_pairs(names: DataFrame, least: int) -> DataFrame:
-    """Unordered pairs of distinct names with a trigram similarity of `least` thousandths or more; shared trigrams are the join key."""
-    grams = names.select("name").distinct().withColumn("grams", trigrams(F.col("name")))
-    exploded = grams.select("name", "grams", F.explode("grams").alias("g"))
-    pairs = exploded.select(F.col("name").alias("a"), F.col("grams").alias("ga"), "g").join(exploded.select(F.col("name").alias("b"), F.col("grams").alias("gb"), "g"), "g").where("a < b").dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", jaccard_permille(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= least)
+    """Unordered pairs of distinct names with a trigram similarity of `least` thousandths or more.
+
+    Trigrams are ordered by rarity; two similar names share one of the first |x| - ceil(least |x|) + 1 of each, so only
+    these prefixes are joined, as digests of names, and the trigrams are compared once a pair.
+    """
+    named = names.select("name").distinct().withColumn("grams", trigrams(F.col("name"))).withColumn("id", F.xxhash64("name"))
+    each = named.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    rare = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g")
+    ordered = rare.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least / 1000).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.g").alias("g"))
+    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "g") for x in "ab")
+    fits = (F.col("na") * 1000 >= F.col("nb") * least) & (F.col("nb") * 1000 >= F.col("na") * least)
+    pairs = a.join(b, "g").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+    x, y = (named.select(F.col("id").alias(k), F.col("name").alias(f"name_{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
+    found = pairs.join(x, "a").join(y, "b").withColumn("similarity", jaccard_permille(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least)
+    return found.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "similarity")
+
+
+def best(scores: DataFrame, query: str, key: str, k: int, keep: list[str] | None = None) -> DataFrame:
+    """query, key, rank: the k best of each query by score, ties by key."""
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
+    return ranked.where(F.col("rank") <= k).select(query, key, *(keep or []), F.col("rank").cast("long").alias("rank"))
+
+
+def bm25(queries: DataFrame, products: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """q, product, score (millionths) by words in common: a word counts by its rarity, a long text counts less."""
+    words = products.select("product", F.split("product", " ").alias("w"))
+    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    each = words.select("product", F.size("w").alias("dl"), F.explode("w").alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    asked = queries.select("q", F.explode(F.split("q", " ")).alias("w"))
+    rows = asked.join(df, "w").join(each, "w").join(F.broadcast(size))  # size is one row
+    part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("q", "product").agg(F.round(F.sum(part) * 1e6).cast("long").alias("score"))
+
+
+def trigram_hits(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """q, product, score (thousandths) of all pairs that share a trigram."""
+    a, b = queries.withColumn("ga", trigrams(F.col("q"))), products.withColumn("gb", trigrams(F.col("product")))
+    pairs = a.select("q", F.explode("ga").alias("g")).join(b.select("product", F.explode("gb").alias("g")), "g").groupBy("q", "product").agg(F.count("*").alias("both"))
+    sized = pairs.join(a.select("q", F.size("ga").alias("na")), "q").join(b.select("product", F.size("gb").alias("nb")), "product")
+    score = F.floor(1000 * F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).cast("long")
+    return sized.select("q", "product", score.alias("score"))
+
+
+def letters(text: Column) -> Column:
+    """How often each letter occurs: a dense vector that stands in for a model's."""
+    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.length(text) - F.length(F.replace(text, F.char(c), F.lit(""))))
+
+
+def letter_hits(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """q, product, score (the squared cosine in millionths) of a stated query set against all products."""
+    a, b = queries.withColumn("va", letters(F.col("q"))), products.withColumn("vb", letters(F.col("product")))
+    both = b.join(F.broadcast(a) if a.count() <= 10_000 else a)
+    square = F.pow(dot(F.col("va"), F.col("vb")), 2) / (dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
+    return both.select("q", "product", F.floor(1_000_000 * square).cast("long").alias("score"))
 
 
 def fuse(lists: list[DataFrame], key: list[str], k: int = 60) -> DataFrame:
@@ -40,3 +99,12 @@ def level(same_barcode: Column, same_type: Column, a: Column, b: Column) -> Colu
 def precision_recall(rows: DataFrame, by: list[str], predicted: str, actual: str) -> DataFrame:
     hit = lambda p, a: F.count_if((F.col(predicted) == p) & (F.col(actual) == a))
     return rows.groupBy(*by).agg(hit(1, 1).alias("tp"), hit(1, 0).alias("fp"), hit(0, 1).alias("fn"), hit(0, 0).alias("tn"))
+
+
+def resolved(sources: list[DataFrame], key: str) -> DataFrame:
+    """One row a key of tables that are given in the order of their authority; within one, the most confident."""
+    both = sources[0].withColumn("_rank", F.lit(0))
+    for n, rows in enumerate(sources[1:], 1):
+        both = both.unionByName(rows.withColumn("_rank", F.lit(n)))
+    first = Window.partitionBy(key).orderBy("_rank", F.desc("confidence"), "canonical")
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_rank")

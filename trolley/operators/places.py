@@ -11,13 +11,18 @@ from trolley.functions.columns import haversine_km
 def within(points: DataFrame, stores: DataFrame, km: float) -> DataFrame:
     """Pairs of a distinct point (lat, lon) and a store (store, s_lat, s_lon) at most km apart, with metres.
 
-    A store stands in the nine cells around its own, so one equi-join on the cell finds all its neighbours.
+    A store stands in the nine cells around its own, so one equi-join on the cell finds all its neighbours. Cells are
+    bands of latitude; within a band, a cell is as wide in longitude as its end nearer to a pole needs.
     """
-    size = km / 90.0  # a degree of longitude has over 90 km up to latitude 36
+    size = km / 110.0  # a degree of latitude has over 110 km
     cell = lambda c: F.floor(F.col(c) / size)
-    near = stores.withColumn("dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    near = near.withColumn("cx", cell("s_lat") + F.col("dx")).withColumn("cy", cell("s_lon") + F.col("dy")).drop("dx", "dy")
-    pairs = points.select("lat", "lon").distinct().withColumn("cx", cell("lat")).withColumn("cy", cell("lon")).join(near, ["cx", "cy"])
+    top = (F.abs(F.col("cx") + 0.5) + 1.5) * size  # no latitude of a band and its neighbours lies nearer to a pole
+    wide = F.when(top < 89.0, size / F.cos(F.radians(top))).otherwise(360.0)
+    turns = F.greatest(F.floor(360.0 / wide), F.lit(1))
+    across = lambda lon, by: F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * turns) + by, turns)  # noqa: E731  cells go around the world
+    near = stores.withColumn("cx", F.explode(F.array(*[cell("s_lat") + n for n in (-1, 0, 1)])))
+    near = near.withColumn("cy", F.explode(F.array_distinct(F.array(*[across("s_lon", n) for n in (-1, 0, 1)]))))
+    pairs = points.select("lat", "lon").distinct().withColumn("cx", cell("lat")).withColumn("cy", across("lon", 0)).join(near, ["cx", "cy"])
     metres = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) * 1000).cast("long")
     return pairs.withColumn("metres", metres).where(F.col("metres") <= int(km * 1000)).select("lat", "lon", "store", "metres")
 

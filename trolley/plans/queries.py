@@ -2,102 +2,29 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
-from trolley.operators import baskets, gates, matching, places, prices
+from trolley.operators import gates, matching, places, prices
 from trolley.plans import tables as T
+from trolley.plans.registry import QUERIES, SQL, query
 from trolley.plans.tables import sql, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-AT = "1996-06-30"
-#: Travel in agorot a kilometre, and what an extra stop must save.
-PER_KM, STOP, RADIUS, STORES = 100, 2500, 15.0, 4
-
-
-def query(text: str, *ctes: str):
-    """Register a query under its function's name, with its SQL over the named CTEs."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        whole = sql(text, *ctes) if ctes else text
-        SQL[f.__name__] = re.sub(r"count_if\(([^()]*)\)", r"CAST(count_if(\1) AS BIGINT)", whole)
-        return f
+__all__ = ["QUERIES", "SQL"]
 
-    return add
+AT = "1996-06-30"
+RADIUS = T.RADIUS
 
 
 def _latest(s: SparkSession, d: str) -> DataFrame:
     return prices.latest(T.observations(s, d), ["item", "store"], T.latest_first())
 
 
-def _choices(s: SparkSession, d: str) -> DataFrame:
-    near = places.nearest(T.users(s, d), T.stores(s, d), RADIUS, STORES)
-    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_custkey").alias("user"))
-    return orders.join(T.users(s, d), "user").join(near, ["lat", "lon"]).select("basket", "store", "metres")
-
-
 def _offers(s: SparkSession, d: str) -> DataFrame:
     return _latest(s, d).select("item", "store", "price")
 
 
-def _trips(s: SparkSession, d: str) -> DataFrame:
-    return baskets.with_trip(baskets.subset_totals(T.needs(s, d).drop("user"), _choices(s, d), _offers(s, d)), PER_KM, STOP)
-
-
-# ---- baskets over stores
-
-
-@query('SELECT basket, store, metres, found, missing, total, row_number() OVER (PARTITION BY basket ORDER BY missing, total, store) AS place FROM totals', "totals")
-def basket_compare(s, d):
-    return baskets.ranked(baskets.compare(T.needs(s, d).drop("user"), _choices(s, d), _offers(s, d))).withColumn("place", F.col("place").cast("long"))
-
-
-@query("SELECT basket, store, total FROM totals WHERE missing = 0", "totals")
-def full_coverage_stores(s, d):
-    return baskets.compare(T.needs(s, d).drop("user"), _choices(s, d), _offers(s, d)).where("missing = 0").select("basket", "store", "total")
-
-
-@query("SELECT store, count(*) AS baskets, CAST(sum(missing) AS BIGINT) AS missing FROM totals GROUP BY store", "totals")
-def missing_items(s, d):
-    return baskets.compare(T.needs(s, d).drop("user"), _choices(s, d), _offers(s, d)).groupBy("store").agg(F.count("*").alias("baskets"), F.sum("missing").alias("missing"))
-
-
-@query("SELECT basket, a, b, missing, total, travel, stop_cost FROM trips", "trips")
-def subset_costs(s, d):
-    return _trips(s, d).select("basket", "a", "b", "missing", "total", "travel", "stop_cost")
-
-
-@query("SELECT basket, alternative, a, b, missing, total, travel, stop_cost FROM best", "best")
-def three_alternatives(s, d):
-    return baskets.alternatives(_trips(s, d)).select("basket", "alternative", "a", "b", "missing", "total", "travel", "stop_cost")
-
-
-@query("""SELECT s.basket, s.total AS single_total, x.total AS split_total, x.travel - s.travel AS extra_travel, x.stop_cost, s.total - x.total - (x.travel - s.travel) - x.stop_cost AS net_saving
-    FROM best s JOIN best x ON s.basket = x.basket AND s.missing = x.missing WHERE s.alternative = 'single' AND x.alternative = 'split'""", "best")
-def net_saving(s, d):
-    found = baskets.alternatives(_trips(s, d))
-    one = found.where("alternative = 'single'").select("basket", "missing", F.col("total").alias("single_total"), F.col("travel").alias("t"))
-    two = found.where("alternative = 'split'").select("basket", "missing", F.col("total").alias("split_total"), "travel", "stop_cost")
-    extra = F.col("travel") - F.col("t")
-    return one.join(two, ["basket", "missing"]).select("basket", "single_total", "split_total", extra.alias("extra_travel"), "stop_cost", (F.col("single_total") - F.col("split_total") - extra - F.col("stop_cost")).alias("net_saving"))
-
-
-@query("""SELECT basket, need, base * qty AS at_base, price * qty AS at_store, base * qty - price * qty AS saving FROM (
-    SELECT n.basket, need, n.qty, i.base, min(l.price) AS price FROM needs n JOIN items i USING (item) JOIN choices c USING (basket) JOIN latest l ON l.item = n.item AND l.store = c.store GROUP BY ALL)
-    WHERE base > price ORDER BY saving DESC, basket, need LIMIT 20""", "needs", "items", "choices", "latest")
-def top_swaps(s, d):
-    lines = T.needs(s, d).join(_choices(s, d), "basket").join(_offers(s, d), ["item", "store"]).groupBy("basket", "need", "item", "qty").agg(F.min("price").alias("price"))
-    rows = lines.join(T.items(s, d).select("item", "base"), "item").where("base > price")
-    at_base, at_store = F.col("base") * F.col("qty"), F.col("price") * F.col("qty")
-    return rows.select("basket", "need", at_base.alias("at_base"), at_store.alias("at_store"), (at_base - at_store).alias("saving")).orderBy(F.desc("saving"), "basket", "need").limit(20)
-
-
 # ---- places
 
 
@@ -106,9 +33,9 @@ def stores_in_radius(s, d):
     return T.users(s, d).join(places.within(T.users(s, d), T.stores(s, d), RADIUS), ["lat", "lon"]).select(F.col("user").alias("user_id"), "store", "metres")
 
 
-@query('SELECT "user" AS user_id, store, metres, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY metres, store) AS rn FROM near) JOIN users USING (lat, lon) WHERE rn <= 4', "near", "users")
+@query('SELECT "user" AS user_id, store, metres, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY metres, store) AS rn FROM near) JOIN users USING (lat, lon) WHERE rn <= 10', "near", "users")
 def nearest_n(s, d):
-    return T.users(s, d).join(places.nearest(T.users(s, d), T.stores(s, d), RADIUS, STORES), ["lat", "lon"]).select(F.col("user").alias("user_id"), "store", "metres", F.col("place").cast("long").alias("place"))
+    return T.users(s, d).join(places.nearest(T.users(s, d), T.stores(s, d), RADIUS, T.NEAREST), ["lat", "lon"]).select(F.col("user").alias("user_id"), "store", "metres", F.col("place").cast("long").alias("place"))
 
 
 # ---- price layer
@@ -178,21 +105,18 @@ def promo_cost(s, d):
     return T.observations(s, d).select("order_id", "line", "item", "store", (F.col("qty") * F.col("price")).alias("shelf"), _cost(F.col("qty")).alias("cost"))
 
 
-@query(f"""SELECT order_id, line, item, store, extra, saved FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line, item, store, valid_from, q0, price, club, pct ORDER BY each_cost, extra) AS rn FROM (
-    SELECT o.* EXCLUDE (qty), o.qty AS q0, o.qty + e AS qty, e AS extra, 0 AS z FROM obs o, (SELECT unnest([0, 1, 2]) AS e)) u, LATERAL (SELECT {_COST} * 1000 // qty AS each_cost, u.qty * price - {_COST} AS saved)) WHERE rn = 1 AND extra > 0""", "obs")
-def roundup_offer(s, d):
-    rows = T.observations(s, d).withColumn("extra", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    q = F.col("qty") + F.col("extra")
-    best = Window.partitionBy("order_id", "line", "item", "store", "valid_from", "qty", "price", "club", "pct").orderBy("each_cost", "extra")
-    rows = rows.withColumn("each_cost", C.div(_cost(q) * 1000, q)).withColumn("saved", q * F.col("price") - _cost(q)).withColumn("rn", F.row_number().over(best))
-    return rows.where("rn = 1 AND extra > 0").select("order_id", "line", "item", "store", "extra", "saved")
+_EACH = ["{extra: %d, saved: (qty + %d) * price - (%s), each_cost: (%s) * 1000 // (qty + %d)}" % (e, e, c, c, e) for e in (0, 1, 2) for c in [_COST.replace("qty", f"(qty + {e})")]]
 
 
-@query("""SELECT o_orderkey AS basket, l.item, l.store, max(l.pct) AS pct FROM orders, obs l WHERE l.order_id = o_orderkey AND l.club <> 'R' AND l.valid_from >= o_orderdate AND l.valid_from < o_orderdate + INTERVAL 60 DAY GROUP BY ALL""", "obs")
-def promo_interval_join(s, d):
-    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("at"))
-    active = (F.col("valid_from") >= F.col("at")) & (F.col("valid_from") < F.col("at") + F.expr("INTERVAL 60 DAY"))
-    return T.observations(s, d).where("club <> 'R'").join(orders, "order_id").where(active).groupBy(F.col("order_id").alias("basket"), "item", "store").agg(F.max("pct").alias("pct"))
+@query(f"""SELECT order_id, line, item, store, CAST(best.extra AS INTEGER) AS extra, best.saved AS saved FROM (
+    SELECT *, list_sort([{", ".join("{each_cost: x.each_cost, extra: x.extra, saved: x.saved}".replace("x.", f"(e{k}).") for k in range(3))}])[1] AS best FROM (SELECT *, {", ".join(f"{x} AS e{k}" for k, x in enumerate(_EACH))} FROM obs)) WHERE best.extra > 0""", "obs")
+def roundup_offer(s, d):
+    costs = []
+    for extra in range(3):
+        q = F.col("qty") + extra
+        costs.append(F.struct(C.div(_cost(q) * 1000, q).alias("each_cost"), F.lit(extra).alias("extra"), (q * F.col("price") - _cost(q)).alias("saved")))
+    rows = T.observations(s, d).select("order_id", "line", "item", "store", F.inline(F.array(F.least(*costs))))  # a generator, so that each cost is worked out once
+    return rows.where("extra > 0").drop("each_cost")
 
 
 # ---- levels of flexibility
@@ -250,23 +174,6 @@ def trigram_topk(s, d):
     return matching.trigram_pairs(table(s, d, "part").select(F.col("p_name").alias("name")), 300)
 
 
-@query(sql("", "items").rstrip() + """, n AS (SELECT name, brand, count(*) AS variants, min(base) AS base, max(size) AS size FROM items GROUP BY ALL),
-    r AS (SELECT name, brand, row_number() OVER (PARTITION BY name ORDER BY base, brand) AS rank FROM n UNION ALL SELECT name, brand, row_number() OVER (PARTITION BY name ORDER BY variants DESC, brand) FROM n UNION ALL SELECT name, brand, row_number() OVER (PARTITION BY name ORDER BY size, brand) FROM n)
-    SELECT name, brand, CAST(sum(1000000000 // (60 + rank)) AS BIGINT) AS score FROM r GROUP BY ALL""")
-def search_rrf(s, d):
-    found = T.items(s, d).groupBy("name", "brand").agg(F.count("*").alias("variants"), F.min("base").alias("base"), F.max("size").alias("size"))
-    ranked = [found.select("name", "brand", F.row_number().over(Window.partitionBy("name").orderBy(by, "brand")).alias("rank")) for by in ("base", F.desc("variants"), "size")]
-    return matching.fuse(ranked, ["name", "brand"])
-
-
-@query("""SELECT lang, count_if(p = 1 AND quality = 1) AS tp, count_if(p = 1 AND quality = 0) AS fp, count_if(p = 0 AND quality = 1) AS fn, count_if(p = 0 AND quality = 0) AS tn
-    FROM (SELECT lang, quality, CAST(n_chars >= 300 AS INT) AS p FROM documents JOIN labels USING (doc_id)) GROUP BY lang""")
-def precision_recall(s, d):
-    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").withColumn("p", (F.col("n_chars") >= 300).cast("int"))
-    out = matching.precision_recall(rows, ["lang"], "p", "quality")
-    return out
-
-
 _CONFIDENCE = "(1000 - 10 * (item * 37 % 60))"
 
 
@@ -364,13 +271,6 @@ def chain_gap(s, d):
     return _by_chain(s, d).groupBy("name").agg(F.min("mean").alias("low"), F.max("mean").alias("high"), C.div((F.max("mean") - F.min("mean")) * 1000, F.min("mean")).alias("gap"))
 
 
-@query(sql("", "latest", "stores", "items").rstrip() + ", " + _BY_CHAIN + " SELECT name, CAST(count(*) * sum(CAST(mean AS HUGEINT) * mean) - sum(mean) * sum(mean) AS BIGINT) AS spread, count(*) AS chains FROM by_chain GROUP BY name")
-def cv_across_chains(s, d):
-    wide = F.col("mean").cast("decimal(19,0)")
-    spread = F.count("*").cast("decimal(10,0)") * F.sum(wide * wide).cast("decimal(27,0)") - (F.sum("mean").cast("decimal(18,0)") * F.sum("mean").cast("decimal(18,0)"))
-    return _by_chain(s, d).groupBy("name").agg(spread.cast("long").alias("spread"), F.count("*").alias("chains"))
-
-
 @query("SELECT kind, trait, CAST(grouping(kind) + grouping(trait) AS BIGINT) AS level, count(*) AS rows_, CAST(sum(price) AS BIGINT) AS total FROM latest JOIN items USING (item) GROUP BY ROLLUP (kind, trait)", "latest", "items")
 def taxonomy_rollup(s, d):
     return _offers(s, d).join(T.items(s, d), "item").rollup("kind", "trait").agg((F.grouping("kind") + F.grouping("trait")).cast("long").alias("level"), F.count("*").alias("rows_"), F.sum("price").alias("total"))
@@ -404,7 +304,7 @@ def list_parse(s, d):
     rows = T.needs(s, d).join(T.items(s, d).select("item", "name"), "item").withColumn("i", F.row_number().over(Window.partitionBy("basket").orderBy("item")) - 1)
     rows = rows.withColumn("part", F.when(F.col("i") % 2 == 0, F.concat(F.col("qty").cast("string"), F.lit(" "), "name")).otherwise(F.col("name")))
     texts = rows.groupBy("basket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), ", ").alias("text"))
-    return texts.select("basket", F.posexplode(C.list_needs(F.col("text"))).alias("place", "n")).select("basket", "place", "n.qty", "n.need")
+    return texts.select("basket", F.posexplode(C.list_needs(F.col("text"))).alias("place", "n")).select("basket", "place", F.col("n.qty").cast("int").alias("qty"), "n.need")
 
 
 @query("""SELECT user_id, count(*) AS n, min(ts) AS start_, CAST(max(event_id) AS BIGINT) AS last_event FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
@@ -445,3 +345,6 @@ def price_alerts(s, d):
     rows = T.observations(s, d).join(T.items(s, d).select("item", "base"), "item").withColumn("before", F.lag("price").over(w))
     crossing = (F.col("price") < F.col("base")) & (F.col("before").isNull() | (F.col("before") >= F.col("base")))
     return rows.groupBy("item").agg(F.min("price").alias("price"), F.max(crossing.cast("int")).alias("crossed"))
+
+
+from trolley.plans import catalogue, reports, shopping  # noqa: E402, F401  they register their queries

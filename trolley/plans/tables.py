@@ -5,11 +5,15 @@ The SQL texts say the same for an engine of their own; `sql(text)` puts them in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trolley.functions import columns as C
 from trolley.functions.columns import agorot, div
+from trolley.operators import places, prices
 
+#: Kilometres around a user, nearest stores that a split may use, and the moment at which promotions must hold.
+RADIUS, NEAREST, AT = 15.0, 10, "1996-06-30 12:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +62,75 @@ def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, "basket").select("basket", F.col("item").alias("need"), "user", "item", "qty")
 
 
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, store, price: the latest price of each."""
+    return prices.latest(observations(spark, sf_dir), ["item", "store"], latest_first()).select("item", "store", "price")
+
+
+def shoppers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with their usual store, clubs, way of travel, value of a stop, most stores and least saving."""
+    n, u = max(1, table(spark, sf_dir, "supplier").count()), F.col("user")
+    mode = F.element_at(F.array(F.lit("car"), F.lit("transit"), F.lit("delivery")), (F.pmod(u, F.lit(3)) + 1).cast("int"))
+    more = [F.pmod(u, F.lit(n)).alias("usual"), (u % 2 == 0).alias("club_a"), (u % 3 == 0).alias("club_n"), mode.alias("mode"), (1000 + F.pmod(u, F.lit(4)) * 500).alias("stop_value"), (1 + F.pmod(u, F.lit(2))).alias("max_stores"), (F.pmod(u, F.lit(5)) * 200).alias("min_saving")]
+    return users(spark, sf_dir).select("user", "lat", "lon", *more)
+
+
+def candidates(spark: SparkSession, sf_dir: str, n: int = NEAREST) -> DataFrame:
+    """user, store, metres, travel, usual (whether it is), place (from 0): each user's nearest stores, and always the usual one."""
+    who, where = shoppers(spark, sf_dir), stores(spark, sf_dir)
+    near = who.join(places.nearest(who, where, RADIUS, n), ["lat", "lon"]).select("user", "store", "metres")
+    metres = F.round(C.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) * 1000).cast("long")
+    own = who.join(where, who["usual"] == where["store"]).select("user", "store", metres.alias("metres"))
+    both = near.union(own).groupBy("user", "store").agg(F.min("metres").alias("metres")).join(who, "user")
+    place = F.row_number().over(Window.partitionBy("user").orderBy("metres", "store")) - 1
+    return both.select("user", "store", "metres", C.travel(F.col("mode"), F.col("metres")).alias("travel"), (F.col("store") == F.col("usual")).alias("usual"), place.alias("place"))
+
+
+def promos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """promo_id, chain, item_codes, store (null: the whole chain), start_ts, end_ts, from_min, to_min, club (null: all), min_qty, max_qty, kind, n, t."""
+    rows = observations(spark, sf_dir).where("pct >= 5").join(stores(spark, sf_dir).select("store", "chain"), "store")
+    r = F.pmod(F.col("order_id"), F.lit(4))
+    odd, third = F.pmod(F.col("line"), F.lit(2)), F.pmod(F.col("line"), F.lit(3))
+    pick = lambda a, b, c, e: F.when(r == 0, a).when(r == 1, b).when(r == 2, c).otherwise(e)
+    return rows.select(
+        (F.col("order_id") * 16 + F.col("line")).alias("promo_id"), "chain", F.array("item", F.col("item") + 1).alias("item_codes"), F.when(third != 0, F.col("store")).alias("store"), F.col("valid_from").alias("start_ts"), (F.col("valid_from") + F.expr("INTERVAL 30 DAY")).alias("end_ts"),
+        (odd * 480).alias("from_min"), (1440 - odd * 120).alias("to_min"), F.when(F.col("club") != "R", F.col("club")).alias("club"), (1 + third).cast("long").alias("min_qty"), F.when(odd == 1, F.lit(12).cast("long")).alias("max_qty"),
+        pick(F.lit("n_for_t"), F.lit("x_plus_y"), F.lit("fixed_price"), F.lit("percent_off")).alias("kind"), pick(F.lit(3).cast("long"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.col("pct")).alias("n"), pick(2 * F.col("price"), F.lit(1).cast("long"), div(F.col("price") * 9, 10), F.lit(0).cast("long")).alias("t"),
+    )
+
+
+def deals(spark: SparkSession, sf_dir: str, at: str = AT) -> DataFrame:
+    """item, store and terms of the promotions that hold at a moment: an item of the group, at the store or any of the chain."""
+    now = F.lit(at).cast("timestamp_ntz")
+    minute = F.hour(now) * 60 + F.minute(now)
+    held = promos(spark, sf_dir).where((F.col("start_ts") <= now) & (now < F.col("end_ts")) & (F.col("from_min") <= minute) & (minute < F.col("to_min")))
+    terms = ["promo_id", "club", "min_qty", "max_qty", "kind", "n", "t"]
+    each = held.select(F.explode("item_codes").alias("item"), "store", "chain", *terms)
+    wide = each.where("store is null").drop("store").join(stores(spark, sf_dir).select("store", "chain"), "chain")
+    return each.where("store is not null").select("item", "store", *terms).union(wide.select("item", "store", *terms))
+
+
+def deal_cost(q: Column, price: Column) -> Column:
+    """What q units cost under the terms of `deals`."""
+    return C.limited_promo_cost(q, price, F.col("kind"), F.col("n"), F.col("t"), F.col("min_qty"), F.col("max_qty"))
+
+
+def eligible() -> Column:
+    """Whether a deal's club is open to the shopper."""
+    return F.col("club").isNull() | ((F.col("club") == "A") & F.col("club_a")) | ((F.col("club") == "N") & F.col("club_n"))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """basket, need, user, qty, store, place, usual, price, shelf, cost, promo: each need at each candidate store that has it, at the effective price."""
+    found = needs(spark, sf_dir).join(candidates(spark, sf_dir).select("user", "store", "place", "usual"), "user").join(offers(spark, sf_dir), ["item", "store"])
+    clubs = shoppers(spark, sf_dir).select("user", "club_a", "club_n")
+    priced = found.join(clubs, "user").join(deals(spark, sf_dir), ["item", "store"], "left")
+    least = F.min(F.when(eligible(), deal_cost(F.col("qty"), F.col("price")))).alias("deal")
+    shelf = F.col("qty") * F.col("price")
+    best = priced.groupBy("basket", "need", "user", "qty", "store", "place", "usual", "price").agg(least)
+    return best.select("basket", "need", "user", "qty", "store", "place", "usual", "price", shelf.alias("shelf"), F.least(shelf, F.col("deal")).alias("cost"), F.coalesce(F.col("deal") < shelf, F.lit(False)).alias("promo"))
+
+
 #: CTEs by name, in the order in which they build on one another.
 CTES = {
     "obs": """SELECT l_partkey AS item, l_suppkey AS store, l_shipdate AS valid_from, CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS price, CAST(l_quantity AS BIGINT) AS qty,
@@ -69,19 +142,30 @@ CTES = {
     "latest": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY item, store ORDER BY valid_from DESC, order_id DESC, line DESC, price, qty) AS rn FROM obs) WHERE rn = 1""",
     "points": """SELECT DISTINCT lat, lon FROM users""",
     "near": """SELECT lat, lon, store, metres FROM (SELECT lat, lon, store, CAST(round(2 * 6371.0::double * asin(sqrt(pow(sin(radians(s_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(s_lat)) * pow(sin(radians(s_lon - lon) / 2), 2))) * 1000) AS BIGINT) AS metres FROM points, stores) WHERE metres <= 15000""",
-    "choices": """SELECT o_orderkey AS basket, store, metres FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY metres, store) AS rn FROM near) n JOIN users USING (lat, lon) JOIN orders ON o_custkey = "user" WHERE rn <= 4""",
-    "totals": """SELECT basket, store, metres, count(price) AS found, count(*) - count(price) AS missing, CAST(coalesce(sum(price * n.qty), 0) AS BIGINT) AS total
-        FROM needs n JOIN choices USING (basket) LEFT JOIN (SELECT item, store, price FROM latest) l USING (item, store) GROUP BY ALL""",
-    "members": """SELECT basket, store AS a, -1 AS b, metres, store AS member FROM choices
-        UNION ALL SELECT x.basket, x.store, y.store, x.metres + y.metres, unnest([x.store, y.store]) FROM choices x JOIN choices y ON x.basket = y.basket AND x.store < y.store""",
-    "subsets": """SELECT basket, a, b, metres, count(*) - count(cost) AS missing, CAST(coalesce(sum(cost), 0) AS BIGINT) AS total FROM (
-        SELECT m.basket, a, b, metres, need, min(price * n.qty) AS cost FROM members m JOIN needs n ON n.basket = m.basket LEFT JOIN (SELECT item, store, price FROM latest) l ON l.item = n.item AND l.store = m.member GROUP BY ALL) GROUP BY ALL""",
-    "trips": """SELECT *, CAST(floor(2 * metres * 100 / 1000) AS BIGINT) AS travel, CAST(CASE WHEN b >= 0 THEN 2500 ELSE 0 END AS BIGINT) AS stop_cost FROM subsets""",
+    "offers": """SELECT item, store, price FROM latest""",
+    "shoppers": """SELECT *, "user" % (SELECT count(*) FROM supplier) AS usual, "user" % 2 = 0 AS club_a, "user" % 3 = 0 AS club_n, CASE "user" % 3 WHEN 0 THEN 'car' WHEN 1 THEN 'transit' ELSE 'delivery' END AS mode, 1000 + ("user" % 4) * 500 AS stop_value, 1 + "user" % 2 AS max_stores, ("user" % 5) * 200 AS min_saving FROM users""",
+    "cands": """SELECT "user", store, metres, CASE mode WHEN 'car' THEN 2 * metres * 100 // 1000 + metres // 500 * 10 WHEN 'transit' THEN 1200 + metres // 250 * 10 ELSE 2500 END AS travel, store = usual AS is_usual, row_number() OVER (PARTITION BY "user" ORDER BY metres, store) - 1 AS place FROM (
+        SELECT "user", store, min(metres) AS metres FROM (SELECT u."user", store, metres FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY metres, store) AS rn FROM near) JOIN users u USING (lat, lon) WHERE rn <= 10
+        UNION ALL SELECT "user", store, CAST(round(2 * 6371.0::double * asin(sqrt(pow(sin(radians(s_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(s_lat)) * pow(sin(radians(s_lon - lon) / 2), 2))) * 1000) AS BIGINT) FROM shoppers JOIN stores ON usual = store) GROUP BY ALL) JOIN shoppers USING ("user")""",
+    "promos": """SELECT order_id * 16 + line AS promo_id, chain, [item, item + 1] AS item_codes, CASE WHEN line % 3 <> 0 THEN o.store END AS store, valid_from AS start_ts, valid_from + INTERVAL 30 DAY AS end_ts, (line % 2) * 480 AS from_min, 1440 - (line % 2) * 120 AS to_min, CASE WHEN club <> 'R' THEN club END AS club,
+        CAST(1 + line % 3 AS BIGINT) AS min_qty, CASE WHEN line % 2 = 1 THEN 12::BIGINT END AS max_qty, CASE order_id % 4 WHEN 0 THEN 'n_for_t' WHEN 1 THEN 'x_plus_y' WHEN 2 THEN 'fixed_price' ELSE 'percent_off' END AS kind,
+        CASE order_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE pct END AS n, CASE order_id % 4 WHEN 0 THEN 2 * price WHEN 1 THEN 1 WHEN 2 THEN price * 9 // 10 ELSE 0 END AS t FROM obs o JOIN stores s ON o.store = s.store WHERE pct >= 5""",
+    "deals": """SELECT item, coalesce(h.store, s.store) AS store, promo_id, club, min_qty, max_qty, kind, n, t FROM (SELECT *, unnest(item_codes) AS item FROM promos WHERE start_ts <= TIMESTAMP '1996-06-30 12:00:00' AND TIMESTAMP '1996-06-30 12:00:00' < end_ts AND from_min <= 720 AND 720 < to_min) h
+        LEFT JOIN stores s ON h.store IS NULL AND h.chain = s.chain""",
+    "hits": """SELECT basket, need, "user", qty, store, place, is_usual, price, qty * price AS shelf, least(qty * price, deal) AS cost, coalesce(deal < qty * price, false) AS promo FROM (
+        SELECT n.basket, n.need, n."user", n.qty, c.store, c.place, c.is_usual, o.price, min(CASE WHEN d.promo_id IS NOT NULL AND (club IS NULL OR (club = 'A' AND club_a) OR (club = 'N' AND club_n)) THEN """ + C.PROMO_SQL.format(q="n.qty", p="o.price") + """ END) AS deal
+        FROM needs n JOIN cands c USING ("user") JOIN offers o ON o.item = n.item AND o.store = c.store JOIN shoppers u ON u."user" = n."user" LEFT JOIN deals d ON d.item = n.item AND d.store = c.store GROUP BY ALL)""",
+    "asked": """SELECT basket, "user", count(*) AS n FROM needs GROUP BY ALL""",
+    "subsets": """SELECT a."user", a.store AS a, coalesce(b.store, -1) AS b, a.place AS i, coalesce(b.place, a.place) AS j, CAST(a.travel + coalesce(b.travel, 0) AS BIGINT) AS travel, CAST(CASE WHEN b.store IS NULL THEN 0 ELSE stop_value END AS BIGINT) AS stop_cost FROM cands a JOIN shoppers USING ("user")
+        LEFT JOIN (SELECT "user", store, place, travel FROM cands UNION ALL SELECT "user", NULL, NULL, NULL FROM shoppers) b ON a."user" = b."user" AND (b.place IS NULL OR a.place < b.place)""",
+    "chosen": """SELECT s.*, h.basket, h.need, min(h.cost) AS cost FROM subsets s JOIN hits h ON h."user" = s."user" AND h.place IN (s.i, s.j) GROUP BY ALL""",
+    "trips": """SELECT t.basket, s.a, s.b, CAST(t.n - coalesce(f.found, 0) AS BIGINT) AS missing, CAST(coalesce(f.total, 0) AS BIGINT) AS total, s.travel, s.stop_cost, CAST(coalesce(f.saving, 0) AS BIGINT) AS saving FROM asked t JOIN subsets s USING ("user")
+        LEFT JOIN (SELECT basket, a, b, count(*) AS found, sum(c.cost) AS total, sum(h.cost - c.cost) AS saving FROM chosen c LEFT JOIN (SELECT basket, need, cost FROM hits WHERE is_usual) h USING (basket, need) GROUP BY ALL) f ON f.basket = t.basket AND f.a = s.a AND f.b = s.b""",
     "best": """SELECT * EXCLUDE (rn) FROM (SELECT *, 'single' AS alternative, row_number() OVER (PARTITION BY basket ORDER BY missing, total, a, b) AS rn FROM trips WHERE b < 0) WHERE rn = 1
         UNION ALL SELECT * EXCLUDE (rn) FROM (SELECT *, 'split' AS alternative, row_number() OVER (PARTITION BY basket ORDER BY missing, total + travel + stop_cost, a, b) AS rn FROM trips) WHERE rn = 1
         UNION ALL SELECT * EXCLUDE (rn) FROM (SELECT *, 'least_effort' AS alternative, row_number() OVER (PARTITION BY basket ORDER BY travel, missing, total, a, b) AS rn FROM trips WHERE b < 0) WHERE rn = 1""",
 }
-_USES = {"latest": ["obs"], "points": ["users"], "near": ["points", "stores"], "choices": ["near"], "totals": ["needs", "choices", "latest"], "members": ["choices"], "subsets": ["members", "needs", "latest"], "trips": ["subsets"], "best": ["trips"]}
+_USES = {"latest": ["obs"], "points": ["users"], "near": ["points", "stores"], "offers": ["latest"], "shoppers": ["users"], "cands": ["near", "shoppers", "stores"], "promos": ["obs", "stores"], "deals": ["promos", "stores"], "hits": ["needs", "cands", "offers", "shoppers", "deals"], "asked": ["needs"], "subsets": ["cands", "shoppers"], "chosen": ["subsets", "hits"], "trips": ["asked", "chosen"], "best": ["trips"]}
 
 
 def sql(text: str, *names: str) -> str:
@@ -91,4 +175,4 @@ def sql(text: str, *names: str) -> str:
         name = todo.pop()
         wanted.add(name)
         todo += _USES.get(name, [])
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in CTES.items() if k in wanted) + " " + text
+    return "WITH " + ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in CTES.items() if k in wanted) + " " + text

@@ -31,24 +31,46 @@ def adapt(rows: DataFrame, dialect: Dialect) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
+    """The rows of a chain's files in the inner model.
+
+    UTF-8 goes through Spark's XML reader. Zips, and other character sets without a declaration, are decoded file by
+    file first: a file is one task's work then, as a gzip stream is anyway.
+    """
     schema = T.StructType([T.StructField({v: k for k, v in dialect.renamed.items()}.get(tag, tag), T.StringType()) for tag in COLUMNS])
-    if dialect.container == "zip" or dialect.charset.upper() != "UTF-8":  # the XML reader opens neither zips nor, without a declaration, other character sets
-        texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda parts: _unzipped(parts, dialect.charset), "xml string")
-        rows = texts.select(F.explode(F.regexp_extract_all("xml", F.lit(f"(?s)<{dialect.row_tag}>.*?</{dialect.row_tag}>"), F.lit(0))).alias("x"))
-        return adapt(rows.select(F.from_xml("x", schema).alias("r")).select("r.*"), dialect)
-    reader = spark.read.format("xml").option("rowTag", dialect.row_tag).option("charset", dialect.charset).option("multiLine", True)
-    return adapt(reader.schema(schema).load(path), dialect)
-
-
-def _unzipped(parts, charset: str):
-    for part in parts:
-        for content in part["content"]:
-            if content[:2] == b"PK":
-                with zipfile.ZipFile(io.BytesIO(content)) as box:
-                    found = [box.read(name) for name in box.namelist()]
-            else:
+    if dialect.container != "zip" and dialect.charset.upper() == "UTF-8":
+        reader = spark.read.format("xml").option("rowTag", dialect.row_tag).option("charset", dialect.charset).option("multiLine", True)
+        return adapt(reader.schema(schema).load(path), dialect)
+    charset = dialect.charset
+
+    def decoded(parts):  # a function of its own, so that it reaches workers that do not have this package
+        for part in parts:
+            for content in part["content"]:
                 found = [gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content]
-            yield pd.DataFrame({"xml": [x.decode(charset) for x in found]})
+                if content[:2] == b"PK":
+                    with zipfile.ZipFile(io.BytesIO(content)) as box:
+                        found = [box.read(name) for name in box.namelist()]
+                for x in found:
+                    yield pd.DataFrame({"xml": [x.decode(charset)]})
+
+    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, "xml string")
+    row = rf"(?s)<{dialect.row_tag}(?:\s[^>]*)?>.*?</{dialect.row_tag}\s*>"
+    rows = texts.select(F.explode(F.regexp_extract_all("xml", F.lit(row), F.lit(0))).alias("x"))
+    return adapt(rows.select(F.from_xml("x", schema).alias("r")).select("r.*"), dialect)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    """Adapted tables of several chains and schema generations as one; a column that one lacks is null there."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def archive(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """Keep the bytes of landed files untouched in a table by content's hash, each content once, and return the index (path, sha256, length)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+    files.select("sha256", "content").dropDuplicates(["sha256"]).write.mode("overwrite").parquet(to)
+    return files.drop("content")
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
