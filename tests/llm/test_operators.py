@@ -313,7 +313,9 @@ def test_languages(spark, empty):
     assert not languages.identified(empty).count()
 
 
-def test_jaccard(docs, rows, empty):
+@pytest.mark.parametrize("block", [128, 3])
+def test_jaccard(docs, rows, empty, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # groups of more are compared in pairs of blocks
     rows = [r for r in rows if r[0] is not None]
     sets = [shingles(t) for _, t, *_ in rows]
     links, root = Counter(), list(range(len(rows)))

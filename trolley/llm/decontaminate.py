@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.textblock import SHINGLE, Words, as_batch, blocks, minhashes, plain
-from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, prepare
+from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, restored
 
 THRESHOLD = 0.8
 #: Upper sizes (shingles) of the size classes, and the sketch of each; beyond the last, that one.
@@ -103,13 +103,14 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     (null and empty ones too) have no shingle and match nothing. Repeated rows match each by itself, so a
     pair of ids can come more than once. Without items there are no rows.
     """
-    spark = prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    items = Workspace(spark, "items").table(items.select("item_id", "text", F.monotonically_increasing_id().alias("_row")), "items")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_found", pa.int64()), ("containment", pa.float64())])
     out = None
     for part in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select(F.col("item_id").cast("long"), "text").toArrow()
+        block = items.where(F.pmod(F.xxhash64("_row"), F.lit(parts)) == part).select(F.col("item_id").cast("long"), "text").toArrow()
         sent = spark.sparkContext.broadcast(Sketches(block, threshold))
 
         def run(batches, sent=sent):
@@ -137,4 +138,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     """The rows of docs, with all their columns, that are in no pair of `contained`, whatever their doc_id."""
     rows = keyed(docs, Workspace(docs.sparkSession, "decontaminated"))
     bad = contained(by_key(rows), items, threshold).select(F.col("doc_id").alias(ROW_KEY)).distinct()
-    return rows.join(bad, ROW_KEY, "left_anti").select(docs.columns)
+    return restored(rows.join(bad, ROW_KEY, "left_anti"), docs.columns)

@@ -196,7 +196,9 @@ def write(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> IdStore:
             local += int(n.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int64)), pa.array(start.astype(np.int64))], names=[*batch.schema.names, "part", "local"])
 
-    recipes = encoded.where(F.col("root").isNotNull()).select("doc_id", "n_tokens", "root", "chunks").repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "root")
+    recipes = encoded.where(F.col("root").isNotNull()).select("doc_id", "n_tokens", "root", "chunks", F.monotonically_increasing_id().alias("row"))
+    order = [F.asc_nulls_first("doc_id"), "root", "row"]  # rows of one id, null too, are spread as well
+    recipes = recipes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("row")
     recipes = work.table(recipes.mapInArrow(place, "doc_id long, n_tokens long, root binary, chunks binary, part long, local long"), "recipes")
     tree = pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.textblock import Words, as_batch, blocks, fixed_binary, minhashes, mixed
-from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, partitions
+from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, partitions, restored
 
 THRESHOLD = 0.8
 #: Bands of ROWS values each: a pair at 0.8 is missed with probability (1 - 0.8^6)^48 < 10^-6.
@@ -324,4 +324,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = keyed(docs, work)
     classes = _classes(rows, work)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY))[ROW_KEY]
-    return rows.join(classes.groupBy("root").agg(first.alias(ROW_KEY)).select(ROW_KEY), ROW_KEY, "left_semi").select(docs.columns)
+    return restored(rows.join(classes.groupBy("root").agg(first.alias(ROW_KEY)).select(ROW_KEY), ROW_KEY, "left_semi"), docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trolley.llm.hashtable import BitSet
 from trolley.llm.jaccard import grouped
 from trolley.llm.textblock import WORD, PrefixHash, as_batch, blocks, mixed, raw, sort_within, spans
-from trolley.llm.workspace import ROW_KEY, Workspace, keyed, partitions
+from trolley.llm.workspace import ROW_KEY, Workspace, keyed, partitions, restored
 
 #: Jaccard threshold as a fraction, so that all bounds are whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -616,7 +616,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = keyed(docs, work)
     found = _by_row(removed(rows, work)[1]).where(F.size("removed") > 0)
     found = found.select(F.col("row").alias(ROW_KEY), F.col("removed").alias("_removed"), (F.col("n_lines") == F.col("n_exact") + F.col("n_near")).alias("_emptied"))
-    joined = rows.join(found, ROW_KEY, "left").where(~F.coalesce("_emptied", F.lit(False)))
-    hit = F.col("_removed").isNotNull()
-    rest = F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), "_removed")
-    return joined.withColumn("text", F.when(hit, rest).otherwise(F.col("text"))).select(docs.columns)
+    own = rows.select(ROW_KEY, F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_doc"))
+    joined = own.join(found, ROW_KEY, "left").where(~F.coalesce("_emptied", F.lit(False)))
+    hit, text = F.col("_removed").isNotNull(), F.col("_doc.text")
+    rest = F.pandas_udf(_without, "string")(F.when(hit, text), "_removed")
+    return restored(joined.select("_doc.*", F.when(hit, rest).otherwise(text).alias("_text")).drop("text").withColumnRenamed("_text", "text"), docs.columns)

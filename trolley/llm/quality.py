@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm.textblock import SPACE, WORD, PrefixHash, as_batch, blocks, mixed, raw, spans
 from trolley.llm.vocab import piece_bpe
-from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed
+from trolley.llm.workspace import ROW_KEY, Workspace, by_key, keyed, restored
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -173,7 +173,7 @@ def kept(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """The rows of docs that pass, with all their columns. Each row is judged by itself, whatever its doc_id."""
     rows = keyed(docs, Workspace(docs.sparkSession, "kept"))
     bad = judged(by_key(rows), vocabulary).where(~F.col("kept")).select(F.col("doc_id").alias(ROW_KEY))
-    return rows.join(bad, ROW_KEY, "left_anti").select(docs.columns)
+    return restored(rows.join(bad, ROW_KEY, "left_anti"), docs.columns)
 
 
 def base_of(text: str | None) -> tuple[int, int, int, int, int]:

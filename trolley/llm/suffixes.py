@@ -34,10 +34,23 @@ SORTED = 1 << 18
 #: Parts that the windows of a crowded anchor are dealt to at a time.
 FAN = 6
 _PLACE = np.uint64((1 << 28) - 1)
+#: Windows looked at together; a longer text is cut into so many, and what a cut parts is put together by sorting.
+WINDOWS = 1 << 27
 
 
 def anchors(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: text index, first window's start in the block, number of windows, anchor's hash and place."""
+    if len(data) < WINDOWS + LENGTH:
+        return _anchors(o, data)
+    found = []
+    for a in range(0, len(data) - LENGTH + 1, WINDOWS):
+        part = data[a : a + WINDOWS + LENGTH - 1]
+        doc, first, n, anchor, place = _anchors(np.clip(o - a, 0, len(part)), part)
+        found.append((doc, first + a, n, anchor, place + a))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     span, n = LENGTH - KEY + 1, len(data)
     if n < LENGTH:
         none = np.zeros(0, np.int64)

@@ -82,16 +82,17 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(uri: str, step: int = 1 << 20) -> Iterator[bytes]:
-    """The contents of a gzip file, whatever its number of members, in chunks."""
+    """The contents of a gzip file, whatever its number of members, in chunks of at most step bytes."""
     stream = zlib.decompressobj(31)
     with reader(uri) as source:
         while data := source.read(step):
-            while data:
-                if out := stream.decompress(data):
+            out = b""
+            while data or len(out) == step:  # a full chunk may leave more behind
+                if out := stream.decompress(data, step):
                     yield out
-                data = stream.unused_data
+                data = stream.unconsumed_tail
                 if stream.eof:
-                    stream = zlib.decompressobj(31)
+                    data, stream = stream.unused_data, zlib.decompressobj(31)
 
 
 def _id(value: str | None) -> int | None:

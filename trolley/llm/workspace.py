@@ -74,15 +74,17 @@ class Workspace:
 
 
 #: Tells rows apart where doc_id does not.
-ROW_KEY = "_row_key"
+ROW_KEY, _THEIRS = "_row_key", "_row_key_of_docs"
 
 
-def keyed(docs: DataFrame, work: Workspace, ordered: bool = False) -> DataFrame:
-    """docs with a number of its own for each row, written once; in the order of doc_id if asked for, null last."""
-    rows = docs.withColumn(ROW_KEY, F.monotonically_increasing_id())
-    if ordered:
-        rows = rows.orderBy(F.asc_nulls_last("doc_id"), ROW_KEY).withColumn(ROW_KEY, F.monotonically_increasing_id())
-    return work.table(rows, "keyed")
+def keyed(docs: DataFrame, work: Workspace) -> DataFrame:
+    """docs with a number of its own for each row, written once; a column of docs that has its name is set aside."""
+    return work.table(docs.withColumnRenamed(ROW_KEY, _THEIRS).withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that docs had before `keyed`."""
+    return rows.select([F.col(f"`{_THEIRS if c == ROW_KEY else c}`").alias(c) for c in columns])
 
 
 def by_key(rows: DataFrame) -> DataFrame:
