@@ -12,7 +12,7 @@ from trolley.functions import columns as C
 from trolley.functions import names as N
 from trolley.operators import gates, places
 from trolley.plans import queries
-from trolley.sources.dialects import Dialect, read
+from trolley.sources.dialects import Dialect, archive, read
 from trolley.streaming import feeds
 
 DATA = "/root/testdata/sf0.001"
@@ -117,3 +117,24 @@ def test_change_and_alert_streams(spark, tmp_path):
     read = lambda name: sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / name)).collect())
     assert read("changes") == [(1, 4.0), (1, 5.0), (2, 3.0)]
     assert read("alerts") == [(1, 4.0), (2, 3.0)]
+
+
+@pytest.mark.parametrize("every", [2, 24])
+def test_table_under_deltas(spark, tmp_path, every):
+    for part in ([(1, 1, 5), (2, 1, 7)], [(1, 2, 6)], [(2, 3, 8), (3, 1, 1)], [(1, 1, 9)], [(3, 4, 2)]):
+        spark.createDataFrame(part, "k long, at long, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = feeds.files(spark, str(tmp_path / "in"), "k long, at long, v long")
+        feeds.apply_deltas(stream, str(tmp_path / "table"), str(tmp_path / "log"), ["k"], [F.desc("at"), "v"], every).awaitTermination()
+    got = feeds.current(spark, str(tmp_path / "table"), ["k"], [F.desc("at"), "v"]).collect()
+    assert sorted((r.k, r.at, r.v) for r in got) == [(1, 2, 6), (2, 3, 8), (3, 4, 2)]
+    bases = [n for a, n in feeds._parts(spark, str(tmp_path / "table")) if a == "base"]
+    assert bases == ([4] if every == 2 else []) or bases == [2, 4]
+
+
+def test_archive_keeps_each_content_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a", b"one"), ("b", b"two"), ("c", b"one")):
+        (tmp_path / "in" / name).write_bytes(data)
+    index = archive(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    kept = {r["sha256"]: bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(kept) == 2 and {r["path"][-1]: kept[r["sha256"]] for r in index.collect()} == {"a": b"one", "b": b"two", "c": b"one"}

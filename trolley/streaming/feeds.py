@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trolley.operators.prices import upsert
+from trolley.operators.prices import latest
 
 
 def files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -36,26 +36,58 @@ def _stateful(stream: DataFrame, key: str, at: str, value: str, below: float | N
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_at, last = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(parts)).sort_values([at, value]).itertuples(index=False):
-            when, x = getattr(row, at), getattr(row, value)
-            if last_at is not None and when.value < last_at:
-                continue
-            if (x != last) if below is None else (x < below and (last is None or last >= below)):
-                out.append((k[0], when, x))
-            last_at, last = when.value, x
-        state.update((last_at, last))
-        yield pd.DataFrame(out, columns=[key, at, value])
+        rows = pd.concat(list(parts)).dropna(subset=[at, value]).sort_values([at, value])
+        if last_at is not None:
+            rows = rows[rows[at].astype("datetime64[ns]").astype("int64") >= last_at]
+        before = rows[value].shift()
+        if len(rows) and last is not None:
+            before.iloc[0] = last
+        keep = (rows[value] != before) if below is None else (rows[value] < below) & (before.isna() | (before >= below))
+        if len(rows):
+            state.update((int(rows[at].astype("datetime64[ns]").astype("int64").iloc[-1]), float(rows[value].iloc[-1])))
+        yield rows[keep][[key, at, value]]
 
     return stream.select(key, F.col(at).cast("timestamp").alias(at), F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, {value} double", "at long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def apply_deltas(stream: DataFrame, path: str, keys: list[str], order: list, checkpoint: str):
-    """Every micro-batch of a delta stream merged into a Parquet table: the newest version is named by its batch."""
+def apply_deltas(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list, every: int = 24):
+    """Keep a table under its deltas: a micro-batch writes itself only; every so many are merged into a new base.
+
+    A batch that is run again overwrites its own folder, so nothing is applied twice. `current` reads the table.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={n - 1}") if n else batch.limit(0)
-        upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={n}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if (n + 1) % every == 0:
+            spark = batch.sparkSession
+            base = _merged(spark, path, keys, order, n)
+            base.write.mode("overwrite").parquet(f"{path}/base={n + 1}")
+            for name, k in _parts(spark, path):
+                if k <= n - every or (name == "batch" and k <= n):
+                    _folder(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={k}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _parts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The finished folders of a table under its deltas: (base or batch, number)."""
+    fs, at = _folder(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    names = [x.getPath().getName() for x in fs.listStatus(at(path))]
+    return sorted((a, int(n)) for a, _, n in (x.partition("=") for x in names) if a in ("base", "batch") and fs.exists(at(f"{path}/{a}={n}/_SUCCESS")))
+
+
+def _merged(spark: SparkSession, path: str, keys: list[str], order: list, last: int) -> DataFrame:
+    """The newest base under the batches from it up to `last`: of rows with equal keys the first in order."""
+    parts = _parts(spark, path)
+    start = max([n for a, n in parts if a == "base" and n <= last], default=None)
+    names = [f"{path}/{a}={n}" for a, n in parts if (a, n) == ("base", start) or (a == "batch" and (start or 0) <= n <= last)]
+    return latest(spark.read.parquet(*names), keys, order)
+
+
+def current(spark: SparkSession, path: str, keys: list[str], order: list) -> DataFrame:
+    """The table as it stands: its newest base and the batches since."""
+    return _merged(spark, path, keys, order, 1 << 62)
