@@ -215,7 +215,9 @@ def joined(docs: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, work: Workspace) -> DataFrame:
     """ROW_KEY, doc_id, root (the smallest key of its component), n_links of each row of `keyed`."""
     found = work.table(_linked(by_key(rows).select("doc_id", "text"), work), "linked")
-    return work.table(rows.select(ROW_KEY, "doc_id").join(found.select(F.col("doc_id").alias(ROW_KEY), F.col("class_id").alias("root"), "n_links"), ROW_KEY), "classes")
+    classes = work.table(rows.select(ROW_KEY, "doc_id").join(found.select(F.col("doc_id").alias(ROW_KEY), F.col("class_id").alias("root"), "n_links"), ROW_KEY), "classes")
+    work.clear("keyed", "classes")
+    return classes
 
 
 def _linked(docs: DataFrame, work: Workspace) -> DataFrame:

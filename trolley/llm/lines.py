@@ -475,6 +475,7 @@ def removed(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     several = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(False).alias("near"))
     fate = several.union(gone.withColumn("near", F.lit(True))).groupBy("key").agg(F.bool_or("near").alias("near"))
     judged = work.table(lines.join(fate, "key", "left"), "judged")
+    work.clear("keyed", "survey", "judged")
     firsts = judged.where("near is not null").groupBy("key").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
     touched = judged.where("near is not null").join(firsts, "key").select("row", "line", (F.col("first") < F.struct("doc_id", "row", "line")).alias("exact"), "near")
     untouched = judged.where("near is null").select("row", "line", F.lit(False).alias("exact"), F.lit(False).alias("near"))

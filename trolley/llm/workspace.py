@@ -53,7 +53,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = prepare(spark)
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root, self.names = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,6 +64,7 @@ class Workspace:
         Its shuffles have served then; Spark deletes their files once the driver's JVM collects its garbage.
         """
         at = self.path(name)
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(at)
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(at)
@@ -71,6 +72,12 @@ class Workspace:
     def drop(self, name: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.names.discard(name)
+
+    def clear(self, *keep: str) -> None:
+        """Drop the tables that nothing reads any more: all but those to keep."""
+        for name in self.names.difference(keep):
+            self.drop(name)
 
 
 #: Tells rows apart where doc_id does not.
