@@ -48,7 +48,7 @@ def _totals(s, d) -> DataFrame:
 
 def _trips(s, d) -> DataFrame:
     stores = baskets.subsets(T.candidates(s, d), T.shoppers(s, d).select("user", "stop_value"))
-    return baskets.trips(_asked(s, d), T.hits(s, d), stores, T.NEAREST + 1)
+    return baskets.trips(_asked(s, d), T.hits(s, d), stores)
 
 
 @query(_sql("SELECT *, row_number() OVER (PARTITION BY basket ORDER BY missing, total, store) AS place FROM totals"))
