@@ -26,8 +26,6 @@ REPEAT_PERCENT = 20
 WIDTH, LEAST = 6.0, {"chars_per_token": 0.04, "entropy_ratio": 0.05}
 #: A document of n tokens gets bands wider by sqrt(1 + SHORT / n): its mean scatters more.
 SHORT = 120
-#: A document of fewer tokens says little about the spread of its tokens.
-MIN_TOKENS = 60
 MAX_FALLBACK = 0.25
 MEASURES = "n_tokens long, chars_per_token double, fallback_share double, entropy_ratio double, script string"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -132,7 +130,7 @@ def measures(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFr
 def bands(measured: DataFrame) -> DataFrame:
     """By language, or by script where that is null: the middle and half width of the accepted measures."""
     failed = base_failed()
-    out = measured.where(~failed & (F.col("n_tokens") >= MIN_TOKENS)).groupBy(_group().alias("band"))
+    out = measured.where(~failed).groupBy(_group().alias("band"))
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in LEAST]
     limits = []
     for m, least in LEAST.items():
@@ -152,8 +150,8 @@ def base_failed() -> Column:
 def judged(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """Every document's counts, measures and verdict: base_failed, kept and, where rejected, the reason.
 
-    Documents of fewer than MIN_TOKENS tokens are judged by the counts and the share of byte pieces alone;
-    a group without bands (none of its documents is long enough) likewise. Repeated rows are judged each.
+    Bands are wider for documents of few tokens. A text that fails the counts has no part in the bands; a group
+    of such texts only has none. Repeated rows are judged each.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "quality")
@@ -161,11 +159,10 @@ def judged(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFram
     limits = work.table(bands(measured), "bands")
     few = limits.count() <= 10_000  # languages; more than that are joined by a shuffle
     joined = measured.withColumn("band", _group()).join(F.broadcast(limits) if few else limits, "band", "left")
-    outside = [F.abs(F.col(m) - F.col(f"{m}_mid")) > F.col(f"{m}_wide") * F.sqrt(1 + SHORT / F.col("n_tokens")) for m in LEAST]
-    long = F.col("n_tokens") >= MIN_TOKENS
+    outside = [F.abs(F.col(m) - F.col(f"{m}_mid")) > F.col(f"{m}_wide") * F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1))) for m in LEAST]
     reason = F.when(base_failed(), "base").when(F.col("fallback_share") > MAX_FALLBACK, "fallback")
     for m, x in zip(LEAST, outside, strict=True):
-        reason = reason.when(long & F.coalesce(x, F.lit(False)), m)
+        reason = reason.when(F.coalesce(x, F.lit(False)), m)
     return joined.withColumn("reason", reason).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), F.col("reason").isNull().alias("kept"), "reason", "n_tokens", "chars_per_token", "fallback_share", "entropy_ratio", "script")
 
 
