@@ -75,10 +75,10 @@ def letters(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.length(text) - F.length(F.replace(text, F.char(c), F.lit(""))))
 
 
-def letter_hits(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """q, product, score (the squared cosine in millionths) of a stated query set against all products."""
-    a, b = queries.withColumn("va", letters(F.col("q"))), products.withColumn("vb", letters(F.col("product")))
-    both = b.join(F.broadcast(a) if a.count() <= 10_000 else a)
+def letter_hits(pairs: DataFrame) -> DataFrame:
+    """q, product, score (the squared cosine in millionths) of candidate pairs that words or trigrams have found."""
+    vectors = lambda c, v: pairs.select(c).distinct().withColumn(v, letters(F.col(c)))
+    both = pairs.select("q", "product").distinct().join(vectors("q", "va"), "q").join(vectors("product", "vb"), "product")
     square = F.pow(dot(F.col("va"), F.col("vb")), 2) / (dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
     return both.select("q", "product", F.floor(1_000_000 * square).cast("long").alias("score"))
 

@@ -237,7 +237,7 @@ _PRODUCTS = """p AS MATERIALIZED (SELECT DISTINCT name || ' ' || lower(brand) AS
     pg AS MATERIALIZED (SELECT product, list_distinct(list_transform(range(1, len(product) - 1), lambda i: product[i:i + 2])) AS g FROM p), qg AS MATERIALIZED (SELECT q, list_distinct(list_transform(range(1, len(q) - 1), lambda i: q[i:i + 2])) AS g FROM q),
     grams AS (SELECT q, product, CAST(1000 * len(list_intersect(qg.g, pg.g)) // len(list_distinct(list_concat(qg.g, pg.g))) AS BIGINT) AS score FROM qg, pg WHERE len(list_intersect(qg.g, pg.g)) > 0),
     pv AS MATERIALIZED (SELECT product, list_transform(range(97, 123), lambda c: len(list_filter(string_split(product, ''), lambda x: x = chr(c::INTEGER)))) AS v FROM p), qv AS MATERIALIZED (SELECT q, list_transform(range(97, 123), lambda c: len(list_filter(string_split(q, ''), lambda x: x = chr(c::INTEGER)))) AS v FROM q),
-    vectors AS (SELECT q, product, CAST(1000000 * pow(list_dot_product(qv.v::double[], pv.v::double[]), 2) // (list_dot_product(qv.v::double[], qv.v::double[]) * list_dot_product(pv.v::double[], pv.v::double[])) AS BIGINT) AS score FROM qv, pv),
+    vectors AS (SELECT q, product, CAST(1000000 * pow(list_dot_product(qv.v::double[], pv.v::double[]), 2) // (list_dot_product(qv.v::double[], qv.v::double[]) * list_dot_product(pv.v::double[], pv.v::double[])) AS BIGINT) AS score FROM (SELECT q, product FROM words UNION SELECT q, product FROM grams) JOIN qv USING (q) JOIN pv USING (product)),
     ranks AS (SELECT q, product, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) AS rank FROM words UNION ALL SELECT q, product, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) FROM grams UNION ALL SELECT q, product, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) FROM vectors),
     fused AS (SELECT q, product, CAST(sum(1000000000 // (60 + rank)) AS BIGINT) AS score FROM ranks WHERE rank <= 50 GROUP BY ALL)"""
 SEARCH = sql("", "items").rstrip() + ", " + _PRODUCTS
@@ -246,7 +246,9 @@ SEARCH = sql("", "items").rstrip() + ", " + _PRODUCTS
 def _searched(s, d) -> DataFrame:
     products = T.items(s, d).select(F.concat("name", F.lit(" "), F.lower("brand")).alias("product")).distinct()
     queries = T.items(s, d).select(F.expr("substring(name, 1, length(name) - 1)").alias("q")).distinct()
-    ranked = [matching.best(x, "q", "product", 50) for x in (matching.bm25(queries, products), matching.trigram_hits(queries, products), matching.letter_hits(queries, products))]
+    words, grams = matching.bm25(queries, products), matching.trigram_hits(queries, products)
+    vectors = matching.letter_hits(words.select("q", "product").union(grams.select("q", "product")))
+    ranked = [matching.best(x, "q", "product", 50) for x in (words, grams, vectors)]
     return matching.fuse(ranked, ["q", "product"])
 
 

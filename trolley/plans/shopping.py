@@ -93,8 +93,8 @@ def three_alternatives(s, d):
     return baskets.alternatives(_trips(s, d)).select("basket", "alternative", "a", "b", "missing", "total", "travel", "stop_cost")
 
 
-@query("""SELECT basket, alternative, a, b, missing, saving AS basket_saving, b.travel - u.travel AS extra_travel, stop_cost, saving - (b.travel - u.travel) - stop_cost AS net_saving
-    FROM best b JOIN (SELECT "user", travel FROM cands WHERE is_usual) u ON u."user" = (SELECT o_custkey FROM orders WHERE o_orderkey = b.basket)""".replace('u."user" = (SELECT o_custkey FROM orders WHERE o_orderkey = b.basket)', 'u."user" = (b.who)').replace("FROM best b", 'FROM (SELECT best.*, asked."user" AS who FROM best JOIN asked USING (basket)) b'), "best", "cands", "asked")
+@query("""SELECT b.basket, alternative, a, b, missing, saving AS basket_saving, b.travel - c.travel AS extra_travel, stop_cost, saving - (b.travel - c.travel) - stop_cost AS net_saving
+    FROM best b JOIN asked USING (basket) JOIN cands c ON c."user" = asked."user" AND c.is_usual""", "best", "cands", "asked")
 def net_saving(s, d):
     """Each alternative against the user's usual store, over the needs that both have."""
     usual = T.candidates(s, d).where("usual").select("user", F.col("travel").alias("usual_travel"))
