@@ -32,7 +32,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 SLOT_BITS = 20
 #: Lines (classes) of a group that are paired in one task; those of a larger group are dealt to pairs of blocks.
 CROWD = 8192
-#: Likeliest candidates of a line and group that are verified first; lines with more that none of these removes are joined in full.
+#: Likeliest candidates of a line and group, one at least, that are verified first; lines with more that none of these removes are joined in full.
 LIKELIEST = 24
 #: Slots of a chunk of word counts, prefix rows that a task packs at a time, rows of a bucket (about), and bytes of a batch of packed rows.
 CHUNK, HELD, BUCKET, _SENT = 1 << 14, 1 << 19, 400_000, 1 << 22
