@@ -138,3 +138,9 @@ def test_archive_keeps_each_content_once(spark, tmp_path):
     index = archive(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     kept = {r["sha256"]: bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(kept) == 2 and {r["path"][-1]: kept[r["sha256"]] for r in index.collect()} == {"a": b"one", "b": b"two", "c": b"one"}
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count()
