@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import decontaminate, idstore, jaccard, languages, lines, packing, ppm, quality, suffixes, warc
+from trolley.llm import decontaminate, idstore, jaccard, languages, lines, packing, ppm, quality, suffixes, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op5_line_similarity, op6_content_addressed_store, op7_two_stage_suffixes, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op5_line_similarity, op6_content_addressed_store, op7_two_stage_suffixes, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard, op13_embedding_whitening)}
 #: Five-word shingles of a table's texts, as lists of words.
 _SHINGLES = r"""SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (
     SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (

@@ -5,28 +5,44 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+ROOT = Path(__file__).resolve().parents[2]
 
 
 #: Rows and bytes of a batch between Spark and a Python worker: Spark's default, and what stands in for it here.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
+#: How the package's archive is called.
+SHIPPED = "trolley-llm-"
+
+
+def _package() -> str:
+    """The package's modules as an archive that Spark sends to the executors; the driver's copy goes when the driver ends."""
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{SHIPPED}{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted((ROOT / "trolley").rglob("*.py")):
+            archive.write(file, file.relative_to(ROOT))
+    return path
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let the Python workers import this package from the driver's source folder, and bound what a batch of long texts holds."""
+    """Ship this package to the Python workers, and bound what a batch of long texts holds."""
     for name, (default, ours) in BATCH.items():
         if spark.conf.get(name, ours) == default:
             spark.conf.set(name, ours)
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    context = spark.sparkContext
+    if not any(name.startswith(SHIPPED) for name in map(os.path.basename, context._python_includes)):
+        context.addPyFile(_package())
     return spark
 
 
