@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import decontaminate, dominance, idstore, jaccard, languages, lines, packing, ppm, quality, suffixes, warc, whitening
+from trolley.llm import conversations, decontaminate, dominance, idstore, jaccard, languages, lines, packing, ppm, quality, suffixes, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.repaired(conversations.damaged(_table(spark, sf_dir, "conversations")))
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return rows.withColumn("repaired_sha256", F.sha2(text, 256)).drop("repaired")
+
+
 def op12_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.packed(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op5_line_similarity, op6_content_addressed_store, op7_two_stage_suffixes, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard, op12_dominance_packing, op13_embedding_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_containment, op2_warc_normaliser, op3_partial_matching, op4_tokeniser_fertility, op5_line_similarity, op6_content_addressed_store, op7_two_stage_suffixes, op8_best_fit_packing, op9_nearest_centroid, op10_ngram_jaccard, op11_conversation_repair, op12_dominance_packing, op13_embedding_whitening)}
 #: Five-word shingles of a table's texts, as lists of words.
 _SHINGLES = r"""SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (
     SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (
