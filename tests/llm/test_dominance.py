@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ def test_pieces_give_the_ids_of_whole_texts(slab, monkeypatch):
     memo, whole = bytebpe.byte_bpe.__wrapped__(), plain()
     rng = random.Random(4)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice([" ", "\n", " ", "　", "a", "é", "'s", "7", "!"]) for _ in range(40)) for _ in range(300)]
+    texts += pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:40]
     for text, own in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert memo.long(np.frombuffer(text.encode(), np.uint8), 0).tolist() == [*own.ids, 0], text
 
