@@ -13,8 +13,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,12 +108,12 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int =
     cut = work.table(pieces(docs, vocabulary, window).withColumn("salt", F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     n = max(1, cut.count() // group)
 
-    def pack(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        sequence, offset = best_fit(one["length"].tolist(), window)
-        one["sequence_id"] = np.array(sequence, np.int64) * n + one["bin"]
-        one["offset"] = np.array(offset, np.int64)
-        return one[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+    def pack(one: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "start", "ids_crc32")]]
+        one = one.take(pc.sort_indices(one, order))
+        sequence, offset = best_fit(one["length"].to_pylist(), window)
+        own = pa.array(np.array(sequence, np.int64) * n + one["bin"].to_numpy())
+        return one.drop_columns("bin").append_column("sequence_id", own).append_column("offset", pa.array(offset, pa.int64()))
 
     dealt = cut.withColumn("bin", F.pmod("salt", F.lit(n))).drop("salt")
-    return dealt.groupBy("bin").applyInPandas(pack, f"{PIECE}, sequence_id long, offset long")
+    return dealt.groupBy("bin").applyInArrow(pack, f"{PIECE}, sequence_id long, offset long")
