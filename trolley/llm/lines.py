@@ -592,7 +592,8 @@ def by_document(docs: DataFrame) -> DataFrame:
 
     One row per row of docs, whatever its doc_id; a null text has no lines.
     """
-    rows, judged = removed(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), Workspace(docs.sparkSession, "lines"))
+    work = Workspace(docs.sparkSession, "lines")
+    rows, judged = removed(keyed(docs.select("doc_id", "text"), work), work)
     zero = F.lit(0).cast("long")
     joined = rows.join(_by_row(judged), "row", "left")
     return joined.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_exact", "n_near")], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
@@ -621,4 +622,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     joined = own.join(found, ROW_KEY, "left").where(~F.coalesce("_emptied", F.lit(False)))
     hit, text = F.col("_removed").isNotNull(), F.col("_doc.text")
     rest = F.pandas_udf(_without, "string")(F.when(hit, text), "_removed")
-    return restored(joined.select("_doc.*", F.when(hit, rest).otherwise(text).alias("_text")).drop("text").withColumnRenamed("_text", "text"), docs.columns)
+    return restored(joined.select(F.col("_doc").withField("text", F.when(hit, rest).otherwise(text)).alias("_doc")).select("_doc.*"), docs.columns)
