@@ -44,6 +44,29 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Tree:
+    """`merkle` of leaves that come one by one: a root of each full subtree is held, so as many as the number of leaves has bits."""
+
+    def __init__(self):
+        self.n, self.full = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        self.n += 1
+        n = self.n
+        while n % 2 == 0:
+            leaf = digest(b"\x01" + self.full.pop() + leaf)
+            n //= 2
+        self.full.append(leaf)
+
+    def root(self) -> bytes:
+        if not self.full:
+            return merkle([])
+        out = self.full[-1]
+        for x in self.full[-2::-1]:
+            out = digest(b"\x01" + x + out)
+        return out
+
+
 def cuts(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
     """For streams ids[first[d]:first[d + 1]]: where each chunk ends, counted from the stream's start.
 
@@ -188,23 +211,26 @@ def write(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> IdStore:
     index = work.table(dealt.mapInArrow(compact, "digest binary, pack string, at long, size int"), "index")
     work.drop("staging")
 
+    whole = "doc_id long, n_tokens long, root binary, chunks binary, part long, local long, n_docs long"
+    names = [x.split()[0] for x in whole.split(", ")]
+
     def place(batches):
-        part, local = TaskContext.get().partitionId(), 0
+        """The recipes with their part and place there, and behind them one row for the part itself."""
+        part, local, tree = TaskContext.get().partitionId(), 0, Tree()
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
             start = local + np.cumsum(n) - n
             local += int(n.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int64)), pa.array(start.astype(np.int64))], names=[*batch.schema.names, "part", "local"])
+            for root in batch.column("root").to_pylist():
+                tree.add(root)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int64)), pa.array(start.astype(np.int64)), pa.nulls(len(n), pa.int64())], names=names)
+        if tree.n:
+            own = dict(doc_id=None, n_tokens=local, root=tree.root(), chunks=None, part=part, local=None, n_docs=tree.n)
+            yield pa.RecordBatch.from_arrays([pa.array([own[c]], pa.binary() if c in ("root", "chunks") else pa.int64()) for c in names], names=names)
 
     recipes = encoded.where(F.col("root").isNotNull()).select("doc_id", "n_tokens", "root", "chunks", F.monotonically_increasing_id().alias("row"))
     order = [F.asc_nulls_first("doc_id"), "root", "row"]  # rows of one id, null too, are spread as well
     recipes = recipes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("row")
-    recipes = work.table(recipes.mapInArrow(place, "doc_id long, n_tokens long, root binary, chunks binary, part long, local long"), "recipes")
-    tree = pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
-
-    def seal(part: pa.Table) -> pa.Table:
-        part = part.sort_by("local")
-        return pa.table([[part["part"][0].as_py()], [len(part)], [sum(part["n_tokens"].to_pylist())], [merkle(part["root"].to_pylist())]], schema=tree)
-
-    manifest = work.table(recipes.select("part", "local", "n_tokens", "root").groupBy("part").applyInArrow(seal, "part long, n_docs long, n_tokens long, root binary"), "manifest")
+    placed = work.table(recipes.mapInArrow(place, whole), "recipes")
+    recipes, manifest = placed.where("n_docs IS NULL").drop("n_docs"), placed.where("n_docs IS NOT NULL").select("part", "n_docs", "n_tokens", "root")
     return IdStore(work, recipes, index, manifest)
