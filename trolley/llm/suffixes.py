@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm.hashtable import BitSet
 from trolley.llm.textblock import PrefixHash, as_batch, blocks, mixed, raw
-from trolley.llm.workspace import Workspace, partitions
+from trolley.llm.workspace import ROW_KEY, Workspace, keyed, partitions
 
 LENGTH, KEY = 200, 50
 #: Segments of one anchor that one task may sort.
@@ -34,6 +34,8 @@ SORTED = 1 << 18
 #: Parts that the windows of a crowded anchor are dealt to at a time.
 FAN = 6
 _PLACE = np.uint64((1 << 28) - 1)
+#: Open segments whose owners a bit set still tells apart; beyond that they are joined to the texts of their owners.
+MARKS = 1 << 24
 #: Windows looked at together; a longer text is cut into so many, and what a cut parts is put together by sorting.
 WINDOWS = 1 << 27
 
@@ -243,10 +245,9 @@ def _crowded(texts: DataFrame, work: Workspace) -> DataFrame | None:
 def spans(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_key, starts, ends: the windows to remove, as runs of their starts in the document's bytes.
 
-    doc_key is the hash of doc_id and text; documents without a repeated window are left out.
+    docs: doc_key (a number of its own for each row), text; rows without a repeated window are left out.
     """
     spark = work.spark
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
 
     def count(batches):
         schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
@@ -267,12 +268,12 @@ def spans(docs: DataFrame, work: Workspace) -> DataFrame:
             doc, first = doc[keep], first[keep]
             yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), doc_key=batch.column("doc_key").to_numpy()[doc], place=first - o[doc], n=n[keep])
 
-    places = work.table(keyed.mapInArrow(locate, "anchor long, content long, doc_key long, place long, n int"), "places")
+    places = work.table(docs.mapInArrow(locate, "anchor long, content long, doc_key long, place long, n int"), "places")
     contents = work.table(places.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min("doc_key").alias("owner"), F.first("n").alias("n")), "contents")
     # equal segments are repeats of each other in all their windows; an anchor needs sorting if one of its several segments stands alone
     groups = contents.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("times").alias("least")).where("segments > 1 and least = 1").select("anchor", (F.col("segments") > CROWD).alias("crowd"))
     open_ = work.table(contents.join(groups, "anchor").select("anchor", "content", "owner", "crowd"), "open")
-    return _found(places, contents, _texts(keyed, open_), open_, work)
+    return _found(places, contents, _texts(docs, open_), open_, work)
 
 
 def _segments(o: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -286,8 +287,12 @@ def _owner_mark(content: np.ndarray, doc_key: np.ndarray) -> np.ndarray:
     return mixed(content ^ mixed(doc_key))
 
 
-def _texts(keyed: DataFrame, open_: DataFrame) -> DataFrame:
-    """anchor, content, segment, place (the anchor's, in the segment): the bytes of the open segments, sent by the document that owns them (rarely by another too)."""
+def _texts(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """anchor, content, segment, place (the anchor's, in the segment): the bytes of the open segments, sent by the row that owns them.
+
+    Few open segments are told by a bit set of their marks (another row sends one too now and then, which changes nothing).
+    Many are joined to their owners as lists, one for each row, and so no longer than its text.
+    """
     marks = pa.schema([("mark", pa.int64())])
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary()), ("place", pa.int32())])
 
@@ -296,19 +301,29 @@ def _texts(keyed: DataFrame, open_: DataFrame) -> DataFrame:
             content, owner = (batch.column(c).to_numpy().view(np.uint64) for c in ("content", "owner"))
             yield as_batch(marks, mark=_owner_mark(content, owner).view(np.int64))
 
-    wanted = keyed.sparkSession.sparkContext.broadcast(BitSet.of(open_.select("content", "owner").mapInArrow(mark, "mark long"), "mark"))
+    if many := open_.count() > MARKS:
+        docs = docs.join(open_.groupBy(F.col("owner").alias("doc_key")).agg(F.collect_list("content").alias("contents")), "doc_key")
+    wanted = None if many else docs.sparkSession.sparkContext.broadcast(BitSet.of(open_.select("content", "owner").mapInArrow(mark, "mark long"), "mark"))
+
+    def owned(batch: pa.RecordBatch, doc: np.ndarray, content: np.ndarray) -> np.ndarray:
+        if wanted is not None:
+            return wanted.value.has(_owner_mark(content, batch.column("doc_key").to_numpy().view(np.uint64)[doc]))
+        out, edge = np.zeros(len(doc), bool), np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        for k, own in enumerate(batch.column("contents")):
+            out[edge[k] : edge[k + 1]] = np.isin(content[edge[k] : edge[k + 1]].view(np.int64), own.values.to_numpy())
+        return out
 
     def send(batches):
         for batch, text in blocks(batches):
             o, data = raw(text)
             whole = data.tobytes()
             doc, first, n, anchor, place, content = _segments(o, data)
-            keep = np.flatnonzero(wanted.value.has(_owner_mark(content, batch.column("doc_key").to_numpy().view(np.uint64)[doc])))
+            keep = np.flatnonzero(owned(batch, doc, content))
             end = first + n + LENGTH - 1
             if len(keep):
                 yield as_batch(schema, anchor=anchor[keep].view(np.int64), content=content[keep].view(np.int64), segment=[whole[a:b] for a, b in zip(first[keep].tolist(), end[keep].tolist(), strict=True)], place=(place - first)[keep])
 
-    return keyed.mapInArrow(send, "anchor long, content long, segment binary, place int")
+    return docs.mapInArrow(send, "anchor long, content long, segment binary, place int")
 
 
 def _found(places: DataFrame, contents: DataFrame, texts: DataFrame, open_: DataFrame, work: Workspace) -> DataFrame:
@@ -333,10 +348,12 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes.
 
     A null text is empty; a text of fewer than LENGTH bytes loses nothing. Rows of equal doc_id and text are
-    repeats of each other like any others.
+    repeats of each other like any others: every row has a number of its own, by which its spans come back to it.
     """
     work = Workspace(docs.sparkSession, "suffixes")
-    gone = work.table(spans(docs, work), "gone")
+    rows = keyed(docs.select("doc_id", "text"), work).withColumnRenamed(ROW_KEY, "doc_key")
+    gone = work.table(spans(rows.select("doc_key", "text"), work), "gone")
+    work.clear("keyed", "gone")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def remove(batches):
@@ -358,5 +375,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 rows.append((doc, int(b - a), lost, runs, hashlib.sha256(kept).hexdigest(), kept))
             yield as_batch(schema, **{f.name: list(c) for f, c in zip(schema, zip(*rows, strict=True), strict=True)})
 
-    joined = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key")).join(gone, "doc_key", "left")
+    joined = rows.join(gone, "doc_key", "left")
     return joined.select("doc_id", "text", "starts", "ends").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
