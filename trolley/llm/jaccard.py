@@ -8,7 +8,8 @@ the exact size of their sets' intersection.
 
 Candidates are never written pair by pair. Two rounds of taking the smallest class of one's bands give each
 class a home; classes of one home are compared within blocks of a bounded size that carry their sets, so a
-group of m near copies costs block pairs, not m^2 rows. Only candidates whose homes differ become pairs.
+group of m near copies costs block pairs, not m^2 rows. Candidates whose homes differ become pairs; where a band
+has many classes they become so only behind the comparison of MinHash values, which is done in blocks too.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS, ROWS = 48, 6
 #: MinHash values kept for the comparison, how many are compared at a time, and the tolerance of a drop.
 KEPT, STEP, TOLERANCE = 96, 16, 1e-7
 BLOCK = 128
+#: Classes of a block whose MinHash values alone are compared, and pairs compared at a time.
+SKETCHES, PAIRS = 1024, 1 << 16
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 FEW = 2_000_000
 
@@ -150,13 +153,8 @@ def _shingles(docs: DataFrame) -> DataFrame:
 def _compare_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one block pair: representatives, each one's smallest linked representative here, and documents it links to."""
     rep, size, sub = (rows[c].to_numpy() for c in ("rep", "size", "sub"))
-    low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
     signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(len(rows), KEPT)
-    if low == high:
-        a, b = np.triu_indices(len(rows), 1)
-    else:
-        left, right = np.flatnonzero(sub == low), np.flatnonzero(sub == high)
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    a, b = _pairs_of_block(sub, rows["low"][0].as_py(), rows["high"][0].as_py())
     alive = prune(signature, signature, a, b)
     a, b = a[alive], b[alive]
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
@@ -179,6 +177,54 @@ def _compare_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rep, rep[by][root[rank]], links.astype(np.int64)
 
 
+def _pairs_of_block(sub: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a block, or those of a row of block low and one of block high."""
+    if low == high:
+        return np.triu_indices(len(sub), 1)
+    left, right = np.flatnonzero(sub == low), np.flatnonzero(sub == high)
+    return np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+def across_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block pair of a band: pairs of representatives of different homes whose MinHash values stay likely to reach the threshold."""
+    rep, home, sub = (rows[c].to_numpy() for c in ("rep", "home", "sub"))
+    signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(len(rows), KEPT)
+    a, b = _pairs_of_block(sub, rows["low"][0].as_py(), rows["high"][0].as_py())
+    apart = home[a] != home[b]
+    a, b = a[apart], b[apart]
+    a, b = np.where(home[a] < home[b], a, b), np.where(home[a] < home[b], b, a)
+    alive = [prune(signature, signature, a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, len(a), PAIRS)]
+    at = np.concatenate([np.zeros(0, np.int64), *[i * PAIRS + x for i, x in enumerate(alive)]])
+    return rep[a[at]], rep[b[at]]
+
+
+def blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows (key, rep, n: rows of the key) with sub, low and high: each row in every pair of its key's blocks of about `size` rows that holds its own."""
+    dealt = rows.withColumn("subs", F.ceil(F.col("n") / size).cast("int")).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("low", F.least("sub", "other")).withColumn("high", F.greatest("sub", "other")).drop("subs", "other", "n")
+    return dealt.repartition(partitions(rows.sparkSession), key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def crossing(apart: DataFrame, signatures: DataFrame) -> DataFrame:
+    """a, b: representatives of different homes that share a band; those of crowded bands only if their MinHash values agree enough.
+
+    apart: band, rep, home, n (the band's representatives). signatures: rep, signature.
+    """
+    two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        for rows in grouped(batches, ["band", "low", "high"]):
+            a, b = across_block(rows)
+            if len(a):
+                yield as_batch(two, a=a, b=b)
+
+    few, crowd = apart.where(F.col("n") <= BLOCK), apart.where(F.col("n") > BLOCK)
+    side = lambda rep, home: few.select("band", F.col("rep").alias(rep), F.col("home").alias(home))
+    pairs = side("a", "ha").join(side("b", "hb"), "band").where("ha < hb").select("a", "b")
+    found = blocked(crowd.join(signatures, "rep").select("band", "rep", "home", "n", "signature"), "band", SKETCHES).mapInArrow(compare, "a long, b long")
+    return pairs.union(found).distinct()
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """node, root: the smallest node of each connected component of edges (a, b); nodes without edges are left out.
 
@@ -237,10 +283,9 @@ def _linked(docs: DataFrame, work: Workspace) -> DataFrame:
     home = work.table(near.select("band", "rep").join(least, "band").groupBy("rep").agg(F.min("home").alias("home")), "home")
 
     placed = near.select("band", "rep").join(home, "rep")
-    mixed_ = placed.groupBy("band").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("band")
+    mixed_ = placed.groupBy("band").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
     apart = work.table(placed.join(mixed_, "band"), "apart")
-    across = apart.select("band", F.col("rep").alias("a"), F.col("home").alias("ha")).join(apart.select("band", F.col("rep").alias("b"), F.col("home").alias("hb")), "band").where("ha < hb").select("a", "b").distinct()
-    across = work.table(across, "across")
+    across = work.table(crossing(apart, reps.select("rep", "signature").dropDuplicates(["rep"])), "across")
 
     wanted = home.select("rep")
     if few := wanted.count() <= FEW:
@@ -249,8 +294,7 @@ def _linked(docs: DataFrame, work: Workspace) -> DataFrame:
     sets = work.table(_shingles(texts).join(home, "rep").join(reps.select("rep", "size", "signature"), "rep").dropDuplicates(["rep"]), "sets")
 
     crowd = home.groupBy("home").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = sets.join(crowd, "home").withColumn("subs", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("low", F.least("sub", "other")).withColumn("high", F.greatest("sub", "other"))
+    dealt = blocked(sets.join(crowd, "home").select("home", "n", "rep", "size", "signature", "shingles"), "home", BLOCK)
     schema = pa.schema([("rep", pa.int64()), ("least", pa.int64()), ("links", pa.int64())])
 
     def compare(batches):
@@ -260,7 +304,6 @@ def _linked(docs: DataFrame, work: Workspace) -> DataFrame:
             if keep.any():
                 yield as_batch(schema, rep=rep[keep], least=least[keep], links=links[keep])
 
-    dealt = dealt.select("home", "low", "high", "sub", "rep", "size", "signature", "shingles").repartition(partitions(spark), "home", "low", "high").sortWithinPartitions("home", "low", "high")
     inside = work.table(dealt.mapInArrow(compare, "rep long, least long, links long"), "inside")
 
     pairs = across.join(sets.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
