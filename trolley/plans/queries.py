@@ -347,4 +347,4 @@ def price_alerts(s, d):
     return rows.groupBy("item").agg(F.min("price").alias("price"), F.max(crossing.cast("int")).alias("crossed"))
 
 
-from trolley.plans import catalogue, reports, shopping  # noqa: E402, F401  they register their queries
+from trolley.plans import catalogue, optimum, reports, shopping  # noqa: E402, F401  they register their queries

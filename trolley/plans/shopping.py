@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
-from trolley.operators import baskets, places
+from trolley.operators import baskets, places, splits
 from trolley.plans import tables as T
 from trolley.plans.registry import query
 
@@ -51,6 +51,11 @@ def _trips(s, d) -> DataFrame:
     return baskets.trips(_asked(s, d), T.hits(s, d), stores)
 
 
+def _alternatives(s, d) -> DataFrame:
+    """basket, user, alternative, a, b, missing, total, travel, stop_cost, saving: the best single store, pair or store, and nearest store."""
+    return splits.best_sets(_asked(s, d), T.hits(s, d), T.candidates(s, d), T.shoppers(s, d)).drop("n_stores", "c")
+
+
 @query(_sql("SELECT *, row_number() OVER (PARTITION BY basket ORDER BY missing, total, store) AS place FROM totals"))
 def basket_compare(s, d):
     return baskets.ranked(_totals(s, d)).withColumn("place", F.col("place").cast("long"))
@@ -90,7 +95,7 @@ def subset_costs(s, d):
 
 @query("SELECT basket, alternative, a, b, missing, total, travel, stop_cost FROM best", "best")
 def three_alternatives(s, d):
-    return baskets.alternatives(_trips(s, d)).select("basket", "alternative", "a", "b", "missing", "total", "travel", "stop_cost")
+    return _alternatives(s, d).select("basket", "alternative", "a", "b", "missing", "total", "travel", "stop_cost")
 
 
 @query("""SELECT b.basket, alternative, a, b, missing, saving AS basket_saving, b.travel - c.travel AS extra_travel, stop_cost, saving - (b.travel - c.travel) - stop_cost AS net_saving
@@ -98,7 +103,7 @@ def three_alternatives(s, d):
 def net_saving(s, d):
     """Each alternative against the user's usual store, over the needs that both have."""
     usual = T.candidates(s, d).where("usual").select("user", F.col("travel").alias("usual_travel"))
-    rows = baskets.alternatives(_trips(s, d)).join(usual, "user")
+    rows = _alternatives(s, d).join(usual, "user")
     extra = F.col("travel") - F.col("usual_travel")
     return rows.select("basket", "alternative", "a", "b", "missing", F.col("saving").alias("basket_saving"), extra.alias("extra_travel"), "stop_cost", (F.col("saving") - extra - F.col("stop_cost")).alias("net_saving"))
 
@@ -107,7 +112,7 @@ def net_saving(s, d):
     FROM best b JOIN best s USING (basket) JOIN asked USING (basket) JOIN shoppers USING ("user") WHERE b.alternative = 'split' AND s.alternative = 'single'""", "best", "asked", "shoppers")
 def store_limits(s, d):
     """The split, or the best single store where the user takes one store only or a second one saves too little and finds nothing more."""
-    found = baskets.alternatives(_trips(s, d)).where("alternative <> 'least_effort'")
+    found = _alternatives(s, d).where("alternative <> 'least_effort'")
     pick = lambda name: F.max_by(F.struct("a", "b", "missing", "total", "travel", "stop_cost"), F.col("alternative") == name)
     rows = found.groupBy("basket", "user").agg(pick("single").alias("s"), pick("split").alias("x")).join(T.shoppers(s, d).select("user", "max_stores", "min_saving"), "user")
     saved = F.col("s.total") - F.col("x.total") - (F.col("x.travel") - F.col("s.travel")) - F.col("x.stop_cost")
@@ -125,7 +130,7 @@ def best_per_item(s, d):
     WHERE b.alternative = 'split' AND s.alternative = 'single' GROUP BY ALL""", "best", "hits")
 def saving_share(s, d):
     """What two stores cost against every need at its cheapest store and against one store."""
-    found = baskets.alternatives(_trips(s, d))
+    found = _alternatives(s, d)
     split = found.where("alternative = 'split'").select("basket", "missing", "total")
     single = found.where("alternative = 'single'").select("basket", F.col("total").alias("single_total"))
     bound = T.hits(s, d).groupBy("basket", "need").agg(F.min("cost").alias("cost")).groupBy("basket").agg(F.sum("cost").alias("bound"))
@@ -146,7 +151,7 @@ def top_swaps(s, d):
     , LATERAL (SELECT unnest(['1_usual', '2_stores', '3_promos', '4_travel', '5_stop', '6_net']) AS step, unnest([at_usual, shelf - at_usual, cost - shelf, extra, stop_cost, at_usual - cost - extra - stop_cost]) AS amount)""", "best", "cands", "asked", "hits", "subsets")
 def saving_waterfall(s, d):
     """From the usual store's shelf prices by change of stores, promotions, travel and stop to what is saved, over needs that the usual store has."""
-    split = baskets.alternatives(_trips(s, d)).where("alternative = 'split'").select("basket", "user", "a", "b", "travel", "stop_cost")
+    split = _alternatives(s, d).where("alternative = 'split'").select("basket", "user", "a", "b", "travel", "stop_cost")
     usual = T.candidates(s, d).where("usual").select("user", F.col("travel").alias("usual_travel"))
     rows = T.hits(s, d).join(split.select("basket", "a", "b"), "basket")
     chosen = F.min(F.when((F.col("store") == F.col("a")) | (F.col("store") == F.col("b")), F.struct("cost", "store", "shelf"))).alias("c")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trolley.functions import columns as C
 from trolley.functions.columns import agorot, div
 from trolley.operators import places, prices
+from trolley.plans.nightly import counted, nightly
 
 #: Kilometres around a user, nearest stores that a split may use, and the moment at which promotions must hold.
 RADIUS, NEAREST, AT = 15.0, 10, "1996-06-30 12:00:00"
@@ -55,6 +56,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), lat.alias("lat"), lon.alias("lon"))
 
 
+@nightly("lineitem", "orders")
 def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """basket, need, user, item, qty: one row per distinct item of an order."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
@@ -62,6 +64,7 @@ def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, "basket").select("basket", F.col("item").alias("need"), "user", "item", "qty")
 
 
+@nightly("lineitem")
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, store, price: the latest price of each."""
     return prices.latest(observations(spark, sf_dir), ["item", "store"], latest_first()).select("item", "store", "price")
@@ -69,12 +72,13 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shoppers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with their usual store, clubs, way of travel, value of a stop, most stores and least saving."""
-    n, u = max(1, table(spark, sf_dir, "supplier").count()), F.col("user")
+    n, u = max(1, counted(spark, sf_dir, "supplier")), F.col("user")
     mode = F.element_at(F.array(F.lit("car"), F.lit("transit"), F.lit("delivery")), (F.pmod(u, F.lit(3)) + 1).cast("int"))
     more = [F.pmod(u, F.lit(n)).alias("usual"), (u % 2 == 0).alias("club_a"), (u % 3 == 0).alias("club_n"), mode.alias("mode"), (1000 + F.pmod(u, F.lit(4)) * 500).alias("stop_value"), (1 + F.pmod(u, F.lit(2))).alias("max_stores"), (F.pmod(u, F.lit(5)) * 200).alias("min_saving")]
     return users(spark, sf_dir).select("user", "lat", "lon", *more)
 
 
+@nightly("customer", "supplier")
 def candidates(spark: SparkSession, sf_dir: str, n: int = NEAREST) -> DataFrame:
     """user, store, metres, travel, usual (whether it is), place (from 0): each user's nearest stores, and always the usual one."""
     who, where = shoppers(spark, sf_dir), stores(spark, sf_dir)
@@ -99,6 +103,7 @@ def promos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@nightly("lineitem", "supplier")
 def deals(spark: SparkSession, sf_dir: str, at: str = AT) -> DataFrame:
     """item, store and terms of the promotions that hold at a moment: an item of the group, at the store or any of the chain."""
     now = F.lit(at).cast("timestamp_ntz")
@@ -120,6 +125,7 @@ def eligible() -> Column:
     return F.col("club").isNull() | ((F.col("club") == "A") & F.col("club_a")) | ((F.col("club") == "N") & F.col("club_n"))
 
 
+@nightly("lineitem", "orders", "customer", "supplier")
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """basket, need, user, qty, store, place, usual, price, shelf, cost, promo: each need at each candidate store that has it, at the effective price."""
     found = needs(spark, sf_dir).join(candidates(spark, sf_dir).select("user", "store", "place", "usual"), "user").join(offers(spark, sf_dir), ["item", "store"])
