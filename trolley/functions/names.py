@@ -12,8 +12,15 @@ ABBREVIATIONS = {"ש.ז.": "שמן זית", "מהד'": "מהדרין", "ק\"ג":
 #: States of a product. Fixed values.
 STATES = ["fresh", "frozen", "chilled", "canned"]
 ATTRIBUTES = "category_path string, product_type string, brand string, is_private_label boolean, fat_pct double, state string, flavor string, kosher string, diet_flags array<string>, pack_size long, unit string"
-#: Words in a name, in any case, that state a diet tag. Fixed values.
-DIETS = {"vegan": "vegan|tofu|soy", "gluten_free": "gluten.free|rice|corn", "dairy": "milk|cheese|yogurt|butter", "kosher": "kosher|mehadrin|מהדרין"}
+#: What a name says for and against a diet, in any case: phrases that grant it, and such that deny it once those are taken out. Fixed values.
+DIETS = {
+    "dairy_free": (r"(?:dairy|milk|lactose)[ -]free|non[ -]dairy|without (?:milk|dairy)|parve", r"milk|cheese|yogurt|butter|dairy|lactose"),
+    "gluten_free": (r"gluten[ -]free|without gluten|ללא גלוטן", r"gluten|wheat|barley|rye"),
+    "kosher": (r"\bkosher|mehadrin|מהדרין", r"non[ -]kosher"),
+    "vegan": (r"\bvegan|plant[ -]based", r"non[ -]vegan|not vegan|milk|cheese|egg|meat"),
+}
+#: What turns the word behind it around. Fixed values.
+_NOT = r"(?:non|not)[ -]"
 #: Departments whose goods are bought as exact articles unless the user says otherwise. Fixed values.
 EXACT = ["cosmetics", "baby", "cleaning"]
 
@@ -58,9 +65,34 @@ def attributes(json: Column) -> Column:
     return x.withField("state", F.when(x["state"].isin(STATES), x["state"]))
 
 
+def diet_state(name: Column, tag: str) -> Column:
+    """yes, no or unverified: whether a name grants a diet. A denied grant (non-vegan) is no; what it does not speak of is unverified, not absent."""
+    grants, denies = DIETS[tag]
+    text = F.lower(name)
+    denied = text.rlike(f"{_NOT}(?:{grants})")
+    rest = F.regexp_replace(text, grants if tag in ("dairy_free", "gluten_free") else r"(?:dairy|milk|lactose)[ -]free|non[ -]dairy|without (?:milk|dairy)", " ")
+    return F.when(denied | rest.rlike(denies), "no").when(text.rlike(grants), "yes").otherwise("unverified")
+
+
 def diet_tags(name: Column) -> Column:
-    """The diet tags that a name states; what it does not state is unverified, not absent."""
-    return F.array_compact(F.array(*[F.when(F.lower(name).rlike(words), F.lit(tag)) for tag, words in DIETS.items()]))
+    """array of struct(tag, state) of every diet."""
+    return F.array(*[F.struct(F.lit(tag).alias("tag"), diet_state(name, tag).alias("state")) for tag in DIETS])
+
+
+def fat_percent(name: Column) -> Column:
+    """The whole percentage of fat that a name states, or null."""
+    return F.regexp_extract(F.lower(name), r"([0-9]+) ?% ?fat", 1).try_cast("long")
+
+
+def private_label(name: Column) -> Column:
+    """Whether a name says that the chain's own brand stands behind it."""
+    return F.lower(name).rlike(r"\b(?:house brand|own label|private label)\b")
+
+
+def state_of(name: Column) -> Column:
+    """The first state of STATES that a name states, or null."""
+    found = F.regexp_extract(F.lower(name), rf"\b({'|'.join(STATES)})\b", 1)
+    return F.when(found != "", found)
 
 
 def explain(a: Column, b: Column) -> Column:

@@ -146,13 +146,14 @@ class Promo:
 
 @dataclass(frozen=True)
 class Option:
-    """A product for a need at a place: its price, what its choice costs in preference, the promotions that cover it."""
+    """A product for a need at a place: its price, what its choice costs in preference, the promotions that cover it, its packs if not the need's quantity."""
 
     item: int
     place: int
     price: int
     penalty: int = 0
     promos: tuple[Promo, ...] = ()
+    packs: int | None = None
 
 
 @dataclass
@@ -321,11 +322,14 @@ class Basket:
             out[top(i)].append(i)
         return list(out.values())
 
+    def _packs(self, i: int, o: Option) -> int:
+        return self.needs[i][1] if o.packs is None else o.packs
+
     def bought(self, place: int, lines: tuple[tuple[int, Option], ...]) -> tuple[int, dict]:
         """What these needs cost together at a place, and the units in each promotion."""
         key = place, lines
         if key not in self.known:
-            self.known[key] = allocate([Line(self.needs[i][1], o.price, o.promos) for i, o in lines])
+            self.known[key] = allocate([Line(self._packs(i, o), o.price, o.promos) for i, o in lines])
         return self.known[key]
 
     def _cost(self, chosen: list[tuple[int, Option]]) -> int:
@@ -336,7 +340,7 @@ class Basket:
 
     def _floor(self, i: int, o: Option) -> float:
         """The least that a need's option may cost, whatever else is bought with it."""
-        return self.needs[i][1] * min([o.price, *[_rate(p, o.price) for p in o.promos]]) + o.penalty - len(o.promos)
+        return self._packs(i, o) * min([o.price, *[_rate(p, o.price) for p in o.promos]]) + o.penalty - len(o.promos)
 
     def group(self, members: list[int], inside: set[int]) -> tuple[int, int, list[tuple[int, Option]]]:
         """Missing needs, least cost and choice of a group at the given places: depth first, each need's likely options first, cut by floors."""
@@ -418,7 +422,7 @@ def optimal(rows: DataFrame) -> DataFrame:
     """The optimum of each basket, with its items (need:item@store) and bundles (promotion@store:units).
 
     rows: a row per basket: basket, needs (array of struct need, qty), options (array of struct need, item, place, price, penalty,
-    promos: array of struct promo_id, kind, n, t, min_qty, max_qty), stores, travels (by place), stop_value, max_stores, min_saving.
+    packs, promos: array of struct promo_id, kind, n, t, min_qty, max_qty), stores, travels (by place), stop_value, max_stores, min_saving.
     """
 
     def run(batches):
@@ -430,7 +434,7 @@ def optimal(rows: DataFrame) -> DataFrame:
                 options: list[list[Option]] = [[] for _ in needs]
                 for o in r["options"] or []:
                     terms = sorted({Promo(p["promo_id"], p["kind"], p["n"], p["t"], p["min_qty"], p["max_qty"]) for p in o["promos"] or []}, key=lambda p: p.id)
-                    options[place[o["need"]]].append(Option(o["item"], o["place"], o["price"], o["penalty"], tuple(terms)))
+                    options[place[o["need"]]].append(Option(o["item"], o["place"], o["price"], o["penalty"], tuple(terms), o["packs"]))
                 best = Basket(needs, options, r["travels"], r["stop_value"]).optimum(r["max_stores"], r["min_saving"])
                 if best is None:
                     continue

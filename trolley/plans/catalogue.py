@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
 from trolley.functions import names as N
-from trolley.operators import matching
+from trolley.operators import matching, substitutes
 from trolley.plans import tables as T
 from trolley.plans.registry import query
 from trolley.plans.tables import sql, table
@@ -56,25 +56,56 @@ def attribute_records(s, d):
     return x.select("item", "x.category_path", "x.brand", "x.is_private_label", "x.fat_pct", "x.state", "x.flavor", "x.pack_size", F.size("x.diet_flags").alias("diets"))
 
 
-_TAG = "CASE WHEN regexp_matches(lower({0}), '{1}') THEN '{2}' END"
-_TAGS = "list_filter([" + ", ".join(_TAG.format("{0}", words, tag) for tag, words in N.DIETS.items()) + "], lambda t: t IS NOT NULL)"
+#: What a chain prints on a shelf label, by item: whose brand, fat, state and diet. Derived, since the table has none of it.
+_SAYS = ["gluten free", "contains gluten", "vegan", "non-vegan", "dairy free", "with milk", "kosher", "", "non-dairy vegan", "not vegan, gluten-free"]
 
 
-@query(f"SELECT turn, count(*) AS texts, CAST(sum(len(tags)) AS BIGINT) AS tags, count_if(len(tags) = 0) AS unverified FROM (SELECT turn, {_TAGS.format('text')} AS tags FROM conversations) GROUP BY turn")
+def labels(s, d) -> DataFrame:
+    """item, name, kind, trait, brand, size, base and label: the text of a shelf label."""
+    i = F.col("item")
+    says = F.element_at(F.array(*[F.lit(x) for x in _SAYS]), (i % len(_SAYS) + 1).cast("int"))
+    fat = F.when(i % 7 != 0, F.concat(F.lit(" "), (i % 4).cast("string"), F.lit("% fat"))).otherwise("")
+    state = F.element_at(F.array(*[F.lit(x) for x in [*N.STATES, ""]]), (i % 5 + 1).cast("int"))
+    label = F.concat(F.initcap("name"), F.lit(" "), F.when(i % 5 == 0, "House Brand").otherwise(F.col("brand")), fat, F.lit(" "), state, F.lit(" "), says, F.lit(" "), F.col("size").cast("string"), F.lit(" g"))
+    return T.items(s, d).select("item", "name", "kind", "trait", "brand", "size", "base", label.alias("label"))
+
+
+_LABELS = f"""labels AS MATERIALIZED (SELECT *, upper(trait[1]) || trait[2:] || ' ' || upper(kind[1]) || kind[2:] || ' ' || CASE WHEN item % 5 = 0 THEN 'House Brand' ELSE brand END || CASE WHEN item % 7 <> 0 THEN ' ' || (item % 4) || '% fat' ELSE '' END || ' ' || {[*N.STATES, ""]}[item % 5 + 1] || ' ' || {_SAYS}[item % {len(_SAYS)} + 1] || ' ' || size || ' g' AS label FROM items)"""
+_RULES = """known AS MATERIALIZED (SELECT item, name, kind, trait, brand, size, base, size // 10 AS size_class, regexp_matches(lower(label), '\\b(?:house brand|own label|private label)\\b') AS private_label,
+    TRY_CAST(regexp_extract(lower(label), '([0-9]+) ?% ?fat', 1) AS BIGINT) AS fat, nullif(regexp_extract(lower(label), '\\b(fresh|frozen|chilled|canned)\\b', 1), '') AS state FROM labels)"""
+LABELS = sql("", "items").rstrip() + ", " + _LABELS
+KNOWN = LABELS + ", " + _RULES
+
+
+def _diet_sql(tag: str) -> str:
+    grants, denies = N.DIETS[tag]
+    out = grants if tag in ("dairy_free", "gluten_free") else "(?:dairy|milk|lactose)[ -]free|non[ -]dairy|without (?:milk|dairy)"
+    return f"CASE WHEN regexp_matches(lower(label), '(?:non|not)[ -](?:{grants})') OR regexp_matches(regexp_replace(lower(label), '{out}', ' ', 'g'), '{denies}') THEN 'no' WHEN regexp_matches(lower(label), '{grants}') THEN 'yes' ELSE 'unverified' END"
+
+
+_DIETS = "diets AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT item, kind, '{tag}' AS tag, {_diet_sql(tag)} AS state FROM labels" for tag in N.DIETS) + ")"
+
+
+def diets(s, d) -> DataFrame:
+    """item, kind, tag, state: what each label says of each diet."""
+    return labels(s, d).select("item", "kind", F.inline(N.diet_tags(F.col("label"))))
+
+
+@query(LABELS + ", " + _DIETS + " SELECT * FROM diets")
 def diet_tags(s, d):
-    rows = table(s, d, "conversations").select("turn", N.diet_tags(F.col("text")).alias("tags"))
-    return rows.groupBy("turn").agg(F.count("*").alias("texts"), F.sum(F.size("tags")).alias("tags"), F.count_if(F.size("tags") == 0).alias("unverified"))
+    """Each product's diets from its label, with what is denied told from what is not said."""
+    return diets(s, d)
 
 
-@query("SELECT item, name, trait, brand, size // 10 AS size_class, item % 5 = 0 AS private_label, CASE WHEN item % 7 = 0 THEN NULL ELSE item % 4 END AS fat FROM items", "items")
+@query(KNOWN + " SELECT item, name, trait, brand, size_class, private_label, fat, state FROM known")
 def rule_attributes(s, d):
-    """Attributes by rules from name and fields, the stand-in of a model."""
-    return _known(s, d).select("item", "name", "trait", "brand", "size_class", "private_label", "fat")
+    """Attributes read from a label by rules, the stand-in of a model."""
+    return _known(s, d).select("item", "name", "trait", "brand", "size_class", "private_label", "fat", "state")
 
 
 def _known(s, d) -> DataFrame:
-    i = F.col("item")
-    return T.items(s, d).select("item", "name", "kind", "trait", "brand", "size", "base", C.div(F.col("size"), 10).alias("size_class"), (i % 5 == 0).alias("private_label"), F.when(i % 7 != 0, i % 4).alias("fat"))
+    x = F.col("label")
+    return labels(s, d).select("item", "name", "kind", "trait", "brand", "size", "base", C.div(F.col("size"), 10).alias("size_class"), N.private_label(x).alias("private_label"), N.fat_percent(x).alias("fat"), N.state_of(x).alias("state"))
 
 
 # ---- mapping and levels
@@ -115,47 +146,55 @@ def active_pick(s, d):
     return rows.select("item", "confidence", F.abs(F.col("confidence") - 900).alias("distance")).orderBy("distance", "item").limit(100)
 
 
-_PAIRS = """pairs AS MATERIALIZED (SELECT a.item AS a, b.item AS b, a.trait = b.trait AS trait, a.brand = b.brand AS brand, a.size // 10 = b.size // 10 AS size_class, a.item % 5 = 0 AS pa, b.item % 5 = 0 AS pb, CASE WHEN a.item % 7 <> 0 AND b.item % 7 <> 0 THEN a.item % 4 = b.item % 4 END AS fat, a.base AS base_a, b.base AS base_b
-    FROM (SELECT *, lead(item) OVER (PARTITION BY kind, size // 10 ORDER BY trait, item DESC) AS after FROM items) a JOIN items b ON b.item = a.after)"""
-PAIRS = sql("", "items").rstrip() + ", " + _PAIRS
-_WHERE = "list_filter([CASE WHEN {0} THEN 'brand' END, CASE WHEN {1} THEN 'fat' END, CASE WHEN {2} THEN 'size_class' END, CASE WHEN {3} THEN 'trait' END], lambda t: t IS NOT NULL)"
+#: What a substitute must have in common with an item, and what the user may leave open. Fixed values.
+FIXED, SOFT = ["kind", "trait", "size_class"], ["brand", "fat", "state"]
+_SUBS = """subs AS MATERIALIZED (SELECT a, open, arg_min(b, (base_b, b)) AS b, min(base_b) AS base_b, any_value(base_a) AS base_a FROM (
+    SELECT a.item AS a, b.item AS b, a.base AS base_a, b.base AS base_b, m.open FROM known a JOIN known b ON a.kind = b.kind AND a.trait = b.trait AND a.size_class = b.size_class AND b.base < a.base,
+        (SELECT unnest([[]::VARCHAR[], ['brand'], ['fat'], ['brand', 'fat'], ['state'], ['brand', 'state'], ['fat', 'state'], ['brand', 'fat', 'state']]) AS open) m
+    WHERE (list_contains(m.open, 'brand') OR a.brand = b.brand) AND (list_contains(m.open, 'fat') OR a.fat = b.fat) AND (list_contains(m.open, 'state') OR a.state = b.state)) GROUP BY a, open)"""
+SUBS = KNOWN + ", " + _SUBS
 
 
-def _explained(s, d) -> DataFrame:
-    """a, b and what is the same, different and unverified of them: each item with the next one of its kind and size class."""
-    values = F.create_map(F.lit("trait"), F.col("trait"), F.lit("brand"), F.col("brand"), F.lit("size_class"), F.col("size_class").cast("string"), F.lit("fat"), F.col("fat").cast("string"))
-    after = F.lead("item").over(Window.partitionBy("kind", "size_class").orderBy("trait", F.desc("item")))
-    rows = _known(s, d).select("item", "base", values.alias("values"), after.alias("after"))
-    a, b = (rows.select(F.col("item").alias(x), "after", F.col("base").alias(f"base_{x}"), F.col("values").alias(f"values_{x}")) for x in "ab")
-    pairs = a.withColumnRenamed("after", "b").join(b.drop("after"), "b")
-    return pairs.select("a", "b", "base_a", "base_b", N.explain(F.col("values_a"), F.col("values_b")).alias("x")).select("a", "b", "base_a", "base_b", "x.*")
+def _substitutes(s, d) -> DataFrame:
+    """item, open, substitute, substitute_price: the cheapest substitute of each item for each choice of what is left open."""
+    return substitutes.cheapest(_known(s, d), "item", "base", FIXED, SOFT)
 
 
-@query(PAIRS + f" SELECT a, b, array_to_string({_WHERE.format('brand', 'fat', 'size_class', 'trait')}, ',') AS same, array_to_string({_WHERE.format('NOT brand', 'NOT fat', 'NOT size_class', 'NOT trait')}, ',') AS different, CASE WHEN fat IS NULL THEN 'fat' ELSE '' END AS unverified FROM pairs")
+@query(SUBS + """, x AS (SELECT s.a, s.b, a.brand = b.brand AS brand, a.fat = b.fat AS fat, a.state = b.state AS state FROM subs s JOIN known a ON a.item = s.a JOIN known b ON b.item = s.b WHERE len(open) = 3)
+    SELECT a, b, array_to_string(list_filter([CASE WHEN brand THEN 'brand' END, CASE WHEN fat THEN 'fat' END, 'size_class', CASE WHEN state THEN 'state' END, 'trait'], lambda t: t IS NOT NULL), ',') AS same, array_to_string(list_filter([CASE WHEN NOT brand THEN 'brand' END, CASE WHEN NOT fat THEN 'fat' END, CASE WHEN NOT state THEN 'state' END], lambda t: t IS NOT NULL), ',') AS different,
+        array_to_string(list_filter([CASE WHEN fat IS NULL THEN 'fat' END, CASE WHEN state IS NULL THEN 'state' END], lambda t: t IS NOT NULL), ',') AS unverified FROM x""")
 def substitution_explained(s, d):
-    return _explained(s, d).select("a", "b", *[F.concat_ws(",", c).alias(c) for c in ("same", "different", "unverified")])
+    """Each item's cheapest substitute with everything soft left open, and what is the same, different and unverified of the two."""
+    values = F.create_map(*[x for c in ("trait", "brand", "size_class", "fat", "state") for x in (F.lit(c), F.col(c).cast("string"))])
+    rows = _known(s, d).select("item", values.alias("values"))
+    pairs = _substitutes(s, d).where(F.size("open") == len(SOFT)).select(F.col("item").alias("a"), F.col("substitute").alias("b"))
+    both = pairs.join(rows.select(F.col("item").alias("a"), F.col("values").alias("va")), "a").join(rows.select(F.col("item").alias("b"), F.col("values").alias("vb")), "b")
+    return both.select("a", "b", N.explain(F.col("va"), F.col("vb")).alias("x")).select("a", "b", *[F.concat_ws(",", f"x.{c}").alias(c) for c in ("same", "different", "unverified")])
 
 
-@query(PAIRS + " SELECT a, b, base_a - base_b AS saving FROM pairs WHERE trait AND size_class AND base_b < base_a")
+@query(SUBS + " SELECT a, array_to_string(open, ',') AS open_, b, base_a - base_b AS saving FROM subs")
 def allowed_substitutes(s, d):
-    """Cheaper substitutes that differ in what the user leaves open only: brand and fat."""
-    soft = F.array(F.lit("brand"), F.lit("fat"))
-    return _explained(s, d).where(N.allowed(F.col("different"), F.col("unverified"), soft)).where("base_b < base_a").select("a", "b", (F.col("base_a") - F.col("base_b")).alias("saving"))
+    """For each choice of what the user leaves open, the cheapest substitute that differs in nothing else."""
+    own = T.items(s, d).select("item", "base")
+    return _substitutes(s, d).join(own, "item").select(F.col("item").alias("a"), F.concat_ws(",", "open").alias("open_"), F.col("substitute").alias("b"), (F.col("base") - F.col("substitute_price")).alias("saving"))
 
 
-@query(PAIRS + " SELECT a AS item, CASE WHEN trait AND size_class AND fat THEN 'any_brand' ELSE 'substitute' END AS level, fat IS NULL AS unverified FROM pairs")
+@query(KNOWN + """, s AS (SELECT a.item, b.item AS b, b.base AS base_b, coalesce(a.trait = b.trait AND a.size_class = b.size_class AND a.fat = b.fat, false) AS whole, a.fat IS NULL AS unverified FROM known a JOIN known b ON a.kind = b.kind AND b.base < a.base)
+    SELECT item, 'any_brand' AS level, arg_min(b, (base_b, b)) AS substitute, unverified FROM s WHERE whole GROUP BY item, unverified UNION ALL SELECT item, 'substitute', arg_min(b, (base_b, b)), unverified FROM s GROUP BY item, unverified""")
 def hard_rules(s, d):
-    """What a pair of one kind may stand for: a critical attribute that differs or is unknown rules out any_brand."""
-    free = F.size(F.array_intersect(F.array_union("different", "unverified"), F.array(F.lit("trait"), F.lit("size_class"), F.lit("fat")))) == 0
-    return _explained(s, d).select(F.col("a").alias("item"), F.when(free, "any_brand").otherwise("substitute").alias("level"), (F.size("unverified") > 0).alias("unverified"))
+    """The cheapest other product at each level: any_brand needs every critical attribute known and equal, a substitute the kind only."""
+    known = _known(s, d)
+    strict = substitutes.cheapest(known, "item", "base", ["kind", "trait", "size_class", "fat"], []).withColumn("level", F.lit("any_brand"))
+    loose = substitutes.cheapest(known, "item", "base", ["kind"], []).withColumn("level", F.lit("substitute"))
+    return strict.union(loose).join(known.select("item", F.col("fat").isNull().alias("unverified")), "item").select("item", "level", "substitute", "unverified")
 
 
-@query(PAIRS + " SELECT a AS item, '7290' || lpad(a::VARCHAR, 7, '0') AS barcode, b AS substitute, base_a - base_b AS saving FROM pairs WHERE a % 4 = 1 AND trait AND base_b < base_a")
+@query(KNOWN + """ SELECT a.item, '7290' || lpad(a.item::VARCHAR, 7, '0') AS barcode, arg_min(b.item, (b.base, b.item)) AS substitute, any_value(a.base) - min(b.base) AS saving FROM known a JOIN known b ON a.kind = b.kind AND a.trait = b.trait AND b.base < a.base WHERE a.item % 4 = 1 GROUP BY a.item""")
 def barcode_substitute(s, d):
-    """From a scanned barcode to its item and the cheaper one of the same kind and trait."""
-    scanned = _raw(s, d).where("item % 4 = 1").select(F.col("item").alias("a"), "barcode")
-    rows = _explained(s, d).where(F.array_contains("same", "trait") & (F.col("base_b") < F.col("base_a"))).join(scanned, "a")
-    return rows.select(F.col("a").alias("item"), "barcode", F.col("b").alias("substitute"), (F.col("base_a") - F.col("base_b")).alias("saving"))
+    """From a scanned barcode to its item and the cheapest one of the same kind and trait."""
+    scanned = _raw(s, d).where("item % 4 = 1").select("item", "barcode", "base")
+    found = substitutes.cheapest(_known(s, d), "item", "base", ["kind", "trait"], [])
+    return scanned.join(found, "item").select("item", "barcode", "substitute", (F.col("base") - F.col("substitute_price")).alias("saving"))
 
 
 _DEPARTMENT = "CASE item % 6 WHEN 0 THEN 'cosmetics' WHEN 1 THEN 'dairy' WHEN 2 THEN 'baby' WHEN 3 THEN 'bakery' WHEN 4 THEN 'produce' ELSE 'pantry' END"
@@ -179,24 +218,31 @@ def level_defaults(s, d):
     return leveled(s, d).groupBy("department", "level").agg(F.count("*").alias("needs"))
 
 
-_VARIANTS = f"""lv AS MATERIALIZED (SELECT n.basket, n.need, n."user", n.qty, {_LEVEL} AS level, i.name, i.kind FROM needs n JOIN items i USING (item)),
-    named AS MATERIALIZED (SELECT name, store, arg_min(item, (price, item)) AS item, min(price) AS price FROM offers JOIN items USING (item) GROUP BY name, store),
-    kinds AS MATERIALIZED (SELECT kind, store, arg_min(item, (price, item)) AS item, min(price) AS price FROM offers JOIN items USING (item) GROUP BY kind, store),
-    picks AS MATERIALIZED (SELECT l.basket, l.need, l.qty, c.store, o.item, o.price FROM lv l JOIN cands c USING ("user") JOIN offers o ON o.item = l.need AND o.store = c.store WHERE level = 'exact'
-    UNION ALL SELECT l.basket, l.need, l.qty, c.store, o.item, o.price FROM lv l JOIN cands c USING ("user") JOIN named o ON o.name = l.name AND o.store = c.store WHERE level = 'any_brand'
-    UNION ALL SELECT l.basket, l.need, l.qty, c.store, o.item, o.price FROM lv l JOIN cands c USING ("user") JOIN kinds o ON o.kind = l.kind AND o.store = c.store WHERE level = 'close')"""
+_BEST = "arg_min({{item: item, price: price, size: size}}, (price * 1000 // size, price, item)) AS x FROM offers JOIN items USING (item) GROUP BY {0}, store"
+_VARIANTS = f"""lv AS MATERIALIZED (SELECT n.basket, n.need, n."user", n.qty, {_LEVEL} AS level, i.name, i.kind, i.size FROM needs n JOIN items i USING (item)),
+    named AS MATERIALIZED (SELECT name, store, {_BEST.format("name")}),
+    kinds AS MATERIALIZED (SELECT kind, store, {_BEST.format("kind")}),
+    chosen AS MATERIALIZED (SELECT l.basket, l.need, l.qty, c.store, o.item, o.price, l.qty AS packs FROM lv l JOIN cands c USING ("user") JOIN offers o ON o.item = l.need AND o.store = c.store WHERE level = 'exact'
+    UNION ALL SELECT l.basket, l.need, l.qty, c.store, o.x.item, o.x.price, (l.qty * l.size + o.x.size - 1) // o.x.size FROM lv l JOIN cands c USING ("user") JOIN named o ON o.name = l.name AND o.store = c.store WHERE level = 'any_brand'
+    UNION ALL SELECT l.basket, l.need, l.qty, c.store, o.x.item, o.x.price, (l.qty * l.size + o.x.size - 1) // o.x.size FROM lv l JOIN cands c USING ("user") JOIN kinds o ON o.kind = l.kind AND o.store = c.store WHERE level = 'close'),
+    picks AS MATERIALIZED (SELECT basket, need, qty, store, item, price, CAST(packs AS BIGINT) AS packs, CAST(packs * price AS BIGINT) AS cost FROM chosen)"""
 VARIANTS = sql("", "needs", "items", "offers", "cands").rstrip() + ", " + _VARIANTS
 
 
 def _picks(s, d) -> DataFrame:
-    """basket, need, qty, store, item, price: the cheapest variant of each need at each candidate store, by the need's own level."""
-    offers = T.offers(s, d).join(T.items(s, d).select("item", "name", "kind"), "item")
-    best = lambda key: offers.groupBy(key, "store").agg(F.min(F.struct("price", "item")).alias("o")).select(key, "store", "o.item", "o.price")
-    needs = leveled(s, d).drop("item").join(T.items(s, d).select(F.col("item").alias("need"), "name", "kind"), "need").join(T.candidates(s, d).select("user", "store"), "user")
-    out = ["basket", "need", "qty", "store", "item", "price"]
-    exact = needs.where("level = 'exact'").join(offers.select(F.col("item").alias("need"), "item", "store", "price"), ["need", "store"]).select(*out)
-    brand = needs.where("level = 'any_brand'").join(best("name"), ["name", "store"]).select(*out)
-    return exact.unionByName(brand).unionByName(needs.where("level = 'close'").join(best("kind"), ["kind", "store"]).select(*out))
+    """basket, need, qty, store, item, price, packs, cost: the variant of each need at each candidate store, by the need's own level.
+
+    Variants compete by unit price. The need is met in base units: as many packs of the variant as hold what qty packs of the item hold.
+    """
+    offers = T.offers(s, d).join(T.items(s, d).select("item", "name", "kind", "size"), "item")
+    unit = C.div(F.col("price") * 1000, F.col("size"))
+    best = lambda key: offers.groupBy(key, "store").agg(F.min(F.struct(unit.alias("unit"), "price", "item", "size")).alias("o")).select(key, "store", "o.item", "o.price", F.col("o.size").alias("pack"))
+    needs = leveled(s, d).drop("item").join(T.items(s, d).select(F.col("item").alias("need"), "name", "kind", "size"), "need").join(T.candidates(s, d).select("user", "store"), "user")
+    packs = C.div(F.col("qty") * F.col("size") + F.col("pack") - 1, F.col("pack"))
+    out = lambda rows, n: rows.select("basket", "need", "qty", "store", "item", "price", n.alias("packs"), (n * F.col("price")).alias("cost"))
+    exact = out(needs.where("level = 'exact'").join(offers.select(F.col("item").alias("need"), "item", "store", "price"), ["need", "store"]), F.col("qty"))
+    brand = out(needs.where("level = 'any_brand'").join(best("name"), ["name", "store"]), packs)
+    return exact.unionByName(brand).unionByName(out(needs.where("level = 'close'").join(best("kind"), ["kind", "store"]), packs))
 
 
 @query(VARIANTS + " SELECT * FROM picks")
@@ -205,11 +251,11 @@ def variants_by_level(s, d):
 
 
 @query(VARIANTS + """ SELECT t.basket, c.store, coalesce(p.found, 0) AS found, t.n - coalesce(p.found, 0) AS missing, CAST(coalesce(p.substituted, 0) AS BIGINT) AS substituted, CAST(coalesce(p.total, 0) AS BIGINT) AS total FROM (SELECT basket, "user", count(*) AS n FROM needs GROUP BY ALL) t JOIN cands c USING ("user")
-    LEFT JOIN (SELECT basket, store, count(*) AS found, count(CASE WHEN item <> need THEN 1 END) AS substituted, sum(qty * price) AS total FROM picks GROUP BY ALL) p ON p.basket = t.basket AND p.store = c.store""")
+    LEFT JOIN (SELECT basket, store, count(*) AS found, count(CASE WHEN item <> need THEN 1 END) AS substituted, sum(cost) AS total FROM picks GROUP BY ALL) p ON p.basket = t.basket AND p.store = c.store""")
 def basket_variants(s, d):
     """Totals at the candidate stores with found, missing and substituted needs."""
     asked = T.needs(s, d).groupBy("basket", "user").agg(F.count("*").alias("n"))
-    found = _picks(s, d).groupBy("basket", "store").agg(F.count("*").alias("found"), F.count_if(F.col("item") != F.col("need")).alias("substituted"), F.sum(F.col("qty") * F.col("price")).alias("total"))
+    found = _picks(s, d).groupBy("basket", "store").agg(F.count("*").alias("found"), F.count_if(F.col("item") != F.col("need")).alias("substituted"), F.sum("cost").alias("total"))
     rows = asked.join(T.candidates(s, d).select("user", "store"), "user").join(found, ["basket", "store"], "left")
     zero = F.lit(0).cast("long")
     return rows.select("basket", "store", F.coalesce("found", zero).alias("found"), (F.col("n") - F.coalesce("found", zero)).alias("missing"), F.coalesce("substituted", zero).alias("substituted"), F.coalesce("total", zero).alias("total"))
@@ -221,12 +267,16 @@ def list_by_department(s, d):
     return leveled(s, d).select("basket", "need", "department", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("""SELECT item, count_if(v) AS fits, count_if(NOT v) AS unverified FROM (SELECT n.item, CASE WHEN n.item % 3 = 0 THEN true WHEN n.item % 3 = 1 THEN false END AS v FROM needs n WHERE n."user" % 4 = 0) WHERE v IS NOT NULL GROUP BY item""", "needs")
+_DIET_OF = """CASE n."user" % 8 WHEN 0 THEN 'vegan' WHEN 4 THEN 'gluten_free' END"""
+
+
+@query(sql("", "needs", "items").rstrip() + ", " + _LABELS + ", " + _DIETS + f""" SELECT n.item, d.tag, count_if(d.state = 'yes') AS fits, count_if(d.state = 'unverified') AS unverified FROM needs n JOIN diets d ON d.item = n.item AND d.tag = {_DIET_OF} WHERE d.state <> 'no' GROUP BY n.item, d.tag""")
 def preference_filter(s, d):
-    """Needs of users with a diet: what carries the tag fits, what is unverified stays and is labelled, what contradicts goes."""
-    i = F.col("item") % 3
-    rows = T.needs(s, d).where("user % 4 = 0").withColumn("tag", F.when(i == 0, "yes").when(i == 1, "unverified").otherwise("no")).where("tag <> 'no'")
-    return rows.groupBy("item").agg(F.count_if(F.col("tag") == "yes").alias("fits"), F.count_if(F.col("tag") == "unverified").alias("unverified"))
+    """Needs of users with a diet, by what the labels say: what grants it fits, what is unverified stays and is labelled, what denies it goes."""
+    m = F.pmod(F.col("user"), F.lit(8))
+    wanted = T.needs(s, d).select("item", F.when(m == 0, "vegan").when(m == 4, "gluten_free").alias("tag")).where("tag IS NOT NULL")
+    rows = wanted.join(diets(s, d).where("state <> 'no'").select("item", "tag", "state"), ["item", "tag"])
+    return rows.groupBy("item", "tag").agg(F.count_if(F.col("state") == "yes").alias("fits"), F.count_if(F.col("state") == "unverified").alias("unverified"))
 
 
 # ---- search

@@ -67,12 +67,12 @@ def _terms(s, d, rows: DataFrame) -> DataFrame:
 def optimal_rows(s, d) -> DataFrame:
     """A row per basket with its needs, the options of each need at each candidate store, and the user's terms."""
     place = T.candidates(s, d).select("user", "store", "place")
-    own = T.hits(s, d).select("basket", "user", "need", F.col("need").alias("item"), "store", "price", F.lit(0).alias("penalty"))
+    own = T.hits(s, d).select("basket", "user", "need", F.col("need").alias("item"), "store", "price", F.lit(0).alias("penalty"), F.col("qty").alias("packs"))
     level = leveled(s, d).select("basket", "need", "user", "level")
     penalty = F.when(F.col("level") == "close", PENALTY["close"]).otherwise(PENALTY["any_brand"])
-    other = _picks(s, d).where("item <> need").join(level, ["basket", "need"]).select("basket", "user", "need", "item", "store", "price", penalty.alias("penalty"))
+    other = _picks(s, d).where("item <> need").join(level, ["basket", "need"]).select("basket", "user", "need", "item", "store", "price", penalty.alias("penalty"), "packs")
     options = _terms(s, d, own.union(other)).join(place, ["user", "store"])
-    listed = options.groupBy("basket").agg(F.collect_list(F.struct("need", "item", "place", "price", "penalty", "promos")).alias("options"))
+    listed = options.groupBy("basket").agg(F.collect_list(F.struct("need", "item", "place", "price", "penalty", "packs", "promos")).alias("options"))
     needs = T.needs(s, d).groupBy("basket", "user").agg(F.collect_list(F.struct("need", "qty")).alias("needs"))
     terms = T.shoppers(s, d).select("user", F.col("stop_value").cast("long").alias("stop_value"), (1 + F.pmod(F.col("user"), F.lit(3))).cast("int").alias("max_stores"), F.col("min_saving").cast("long").alias("min_saving"))
     return needs.join(listed, "basket", "left").join(splits.store_rows(T.candidates(s, d)), "user").join(terms, "user").drop("user")
