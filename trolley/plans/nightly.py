@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trolley.operators.shared import store
+
 _WRITTEN: dict[tuple, tuple] = {}
 _COUNTED: dict[tuple, int] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local session without it has a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = f"file://{tempfile.gettempdir()}/nightly-{os.getpid()}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
     """A digest of the files of the tables, with their sizes and times of change."""
     jvm, conf, seen = spark._jvm, spark._jsc.hadoopConfiguration(), hashlib.sha256()
@@ -56,11 +43,8 @@ def nightly(*tables: str) -> Callable:
         def get(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
             key = (spark.sparkContext.applicationId, build.__name__, sf_dir, args, state(spark, sf_dir, tables))
             if key not in _WRITTEN:
-                df, path = build(spark, sf_dir, *args), f"{shared_dir(spark)}/{build.__name__}-{uuid.uuid4().hex}"
-                df.write.parquet(path)
-                at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-                _WRITTEN[key] = path, df.schema
+                df = build(spark, sf_dir, *args)
+                _WRITTEN[key] = store(df, build.__name__), df.schema
             path, schema = _WRITTEN[key]
             return spark.read.schema(schema).parquet(path)
 

@@ -105,20 +105,6 @@ def promo_cost(s, d):
     return T.observations(s, d).select("order_id", "line", "item", "store", (F.col("qty") * F.col("price")).alias("shelf"), _cost(F.col("qty")).alias("cost"))
 
 
-_EACH = ["{extra: %d, saved: (qty + %d) * price - (%s), each_cost: (%s) * 1000 // (qty + %d)}" % (e, e, c, c, e) for e in (0, 1, 2) for c in [_COST.replace("qty", f"(qty + {e})")]]
-
-
-@query(f"""SELECT order_id, line, item, store, CAST(best.extra AS INTEGER) AS extra, best.saved AS saved FROM (
-    SELECT *, list_sort([{", ".join("{each_cost: x.each_cost, extra: x.extra, saved: x.saved}".replace("x.", f"(e{k}).") for k in range(3))}])[1] AS best FROM (SELECT *, {", ".join(f"{x} AS e{k}" for k, x in enumerate(_EACH))} FROM obs)) WHERE best.extra > 0""", "obs")
-def roundup_offer(s, d):
-    costs = []
-    for extra in range(3):
-        q = F.col("qty") + extra
-        costs.append(F.struct(C.div(_cost(q) * 1000, q).alias("each_cost"), F.lit(extra).alias("extra"), (q * F.col("price") - _cost(q)).alias("saved")))
-    rows = T.observations(s, d).select("order_id", "line", "item", "store", F.inline(F.array(F.least(*costs))))  # a generator, so that each cost is worked out once
-    return rows.where("extra > 0").drop("each_cost")
-
-
 # ---- levels of flexibility
 
 
@@ -240,9 +226,8 @@ def price_history(s, d):
 
 @query("SELECT item, store, order_id, line, price, min(price) OVER w AS low_90 FROM obs WINDOW w AS (PARTITION BY item ORDER BY epoch(valid_from)::BIGINT RANGE BETWEEN 7776000 PRECEDING AND CURRENT ROW)", "obs")
 def rolling_low_90d(s, d):
-    seconds = F.unix_timestamp(F.col("valid_from").cast("timestamp"))
-    w = Window.partitionBy("item").orderBy("at").rangeBetween(-90 * 86400, 0)
-    return T.observations(s, d).withColumn("at", seconds).select("item", "store", "order_id", "line", "price", F.min("price").over(w).alias("low_90"))
+    rows = T.observations(s, d).withColumn("at", F.unix_timestamp(F.col("valid_from").cast("timestamp"))).select("item", "store", "order_id", "line", "price", "at")
+    return prices.rolling_low(rows, "item", "at", "price", "low_90").drop("at")
 
 
 @query("""SELECT item, CAST(sum(gap) AS BIGINT) AS days, count(gap) AS gaps FROM (SELECT item, date_diff('day', lag(day) OVER (PARTITION BY item ORDER BY day), day) AS gap FROM (SELECT DISTINCT item, CAST(valid_from AS DATE) AS day FROM obs WHERE pct >= 5)) GROUP BY item""", "obs")
@@ -332,19 +317,26 @@ def market_report(s, d):
     return rows.groupBy("chain", "brand").agg(F.count("*").alias("offers"), C.div(F.sum("price"), F.count("*")).alias("mean")).where("offers >= 5")
 
 
-@query("""SELECT item, store, price, rank() OVER (PARTITION BY item ORDER BY price) AS rank_, CAST(ntile(4) OVER (PARTITION BY item ORDER BY price, store) AS INTEGER) AS quarter, CAST(sum(price) OVER (PARTITION BY item) AS BIGINT) AS item_total FROM latest""", "latest")
+@query("""SELECT name, store, item, unit_price, rank() OVER (PARTITION BY name, store ORDER BY unit_price) AS rank_, CAST(ntile(4) OVER (PARTITION BY name, store ORDER BY unit_price, item) AS INTEGER) AS quarter, unit_price - min(unit_price) OVER (PARTITION BY name, store) AS above FROM (
+    SELECT name, store, item, price * CASE WHEN size > 0 THEN 100000 END // size AS unit_price FROM latest JOIN items USING (item))""", "latest", "items")
 def variant_ranks(s, d):
-    w = Window.partitionBy("item")
-    return _offers(s, d).select("item", "store", "price", F.rank().over(w.orderBy("price")).cast("long").alias("rank_"), F.ntile(4).over(w.orderBy("price", "store")).alias("quarter"), F.sum("price").over(w).alias("item_total"))
+    """The variants of a canonical product at a store, ranked by unit price."""
+    w = Window.partitionBy("name", "store")
+    rows = _offers(s, d).join(T.items(s, d).select("item", "name", "size"), "item").select("name", "store", "item", C.unit_price(F.col("price"), F.col("size"), F.lit("g")).alias("unit_price"))
+    return rows.select("name", "store", "item", "unit_price", F.rank().over(w.orderBy("unit_price")).cast("long").alias("rank_"), F.ntile(4).over(w.orderBy("unit_price", "item")).alias("quarter"), (F.col("unit_price") - F.min("unit_price").over(w)).alias("above"))
 
 
-@query("""SELECT item, low AS price, crossed FROM (SELECT item, min(price) AS low, CAST(max(CASE WHEN price < base AND (before IS NULL OR before >= base) THEN 1 ELSE 0 END) AS INTEGER) AS crossed FROM (
-    SELECT o.*, base, lag(price) OVER (PARTITION BY item, store ORDER BY valid_from, order_id, line, price, qty) AS before FROM obs o JOIN items USING (item)) GROUP BY item)""", "obs", "items")
+@query("""SELECT name, min(price) AS low, CAST(count(DISTINCT CASE WHEN price < wanted THEN item END) AS BIGINT) AS variants, CAST(count(CASE WHEN price < wanted AND (before IS NULL OR before >= wanted) THEN 1 END) AS BIGINT) AS crossings FROM (
+    SELECT o.*, i.name, w.wanted, lag(price) OVER (PARTITION BY o.item, store ORDER BY valid_from, order_id, line, price, qty) AS before FROM obs o JOIN items i USING (item) JOIN (SELECT name, CAST(sum(base) // count(*) AS BIGINT) AS wanted FROM items GROUP BY name) w ON w.name = i.name) GROUP BY name""", "obs", "items")
 def price_alerts(s, d):
+    """By canonical product: how often any of its variants at any store falls below the wanted price, and how many variants ever do."""
+    items = T.items(s, d).select("item", "name", "base")
+    wanted = items.groupBy("name").agg(C.div(F.sum("base"), F.count("*")).alias("wanted"))
     w = Window.partitionBy("item", "store").orderBy(*T.EVENT_ORDER)
-    rows = T.observations(s, d).join(T.items(s, d).select("item", "base"), "item").withColumn("before", F.lag("price").over(w))
-    crossing = (F.col("price") < F.col("base")) & (F.col("before").isNull() | (F.col("before") >= F.col("base")))
-    return rows.groupBy("item").agg(F.min("price").alias("price"), F.max(crossing.cast("int")).alias("crossed"))
+    rows = T.observations(s, d).withColumn("before", F.lag("price").over(w)).join(items, "item").join(wanted, "name")
+    under = F.col("price") < F.col("wanted")
+    crossing = under & (F.col("before").isNull() | (F.col("before") >= F.col("wanted")))
+    return rows.groupBy("name").agg(F.min("price").alias("low"), F.countDistinct(F.when(under, F.col("item"))).alias("variants"), F.count_if(crossing).alias("crossings"))
 
 
 from trolley.plans import catalogue, optimum, reports, shopping  # noqa: E402, F401  they register their queries

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
-from trolley.operators import baskets, places, splits
+from trolley.operators import baskets, intervals, places, splits
 from trolley.plans import tables as T
 from trolley.plans.registry import query
 
@@ -206,21 +206,48 @@ def effective_prices(s, d):
     return found.select("name", "store", "qty", "x.best_item", "x.cost", F.when(F.col("x.promo") >= 0, F.col("x.promo")).alias("promo_id"), "x.club")
 
 
-@query("""SELECT o_orderkey AS basket, n.item, p.store, count(*) AS promos FROM orders JOIN needs n ON n.basket = o_orderkey JOIN (SELECT *, unnest(item_codes) AS item FROM promos) p ON p.item = n.item AND p.store IS NOT NULL AND p.start_ts <= o_orderdate AND o_orderdate < p.end_ts GROUP BY ALL""", "needs", "promos")
+@query("""SELECT n.basket, n.item, coalesce(p.store, st.store) AS store, count(*) AS promos, count(p.club) AS club_promos, count(CASE WHEN p.store IS NULL THEN 1 END) AS chain_wide
+    FROM needs n JOIN orders ON o_orderkey = n.basket JOIN shoppers u ON u."user" = n."user" JOIN (SELECT *, unnest(item_codes) AS item FROM promos) p ON p.item = n.item AND p.start_ts <= o_orderdate AND o_orderdate < p.end_ts AND p.from_min <= n.basket * 37 % 1440 AND n.basket * 37 % 1440 < p.to_min
+        AND (p.club IS NULL OR (p.club = 'A' AND club_a) OR (p.club = 'N' AND club_n)) LEFT JOIN stores st ON p.store IS NULL AND st.chain = p.chain GROUP BY ALL""", "needs", "promos", "shoppers", "stores")
 def promo_interval_join(s, d):
-    """Each need with the store promotions of its item that hold on the order's date: an equi-join on the item, the interval behind it."""
-    at = T.table(s, d, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_orderdate").alias("at"))
-    held = T.promos(s, d).where("store IS NOT NULL").select(F.explode("item_codes").alias("item"), "store", "start_ts", "end_ts")
-    rows = T.needs(s, d).select("basket", "item").join(at, "basket").join(held, "item").where((F.col("start_ts") <= F.col("at")) & (F.col("at") < F.col("end_ts")))
-    return rows.groupBy("basket", "item", "store").agg(F.count("*").alias("promos"))
-
-
-@query("""SELECT basket, store, promo_id, CAST(units AS BIGINT) AS units, CAST(units // 3 AS BIGINT) AS bundles FROM (SELECT h.basket, h.store, d.promo_id, sum(h.qty) AS units FROM hits h JOIN deals d ON d.item = h.need AND d.store = h.store WHERE d.kind = 'n_for_t' GROUP BY ALL) WHERE units >= 3""", "hits", "deals")
+    """Each need with the promotions of its item that hold at the order's day and minute and are open to the user, by store; chain-wide ones at every store of the chain."""
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    at = T.table(s, d, "orders").select(F.col("o_orderkey").alias("basket"), seconds("o_orderdate").alias("at"))
+    clubs = T.shoppers(s, d).select("user", "club_a", "club_n")
+    points = T.needs(s, d).select("basket", "item", "user").join(at, "basket").join(clubs, "user").withColumn("minute", F.col("basket") * 37 % 1440)
+    held = T.promos(s, d).select(F.explode("item_codes").alias("item"), "store", "chain", "club", "from_min", "to_min", seconds("start_ts").alias("since"), seconds("end_ts").alias("until"))
+    rows = intervals.join(points, held, ["item"], "at", "since", "until", 10 * 86400).where((F.col("from_min") <= F.col("minute")) & (F.col("minute") < F.col("to_min")) & T.eligible())
+    # by chain first, so that a chain's stores meet counts and not promotions
+    counted = rows.groupBy("basket", "item", "chain", "store").agg(F.count("*").alias("promos"), F.count("club").alias("club_promos"))
+    wide = counted.where("store IS NULL").drop("store").join(T.stores(s, d).select("store", "chain"), "chain").withColumn("chain_wide", F.col("promos"))
+    both = counted.where("store IS NOT NULL").withColumn("chain_wide", F.lit(0).cast("long")).unionByName(wide)
+    return both.groupBy("basket", "item", "store").agg(*[F.sum(c).alias(c) for c in ("promos", "club_promos", "chain_wide")])
+
+
+@query("""SELECT basket, store, promo_id, kind, CAST(units AS BIGINT) AS units, CAST(units // n AS BIGINT) AS bundles, items FROM (SELECT h.basket, h.store, d.promo_id, d.kind, CASE d.kind WHEN 'n_for_t' THEN d.n ELSE d.n + d.t END AS n, count(*) AS items, sum(least(h.qty, coalesce(d.max_qty, h.qty))) AS units, sum(h.qty) AS asked, any_value(min_qty) AS least_ FROM hits h JOIN deals d ON d.item = h.need AND d.store = h.store JOIN shoppers u ON u."user" = h."user"
+    WHERE d.kind IN ('n_for_t', 'x_plus_y') AND (club IS NULL OR (club = 'A' AND club_a) OR (club = 'N' AND club_n)) GROUP BY h.basket, h.store, d.promo_id, d.kind, d.n, d.t) WHERE units >= n AND asked >= least_""", "hits", "deals", "shoppers")
 def cross_item_bundles(s, d):
-    """Complete groups of three that a basket's needs fill together, across the items of a promotion."""
-    bundle = T.deals(s, d).where("kind = 'n_for_t'").select(F.col("item").alias("need"), "store", "promo_id")
-    units = T.hits(s, d).join(bundle, ["need", "store"]).groupBy("basket", "store", "promo_id").agg(F.sum("qty").alias("units"))
-    return units.where("units >= 3").select("basket", "store", "promo_id", "units", C.div(F.col("units"), 3).alias("bundles"))
+    """Complete bundles that a basket's needs fill together, across the items of a promotion: by its own terms, limits and club. `bundle_allocation` deals the units."""
+    clubs = T.shoppers(s, d).select("user", "club_a", "club_n")
+    bundle = T.deals(s, d).where("kind in ('n_for_t', 'x_plus_y')").withColumnRenamed("item", "need")
+    rows = T.hits(s, d).join(bundle, ["need", "store"]).join(clubs, "user").where(T.eligible())
+    group = F.when(F.col("kind") == "n_for_t", F.col("n")).otherwise(F.col("n") + F.col("t"))
+    units = rows.groupBy("basket", "store", "promo_id", "kind", group.alias("group"), "min_qty").agg(F.sum(F.least("qty", F.coalesce("max_qty", "qty"))).alias("units"), F.sum("qty").alias("asked"), F.count("*").alias("items"))
+    return units.where("units >= group AND asked >= min_qty").select("basket", "store", "promo_id", "kind", "units", C.div(F.col("units"), F.col("group")).alias("bundles"), "items")
+
+
+@query("""SELECT basket, need, store, CAST(x.extra AS INTEGER) AS extra, x.cost AS cost, (qty + x.extra) * price - x.cost AS saved FROM (SELECT basket, need, store, any_value(qty) AS qty, any_value(price) AS price, min({each: cost * 1000 // (qty + extra), extra: extra, cost: cost}) AS x FROM (
+    SELECT h.basket, h.need, h.store, h.qty, h.price, e.extra, least((h.qty + e.extra) * h.price, min(CASE WHEN club IS NULL OR (club = 'A' AND club_a) OR (club = 'N' AND club_n) THEN """ + C.PROMO_SQL.format(q="(h.qty + e.extra)", p="h.price") + """ END)) AS cost
+    FROM hits h JOIN deals d ON d.item = h.need AND d.store = h.store JOIN shoppers u ON u."user" = h."user", (SELECT unnest([0, 1, 2])::BIGINT AS extra) e GROUP BY h.basket, h.need, h.store, h.qty, h.price, e.extra) GROUP BY basket, need, store) WHERE x.extra > 0""", "hits", "deals", "shoppers")
+def roundup_offer(s, d):
+    """One or two units more that make a need cheaper a unit at a store, under the promotions that hold there and are open to the user."""
+    clubs = T.shoppers(s, d).select("user", "club_a", "club_n")
+    rows = T.hits(s, d).select("basket", "need", "user", "store", "qty", "price").join(T.deals(s, d).withColumnRenamed("item", "need"), ["need", "store"]).join(clubs, "user").where(T.eligible())
+    more = rows.withColumn("extra", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("q", F.col("qty") + F.col("extra"))
+    costs = more.withColumn("cost", T.deal_cost(F.col("q"), F.col("price"))).groupBy("basket", "need", "store", "price", "q", "extra").agg(F.min("cost").alias("deal"))
+    cost = F.least("deal", F.col("q") * F.col("price"))
+    best = costs.select("basket", "need", "store", F.struct(C.div(cost * 1000, F.col("q")).alias("each"), "extra", cost.alias("cost"), (F.col("q") * F.col("price") - cost).alias("saved")).alias("x"))
+    return best.groupBy("basket", "need", "store").agg(F.min("x").alias("x")).where("x.extra > 0").select("basket", "need", "store", "x.extra", "x.cost", "x.saved")
 
 
 @query("""SELECT mode, count(*) AS pairs, CAST(sum(travel) AS BIGINT) AS travel, CAST(sum(metres) AS BIGINT) AS metres FROM cands JOIN shoppers USING ("user") GROUP BY mode""", "cands", "shoppers")
