@@ -25,13 +25,15 @@ def split(rows: DataFrame, judged: DataFrame, files: list[str]) -> tuple[DataFra
 
 
 def pending(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Files whose content was never loaded, one per content; a delta is loadable only after a full file of its feed.
+    """Files whose content was never loaded, one per content (that of the smallest chain, store and time); a delta is loadable only after a full file of its feed.
 
     The full file may have been loaded before or come with the delta: it is looked for in files and log (sha256,
     chain_id, store_code, file_type, file_ts) together.
     """
     feed = ["chain_id", "store_code"]
-    fresh = files.join(log.select("sha256"), "sha256", "left_anti").dropDuplicates(["sha256"])
+    order = [*feed, "file_ts", "file_type"]
+    first = F.min(F.struct(*order, *[c for c in files.columns if c not in {*order, "sha256"}])).alias("_first")
+    fresh = files.join(log.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(first).select("sha256", "_first.*").select(*files.columns)
     fulls = files.select(*feed, "file_type", "file_ts").unionByName(log.select(*feed, "file_type", "file_ts")).where("file_type = 'full'")
     first = fulls.groupBy(*feed).agg(F.min("file_ts").alias("_full"))
     loadable = (F.col("file_type") == "full") | F.coalesce(F.col("_full") <= F.col("file_ts"), F.lit(False))

@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The folder that holds this package, and how its archive is called.
+ROOT, SHIPPED = Path(__file__).resolve().parents[2], "trolley-"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the executors, once a context: functions that run there import them."""
+    context = spark.sparkContext
+    if not any(os.path.basename(x).startswith(SHIPPED) for x in context._python_includes):
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"{folder}/{SHIPPED}{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(path, "w") as archive:
+            for file in sorted((ROOT / "trolley").rglob("*.py")):
+                archive.write(file, file.relative_to(ROOT))
+        context.addPyFile(path)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local session without it has a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

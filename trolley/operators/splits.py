@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trolley.operators.shared import ship
+
 #: Candidate stores of a user at most, and stores of a set at most.
 PLACES, MOST = 12, 3
 #: More than any basket costs, and what it is counted in where a need is missing.
@@ -91,6 +93,7 @@ def best_sets(asked: DataFrame, hits: DataFrame, candidates: DataFrame, terms: D
     member asks. asked: basket, user, n.
     hits: basket, need, place, usual, cost. candidates: user, store, place, travel. terms: user, stop_value.
     """
+    ship(asked.sparkSession)
     rows = asked.join(cost_rows(hits), "basket", "left").join(store_rows(candidates), "user").join(terms.select("user", F.col("stop_value").cast("long").alias("stop_value")), "user")
 
     def run(batches):
@@ -444,6 +447,7 @@ def optimal(rows: DataFrame) -> DataFrame:
             kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[t]) for k, (_, t) in enumerate(names)], names=[c for c, _ in names])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, _OPTIMUM)
 
 
@@ -467,4 +471,5 @@ def allocated(rows: DataFrame) -> DataFrame:
             kinds = {"long": pa.int64(), "string": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[t]) for k, (_, t) in enumerate(names)], names=[c for c, _ in names])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, _ALLOCATED)

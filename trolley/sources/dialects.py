@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import zipfile
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trolley.sources.splitter import split
+
 #: Columns of the inner model, by the names of the first schema generation. Fixed values.
 COLUMNS = {"ChainId": "chain_id", "StoreId": "store_code", "ItemCode": "item_code", "ItemName": "raw_name", "Quantity": "quantity", "UnitOfMeasure": "unit", "ManufacturerName": "manufacturer", "ItemPrice": "price", "PriceUpdateDate": "valid_from"}
 
@@ -30,32 +28,22 @@ def adapt(rows: DataFrame, dialect: Dialect) -> DataFrame:
     return known.select(*[(F.col(tag) if tag in known.columns else F.lit(None).cast("string")).alias(name) for tag, name in COLUMNS.items()]).withColumns({"price": F.col("price").try_cast("decimal(12,2)"), "quantity": F.col("quantity").try_cast("decimal(12,3)"), "valid_from": F.col("valid_from").try_cast("timestamp_ntz")})
 
 
+#: Columns that a file may state once for all its records.
+ONCE = ["ChainId", "StoreId"]
+
+
 def read(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
     """The rows of a chain's files in the inner model.
 
-    UTF-8 goes through Spark's XML reader. Zips, and other character sets without a declaration, are decoded file by
-    file first: a file is one task's work then, as a gzip stream is anyway.
+    Gzip, zip and plain files are told by their first bytes, and read as streams in any character set: a file is one task's
+    work, as a gzip stream is anyway, and may be larger than the task's memory. What a record lacks of ONCE it has from its file.
     """
-    schema = T.StructType([T.StructField({v: k for k, v in dialect.renamed.items()}.get(tag, tag), T.StringType()) for tag in COLUMNS])
-    if dialect.container != "zip" and dialect.charset.upper() == "UTF-8":
-        reader = spark.read.format("xml").option("rowTag", dialect.row_tag).option("charset", dialect.charset).option("multiLine", True)
-        return adapt(reader.schema(schema).load(path), dialect)
-    charset = dialect.charset
-
-    def decoded(parts):  # a function of its own, so that it reaches workers that do not have this package
-        for part in parts:
-            for content in part["content"]:
-                found = [gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content]
-                if content[:2] == b"PK":
-                    with zipfile.ZipFile(io.BytesIO(content)) as box:
-                        found = [box.read(name) for name in box.namelist()]
-                for x in found:
-                    yield pd.DataFrame({"xml": [x.decode(charset)]})
-
-    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, "xml string")
-    row = rf"(?s)<{dialect.row_tag}(?:\s[^>]*)?>.*?</{dialect.row_tag}\s*>"
-    rows = texts.select(F.explode(F.regexp_extract_all("xml", F.lit(row), F.lit(0))).alias("x"))
-    return adapt(rows.select(F.from_xml("x", schema).alias("r")).select("r.*"), dialect)
+    tags = {tag: {v: k for k, v in dialect.renamed.items()}.get(tag, tag) for tag in COLUMNS}
+    schema = T.StructType([T.StructField(own, T.StringType()) for own in tags.values()])
+    found = split(spark, path, dialect.row_tag, dialect.charset, [tags[c] for c in ONCE])
+    rows = found.select("fields", F.from_xml("record", schema).alias("r"))
+    whole = rows.select(*[(F.coalesce(F.col("r")[own], F.col("fields")[own]) if tag in ONCE else F.col("r")[own]).alias(own) for tag, own in tags.items()])
+    return adapt(whole, dialect)
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -67,9 +55,16 @@ def union(tables: list[DataFrame]) -> DataFrame:
 
 
 def archive(spark: SparkSession, path: str, to: str) -> DataFrame:
-    """Keep the bytes of landed files untouched in a table by content's hash, each content once, and return the index (path, sha256, length)."""
+    """Add the bytes of landed files, untouched, to a table by content's hash, each content once whatever came before; the index (path, sha256, length) is returned.
+
+    What the archive has stays as it is: a call adds the contents that it lacks, so a call that is repeated adds nothing.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
-    files.select("sha256", "content").dropDuplicates(["sha256"]).write.mode("overwrite").parquet(to)
+    new = files.select("sha256", "content").dropDuplicates(["sha256"])
+    at = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        new = new.join(spark.read.schema("sha256 string, content binary").parquet(to).select("sha256"), "sha256", "left_anti")
+    new.write.mode("append").parquet(to)
     return files.drop("content")
 
 
