@@ -97,6 +97,26 @@ def changes(events: DataFrame, keys: list[str], order: list[str], value: str) ->
     return events.withColumn("_before", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
 
 
+def change_feed(events: DataFrame, keys: list[str], at: str, order: list[str], value: str, silent_days: int = 90) -> DataFrame:
+    """The events that the change stream emits: the first of a key, one behind a longer silence, and each that differs from the one before."""
+    w = Window.partitionBy(*keys).orderBy(at, *order)
+    silent = F.col(at) > F.lag(at).over(w) + F.expr(f"INTERVAL {silent_days} DAY")
+    return events.where(F.col(value).isNotNull()).withColumn("_new", F.coalesce(silent, F.lit(True)) | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("_new").drop("_new")
+
+
+def alert_feed(events: DataFrame, keys: list[str], at: str, order: list[str], value: str, below: Column, rearm: Column, silent_days: int = 90) -> DataFrame:
+    """The events that the alert stream emits: the first below the threshold since the value reached `rearm` or the key was silent for longer.
+
+    What arms is counted up to each event; of the events below of one count the first is an alert.
+    """
+    w = Window.partitionBy(*keys).orderBy(at, *order)
+    silent = F.coalesce(F.col(at) > F.lag(at).over(w) + F.expr(f"INTERVAL {silent_days} DAY"), F.lit(True))
+    starts = (silent.cast("int") + (F.col(value) >= rearm).cast("int")).alias("_starts")
+    rows = events.where(F.col(value).isNotNull()).select("*", starts).withColumn("_armed", F.sum("_starts").over(w))
+    first = F.row_number().over(Window.partitionBy(*keys, "_armed").orderBy(at, *order))
+    return rows.where(F.col(value) < below).withColumn("_nth", first).where("_nth = 1").drop("_starts", "_armed", "_nth")
+
+
 def validity(events: DataFrame, keys: list[str], order: list[str], at: str) -> DataFrame:
     """valid_to: the time of the key's next event, null for the last."""
     return events.withColumn("valid_to", F.lead(at).over(Window.partitionBy(*keys).orderBy(*order)))

@@ -339,4 +339,4 @@ def price_alerts(s, d):
     return rows.groupBy("name").agg(F.min("price").alias("low"), F.countDistinct(F.when(under, F.col("item"))).alias("variants"), F.count_if(crossing).alias("crossings"))
 
 
-from trolley.plans import catalogue, optimum, reports, shopping  # noqa: E402, F401  they register their queries
+from trolley.plans import catalogue, loads, optimum, reports, shopping  # noqa: E402, F401  they register their queries

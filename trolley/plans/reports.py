@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
-from trolley.operators import gates, matching, places, prices
+from trolley.operators import gates, matching, shared
 from trolley.plans import tables as T
 from trolley.plans.registry import query
 from trolley.plans.tables import sql, table
@@ -76,14 +76,47 @@ def basket_gap(s, d):
     return totals.agg(F.min("total").alias("low"), F.max("total").alias("high"), C.div((F.max("total") - F.min("total")) * 1000, F.min("total")).alias("gap"), F.count("*").alias("chains"))
 
 
-@query(sql("", "obs", "stores", "items").rstrip() + """, m AS (SELECT chain, strftime(valid_from, '%Y-%m') AS month, name, CAST(sum(price) // count(*) AS BIGINT) AS mean FROM obs JOIN stores USING (store) JOIN items USING (item) WHERE item % 8 = 0 GROUP BY ALL),
-    base AS (SELECT chain, name, arg_min(mean, month) AS base FROM m GROUP BY ALL) SELECT chain, month, CAST(sum(mean) * 1000 // sum(base) AS BIGINT) AS index_ FROM m JOIN base USING (chain, name) GROUP BY ALL""")
-def fixed_basket_index(s, d):
-    """A fixed basket's monthly cost at each chain, in thousandths of each product's cost in its first month."""
+#: The month that all fixed baskets are measured against.
+BASE_MONTH = "1996-01"
+_DENSE = """m AS (SELECT chain, strftime(valid_from, '%Y-%m') AS month, name, CAST(sum(price) // count(*) AS BIGINT) AS mean FROM obs JOIN stores USING (store) JOIN items USING (item) WHERE item % 8 = 0 GROUP BY ALL),
+    months AS (SELECT DISTINCT strftime(valid_from, '%Y-%m') AS month FROM obs), dense AS MATERIALIZED (SELECT chain, name, month, last_value(mean IGNORE NULLS) OVER (PARTITION BY chain, name ORDER BY month) AS price FROM (
+        SELECT k.chain, k.name, months.month, m.mean FROM (SELECT chain, name, min(month) AS since FROM m GROUP BY ALL) k JOIN months ON months.month >= k.since LEFT JOIN m ON m.chain = k.chain AND m.name = k.name AND m.month = months.month))"""
+_DENSE = sql("", "obs", "stores", "items").rstrip() + ", " + _DENSE
+
+
+def _dense(s, d):
+    """chain, name, month, price: the mean price of each product of the basket at each chain, from its first month on, a gap with the last one known."""
     rows = T.observations(s, d).where("item % 8 = 0").join(T.stores(s, d).select("store", "chain"), "store").join(T.items(s, d).select("item", "name"), "item")
-    month = rows.groupBy("chain", F.date_format("valid_from", "yyyy-MM").alias("month"), "name").agg(C.div(F.sum("price"), F.count("*")).alias("mean"))
-    base = month.groupBy("chain", "name").agg(F.min(F.struct("month", "mean")).alias("b")).select("chain", "name", F.col("b.mean").alias("base"))
-    return month.join(base, ["chain", "name"]).groupBy("chain", "month").agg(C.div(F.sum("mean") * 1000, F.sum("base")).alias("index_"))
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    seen = rows.groupBy("chain", "name", month("valid_from").alias("month")).agg(C.div(F.sum("price"), F.count("*")).alias("mean"))
+    months = T.observations(s, d).select(month("valid_from").alias("month")).distinct().agg(F.sort_array(F.collect_set("month")).alias("months"))  # one row, a month each
+    since = seen.groupBy("chain", "name").agg(F.min("month").alias("since"))
+    grid = since.join(F.broadcast(months)).select("chain", "name", F.explode(F.filter("months", lambda x: x >= F.col("since"))).alias("month"))
+    w = Window.partitionBy("chain", "name").orderBy("month")
+    return grid.join(seen, ["chain", "name", "month"], "left").select("chain", "name", "month", F.last("mean", ignorenulls=True).over(w).alias("price"))
+
+
+@query(_DENSE + f""" SELECT x.chain, x.month, CAST(sum(x.price) * 1000 // sum(b.price) AS BIGINT) AS index_, count(*) AS products FROM dense x JOIN dense b ON b.chain = x.chain AND b.name = x.name AND b.month = '{BASE_MONTH}' WHERE x.month >= '{BASE_MONTH}' GROUP BY ALL""")
+def fixed_basket_index(s, d):
+    """One basket a chain, of the products that it had by the base month: what it costs each month, in thousandths of that month."""
+    rows = _dense(s, d).where(F.col("month") >= BASE_MONTH)
+    base = F.first(F.when(F.col("month") == BASE_MONTH, F.col("price")), ignorenulls=True).over(Window.partitionBy("chain", "name"))
+    held = rows.withColumn("base", base).where("base IS NOT NULL")
+    return held.groupBy("chain", "month").agg(C.div(F.sum("price") * 1000, F.sum("base")).alias("index_"), F.count("*").alias("products"))
+
+
+@query(_DENSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, links AS MATERIALIZED (SELECT chain, month, row_number() OVER (PARTITION BY chain ORDER BY month) AS k, CAST(coalesce(sum(CASE WHEN before IS NOT NULL THEN price END), 1) AS BIGINT) AS now_, CAST(coalesce(sum(before), 1) AS BIGINT) AS before_ FROM (SELECT *, lag(price) OVER (PARTITION BY chain, name ORDER BY month) AS before FROM dense) GROUP BY chain, month),
+    chained(chain, month, k, index_) AS (SELECT chain, month, k, 1000000::BIGINT FROM links WHERE k = 1 UNION ALL SELECT l.chain, l.month, l.k, c.index_ * l.now_ // l.before_ FROM chained c JOIN links l ON l.chain = c.chain AND l.k = c.k + 1) SELECT chain, month, index_ FROM chained""")
+def chained_basket_index(s, d):
+    """Month linked to month over the products that both have, in millionths of a chain's first month: new products join without a jump."""
+    before = F.lag("price").over(Window.partitionBy("chain", "name").orderBy("month"))
+    both = _dense(s, d).withColumn("before", before)
+    one = F.lit(1).cast("long")
+    links = both.groupBy("chain", "month").agg(F.coalesce(F.sum(F.when(F.col("before").isNotNull(), F.col("price"))), one).alias("now"), F.coalesce(F.sum("before"), one).alias("past"))
+    listed = links.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("month", "now", "past"))).alias("l"))  # a month each
+    start = F.array(F.struct(F.get("l", F.lit(0))["month"].alias("month"), F.lit(1_000_000).cast("long").alias("index_")))
+    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["month"].alias("month"), C.div(F.element_at(acc, -1)["index_"] * x["now"], x["past"]).alias("index_"))))
+    return listed.select("chain", F.inline(F.aggregate(F.slice("l", F.lit(2), F.size("l")), start, step)))
 
 
 @query("SELECT kind, CAST(sum(CASE WHEN item % 5 = 0 THEN price END) // count(CASE WHEN item % 5 = 0 THEN 1 END) AS BIGINT) AS own, CAST(sum(CASE WHEN item % 5 <> 0 THEN price END) // count(CASE WHEN item % 5 <> 0 THEN 1 END) AS BIGINT) AS branded FROM latest JOIN items USING (item) GROUP BY kind", "latest", "items")
@@ -124,9 +157,9 @@ def page_dataset(s, d):
 
 @query("SELECT kind, trait, name, CAST(row_number() OVER (ORDER BY kind, trait, name) AS BIGINT) AS node, 3 AS depth FROM (SELECT DISTINCT kind, trait, name FROM items)", "items")
 def taxonomy_seed(s, d):
-    """Departments, types and products of the catalogue as a numbered path; as many rows as there are products' names."""
+    """Departments, types and products of the catalogue as a numbered path; numbers are given range by range."""
     rows = T.items(s, d).select("kind", "trait", "name").distinct()
-    return rows.select("kind", "trait", "name", F.row_number().over(Window.orderBy("kind", "trait", "name")).cast("long").alias("node"), F.lit(3).alias("depth"))
+    return shared.numbered(rows, [F.col("kind"), F.col("trait"), F.col("name")], "node").select("kind", "trait", "name", "node", F.lit(3).alias("depth"))
 
 
 @query("""SELECT item, name, size, generation FROM (SELECT item, name, size, 'old' AS generation FROM items WHERE item % 2 = 0 UNION ALL SELECT item, name, CAST(NULL AS BIGINT), 'new' FROM items WHERE item % 2 = 1)""", "items")
@@ -143,16 +176,23 @@ def channel_split(s, d):
     return T.offers(s, d).groupBy(channel.alias("channel")).agg(F.count("*").alias("offers"), F.min("price").alias("low"))
 
 
-_GOLD = """gold AS (SELECT doc_id, lang, quality, CASE WHEN letters * 10 >= length(text) * 7 AND length(text) >= 200 THEN 1 ELSE 0 END AS p FROM (SELECT doc_id, lang, text, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS letters FROM documents) JOIN labels USING (doc_id))"""
+_GOLD = """gold AS (SELECT doc_id, lang, quality, toxic, CASE WHEN letters * 10 >= length(text) * 7 AND length(text) >= 200 THEN 1 ELSE 0 END AS p, CASE WHEN marks * 50 >= length(text) AND length(text) > 0 THEN 1 ELSE 0 END AS t FROM (
+    SELECT doc_id, lang, text, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS letters, length(regexp_replace(text, '[^#*$%&|<>!]', '', 'g')) AS marks FROM documents) JOIN labels USING (doc_id))"""
 
 
-@query("WITH " + _GOLD + " SELECT lang, count_if(p = 1 AND quality = 1) AS tp, count_if(p = 1 AND quality = 0) AS fp, count_if(p = 0 AND quality = 1) AS fn, count_if(p = 0 AND quality = 0) AS tn FROM gold GROUP BY lang")
+@query("WITH " + _GOLD + """ SELECT level, category, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN 1000 * tp // (tp + fp) END AS precision_permille, CASE WHEN tp + fn > 0 THEN 1000 * tp // (tp + fn) END AS recall_permille FROM (
+    SELECT level, lang AS category, count_if(p = 1 AND y = 1) AS tp, count_if(p = 1 AND y = 0) AS fp, count_if(p = 0 AND y = 1) AS fn, count_if(p = 0 AND y = 0) AS tn FROM (SELECT lang, 'quality' AS level, p, quality AS y FROM gold UNION ALL SELECT lang, 'toxic', t, toxic FROM gold) GROUP BY level, lang)""")
 def precision_recall(s, d):
-    """A rule over the whole text (share of letters, length) against the labels."""
-    letters = F.length(F.regexp_replace("text", "[^a-zA-Z]", ""))
-    rule = ((letters * 10 >= F.length("text") * 7) & (F.length("text") >= 200)).cast("int")
-    rows = table(s, d, "documents").select("doc_id", "lang", rule.alias("p")).join(table(s, d, "labels"), "doc_id")
-    return matching.precision_recall(rows, ["lang"], "p", "quality")
+    """Rules over the whole text against the labels, by level and category: counts, and precision and recall in thousandths."""
+    only = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
+    size = F.length("text")
+    quality = ((only("[^a-zA-Z]") * 10 >= size * 7) & (size >= 200)).cast("int")
+    toxic = ((only("[^#*$%&|<>!]") * 50 >= size) & (size > 0)).cast("int")
+    rows = table(s, d, "documents").select("doc_id", F.col("lang").alias("category"), quality.alias("q"), toxic.alias("t")).join(table(s, d, "labels"), "doc_id")
+    each = rows.select("category", F.inline(F.array(F.struct(F.lit("quality").alias("level"), F.col("q").alias("p"), F.col("quality").alias("y")), F.struct(F.lit("toxic").alias("level"), F.col("t").alias("p"), F.col("toxic").alias("y")))))
+    counts = matching.precision_recall(each, ["level", "category"], "p", "y")
+    share = lambda other: C.div(1000 * F.col("tp"), F.col("tp") + F.col(other))
+    return counts.select("level", "category", "tp", "fp", "fn", "tn", share("fp").alias("precision_permille"), share("fn").alias("recall_permille"))
 
 
 @query("WITH " + _GOLD + " SELECT a.doc_id AS a, b.doc_id AS b, a.quality = b.quality AS same FROM labels a JOIN labels b ON b.doc_id = a.doc_id + 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trolley.functions import columns as C
 from trolley.operators import baskets, intervals, places, splits
 from trolley.plans import tables as T
+from trolley.plans.nightly import nightly
 from trolley.plans.registry import query
 
 
@@ -191,19 +192,24 @@ def active_promos(s, d):
     return T.promos(s, d).where((F.col("start_ts") <= now) & (now < F.col("end_ts"))).groupBy("chain").agg(F.count("*").alias("promos"), F.count("club").alias("club_promos"))
 
 
-@query("""SELECT name, store, qty, x.i AS best_item, cost, x.p AS promo_id, x.c AS club FROM (SELECT name, store, qty, arg_min({i: item, p: promo_id, c: club}, (cost, item, coalesce(promo_id, -1))) AS x, min(cost) AS cost FROM (
-    SELECT i.name, o.store, q.qty, o.item, NULL::BIGINT AS promo_id, NULL AS club, q.qty * o.price AS cost FROM offers o JOIN items i USING (item), (SELECT unnest([1, 2, 3])::BIGINT AS qty) q
-    UNION ALL SELECT i.name, o.store, q.qty, o.item, promo_id, club, """ + C.PROMO_SQL.format(q="q.qty", p="o.price") + """ FROM offers o JOIN (SELECT item, name FROM items) i USING (item) JOIN deals d ON d.item = o.item AND d.store = o.store, (SELECT unnest([1, 2, 3])::BIGINT AS qty) q) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY name, store, qty)"), "offers", "items", "deals")
+_KEYS = "(SELECT item, unnest([{level: 'exact', product: item::VARCHAR}, {level: 'any_brand', product: name}, {level: 'close', product: kind}]) AS k FROM items)"
+
+
+@query(f"""SELECT level, product, store, qty, x.i AS best_item, cost, x.p AS promo_id, x.c AS club FROM (SELECT level, product, store, qty, arg_min({{i: item, p: promo_id, c: club}}, (cost, item, coalesce(promo_id, -1))) AS x, min(cost) AS cost FROM (
+    SELECT i.k.level AS level, i.k.product AS product, o.store, q.qty, o.item, NULL::BIGINT AS promo_id, NULL AS club, q.qty * o.price AS cost FROM offers o JOIN {_KEYS} i USING (item), (SELECT unnest([1, 2, 3])::BIGINT AS qty) q
+    UNION ALL SELECT i.k.level, i.k.product, o.store, q.qty, o.item, promo_id, club, """ + C.PROMO_SQL.format(q="q.qty", p="o.price") + f""" FROM offers o JOIN {_KEYS} i USING (item) JOIN deals d ON d.item = o.item AND d.store = o.store, (SELECT unnest([1, 2, 3])::BIGINT AS qty) q) GROUP BY level, product, store, qty)""", "offers", "items", "deals")
+@nightly("lineitem", "supplier", "part")
 def effective_prices(s, d):
-    """By canonical product, store and quantity (1 to 3) the cheapest item with its promotion and the club that it needs."""
-    named = T.offers(s, d).join(T.items(s, d).select("item", "name"), "item")
+    """By level, product, store and quantity (1 to 3) the cheapest item with its promotion and the club that it needs: the nightly table."""
+    key = lambda level, product: F.struct(F.lit(level).alias("level"), product.alias("product"))
+    keys = T.items(s, d).select("item", F.inline(F.array(key("exact", F.col("item").cast("string")), key("any_brand", F.col("name")), key("close", F.col("kind")))))
     terms = T.deals(s, d).withColumn("deal", F.lit(True))
-    rows = named.join(terms, ["item", "store"], "left").withColumn("qty", F.explode(F.array(*[F.lit(q).cast("long") for q in (1, 2, 3)])))
+    rows = T.offers(s, d).join(terms, ["item", "store"], "left").withColumn("qty", F.explode(F.array(*[F.lit(q).cast("long") for q in (1, 2, 3)])))
     shelf = F.struct((F.col("qty") * F.col("price")).alias("cost"), F.col("item").alias("best_item"), F.lit(-1).cast("long").alias("promo"), F.lit(None).cast("string").alias("club"))
     deal = F.struct(T.deal_cost(F.col("qty"), F.col("price")).alias("cost"), F.col("item").alias("best_item"), F.col("promo_id").alias("promo"), F.col("club").alias("club"))
-    best = F.min(F.least(shelf, F.when(F.col("deal"), deal)))
-    found = rows.groupBy("name", "store", "qty").agg(best.alias("x"))
-    return found.select("name", "store", "qty", "x.best_item", "x.cost", F.when(F.col("x.promo") >= 0, F.col("x.promo")).alias("promo_id"), "x.club")
+    own = rows.groupBy("item", "store", "qty").agg(F.min(F.least(shelf, F.when(F.col("deal"), deal))).alias("x"))
+    found = own.join(keys, "item").groupBy("level", "product", "store", "qty").agg(F.min("x").alias("x"))
+    return found.select("level", "product", "store", "qty", "x.best_item", "x.cost", F.when(F.col("x.promo") >= 0, F.col("x.promo")).alias("promo_id"), "x.club")
 
 
 @query("""SELECT n.basket, n.item, coalesce(p.store, st.store) AS store, count(*) AS promos, count(p.club) AS club_promos, count(CASE WHEN p.store IS NULL THEN 1 END) AS chain_wide

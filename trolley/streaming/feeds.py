@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trolley.operators.prices import latest
+from trolley.operators.shared import ship
 
 
 def files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -21,33 +22,89 @@ def unique(stream: DataFrame, key: str, at: str, delay: str = "2 hours") -> Data
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def changes(stream: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """key, at, value where the value differs from the key's last one; events older than the last are ignored."""
-    return _stateful(stream, key, at, value, None)
+#: Days without an event after which a key's state goes; its next event counts as a first one.
+SILENT_DAYS = 90
 
 
-def alerts(stream: DataFrame, key: str, at: str, value: str, below: float) -> DataFrame:
-    """key, at, value each time the value crosses to below the threshold."""
-    return _stateful(stream, key, at, value, below)
+class _Feed(StatefulProcessor):
+    """The last event of a key (time, its ties, value, whether an alert is armed) and a timer that ends a silent key.
 
+    Events count in the order of time and ties; one before the last is ignored. A key that was silent for longer starts anew,
+    whether or not its timer has run: so what comes out does not depend on how events fall into batches.
+    """
 
-def _stateful(stream: DataFrame, key: str, at: str, value: str, below: float | None) -> DataFrame:
-    kind = dict(stream.dtypes)[key]
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_at, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).dropna(subset=[at, value]).sort_values([at, value])
-        if last_at is not None:
-            rows = rows[rows[at].astype("datetime64[ns]").astype("int64") >= last_at]
-        before = rows[value].shift()
-        if len(rows) and last is not None:
-            before.iloc[0] = last
-        keep = (rows[value] != before) if below is None else (rows[value] < below) & (before.isna() | (before >= below))
-        if len(rows):
-            state.update((int(rows[at].astype("datetime64[ns]").astype("int64").iloc[-1]), float(rows[value].iloc[-1])))
-        yield rows[keep][[key, at, value]]
-
-    return stream.select(key, F.col(at).cast("timestamp").alias(at), F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, {value} double", "at long, last double", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, keys: list[str], at: str, order: list[str], value: str, kind: str, below, rearm, silent_days: int):
+        self.keys, self.at, self.order, self.value, self.kind = keys, at, order, value, kind
+        self.below, self.rearm, self.silent = below, rearm, silent_days * 86_400_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ties = "".join(f", tie{k} string" for k in range(len(self.order)))
+        self.last = handle.getValueState("last", f"at long{ties}, value string, armed boolean")
+
+    def _emits(self, before, value, armed: bool) -> tuple[bool, bool]:
+        if self.below is None:
+            return before is None or before != str(value), armed
+        if armed and value < self.below:
+            return True, False
+        return False, armed or value >= self.rearm
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).dropna(subset=[self.at, self.value]).sort_values([self.at, *self.order], kind="stable", ignore_index=True)
+        state = self.last.get()
+        last = None if state is None else (int(state[0]), *[_ordered(x) for x in state[1:-2]])
+        before, armed = (None, True) if state is None else (state[-2], bool(state[-1]))
+        micros = frame[self.at].astype("datetime64[us]").astype("int64")
+        keep = []
+        for k, (at, value) in enumerate(zip(micros, frame[self.value], strict=True)):
+            place = (int(at), *[_ordered(frame[c].iloc[k]) for c in self.order])
+            if last is not None and place < last:
+                continue
+            if last is not None and place[0] - last[0] > self.silent:
+                before, armed = None, True
+            emit, armed = self._emits(before, value, armed)
+            last, before = place, str(value)
+            if emit:
+                keep.append(k)
+        if last is not None:
+            self.last.update((last[0], *[x if isinstance(x, str) else repr(x) for x in last[1:]], before, armed))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last[0] + self.silent) // 1000 + 1)
+        yield frame.iloc[keep][[*self.keys, self.at, *self.order, self.value]]
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(x):
+    """A tie as a value that sorts: numbers as numbers, whether they come from a row or from the state."""
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return str(x)
+
+
+def _stateful(stream: DataFrame, keys: list[str], at: str, order: list[str], value: str, below, rearm, silent_days: int, delay: str) -> DataFrame:
+    spark = ship(stream.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select(*keys, F.col(at).cast("timestamp").alias(at), *order, value).withWatermark(at, delay)
+    feed = _Feed(keys, at, order, value, dict(stream.dtypes)[value], below, rearm, silent_days)
+    return rows.groupBy(*keys).transformWithStateInPandas(feed, outputStructType=rows.schema, outputMode="Append", timeMode="eventTime")
+
+
+def changes(stream: DataFrame, keys: list[str], at: str, value: str, order: list[str] = (), silent_days: int = SILENT_DAYS, delay: str = "0 seconds") -> DataFrame:
+    """keys, at, order, value where the value differs from the key's last one, or the key was silent for longer; values keep their type."""
+    return _stateful(stream, list(keys), at, list(order), value, None, None, silent_days, delay)
+
+
+def alerts(stream: DataFrame, keys: list[str], at: str, value: str, below, rearm=None, order: list[str] = (), silent_days: int = SILENT_DAYS, delay: str = "0 seconds") -> DataFrame:
+    """keys, at, order, value each time the value falls below the threshold, once until it has reached `rearm` (the threshold, if not given) again."""
+    return _stateful(stream, list(keys), at, list(order), value, below, below if rearm is None else rearm, silent_days, delay)
 
 
 def apply_deltas(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list, every: int = 24):
