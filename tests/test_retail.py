@@ -108,17 +108,6 @@ def test_dialects(spark, tmp_path, tag, charset, container):
     assert [(r["item_code"], r["raw_name"], r["price"] and float(r["price"])) for r in got] == [("7", "חלב", 5.9), ("8", "חלב", None)]
 
 
-def test_change_and_alert_streams(spark, tmp_path):
-    for i, part in enumerate([[(1, "2024-01-01", 5.0), (1, "2024-01-02", 5.0)], [(1, "2024-01-01", 9.0), (1, "2024-01-03", 4.0), (2, "2024-01-01", 3.0)]]):
-        spark.createDataFrame(part, "k long, at string, v double").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        for name, stream in (("changes", feeds.changes), ("alerts", lambda *a: feeds.alerts(*a, 4.5))):
-            out = stream(feeds.files(spark, str(tmp_path / "in"), "k long, at timestamp, v double"), "k", "at", "v")
-            out.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-log")).trigger(availableNow=True).start().awaitTermination()
-    read = lambda name: sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / name)).collect())
-    assert read("changes") == [(1, 4.0), (1, 5.0), (2, 3.0)]
-    assert read("alerts") == [(1, 4.0), (2, 3.0)]
-
-
 @pytest.mark.parametrize("every", [2, 24])
 def test_table_under_deltas(spark, tmp_path, every):
     for part in ([(1, 1, 5), (2, 1, 7)], [(1, 2, 6)], [(2, 3, 8), (3, 1, 1)], [(1, 1, 9)], [(3, 4, 2)]):

@@ -49,7 +49,7 @@ class _Feed(StatefulProcessor):
             return True, False
         return False, armed or value >= self.rearm
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).dropna(subset=[self.at, self.value]).sort_values([self.at, *self.order], kind="stable", ignore_index=True)
         state = self.last.get()
         last = None if state is None else (int(state[0]), *[_ordered(x) for x in state[1:-2]])
@@ -73,9 +73,9 @@ class _Feed(StatefulProcessor):
             self.handle.registerTimer((last[0] + self.silent) // 1000 + 1)
         yield frame.iloc[keep][[*self.keys, self.at, *self.order, self.value]]
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -97,12 +97,12 @@ def _stateful(stream: DataFrame, keys: list[str], at: str, order: list[str], val
     return rows.groupBy(*keys).transformWithStateInPandas(feed, outputStructType=rows.schema, outputMode="Append", timeMode="eventTime")
 
 
-def changes(stream: DataFrame, keys: list[str], at: str, value: str, order: list[str] = (), silent_days: int = SILENT_DAYS, delay: str = "0 seconds") -> DataFrame:
+def changes(stream: DataFrame, keys: list[str], at: str, value: str, order: list[str] = (), silent_days: int = SILENT_DAYS, delay: str = "2 hours") -> DataFrame:
     """keys, at, order, value where the value differs from the key's last one, or the key was silent for longer; values keep their type."""
     return _stateful(stream, list(keys), at, list(order), value, None, None, silent_days, delay)
 
 
-def alerts(stream: DataFrame, keys: list[str], at: str, value: str, below, rearm=None, order: list[str] = (), silent_days: int = SILENT_DAYS, delay: str = "0 seconds") -> DataFrame:
+def alerts(stream: DataFrame, keys: list[str], at: str, value: str, below, rearm=None, order: list[str] = (), silent_days: int = SILENT_DAYS, delay: str = "2 hours") -> DataFrame:
     """keys, at, order, value each time the value falls below the threshold, once until it has reached `rearm` (the threshold, if not given) again."""
     return _stateful(stream, list(keys), at, list(order), value, below, below if rearm is None else rearm, silent_days, delay)
 
