@@ -99,11 +99,23 @@ def test_measures_and_verdicts(docs, rows):  # noqa: F811
     bands = {r.band: r for r in quality.bands(measured).collect()}
     for r in quality.judged(docs.withColumn("doc_id", F.monotonically_increasing_id())).join(docs.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "lang"), "doc_id").collect():
         band = bands.get(f"lang:{r.lang}" if r.lang else f"script:{r.script}")
-        outside = [m for m in quality.LEAST if band and r.n_tokens and abs(r[m] - band[f"{m}_mid"]) > band[f"{m}_wide"] * math.sqrt(1 + quality.SHORT / r.n_tokens)]
-        reason = "base" if r.base_failed else "fallback" if (r.fallback_share or 0) > quality.MAX_FALLBACK else outside[0] if outside else None
+        off = {m: (r[m] - band[f"{m}_mid"]) * (1 if m in quality.HIGH else math.copysign(1, r[m] - band[f"{m}_mid"])) for m in quality.LEAST} if band and r.n_tokens else {}
+        outside = [m for m, x in off.items() if x > band[f"{m}_wide"] * math.sqrt(1 + quality.SHORT / r.n_tokens)]
+        reason = "base" if r.base_failed else outside[0] if outside else None
         assert (r.reason, r.kept) == (reason, reason is None)
 
 
+def test_each_measure_rejects(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").select("doc_id", "lang", "text")
+    rng = np.random.default_rng(6)
+    odd = {
+        9001: " ".join("".join(chr(0x10900 + int(x)) for x in rng.integers(0, 20, 6)) for _ in range(60)),  # letters that the vocabulary spells in bytes
+        9002: " ".join("".join(rng.choice([*"bcdfghjklmnpqrstvwxz"], 12)) for _ in range(120)),
+    }
+    got = {r.doc_id: r.reason for r in quality.judged(table.union(spark.createDataFrame([(i, "en", t) for i, t in odd.items()], table.schema))).where("doc_id > 9000").collect()}
+    assert got[9001] == "fallback_share" and got[9002] == "chars_per_token"
+
+
 def test_nearest_centroid_against_a_plain_search(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = languages.fit(table)
