@@ -49,40 +49,11 @@ def best(scores: DataFrame, query: str, key: str, k: int, keep: list[str] | None
     return ranked.where(F.col("rank") <= k).select(query, key, *(keep or []), F.col("rank").cast("long").alias("rank"))
 
 
-def bm25(queries: DataFrame, products: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """q, product, score (millionths) by words in common: a word counts by its rarity, a long text counts less."""
-    words = products.select("product", F.split("product", " ").alias("w"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    each = words.select("product", F.size("w").alias("dl"), F.explode("w").alias("w"))
-    df = each.groupBy("w").agg(F.count("*").alias("df"))
-    asked = queries.select("q", F.explode(F.split("q", " ")).alias("w"))
-    rows = asked.join(df, "w").join(each, "w").join(F.broadcast(size))  # size is one row
-    part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("q", "product").agg(F.round(F.sum(part) * 1e6).cast("long").alias("score"))
-
-
-def trigram_hits(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """q, product, score (thousandths) of all pairs that share a trigram."""
-    a, b = queries.withColumn("ga", trigrams(F.col("q"))), products.withColumn("gb", trigrams(F.col("product")))
-    pairs = a.select("q", F.explode("ga").alias("g")).join(b.select("product", F.explode("gb").alias("g")), "g").groupBy("q", "product").agg(F.count("*").alias("both"))
-    sized = pairs.join(a.select("q", F.size("ga").alias("na")), "q").join(b.select("product", F.size("gb").alias("nb")), "product")
-    score = F.floor(1000 * F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).cast("long")
-    return sized.select("q", "product", score.alias("score"))
-
-
 def letters(text: Column) -> Column:
     """How often each letter occurs: a dense vector that stands in for a model's."""
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.length(text) - F.length(F.replace(text, F.char(c), F.lit(""))))
 
 
-def letter_hits(pairs: DataFrame) -> DataFrame:
-    """q, product, score (the squared cosine in millionths) of candidate pairs that words or trigrams have found."""
-    vectors = lambda c, v: pairs.select(c).distinct().withColumn(v, letters(F.col(c)))
-    both = pairs.select("q", "product").distinct().join(vectors("q", "va"), "q").join(vectors("product", "vb"), "product")
-    square = F.pow(dot(F.col("va"), F.col("vb")), 2) / (dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
-    return both.select("q", "product", F.floor(1_000_000 * square).cast("long").alias("score"))
-
-
 def fuse(lists: list[DataFrame], key: list[str], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (key, rank): the sum of 10^9 div (k + rank), whole so that it is exact."""
     both = lists[0]

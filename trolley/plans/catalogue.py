@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
 from trolley.functions import names as N
-from trolley.operators import matching, substitutes
+from trolley.operators import matching, postings, substitutes, vectors
 from trolley.plans import tables as T
 from trolley.plans.registry import query
 from trolley.plans.tables import sql, table
@@ -287,19 +287,54 @@ _PRODUCTS = """p AS MATERIALIZED (SELECT DISTINCT name || ' ' || lower(brand) AS
     pg AS MATERIALIZED (SELECT product, list_distinct(list_transform(range(1, len(product) - 1), lambda i: product[i:i + 2])) AS g FROM p), qg AS MATERIALIZED (SELECT q, list_distinct(list_transform(range(1, len(q) - 1), lambda i: q[i:i + 2])) AS g FROM q),
     grams AS (SELECT q, product, CAST(1000 * len(list_intersect(qg.g, pg.g)) // len(list_distinct(list_concat(qg.g, pg.g))) AS BIGINT) AS score FROM qg, pg WHERE len(list_intersect(qg.g, pg.g)) > 0),
     pv AS MATERIALIZED (SELECT product, list_transform(range(97, 123), lambda c: len(list_filter(string_split(product, ''), lambda x: x = chr(c::INTEGER)))) AS v FROM p), qv AS MATERIALIZED (SELECT q, list_transform(range(97, 123), lambda c: len(list_filter(string_split(q, ''), lambda x: x = chr(c::INTEGER)))) AS v FROM q),
-    vectors AS (SELECT q, product, CAST(1000000 * pow(list_dot_product(qv.v::double[], pv.v::double[]), 2) // (list_dot_product(qv.v::double[], qv.v::double[]) * list_dot_product(pv.v::double[], pv.v::double[])) AS BIGINT) AS score FROM (SELECT q, product FROM words UNION SELECT q, product FROM grams) JOIN qv USING (q) JOIN pv USING (product)),
+    vectors AS (SELECT q, product, CAST(round(list_dot_product(qv.u, pv.u) * 1000000) AS BIGINT) AS score FROM (SELECT q, list_transform(v, lambda x: x / sqrt(list_dot_product(v::double[], v::double[]))) AS u FROM qv) qv, (SELECT product, list_transform(v, lambda x: x / sqrt(list_dot_product(v::double[], v::double[]))) AS u FROM pv) pv),
     ranks AS (SELECT q, product, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) AS rank FROM words UNION ALL SELECT q, product, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) FROM grams UNION ALL SELECT q, product, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) FROM vectors),
     fused AS (SELECT q, product, CAST(sum(1000000000 // (60 + rank)) AS BIGINT) AS score FROM ranks WHERE rank <= 50 GROUP BY ALL)"""
 SEARCH = sql("", "items").rstrip() + ", " + _PRODUCTS
 
 
+def _products(s, d) -> DataFrame:
+    return T.items(s, d).select(F.concat("name", F.lit(" "), F.lower("brand")).alias("product")).distinct()
+
+
+def _queries(s, d) -> DataFrame:
+    return T.items(s, d).select(F.expr("substring(name, 1, length(name) - 1)").alias("q")).distinct()
+
+
+def _letter_rows(rows: DataFrame, name: str) -> DataFrame:
+    """The texts with their letter counts as vectors of length one."""
+    v = matching.letters(F.col(name))
+    norm = F.sqrt(C.dot(F.col("v"), F.col("v")))
+    return rows.select(F.col(name).alias("text"), v.alias("v")).select("text", F.transform("v", lambda x: x / norm).alias("v"))
+
+
 def _searched(s, d) -> DataFrame:
-    products = T.items(s, d).select(F.concat("name", F.lit(" "), F.lower("brand")).alias("product")).distinct()
-    queries = T.items(s, d).select(F.expr("substring(name, 1, length(name) - 1)").alias("q")).distinct()
-    words, grams = matching.bm25(queries, products), matching.trigram_hits(queries, products)
-    vectors = matching.letter_hits(words.select("q", "product").union(grams.select("q", "product")))
-    ranked = [matching.best(x, "q", "product", 50) for x in (words, grams, vectors)]
-    return matching.fuse(ranked, ["q", "product"])
+    """q, product, score: three lists of 50, each from an index of its own, fused by rank."""
+    products, queries = _products(s, d), _queries(s, d)
+    words, _ = postings.bm25_topk(queries, postings.bm25_index(products), 50)
+    grams, _ = postings.trigram_topk(queries, postings.trigram_index(products), 50)
+    letters = _letter_rows(products, "product")
+    index = vectors.fit(letters, "text", "v", 50)
+    index.probes = len(index.centres)  # all cells: the list of vectors is exact
+    near = vectors.search(index, letters, _letter_rows(queries, "q"), "text", "v", 50).select(F.col("a").alias("q"), F.col("b").alias("product"), F.col("place").cast("long").alias("rank"))
+    return matching.fuse([words.select("q", "product", "rank"), grams.select("q", "product", "rank"), near], ["q", "product"])
+
+
+@query(None)
+def search_postings_read(s, d):
+    """How many of its words' and trigrams' postings each query reads for its fifty best."""
+    products, queries = _products(s, d), _queries(s, d)
+    _, words = postings.bm25_topk(queries, postings.bm25_index(products), 50)
+    _, grams = postings.trigram_topk(queries, postings.trigram_index(products), 50)
+    named = lambda rows, kind: rows.select(F.lit(kind).alias("index"), "q", "read", "postings")
+    return named(words, "words").union(named(grams, "trigrams"))
+
+
+@query(None)
+def vector_index_topk(s, d):
+    """The ten best of each vector's own block from the inverted file; `vector_topk` is the exhaustive search."""
+    rows = table(s, d, "embeddings")
+    return vectors.search(vectors.fit(rows, "vec_id", "embedding"), rows, rows, "vec_id", "embedding", 10, "label")
 
 
 @query(SEARCH + " SELECT q, product, score, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, product) AS place FROM fused) WHERE place <= 10")
