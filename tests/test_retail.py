@@ -24,7 +24,7 @@ def rows(frame: pd.DataFrame) -> list[str]:
     return sorted(repr(["null" if x is None or x is pd.NaT or pd.isna(x) else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x) for x in row]) for row in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
