@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trolley.llm.hashtable import BitSet
 from trolley.llm.jaccard import grouped
 from trolley.llm.textblock import WORD, PrefixHash, as_batch, blocks, mixed, raw, sort_within, spans
-from trolley.llm.workspace import ROW_KEY, Workspace, keyed, partitions, restored
+from trolley.llm.workspace import ROW_KEY, Workspace, keyed, partitions, restored, steady
 
 #: Jaccard threshold as a fraction, so that all bounds are whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -593,7 +593,8 @@ def by_document(docs: DataFrame) -> DataFrame:
     One row per row of docs, whatever its doc_id; a null text has no lines.
     """
     work = Workspace(docs.sparkSession, "lines")
-    rows, judged = removed(keyed(docs.select("doc_id", "text"), work), work)
+    own = docs.select("doc_id", "text")
+    rows, judged = removed(own.withColumn(ROW_KEY, F.monotonically_increasing_id()) if steady(own) else keyed(own, work), work)
     zero = F.lit(0).cast("long")
     joined = rows.join(_by_row(judged), "row", "left")
     return joined.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_exact", "n_near")], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -105,6 +106,17 @@ def keyed(docs: DataFrame, work: Workspace) -> DataFrame:
     return work.table(docs.withColumnRenamed(ROW_KEY, _THEIRS).withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
 
 
+#: Steps that give the same rows in the same tasks each time that they run.
+_STEADY = {"FileScan", "Scan", "Project", "Filter", "ColumnarToRow", "AdaptiveSparkPlan", "WholeStageCodegen", "InputAdapter"}
+
+
+def steady(docs: DataFrame) -> bool:
+    """Whether docs only reads files: then a row has the same task and place in every pass, and a number made of these may be made anew."""
+    run = docs._jdf.queryExecution()
+    names = [re.sub(r"^[\s:+|*-]*(?:\*?\(\d+\))?\s*", "", line).split(" ")[0] for line in run.executedPlan().toString().splitlines() if line.strip() and not line.strip().startswith(("==", "+- =="))]
+    return run.analyzed().deterministic() and all(n in _STEADY for n in names)
+
+
 def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The columns that docs had before `keyed`."""
     return rows.select([F.col(f"`{_THEIRS if c == ROW_KEY else c}`").alias(c) for c in columns])
