@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trolley.functions import columns as C
-from trolley.operators import gates, matching, places, prices
+from trolley.operators import gates, matching, places, postings, prices
 from trolley.plans import tables as T
 from trolley.plans.registry import QUERIES, SQL, query
 from trolley.plans.tables import sql, table
@@ -283,13 +283,24 @@ def attr_json(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("""SELECT basket, CAST(i AS INTEGER) AS place, CASE WHEN i % 2 = 0 THEN qty ELSE 1 END AS qty, name AS need FROM (
-    SELECT basket, CAST(qty AS INTEGER) AS qty, name, row_number() OVER (PARTITION BY basket ORDER BY item) - 1 AS i FROM needs JOIN items USING (item))""", "needs", "items")
+_NAME_GRAMS = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: lower({0}[i:i + 2])))"
+
+
+@query(f"""SELECT basket, CAST(i AS INTEGER) AS place, CASE WHEN i % 2 = 0 THEN qty ELSE 1 END AS qty, need, canonical, confidence, CASE WHEN confidence >= 900 THEN 'accept' WHEN confidence >= 600 THEN 'review' ELSE 'reject' END AS band FROM (
+    SELECT *, CASE WHEN i % 3 = 0 THEN name[1:len(name) - 1] ELSE name END AS need FROM (SELECT basket, CAST(qty AS INTEGER) AS qty, name, row_number() OVER (PARTITION BY basket ORDER BY item) - 1 AS i FROM needs JOIN items USING (item)))
+    JOIN (SELECT need, arg_min(name, (-score, name)) AS canonical, CAST(max(score) AS BIGINT) AS confidence FROM (SELECT need, name, 1000 * len(list_intersect(g, h)) // len(list_distinct(list_concat(g, h))) AS score FROM (
+        SELECT DISTINCT need, {_NAME_GRAMS.format("need")} AS g FROM (SELECT name AS need FROM items UNION SELECT name[1:len(name) - 1] FROM items)), (SELECT DISTINCT name, {_NAME_GRAMS.format("name")} AS h FROM items)) GROUP BY need) USING (need)""", "needs", "items")
 def list_parse(s, d):
+    """Lists as text, split into needs with quantities, each matched to the catalogue by its trigrams with a confidence; weak ones wait for the user."""
     rows = T.needs(s, d).join(T.items(s, d).select("item", "name"), "item").withColumn("i", F.row_number().over(Window.partitionBy("basket").orderBy("item")) - 1)
-    rows = rows.withColumn("part", F.when(F.col("i") % 2 == 0, F.concat(F.col("qty").cast("string"), F.lit(" "), "name")).otherwise(F.col("name")))
+    said = F.when(F.col("i") % 3 == 0, F.expr("substring(name, 1, length(name) - 1)")).otherwise(F.col("name"))
+    rows = rows.withColumn("part", F.when(F.col("i") % 2 == 0, F.concat(F.col("qty").cast("string"), F.lit(" "), said)).otherwise(said))
     texts = rows.groupBy("basket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), ", ").alias("text"))
-    return texts.select("basket", F.posexplode(C.list_needs(F.col("text"))).alias("place", "n")).select("basket", "place", F.col("n.qty").cast("int").alias("qty"), "n.need")
+    parsed = texts.select("basket", F.posexplode(C.list_needs(F.col("text"))).alias("place", "n")).select("basket", "place", F.col("n.qty").cast("int").alias("qty"), "n.need")
+    names = T.items(s, d).select(F.col("name").alias("product")).distinct()
+    found, _ = postings.trigram_topk(parsed.select(F.col("need").alias("q")).distinct(), postings.trigram_index(names), 1)
+    matched = parsed.join(found.select(F.col("q").alias("need"), F.col("product").alias("canonical"), F.col("score").alias("confidence")), "need", "left")
+    return matched.select("basket", "place", "qty", "need", "canonical", "confidence", C.band(F.col("confidence")).alias("band"))
 
 
 @query("""SELECT user_id, count(*) AS n, min(ts) AS start_, CAST(max(event_id) AS BIGINT) AS last_event FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (

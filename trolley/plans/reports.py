@@ -149,10 +149,19 @@ def store_shares(s, d):
     return totals.select("chain", "store", "total", F.round(1000 * F.percent_rank().over(w.orderBy("total"))).cast("long").alias("percent_rank"), C.div(1000 * F.col("total"), F.sum("total").over(w)).alias("share"))
 
 
-@query("SELECT kind, trait, count(*) AS items, count(DISTINCT brand) AS brands, min(base) AS low, arg_min(item, (base, item)) AS cheapest FROM items GROUP BY kind, trait", "items")
+#: Products that a page shows.
+SHOWN = 20
+
+
+@query(f"""SELECT kind, trait, count(*) AS items, count(DISTINCT brand) AS brands, min(base) AS low, string_agg(CASE WHEN place <= {SHOWN} THEN item || ':' || base END, ' ' ORDER BY base, item) AS products FROM (SELECT *, row_number() OVER (PARTITION BY kind, trait ORDER BY base, item) AS place FROM items) GROUP BY kind, trait""", "items")
 def page_dataset(s, d):
-    """One row a category page: what it lists, in brief."""
-    return T.items(s, d).groupBy("kind", "trait").agg(F.count("*").alias("items"), F.countDistinct("brand").alias("brands"), F.min("base").alias("low"), F.min(F.struct("base", "item"))["item"].alias("cheapest"))
+    """One row a category page: how much it holds, and the cheapest products that it shows."""
+    rows = T.items(s, d).select("kind", "trait", "brand", "item", "base")
+    place = F.row_number().over(Window.partitionBy("kind", "trait").orderBy("base", "item"))
+    shown = rows.withColumn("place", place).where(F.col("place") <= SHOWN).groupBy("kind", "trait").agg(F.sort_array(F.collect_list(F.struct("base", "item"))).alias("p"))
+    listed = shown.select("kind", "trait", F.array_join(F.transform("p", lambda x: F.concat(x["item"].cast("string"), F.lit(":"), x["base"].cast("string"))), " ").alias("products"))
+    whole = rows.groupBy("kind", "trait").agg(F.count("*").alias("items"), F.countDistinct("brand").alias("brands"), F.min("base").alias("low"))
+    return whole.join(listed, ["kind", "trait"])
 
 
 @query("SELECT kind, trait, name, CAST(row_number() OVER (ORDER BY kind, trait, name) AS BIGINT) AS node, 3 AS depth FROM (SELECT DISTINCT kind, trait, name FROM items)", "items")

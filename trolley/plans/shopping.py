@@ -163,10 +163,10 @@ def saving_waterfall(s, d):
     return x.select("basket", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), v.alias("amount")) for k, v in steps.items()])).alias("s")).select("basket", "s.step", "s.amount")
 
 
-@query("""SELECT basket, need, h.store AS moved_to, CAST(h.cost - b.cost AS BIGINT) AS extra FROM (SELECT basket, need, arg_min(store, (cost, store)) AS store, min(cost) AS cost FROM hits GROUP BY ALL) b JOIN hits h USING (basket, need) WHERE h.is_usual AND need % 2 = 0""", "hits")
+@query("""SELECT basket, need, h.store AS moved_to, CAST(h.cost - b.cost AS BIGINT) AS extra FROM (SELECT basket, need, arg_min(store, (cost, store)) AS store, min(cost) AS cost FROM hits GROUP BY ALL) b JOIN hits h USING (basket, need) WHERE h.is_usual""", "hits")
 def what_if_moved(s, d):
-    """Every second need moved from its cheapest store to the usual one, where that has it: what it costs more."""
-    each = T.hits(s, d).where("need % 2 = 0").groupBy("basket", "need").agg(F.min("cost").alias("best"), F.min(F.when(F.col("usual"), F.struct("store", "cost"))).alias("own")).where("own IS NOT NULL")
+    """Each need moved, by itself, from its cheapest store to the usual one, where that has it: what it costs more."""
+    each = T.hits(s, d).groupBy("basket", "need").agg(F.min("cost").alias("best"), F.min(F.when(F.col("usual"), F.struct("store", "cost"))).alias("own")).where("own IS NOT NULL")
     return each.select("basket", "need", F.col("own.store").alias("moved_to"), (F.col("own.cost") - F.col("best")).alias("extra"))
 
 
