@@ -1,8 +1,13 @@
 """Results and the number of rows between steps where a few places, chains or items are shared by many rows."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trolley.operators import places
+from trolley.operators import baskets, places
+from trolley.plans import shopping
+from trolley.plans import tables as T
+
+DATA = "/root/testdata/sf0.01"
 
 
 def test_users_of_one_place_are_dealt_over_tasks(spark):
@@ -13,3 +18,27 @@ def test_users_of_one_place_are_dealt_over_tasks(spark):
     assert plain.count() == got.count() > 6000 and got.exceptAll(plain).count() == 0
     tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 2 and max(tasks) < sum(tasks) * 0.7
+
+
+def test_ranked_stores_equal_a_plain_ranking(spark):
+    asked = spark.range(60).select(F.col("id").alias("basket"), F.col("id").alias("user"), (F.col("id") % 3 + 2).alias("n"), (F.col("id") % 2).alias("lat"), (-(F.col("id") % 2)).alias("lon"))
+    near = spark.range(41).select((F.col("id") * 7 % 41).alias("store"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("lat")).withColumn("lon", -F.col("lat")).where("store % 5 > 0 OR lat = 0")
+    some = [(b, s, c, c % 2 == 0) for b in range(58) for s, c in ((7 * b % 41, 5), (0, 3), (40, 3), (b % 41, b % 4), (7 * b % 41, 1)) if b % 2 == 0 or s % 5]
+    hits = spark.createDataFrame(some, "basket long, store long, cost long, promo boolean")
+    found = hits.groupBy("basket", "store").agg(F.count("*").alias("found"), F.count_if("promo").alias("promos"), F.sum("cost").alias("total"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    plain = asked.join(near, ["lat", "lon"]).join(found, ["basket", "store"], "left").select("basket", "store", zero("found"), (F.col("n") - F.coalesce("found", F.lit(0))).alias("missing"), zero("promos"), zero("total"))
+    plain = plain.withColumn("place", F.row_number().over(Window.partitionBy("basket").orderBy("missing", "total", "store")).cast("long"))
+    got = baskets.ranked(asked, near, hits, ["lat", "lon"])
+    assert got.columns == plain.columns and sorted(got.collect()) == sorted(plain.collect())
+
+
+def test_needs_and_deals_meet_before_stores_are_unfolded(spark):
+    """What is written between the steps has a row for a store only where it has the item and lies in reach."""
+    deals, offers = T.deals(spark, DATA), T.offers(spark, DATA)
+    own = T.offered_deals(spark, DATA)
+    known = deals.join(offers, ["item", "store"], "left_semi").select(*own.columns)
+    assert own.count() == known.count() and own.exceptAll(known).count() == 0
+    assert own.count() * 2 < deals.count()
+    plan = shopping.basket_compare(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan  # stores without any of the needs aren't sorted by basket

@@ -59,7 +59,7 @@ def _terms(s, d, rows: DataFrame) -> DataFrame:
     """rows (user, item, store and others) with promos: the terms that hold for the item there and are open to the user."""
     clubs = T.shoppers(s, d).select("user", "club_a", "club_n")
     one = F.struct("promo_id", "kind", F.col("n").cast("int").alias("n"), F.col("t").cast("long").alias("t"), F.col("min_qty").cast("int").alias("min_qty"), F.col("max_qty").cast("int").alias("max_qty"))
-    open_ = rows.select("user", "item", "store").distinct().join(T.deals(s, d), ["item", "store"]).join(clubs, "user").where(T.eligible())
+    open_ = rows.select("user", "item", "store").distinct().join(T.offered_deals(s, d), ["item", "store"]).join(clubs, "user").where(T.eligible())
     found = open_.groupBy("user", "item", "store").agg(F.sort_array(F.collect_set(one)).alias("promos"))
     return rows.join(found, ["user", "item", "store"], "left")
 
