@@ -42,3 +42,11 @@ def test_needs_and_deals_meet_before_stores_are_unfolded(spark):
     assert own.count() * 2 < deals.count()
     plan = shopping.basket_compare(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan  # stores without any of the needs aren't sorted by basket
+
+
+def test_chain_wide_promotions_are_unfolded_behind_the_last_group(spark):
+    got = shopping.promo_interval_join(spark, DATA)
+    assert got.groupBy("basket", "item", "store").count().where("count > 1").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Generate explode(stores")]
+    assert "Aggregate" not in top and got.where("chain_wide > 0").count() > 0
