@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trolley.operators import baskets, places
-from trolley.plans import shopping
+from trolley.operators import baskets, places, shared
+from trolley.plans import nightly, shopping
 from trolley.plans import tables as T
 
 DATA = "/root/testdata/sf0.01"
@@ -50,3 +50,12 @@ def test_chain_wide_promotions_are_unfolded_behind_the_last_group(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     top = plan[: plan.index("Generate explode(stores")]
     assert "Aggregate" not in top and got.where("chain_wide > 0").count() > 0
+
+
+def test_candidates_are_made_within_a_users_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(nightly, "store", lambda df, name: seen.append(df) or shared.store(df, name))
+    monkeypatch.setattr(nightly, "_WRITTEN", {})
+    T.candidates(spark, DATA)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and not {"Window", "Aggregate"} & set(plan[: plan.index("posexplode")].replace("+-", " ").split())
