@@ -5,9 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from trolley.operators import postings, vectors
+from trolley.operators import matching, postings, vectors
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +108,57 @@ def test_all_cells_are_exact_whatever_the_blocks(spark, monkeypatch, size):
         got[r.a].append(r.b)
     assert dict(got) == brute(list(range(120)), x, [k % 2 for k in range(120)], range(120), 5)
     assert not vectors.search(index, df.limit(0), df.limit(0), "id", "v", 5).count()
+
+
+def test_exhaustive_search_equals_plain_pairs(spark, monkeypatch):
+    """All pairs of a block, in tiles of several sizes: equal and opposite vectors, nulls, other lengths, repeated ids, and blocks smaller than k."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 5)) * (rng.random((150, 1)) < 0.7), 1)
+    rows = [(i if i != 77 else 76, None if i % 31 == 0 else [float(c) for c in r][: 4 if i % 29 == 0 else 5], i % 3 if i < 144 else None if i < 146 else 9) for i, r in enumerate(x)]
+    rows[50] = (50, [1.0, None, 0.5, 0.0, 0.0], 2)
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+
+    def dot(u, v):
+        if u is None or v is None or len(u) != len(v) or None in u or None in v:
+            return None
+        s = 0.0
+        for p, q in zip(u, v, strict=True):
+            s += p * q
+        return int(np.floor(abs(s * 1e6) + 0.5) * np.sign(s))
+
+    for size, asked in ((16, df), (10_000, df.where("id % 5 = 0"))):
+        monkeypatch.setattr(vectors, "TILE", size)
+        want = []
+        for a, u, block in rows:
+            if block is not None and (asked is df or a % 5 == 0):
+                want.append([a, sorted((-(s if (s := dot(u, v)) is not None else -(1 << 62)), b) for b, v, other in rows if other == block and b != a)])
+        got = matching.vector_topk(df, "id", "label", "v", 6, queries=asked).collect()
+        for a in {w[0] for w in want} - {76}:
+            mine = [((-r["score"] if r["score"] is not None else 1 << 62), r["b"]) for r in sorted(got, key=lambda r: r["place"]) if r["a"] == a]
+            assert mine == next(w[1] for w in want if w[0] == a)[:6], a
+    plan = matching.vector_topk(df, "id", "label", "v", 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "InArrow" in plan  # no row for each pair
+
+
+def test_a_scan_for_neighbours_scores_few_pairs(monkeypatch):
+    """Copies of one vector cost a product each: what is scored and held at a time does not grow with the tile."""
+    seen, scores = [], vectors._scores
+    monkeypatch.setattr(vectors, "_scores", lambda x, y, i, j: seen.append(len(i)) or scores(x, y, i, j))
+    x = np.repeat(np.random.default_rng(2).normal(size=(1, 8)), 6000, axis=0)
+    ids = np.arange(6000)
+    r, c, s = vectors.nearest(x[:600], ids[:600], x, ids, 3)
+    assert r.tolist() == np.repeat(np.arange(600), 3).tolist() and c[:6].tolist() == [1, 2, 3, 0, 2, 3] and len(set(s.tolist())) == 1
+    assert max(seen) <= 64 * vectors.ASK and sum(seen) < 100 * 600
+
+
+def test_rows_for_cells_are_handed_on_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HANDED", 40)
+    df = spark.range(500).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")).coalesce(1)
+    index = vectors.Index(np.random.default_rng(1).normal(size=(30, 2)), 12, 1.0)
+    sent = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda rows, run, schema: sent.append(run) or rows)
+    vectors._celled(df, "id", "v", None, "a", index.looked)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([0] * 500), pa.array([[float(i), 1.0] for i in range(500)])], names=["a", "block", "v"])
+    out = list(sent[0]([whole]))
+    assert sum(len(b) for b in out) == 500 * 12 and max(len(b) for b in out) <= 40
+    assert pa.Table.from_batches(out)["a"].to_pylist() == [i for i in range(500) for _ in range(12)]

@@ -5,23 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trolley.functions.columns import dot, jaccard_permille, trigrams
+from trolley.functions.columns import jaccard_permille, trigrams
+from trolley.operators import vectors
 
 
 def vector_topk(items: DataFrame, key: str, block: str, vector: str, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Each query's k best others of its block by dot product (in millionths, so that ties are exact); all items are queries by default.
 
-    A block of the search is one key and salt: queries meet every salted part of their block, a part keeps its best k
-    for each query by a heap-like window limit, and only k rows a query and part go on.
+    Products are made by tiles of a block (`vectors.exhaustive`); all pairs of a block are looked at, and only k rows a query and tile go on.
     """
-    parts = max(1, items.sparkSession.sparkContext.defaultParallelism)
-    salt = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    a = (items if queries is None else queries).select(F.col(key).alias("a"), block, F.col(vector).alias("va"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    b = items.select(F.col(key).alias("b"), block, F.col(vector).alias("vb"), salt.alias("part"))
-    pairs = a.join(b, [block, "part"]).where("a <> b").select("a", "part", "b", F.round(dot(F.col("va"), F.col("vb")) * 1e6).cast("long").alias("score"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "b"))
-    near = pairs.withColumn("place", best("a", "part")).where(F.col("place") <= k)
-    return near.withColumn("place", best("a")).where(F.col("place") <= k).select("a", "b", "score", "place")
+    return vectors.exhaustive(items, items if queries is None else queries, key, vector, k, block)
 
 
 def trigram_pairs(names: DataFrame, least: int) -> DataFrame:
