@@ -1,10 +1,12 @@
 """Results and the number of rows between steps where a few places, chains or items are shared by many rows."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trolley.operators import baskets, places, shared
-from trolley.plans import nightly, shopping
+from trolley.plans import catalogue, nightly, optimum, shopping
 from trolley.plans import tables as T
 
 DATA = "/root/testdata/sf0.01"
@@ -59,3 +61,31 @@ def test_candidates_are_made_within_a_users_row(spark, monkeypatch):
     T.candidates(spark, DATA)
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in plan and not {"Window", "Aggregate"} & set(plan[: plan.index("posexplode")].replace("+-", " ").split())
+
+
+def test_variants_are_unfolded_behind_the_last_join(spark):
+    """A need meets its place's list of a product and not a row for each candidate store; the same stores are found."""
+    plan = catalogue._other_lists(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(both" not in plan  # no candidate row for each need
+    shut = T.reached(spark, DATA).select("user", F.explode("near").alias("store"))
+    known = T.candidates(spark, DATA).select("user", "store")
+    assert shut.count() == known.count() and shut.exceptAll(known).count() == 0
+    needs = catalogue.leveled(spark, DATA).where("level <> 'exact'").count()
+    lists = catalogue._other_lists(spark, DATA)
+    assert lists.count() <= 2 * needs and lists.select(F.explode("v")).count() > 4 * needs
+
+
+def test_effective_prices_group_offers_before_quantities(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(nightly, "store", lambda df, name: seen.append((name, df)) or shared.store(df, name))
+    monkeypatch.setattr(nightly, "_WRITTEN", {})
+    shopping.effective_prices(spark, DATA)
+    plan = next(df for name, df in seen if name == "effective_prices")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and not any(re.search(r"(?<!_)qty#", line) for line in plan.split("\n") if "Aggregate" in line)
+
+
+def test_options_of_a_basket_go_there_once(spark):
+    plan = optimum.optimal_rows(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(o" in plan and "Aggregate [user" not in plan.split("collect_list(o")[0]
+    row = optimum.optimal_rows(spark, DATA).where("size(options) > 0").first()
+    assert all(row["stores"][o["place"]] is not None for o in row["options"])

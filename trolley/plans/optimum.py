@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trolley.operators import splits
 from trolley.plans import tables as T
-from trolley.plans.catalogue import _picks, leveled
+from trolley.plans.catalogue import _other_lists, _packs
 from trolley.plans.registry import query
 from trolley.plans.shopping import _asked
 
@@ -66,16 +66,21 @@ def _terms(s, d, rows: DataFrame) -> DataFrame:
 
 def optimal_rows(s, d) -> DataFrame:
     """A row per basket with its needs, the options of each need at each candidate store, and the user's terms."""
-    place = T.candidates(s, d).select("user", "store", "place")
-    own = T.hits(s, d).select("basket", "user", "need", F.col("need").alias("item"), "store", "price", F.lit(0).alias("penalty"), F.col("qty").alias("packs"))
-    level = leveled(s, d).select("basket", "need", "user", "level")
+    one = F.struct("promo_id", "kind", F.col("n").cast("int").alias("n"), F.col("t").cast("long").alias("t"), F.col("min_qty").cast("int").alias("min_qty"), F.col("max_qty").cast("int").alias("max_qty"), "club")
+    deals = T.offered_deals(s, d).groupBy("item", "store").agg(F.collect_set(one).alias("deals"))
+    option = lambda item, store, price, penalty, packs, deals: F.struct("need", item.alias("item"), store.alias("store"), price.alias("price"), penalty.cast("int").alias("penalty"), packs.alias("packs"), deals.alias("deals"))
+    own = T.hits(s, d).select("basket", "need", "store", "price", "qty").join(deals.withColumnRenamed("item", "need"), ["need", "store"], "left")
+    mine = own.select("basket", F.array(option(F.col("need"), F.col("store"), F.col("price"), F.lit(0), F.col("qty"), F.col("deals"))).alias("o"))
     penalty = F.when(F.col("level") == "close", PENALTY["close"]).otherwise(PENALTY["any_brand"])
-    other = _picks(s, d).where("item <> need").join(level, ["basket", "need"]).select("basket", "user", "need", "item", "store", "price", penalty.alias("penalty"), "packs")
-    options = _terms(s, d, own.union(other)).join(place, ["user", "store"])
-    listed = options.groupBy("basket").agg(F.collect_list(F.struct("need", "item", "place", "price", "penalty", "packs", "promos")).alias("options"))
+    other = F.transform(F.filter("v", lambda x: x["item"] != F.col("need")), lambda x: option(x["item"], x["store"], x["price"], penalty, _packs(F.col("whole"), x["pack"]), x["deals"]))
+    # a need's options go to its basket as one list; places and clubs are the user's and are looked up in the basket's row
+    listed = mine.union(_other_lists(s, d, deals).select("basket", other.alias("o"))).groupBy("basket").agg(F.flatten(F.collect_list("o")).alias("o"))
     needs = T.needs(s, d).groupBy("basket", "user").agg(F.collect_list(F.struct("need", "qty")).alias("needs"))
-    terms = T.shoppers(s, d).select("user", F.col("stop_value").cast("long").alias("stop_value"), (1 + F.pmod(F.col("user"), F.lit(3))).cast("int").alias("max_stores"), F.col("min_saving").cast("long").alias("min_saving"))
-    return needs.join(listed, "basket", "left").join(splits.store_rows(T.candidates(s, d)), "user").join(terms, "user").drop("user")
+    terms = T.shoppers(s, d).select("user", "club_a", "club_n", F.col("stop_value").cast("long").alias("stop_value"), (1 + F.pmod(F.col("user"), F.lit(3))).cast("int").alias("max_stores"), F.col("min_saving").cast("long").alias("min_saving"))
+    rows = needs.join(splits.store_rows(T.candidates(s, d)).join(terms, "user"), "user").join(listed, "basket", "left")
+    at = lambda x: (F.array_position("stores", x["store"]) - 1).cast("int")
+    options = F.transform("o", lambda x: F.struct(x["need"].alias("need"), x["item"].alias("item"), at(x).alias("place"), x["price"].alias("price"), x["penalty"].alias("penalty"), x["packs"].alias("packs"), F.filter(x["deals"], lambda p: T.opened(p["club"])).alias("promos")))
+    return rows.select("basket", "needs", options.alias("options"), "stores", "travels", "stop_value", "max_stores", "min_saving")
 
 
 @query(None)
