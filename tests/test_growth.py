@@ -89,3 +89,16 @@ def test_options_of_a_basket_go_there_once(spark):
     assert not re.search(r"Aggregate \[user#\w+, item#\w+, store#", plan)  # promotions are looked up in the basket's row
     row = optimum.optimal_rows(spark, DATA).where("size(options) > 0").first()
     assert all(row["stores"][o["place"]] is not None for o in row["options"])
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_are_dealt_before_their_choices_are_unfolded(spark, monkeypatch):
+    plain = {n: sorted(map(str, getattr(catalogue, n)(spark, DATA).collect())) for n in ("allowed_substitutes", "preference_filter", "hard_rules")}
+    monkeypatch.setattr(catalogue, "SPREAD", 100)
+    assert catalogue.labels(spark, DATA).rdd.getNumPartitions() == 20
+    for name, rows in plain.items():
+        assert rows and sorted(map(str, getattr(catalogue, name)(spark, DATA).collect())) == rows
+    assert "BroadcastHashJoin" not in _executed(catalogue.allowed_substitutes(spark, DATA))
