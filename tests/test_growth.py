@@ -95,6 +95,29 @@ def _executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _stored(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(nightly, "store", lambda df, name: seen.update({name: df}) or shared.store(df, name))
+    monkeypatch.setattr(nightly, "_WRITTEN", {})
+    return seen
+
+
+def test_baskets_are_weighed_once_for_their_saving_share(spark):
+    plan = shopping.saving_share(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert plan.count("MapInArrow") == 1 and "bound" in below  # only baskets that have a bound
+
+
+def test_lines_go_to_their_basket_once(spark, monkeypatch):
+    seen, before = _stored(monkeypatch), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        T.needs(spark, DATA)
+        assert _executed(seen["needs"]).count("Exchange hashpartitioning") == 2  # lines and orders
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_items_are_dealt_before_their_choices_are_unfolded(spark, monkeypatch):
     plain = {n: sorted(map(str, getattr(catalogue, n)(spark, DATA).collect())) for n in ("allowed_substitutes", "preference_filter", "hard_rules")}
     monkeypatch.setattr(catalogue, "SPREAD", 100)

@@ -49,9 +49,10 @@ def cost_rows(hits: DataFrame, extra: list[Column] = ()) -> DataFrame:
 
 
 def store_rows(candidates: DataFrame) -> DataFrame:
-    """user, stores, travels: by place, from 0. candidates: user, store, place, travel; at most PLACES a user."""
+    """user, stores, travels: by place, from 0; usual_travel: to the usual store, null without one. candidates: user, store, place, travel, usual (may be left out); at most PLACES a user."""
     one = F.sort_array(F.collect_list(F.struct("place", "store", "travel")))
-    return candidates.groupBy("user").agg(one.alias("c")).select("user", F.col("c.store").alias("stores"), F.col("c.travel").alias("travels"))
+    own = F.when(F.col("usual"), F.col("travel")) if "usual" in candidates.columns else F.lit(None).cast("long")
+    return candidates.groupBy("user").agg(one.alias("c"), F.max(own).alias("usual_travel")).select("user", F.col("c.store").alias("stores"), F.col("c.travel").alias("travels"), "usual_travel")
 
 
 _CHOICE = "basket long, user long, alternative string, n_stores int, a long, b long, c long, missing long, total long, travel long, stop_cost long, saving long"
@@ -84,7 +85,7 @@ def _weighed(batch: pa.RecordBatch, most: int) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def best_sets(asked: DataFrame, hits: DataFrame, candidates: DataFrame, terms: DataFrame, most: int = 2, by_size: bool = False) -> DataFrame:
+def best_sets(asked: DataFrame, hits: DataFrame, candidates: DataFrame, terms: DataFrame, most: int = 2, by_size: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The best sets of stores of each basket, with columns as _CHOICE; b and c are -1 where a set is smaller.
 
     alternative: single (fewest missing, then the least total), split (any size, by total with its trip), least_effort (one
@@ -92,9 +93,12 @@ def best_sets(asked: DataFrame, hits: DataFrame, candidates: DataFrame, terms: D
     A set's stores stand in the order of their places; ties go to the smaller ids in that order. Needs cost what the cheapest
     member asks. asked: basket, user, n.
     hits: basket, need, place, usual, cost. candidates: user, store, place, travel. terms: user, stop_value.
+    keep: columns (long) of asked or terms, or usual_travel, that go along behind the others, so that the choices meet no user again.
     """
     ship(asked.sparkSession)
-    rows = asked.join(cost_rows(hits), "basket", "left").join(store_rows(candidates), "user").join(terms.select("user", F.col("stop_value").cast("long").alias("stop_value")), "user")
+    own = [c for c in keep if c in terms.columns and c not in asked.columns]
+    rows = asked.join(cost_rows(hits), "basket", "left").join(store_rows(candidates), "user").join(terms.select("user", *[F.col(c).cast("long").alias(c) for c in ("stop_value", *own)]), "user")
+    fields = [*_FIELDS, *[(c, pa.int64()) for c in keep]]
 
     def run(batches):
         sets, size = sets_of(PLACES, most), sizes_of(PLACES, most)
@@ -127,9 +131,10 @@ def best_sets(asked: DataFrame, hits: DataFrame, candidates: DataFrame, terms: D
                 ids = np.full((len(some), 3), -1, np.int64)
                 ids[:, :most] = kept[some, k]
                 columns = dict(basket=batch.column("basket").take(pa.array(some)), user=batch.column("user").take(pa.array(some)), alternative=[name] * len(some), n_stores=size[k], a=ids[:, 0], b=ids[:, 1], c=ids[:, 2], missing=pick(missing), total=pick(total), travel=pick(travel), stop_cost=pick(stop), saving=pick(saving))
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for (_, t), x in zip(_FIELDS, (columns[c] for c, _ in _FIELDS), strict=True)], names=[c for c, _ in _FIELDS])
+                columns |= {c: batch.column(c).take(pa.array(some)) for c in keep}
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for (_, t), x in zip(fields, (columns[c] for c, _ in fields), strict=True)], names=[c for c, _ in fields])
 
-    return rows.select("basket", "user", "n", "lines", "stores", "travels", "stop_value").mapInArrow(run, _CHOICE)
+    return rows.select("basket", "user", "n", "lines", "stores", "travels", "stop_value", *keep).mapInArrow(run, ", ".join([_CHOICE, *[f"{c} long" for c in keep]]))
 
 
 # ---- the exact optimum
