@@ -118,6 +118,12 @@ def test_lines_go_to_their_basket_once(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_choices_meet_their_users_no_more(spark):
+    for query in (shopping.net_saving, shopping.store_limits):
+        plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
 def test_items_are_dealt_before_their_choices_are_unfolded(spark, monkeypatch):
     plain = {n: sorted(map(str, getattr(catalogue, n)(spark, DATA).collect())) for n in ("allowed_substitutes", "preference_filter", "hard_rules")}
     monkeypatch.setattr(catalogue, "SPREAD", 100)
