@@ -118,6 +118,11 @@ def test_lines_go_to_their_basket_once(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_needs_meet_bundles_before_stores(spark, monkeypatch):
+    seen = _stored(monkeypatch)
+    assert shopping.cross_item_bundles(spark, DATA).count() > 0 and "hits" not in seen and "offered_deals" in seen
+
+
 def test_choices_meet_their_users_no_more(spark):
     for query in (shopping.net_saving, shopping.store_limits):
         plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
