@@ -142,3 +142,27 @@ def test_needs_are_counted_before_they_meet_labels(spark):
     got = catalogue.preference_filter(spark, DATA)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHashJoin" not in _executed(got) and "count(1)" in plan[plan.index("Join") :]
+
+
+def test_hits_go_to_their_basket_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for query in (shopping.full_coverage_stores, shopping.estimate_band, shopping.basket_compare):
+        query(spark, DATA)  # writes the tables that it reads
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = _executed(query(spark, DATA))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert not re.search(r"Exchange hashpartitioning\((basket#\w+, store#|lat#\w+, lon#\w+, store#)", plan)
+        if query is not shopping.basket_compare:
+            assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan[: plan.index("Join")]) == ["basket"]
+
+
+def test_lists_go_to_a_bounded_number_of_parts(spark):
+    rows = spark.range(400_000).select((F.col("id") % 100).alias("a"), F.col("id").alias("user"))
+    got = places.dealt(rows, ["a"])
+    n = places.tasks(spark)
+    total = got.agg(F.sum("_parts")).first()[0]
+    assert n < total <= places.SHARES * n + 100 < 400  # and not one for each TOGETHER rows
+    numbers = got.select(F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)).alias("x"))
+    assert numbers.distinct().count() == total
