@@ -141,3 +141,48 @@ def test_optimum_is_never_above_the_heuristic(spark):
 def test_allocation_of_whole_tables(spark):
     rows = optimum.bundle_allocation(spark, "/root/testdata/sf0.01").collect()
     assert rows and all(r.exact <= r.greedy <= r.shelf for r in rows) and any(r.bundles for r in rows)
+
+
+def test_every_variant_that_may_be_best_is_an_option(spark):
+    """Against all items of the asked product at each candidate store, joined plainly."""
+    from pyspark.sql import functions as F
+
+    from trolley.plans import catalogue
+    from trolley.plans import tables as T
+
+    d = "/root/testdata/sf0.001"
+    items = T.items(spark, d)
+    asked = catalogue.leveled(spark, d).where("level <> 'exact'").select("basket", "need", "user", "qty", "level").join(items.selectExpr("item AS need", "name AS n", "kind AS k", "size AS s"), "need")
+    there = T.offers(spark, d).join(items.select("item", "name", "kind", "size"), "item").join(T.offered_deals(spark, d).select("item", "store", F.lit(True).alias("dealt")).distinct(), ["item", "store"], "left")
+    every = asked.join(T.candidates(spark, d).select("user", "store"), "user").join(there, "store").where("item <> need AND IF(level = 'close', kind = k, name = n)")
+    packs = F.expr("(qty * s + size - 1) div size")
+    every = {(r.basket, r.need, r.store, r.item): (r.packs, r.packs * r.price, r.dealt) for r in every.select("basket", "need", "store", "item", packs.alias("packs"), "price", "dealt").collect()}
+    best, had = {}, {}
+    for r in optimum.optimal_rows(spark, d).collect():
+        for o in r.options or []:
+            had[r.basket, o.need, r.stores[o.place], o.item] = o
+    for (basket, need, store, item), (packs, cost, dealt) in every.items():
+        best[basket, need, store] = min(best.get((basket, need, store), 1 << 60), cost)
+        if dealt:
+            assert had[basket, need, store, item].packs == packs
+    own = {key[:3]: o.packs * o.price for key, o in had.items() if key[1] == key[3]}
+    least = {}
+    for key, o in had.items():
+        least[key[:3]] = min(least.get(key[:3], 1 << 60), o.packs * o.price)
+    assert any(x[2] for x in every.values()) and best and all(least[key] == min(cost, own.get(key, cost)) for key, cost in best.items())
+
+
+def test_weighed_baskets_equal_searched_ones(spark):
+    table = optimum.optimal_rows(spark, "/root/testdata/sf0.001").toArrow().combine_chunks()
+    batch = table.to_batches()[0]
+    searched, search = [], splits._searched
+    got = {}
+    splits._searched = lambda r: searched.append(r["basket"]) or search(r)
+    try:
+        got = {x[0]: x for a in range(0, len(batch), 400) for x in splits._optima(batch.slice(a, 400))}
+    finally:
+        splits._searched = search
+    known = {x[0]: x for x in map(search, batch.to_pylist()) if x}
+    assert got == known and 0 < len(searched) < len(known) / 2 and any(x[-1] for k, x in got.items() if k not in searched)
+    empty = batch.slice(0, 0)
+    assert splits._optima(empty) == []

@@ -303,13 +303,16 @@ class Basket:
         self.options: list[list[Option]] = []
         for i, own in enumerate(options):
             best: dict[int, tuple] = {}
-            for o in own:
+            for o in sorted(own, key=lambda o, i=i: (bool(o.promos), self._packs(i, o) * o.price + o.penalty)):
+                if o.place in best and self._floor(i, o) > best[o.place][0][0]:
+                    continue  # can't be the best there by itself
                 key = (self.bought(o.place, ((i, o),))[0] + o.penalty, o.penalty, o.item)
                 if o.place not in best or key < best[o.place][0]:
                     best[o.place] = key, o
             linked = [o for o in own if any((o.place, p.id) in joint for p in o.promos)]
             self.options.append(list(dict.fromkeys([o for _, o in best.values()] + linked)))
         self.groups = self._groups(share, joint)
+        self.joint = {(place, i) for place, id in joint for i in share[place, id]}
 
     def _groups(self, share, joint) -> list[list[int]]:
         """Needs that promotions tie together, directly or by others."""
@@ -396,8 +399,17 @@ class Basket:
                 missing += least >= NONE
                 cost += np.where(least < NONE, least, 0)
             else:
-                for k, places in enumerate(sets):
-                    m, c, _ = self.group(members, set(places.tolist()))
+                # needs are bought by themselves where no place of the set has a promotion that two of them may share
+                at = np.full((len(members), n), NONE, np.int64)
+                for j, i in enumerate(members):
+                    for o in self.options[i]:
+                        at[j, o.place] = min(at[j, o.place], self.bought(o.place, ((i, o),))[0] + o.penalty)
+                least = at[:, sets].min(axis=2)
+                apart = ~np.isin(sets, [place for place, who in self.joint if who in members]).any(axis=1)
+                missing += np.where(apart, (least >= NONE).sum(axis=0), 0)
+                cost += np.where(apart, np.where(least < NONE, least, 0).sum(axis=0), 0)
+                for k in np.flatnonzero(~apart).tolist():
+                    m, c, _ = self.group(members, set(sets[k].tolist()))
                     missing[k] += m
                     cost[k] += c
         trip = np.array([sum(self.travels[p] for p in set(s)) for s in sets.tolist()], np.int64) + (size - 1) * self.stop
@@ -426,6 +438,136 @@ class Basket:
 _OPTIMUM = "basket long, stores string, n_stores int, missing long, total long, penalty long, trip long, objective long, items string, bundles string"
 
 
+def _promos(terms: list[dict] | None) -> tuple[Promo, ...]:
+    return tuple(sorted({Promo(p["promo_id"], p["kind"], p["n"], p["t"], p["min_qty"], p["max_qty"]) for p in terms or []}, key=lambda p: p.id))
+
+
+def _searched(r: dict) -> tuple | None:
+    """The optimum of one basket (a row as in `optimal`) by search."""
+    needs = sorted((x["need"], x["qty"]) for x in r["needs"])
+    place = {need: i for i, (need, _) in enumerate(needs)}
+    options: list[list[Option]] = [[] for _ in needs]
+    for o in r["options"] or []:
+        options[place[o["need"]]].append(Option(o["item"], o["place"], o["price"], o["penalty"], _promos(o["promos"]), o["packs"]))
+    best = Basket(needs, options, r["travels"], r["stop_value"]).optimum(r["max_stores"], r["min_saving"])
+    if best is None:
+        return None
+    at = r["stores"]
+    return (r["basket"], ",".join(str(at[p]) for p in best.places), len(best.places), best.missing, best.total, best.penalty, best.trip, best.total + best.penalty + best.trip, " ".join(f"{i}:{x}@{at[p]}" for i, x, p in best.items), " ".join(f"{k}@{at[p]}:{u}" for k, p, u in best.bundles))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The lengths of the lists (null: none) and their elements."""
+    return np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(), 0), column.flatten()
+
+
+def _numbers(rows: pa.Array, name: str, fill: int = 0) -> np.ndarray:
+    return rows.field(name).fill_null(fill).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _optima(batch: pa.RecordBatch) -> list[tuple]:
+    """The optima of many baskets (rows as in `optimal`).
+
+    What a need costs at a place depends on nothing else, unless two needs of the basket may share a promotion there. Such baskets are searched
+    one by one. Of all others the options are weighed as arrays; only those with a promotion that may make them the best at their place are allocated.
+    """
+    rows, sizes = len(batch), [_lists(batch.column(c)) for c in ("needs", "options", "stores", "travels")]
+    (n_needs, need), (n_options, option), (n_stores, store), (_, travel) = sizes
+    # needs by basket and id, numbered through the batch; options by the number of their need
+    of = np.repeat(np.arange(rows), n_needs)
+    ids, qty = _numbers(need, "need"), _numbers(need, "qty")
+    order = np.lexsort((ids, of))
+    of, ids, qty = of[order], ids[order], qty[order]
+    basket, asked = np.repeat(np.arange(rows), n_options), _numbers(option, "need")
+    both = np.lexsort((np.append(np.zeros(len(ids)), np.ones(len(asked))), np.append(ids, asked), np.append(of, basket)))
+    number = np.cumsum(both < len(ids)) - 1
+    line = np.empty(len(both), np.int64)
+    line[both] = number
+    line = line[len(ids) :]
+    item, place, price, penalty = (_numbers(option, c) for c in ("item", "place", "price", "penalty"))
+    packs = np.where(option.field("packs").is_valid().to_numpy(zero_copy_only=False), _numbers(option, "packs"), qty[line] if len(line) else 0)
+    shelf = packs * price + penalty
+    cost, used = shelf.copy(), {}
+    # promotions by option
+    n_promos, terms = _lists(option.field("promos"))
+    owner = np.repeat(np.arange(len(line)), n_promos)
+    searched = n_stores > PLACES
+    if len(owner):
+        keys = np.unique(np.stack([basket[owner], place[owner], _numbers(terms, "promo_id"), line[owner]], axis=1), axis=0)
+        shared = (keys[1:, :3] == keys[:-1, :3]).all(axis=1)
+        searched[keys[1:][shared][:, 0]] = True
+        low = np.full((len(ids), PLACES), NONE, np.int64)
+        alone = np.flatnonzero(~searched[basket])
+        np.minimum.at(low, (line[alone], place[alone]), shelf[alone])
+        ends, terms = np.cumsum(n_promos), terms.to_pylist()
+        for k in np.flatnonzero((n_promos > 0) & ~searched[basket]):
+            own = Option(int(item[k]), int(place[k]), int(price[k]), int(penalty[k]), _promos(terms[ends[k] - n_promos[k] : ends[k]]), int(packs[k]))
+            if packs[k] * min([own.price, *[_rate(p, own.price) for p in own.promos]]) + own.penalty - len(own.promos) <= low[line[k], place[k]]:
+                paid, units = allocate([Line(own.packs, own.price, own.promos)])
+                cost[k], used[int(k)] = paid + own.penalty, units
+    out = [_searched(r) for r in batch.filter(pa.array(searched)).to_pylist()] if searched.any() else []
+    out = [x for x in out if x is not None]
+    # the best option of each need at each place
+    keep = np.flatnonzero(~searched[basket])
+    keep = keep[np.lexsort((item[keep], penalty[keep], cost[keep], place[keep], line[keep]))]
+    first = np.ones(len(keep), bool)
+    first[1:] = (line[keep][1:] != line[keep][:-1]) | (place[keep][1:] != place[keep][:-1])
+    keep = keep[first]
+    at, chosen = np.full((len(ids), PLACES), NONE, np.int64), np.zeros((len(ids), PLACES), np.int64)
+    at[line[keep], place[keep]], chosen[line[keep], place[keep]] = cost[keep], keep
+    # the best set of each size, and whether a further store is taken
+    sets, size = sets_of(PLACES, MOST), sizes_of(PLACES, MOST)
+    missing, total = np.zeros((rows, len(sets)), np.int64), np.zeros((rows, len(sets)), np.int64)
+    for a in range(0, len(at), LINES):
+        part, own = at[a : a + LINES], of[a : a + LINES]
+        best = part[:, sets[:, 0]]
+        for j in range(1, MOST):
+            best = np.minimum(best, part[:, sets[:, j]])
+        found = best < NONE
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        missing[own[start]] += np.add.reduceat((~found).astype(np.int64), start, axis=0)
+        total[own[start]] += np.add.reduceat(np.where(found, best, 0), start, axis=0)
+    stores, travels = np.full((rows, PLACES), -1, np.int64), np.zeros((rows, PLACES), np.int64)
+    there = np.arange(PLACES) < np.where(searched, 0, n_stores)[:, None]
+    inside = ~np.repeat(searched, n_stores)
+    stores[there], travels[there] = store.to_numpy(zero_copy_only=False)[inside], travel.to_numpy(zero_copy_only=False)[inside]
+    member = np.zeros((len(sets), PLACES), np.int64)
+    member[np.arange(len(sets))[:, None], sets] = 1
+    trip = travels @ member.T + (size - 1) * _numbers_of(batch, "stop_value")[:, None]
+    valid = (sets.max(axis=1) < there.sum(axis=1)[:, None]) & (size <= _numbers_of(batch, "max_stores")[:, None])
+    least, taken, fewest, objective = _numbers_of(batch, "min_saving"), np.full(rows, -1), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for k in range(1, MOST + 1):
+        ok = valid & (size == k)
+        for key in (missing, total + trip):
+            ok &= key == np.where(ok, key, 1 << 62).min(axis=1, keepdims=True)
+        x = ok.argmax(axis=1)
+        m, o = missing[np.arange(rows), x], (total + trip)[np.arange(rows), x]
+        better = ok.any(axis=1) & ((taken < 0) | (m < fewest) | ((m == fewest) & (o < objective) & (objective - o >= least)))
+        taken, fewest, objective = np.where(better, x, taken), np.where(better, m, fewest), np.where(better, o, objective)
+    # what is bought there
+    there = np.take_along_axis(at, sets[np.maximum(taken, 0)][of], axis=1)
+    where = np.take_along_axis(sets[np.maximum(taken, 0)][of], there.argmin(axis=1)[:, None], axis=1)[:, 0]
+    option_of, bought = chosen[np.arange(len(of)), where], there.min(axis=1) < NONE
+    ends = np.cumsum(n_needs)
+    names = batch.column("basket").to_pylist()
+    for r in np.flatnonzero(taken >= 0).tolist():
+        x, shop = taken[r], stores[r].tolist()
+        mine = [(i, int(option_of[i]), int(where[i])) for i in range(ends[r] - n_needs[r], ends[r]) if bought[i]]
+        places = sets[x][: size[x]].tolist()
+        bundles = [f"{p}@{shop[w]}:{sum(units)}" for v in places for i, k, w in mine if w == v and k in used for p, units in sorted(used[k].items())]
+        extra = int(sum(penalty[k] for _, k, _ in mine))
+        out.append((names[r], ",".join(str(shop[p]) for p in places), int(size[x]), int(fewest[r]), int(total[r, x]) - extra, extra, int(trip[r, x]), int(objective[r]), " ".join(f"{ids[i]}:{item[k]}@{shop[w]}" for i, k, w in mine), " ".join(bundles)))
+    return out
+
+
+def _numbers_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+#: Baskets weighed at a time.
+BASKETS = 1000
+
+
 def optimal(rows: DataFrame) -> DataFrame:
     """The optimum of each basket, with its items (need:item@store) and bundles (promotion@store:units).
 
@@ -434,23 +576,12 @@ def optimal(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        names = [x.split() for x in _OPTIMUM.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                needs = sorted((x["need"], x["qty"]) for x in r["needs"])
-                place = {need: i for i, (need, _) in enumerate(needs)}
-                options: list[list[Option]] = [[] for _ in needs]
-                for o in r["options"] or []:
-                    terms = sorted({Promo(p["promo_id"], p["kind"], p["n"], p["t"], p["min_qty"], p["max_qty"]) for p in o["promos"] or []}, key=lambda p: p.id)
-                    options[place[o["need"]]].append(Option(o["item"], o["place"], o["price"], o["penalty"], tuple(terms), o["packs"]))
-                best = Basket(needs, options, r["travels"], r["stop_value"]).optimum(r["max_stores"], r["min_saving"])
-                if best is None:
-                    continue
-                at = r["stores"]
-                out.append((r["basket"], ",".join(str(at[p]) for p in best.places), len(best.places), best.missing, best.total, best.penalty, best.trip, best.total + best.penalty + best.trip, " ".join(f"{i}:{x}@{at[p]}" for i, x, p in best.items), " ".join(f"{k}@{at[p]}:{u}" for k, p, u in best.bundles)))
-            names = [x.split() for x in _OPTIMUM.split(", ")]
-            kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[t]) for k, (_, t) in enumerate(names)], names=[c for c, _ in names])
+            for a in range(0, len(batch), BASKETS):
+                out = _optima(batch.slice(a, BASKETS))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[t]) for k, (_, t) in enumerate(names)], names=[c for c, _ in names])
 
     ship(rows.sparkSession)
     return rows.mapInArrow(run, _OPTIMUM)

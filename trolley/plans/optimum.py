@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.operators import splits
+from trolley.operators import places, splits
 from trolley.plans import tables as T
-from trolley.plans.catalogue import _other_lists, _packs
+from trolley.plans.catalogue import _packs, variant_lists
 from trolley.plans.registry import query
 from trolley.plans.shopping import _asked
 
@@ -72,9 +72,16 @@ def optimal_rows(s, d) -> DataFrame:
     own = T.hits(s, d).select("basket", "need", "store", "price", "qty").join(deals.withColumnRenamed("item", "need"), ["need", "store"], "left")
     mine = own.select("basket", F.array(option(F.col("need"), F.col("store"), F.col("price"), F.lit(0), F.col("qty"), F.col("deals"))).alias("o"))
     penalty = F.when(F.col("level") == "close", PENALTY["close"]).otherwise(PENALTY["any_brand"])
-    other = F.transform(F.filter("v", lambda x: x["item"] != F.col("need")), lambda x: option(x["item"], x["store"], x["price"], penalty, _packs(F.col("whole"), x["pack"]), x["deals"]))
+    # of the variants without a deal at a store only the cheapest for the amount can be of use, whatever else is bought; those with one may share it
+    packs = lambda x: _packs(F.col("whole"), x["pack"])
+    cheapest = lambda x: F.array_min(F.transform(x["plain"], lambda y: F.struct((packs(y) * y["price"]).alias("cost"), y["item"].alias("item"), y["price"].alias("price"), packs(y).alias("packs"))))
+    plain = F.transform(F.filter("v", lambda x: F.size(x["plain"]) > 0), lambda x: F.struct(x["store"].alias("store"), cheapest(x).alias("y")))
+    plain = F.transform(plain, lambda x: option(x["y"]["item"], x["store"], x["y"]["price"], penalty, x["y"]["packs"], F.lit(None).cast(deals.schema["deals"].dataType)))
+    dealt = F.flatten(F.transform("v", lambda x: F.transform(x["dealt"], lambda y: option(y["item"], x["store"], y["price"], penalty, packs(y), y["deals"]))))
+    other = F.filter(F.concat(plain, dealt), lambda x: (x["item"] != F.col("need")) & x["packs"].isNotNull())
     # a need's options go to its basket as one list; places and clubs are the user's and are looked up in the basket's row
-    listed = mine.union(_other_lists(s, d, deals).select("basket", other.alias("o"))).groupBy("basket").agg(F.flatten(F.collect_list("o")).alias("o"))
+    options = mine.union(variant_lists(s, d, deals).select("basket", other.alias("o"))).repartition(places.tasks(s), "basket")
+    listed = options.groupBy("basket").agg(F.flatten(F.collect_list("o")).alias("o"))
     needs = T.needs(s, d).groupBy("basket", "user").agg(F.collect_list(F.struct("need", "qty")).alias("needs"))
     terms = T.shoppers(s, d).select("user", "club_a", "club_n", F.col("stop_value").cast("long").alias("stop_value"), (1 + F.pmod(F.col("user"), F.lit(3))).cast("int").alias("max_stores"), F.col("min_saving").cast("long").alias("min_saving"))
     rows = needs.join(splits.store_rows(T.candidates(s, d)).join(terms, "user"), "user").join(listed, "basket", "left")
