@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trolley.operators import baskets, places, shared
+from trolley.operators import baskets, intervals, places, shared
 from trolley.plans import catalogue, nightly, optimum, shopping
 from trolley.plans import tables as T
 
@@ -166,3 +166,13 @@ def test_lists_go_to_a_bounded_number_of_parts(spark):
     assert n < total <= places.SHARES * n + 100 < 400  # and not one for each TOGETHER rows
     numbers = got.select(F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)).alias("x"))
     assert numbers.distinct().count() == total
+
+
+def test_promotions_stand_in_few_bins(spark, monkeypatch):
+    seen = []
+    join = intervals.join
+    monkeypatch.setattr(intervals, "join", lambda points, spans, keys, at, start, end, width: seen.append((spans, start, end, width)) or join(points, spans, keys, at, start, end, width))
+    shopping.promo_interval_join(spark, DATA)
+    spans, start, end, width = seen[0]
+    bins = F.floor((F.col(end) - 1) / width) - F.floor(F.col(start) / width) + 1
+    assert spans.agg(F.avg(bins)).first()[0] < 2
