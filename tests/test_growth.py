@@ -176,3 +176,16 @@ def test_promotions_stand_in_few_bins(spark, monkeypatch):
     spans, start, end, width = seen[0]
     bins = F.floor((F.col(end) - 1) / width) - F.floor(F.col(start) / width) + 1
     assert spans.agg(F.avg(bins)).first()[0] < 2
+
+
+def test_a_needs_picks_go_to_its_basket_as_numbers(spark):
+    df = catalogue.basket_variants(spark, DATA)
+    node, todo, found = None, [df._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "RepartitionByExpression":
+            found.append([node.output().apply(i).dataType().simpleString() for i in range(node.output().size())])
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert ["bigint", "array<bigint>"] in found  # and not a list for each of the columns
+    known = catalogue.variants_by_level(spark, DATA).groupBy("basket", "store").agg(F.count("*").alias("found"), F.sum("cost").alias("total"))
+    assert df.where("found > 0").select("basket", "store", "found", "total").exceptAll(known).count() == 0 and known.count() == df.where("found > 0").count()
